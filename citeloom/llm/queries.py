@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import documents
+from citeloom.llm.mixing import mixed
+from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
 
 
@@ -14,5 +16,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(documents(spark, sf_dir), 40)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_sharding": op2_sharding,
+    "op4_mixing": op4_mixing,
+}
 ORACLE: dict[str, str] = {}
