@@ -97,13 +97,13 @@ def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, rest: i
 
 
 def landing(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """The last fractions, set so that the words, then the documents, come nearest to what is due."""
+    """The last fractions, set so that the words, and with less weight the documents, come nearest to what is due."""
     rest = np.flatnonzero((prob > 0) & (prob < 1))
     choices = np.array(list(itertools.product((0.0, 1.0), repeat=len(rest))))
     words = np.abs((choices - prob[rest]) @ size[rest])
     documents = np.abs((choices - prob[rest]).sum(axis=1))
     prob = prob.copy()
-    prob[rest] = choices[np.lexsort((np.arange(len(choices)), documents, words))[0]]
+    prob[rest] = choices[np.argmin(words + documents * (0.03 * size[rest].mean() if len(rest) else 0))]
     return prob
 
 
