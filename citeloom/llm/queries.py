@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import documents
 from citeloom.llm.mixing import mixed
+from citeloom.llm.packing import packed, pieces
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
 
@@ -24,9 +26,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return packed(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
+    "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
