@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import documents
 from citeloom.llm.mixing import mixed
+from citeloom.llm.ngram_join import jaccard_components
 from citeloom.llm.packing import packed, pieces
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
@@ -31,10 +32,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
+    "op5_ngram_join": op5_ngram_join,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
