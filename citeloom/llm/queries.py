@@ -12,6 +12,7 @@ from citeloom.llm.ngram_join import jaccard_components
 from citeloom.llm.packing import packed, pieces
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
+from citeloom.llm.token_files import read_token_files, write_token_files
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(files, docs.schema["doc_id"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
+    "op8_token_files": op8_token_files,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
