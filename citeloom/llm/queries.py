@@ -10,6 +10,8 @@ from citeloom.llm.common import documents
 from citeloom.llm.mixing import mixed
 from citeloom.llm.ngram_join import jaccard_components
 from citeloom.llm.packing import packed, pieces
+from citeloom.llm.quality_model import quality_scores
+from citeloom.llm.quality_rules import quality_rules
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
 from citeloom.llm.token_files import read_token_files, write_token_files
@@ -37,6 +39,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -48,7 +58,9 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_quality_rules": op6_quality_rules,
     "op8_token_files": op8_token_files,
+    "op9_quality_model": op9_quality_model,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
