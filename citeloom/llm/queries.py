@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import documents
+from citeloom.llm.licenses import scan_licenses
 from citeloom.llm.mixing import mixed
 from citeloom.llm.ngram_join import jaccard_components
 from citeloom.llm.packing import packed, pieces
@@ -15,6 +16,7 @@ from citeloom.llm.quality_rules import quality_rules
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
 from citeloom.llm.token_files import read_token_files, write_token_files
+from citeloom.llm.topk import top_k
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,15 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir)).drop("matches")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -58,7 +69,9 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
+    "op3_exact_top_k": op3_exact_top_k,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_token_files": op8_token_files,
     "op9_quality_model": op9_quality_model,
     "op10_packing": op10_packing,

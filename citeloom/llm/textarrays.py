@@ -83,7 +83,8 @@ class Words:
 
     __slots__ = ("data", "text_at", "start", "end", "hash", "at")
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False, hashes: bool = True):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False, hashes: bool = True, between: np.ndarray = SPACE):
+        """between: the bytes that separate words; white space is always among them."""
         data, at = buffers(texts)
         self.data, self.text_at = (LOWER[data] if lower else data), at
         starts, ends, hashed = [], [], []
@@ -91,7 +92,7 @@ class Words:
         for lo, hi in zip(pieces[:-1], pieces[1:], strict=True):
             part = self.data[lo:hi]
             here = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
-            space = SPACE[part]
+            space = between[part]
             before = np.empty(hi - lo, bool)
             before[0], before[1:] = True, space[:-1]
             before[here] = True
