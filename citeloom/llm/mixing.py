@@ -157,3 +157,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text:
         open_blocks, level = -(-open_blocks // fan_in), level + 1
     copies = (F.col("base") + F.col("prob").cast("long")).alias("copies")
     return out.select(id_col, source, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, each as often as mixed() takes it; rows with the same id (or a null one) go by the largest number among them."""
+    copies = mixed(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
+    taken = docs.join(copies.filter("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

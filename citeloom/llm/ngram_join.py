@@ -220,3 +220,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     alone = rows.filter("class is null").select(id_col, "n_shingles", "class", F.col(id_col).alias("component_id"))
     linked = shared.select(id_col, "n_shingles", "class").join(ids, "class").select(id_col, "n_shingles", "class", "component_id")
     return alone.unionByName(linked)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component of jaccard_components(), the one whose id is least, with all its columns.
+
+    Rows that no other links with stay. Rows with a null id cannot be named and stay; of rows equal in id and
+    text one stays.
+    """
+    found = stored(jaccard_components(docs, id_col, text, **options).select(id_col, "component_id"), "ngram-found")
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    again = found.groupBy(id_col).count().filter("count > 1").select(id_col)
+    kept = docs.join(gone, id_col, "left_anti")
+    once = kept.join(again, id_col, "left_anti")
+    return once.unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text]))

@@ -112,18 +112,29 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, id_col: str
     return {c: got[c].to_numpy() for c in got.columns}
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 12_000, precision: float = 0.9) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 12_000, precision: float = 0.9, row: str | None = None) -> DataFrame:
+    """text_stats() with base_failed and rule (0: none holds; -1: the base rule)."""
+    base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    stats = stored(text_stats(docs, id_col, text, row).withColumn("base_failed", base), "rule-stats")
+    plain = stats.drop(row) if row else stats
+    data = labelled_sample(plain.filter(~F.col("base_failed")), labels, label, id_col, sample_rows)
+    bad = np.asarray(data[label] == 0, bool)
+    rules = learn_rules(data, bad, precision=precision) if bad.any() and not bad.all() else []
+    return stats.withColumn("rule", F.when(F.col("base_failed"), -1).otherwise(verdict(rules)))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Per row: the id, COUNTS, base_failed, kept and rule (0: none; -1: the base rule).
 
     base_failed: fewer than 10 words, or more than 20 % of them in repeated 5-word windows. Rules are learned
     from at most sample_rows rows whose label is given (label 0: bad) and that pass the base rule; without
     labels only the base rule rejects. Null, empty and blank texts have no words and fail. Repeated rows
-    get equal verdicts; an empty table gives an empty table.
+    get equal verdicts; an empty table gives an empty table. options: those of judged().
     """
-    base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    stats = stored(text_stats(docs, id_col, text).withColumn("base_failed", base), "rule-stats")
-    data = labelled_sample(stats.filter(~F.col("base_failed")), labels, label, id_col, sample_rows)
-    bad = np.asarray(data[label] == 0, bool)
-    rules = learn_rules(data, bad, precision=precision) if bad.any() and not bad.all() else []
-    rule = F.when(F.col("base_failed"), -1).otherwise(verdict(rules))
-    return stats.withColumn("rule", rule).select(id_col, *COUNTS, "base_failed", (F.col("rule") == 0).alias("kept"), "rule")
+    id_col = options.get("id_col", "doc_id")
+    return judged(docs, labels, **options).select(id_col, *COUNTS, "base_failed", (F.col("rule") == 0).alias("kept"), "rule")
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows that quality_rules() keeps, with all their columns; no join, so ids may be null or repeat."""
+    return judged(docs, labels, row="__row", **options).filter("rule = 0").select("__row.*")

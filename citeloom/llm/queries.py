@@ -10,6 +10,7 @@ from citeloom.llm.common import documents
 from citeloom.llm.licenses import scan_licenses
 from citeloom.llm.mixing import mixed
 from citeloom.llm.ngram_join import jaccard_components
+from citeloom.llm.oracle import ORACLE  # noqa: F401
 from citeloom.llm.packing import packed, pieces
 from citeloom.llm.quality_model import quality_scores
 from citeloom.llm.quality_rules import quality_rules
@@ -76,4 +77,4 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.textarrays import SPACE, Words, inside, windows
@@ -89,14 +90,15 @@ def batch_stats(texts: pa.Array, k: int = 5) -> tuple[dict[str, np.ndarray], dic
     return exact, dict(zip(RATIOS, (np.asarray(v, float) for v in values), strict=True))
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, COUNTS and RATIOS of the whole text."""
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS)])
+def text_stats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """Per row: the id, COUNTS and RATIOS of the whole text; and the whole input row as a struct, if a name is given for it."""
+    whole = [T.StructField(row, docs.schema)] if row else []
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS), *whole])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 exact, ratios = batch_stats(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(exact[c].astype(np.int64)) for c in COUNTS), *(pa.array(ratios[c]) for c in RATIOS)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(exact[c].astype(np.int64)) for c in COUNTS), *(pa.array(ratios[c]) for c in RATIOS), *part.columns[2:]], names=schema.names)
 
-    return docs.select(id_col, text).mapInArrow(measure, schema)
+    return docs.select(id_col, text, *([F.struct(*docs.columns).alias(row)] if row else [])).mapInArrow(measure, schema)

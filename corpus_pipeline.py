@@ -1,16 +1,60 @@
-"""A corpus pipeline of operator stages over documents."""
+"""A corpus pipeline over documents: reject, deduplicate, strip repeats, mix, pack.
+
+Every stage takes the rows that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citeloom.llm.common import stored
+from citeloom.llm.mixing import mixed_rows
+from citeloom.llm.ngram_join import without_copies
+from citeloom.llm.packing import packed, pieces
+from citeloom.llm.quality_rules import kept_rows
+from citeloom.llm.substring_dedup import remove_repeats
+
+
+def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return without_copies(docs)
+
+
+def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated passages; texts that lose nothing stay as they are, a text that loses all is empty."""
+    found = remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and place."""
+    return packed(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
 
-STAGES: list = []
-#: Later stages are not SQL-expressible; tests hold run() against a brute-force version.
+STAGES = [("quality rules", reject), ("n-gram Jaccard join", deduplicate), ("substring dedup", strip_repeats), ("mixing", mix), ("packing", pack)]
+#: SQL cannot say the learned rules, the sampling and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each reads what the one before has written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{i}")
     return docs
