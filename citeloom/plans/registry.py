@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from citeloom.plans import association
+
+FAMILIES = (association,)
+QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
+ORACLE = {k: v for f in FAMILIES for k, v in f.ORACLE.items()}
