@@ -5,9 +5,10 @@ chunk exchange; every set is ordered by (frequency, n-gram), and two sets that m
 an n-gram within their prefixes. An n-gram that no other document has joins nothing, so only documents
 whose prefix has a shared n-gram go on: equal sets as one class, with postings of their prefix.
 
-Links are found in rounds that never list all pairs of a group: first each posting list is compared
-with one pivot, and components are formed; only members of different components that still share a
-prefix n-gram are then paired, in blocks, under the length, positional and suffix filters (the suffix
+Links are found in rounds that never list all pairs of a group: first each class is compared with one
+pivot, that of most of its posting lists, and components are formed; the next rounds compare it with the
+nearest class (by the suffix filter's bound) of another component that shares a prefix n-gram. Members of
+components that still differ are then paired, in blocks, under the length, positional and suffix filters (the suffix
 filter bounds the symmetric difference by a small count sketch of the whole set). A pair is verified
 once, on the whole sets. Nothing is capped: a long list is only cut into blocks.
 """
@@ -29,7 +30,7 @@ from citeloom.llm.components import components
 from citeloom.llm.textarrays import Words, inside, mix, windows
 
 U = np.uint64
-SKETCH = 64
+SKETCH = 256
 
 
 def ngram_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def set_rows(rows: pa.Table, text: str, kept: list[str], k: int, percent: int, c
         out["set"][i] = mine.tobytes()
         out["prefix"][i] = (order[places] & U((1 << 48) - 1)).astype(np.int64)
         out["places"][i] = places.astype(np.int32)
-        out["sketch"][i] = np.minimum(np.bincount((mine >> U(58)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+        out["sketch"][i] = np.minimum(np.bincount((mine >> U(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
     kinds = {"class": pa.binary(), "set": pa.binary(), "prefix": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "sketch": pa.binary()}
     columns = [rows[c].combine_chunks() for c in kept] + [pa.array(np.diff(at))] + [pa.array(out[c], kinds[c]) for c in kinds]
     return pa.Table.from_arrays(columns, names=[*kept, "n_shingles", *kinds])
@@ -94,8 +95,11 @@ def _close(n: Column, m: Column, place: Column, other: Column, percent: int) ->
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= overlap)
 
 
-def _block_pairs(percent: int):
-    """Pairs of a bucket's posting blocks (token, i, j) whose components differ and that pass all filters."""
+def _block_pairs(percent: int, nearest: bool):
+    """Pairs of a bucket's posting blocks (token, i, j) whose components differ and that pass all filters.
+
+    nearest: only each class's pair with the least bound on the symmetric difference for its size.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("class", "ascending")])
@@ -106,7 +110,7 @@ def _block_pairs(percent: int):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         at = np.append(np.flatnonzero(new), len(token))
-        left, right = [], []
+        left, right, far = [], [], []
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
             ok = comp[x] != comp[y]
@@ -121,6 +125,7 @@ def _block_pairs(percent: int):
                 fine = apart <= n[a] + n[b] - 2 * overlap[lo : lo + (1 << 16)]
                 left.append(a[fine])
                 right.append(b[fine])
+                far.append(apart[fine] / (n[a] + n[b])[fine])
 
         size = np.diff(at)
         small = size <= 48
@@ -140,9 +145,18 @@ def _block_pairs(percent: int):
                 keep(np.full(len(y), r), y)
         x = np.concatenate(left) if left else np.zeros(0, np.int64)
         y = np.concatenate(right) if right else np.zeros(0, np.int64)
-        a, b = names[x], names[y]
-        seen = {(p.tobytes(), q.tobytes()) if p.tobytes() < q.tobytes() else (q.tobytes(), p.tobytes()) for p, q in zip(a, b, strict=True)}
-        return pa.table({"u": pa.array([p for p, _ in seen], pa.binary()), "v": pa.array([q for _, q in seen], pa.binary())})
+        apart = np.concatenate(far) if far else np.zeros(0)
+        who = np.unique(names, return_inverse=True)
+        a, b = who[1][x], who[1][y]
+        if nearest:
+            a, b, apart = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
+            order = np.lexsort((b, apart, a))
+            order = order[np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))] if len(order) else order
+        else:
+            order = np.unique(np.minimum(a, b) * len(who[0]) + np.maximum(a, b), return_index=True)[1]
+        named = [v.tobytes() for v in who[0]]
+        pick = lambda v: pa.array([named[k] for k in v[order].tolist()], pa.binary())
+        return pa.table({"u": pick(a), "v": pick(b), "apart": pa.array(apart[order], pa.float64())})
 
     return run
 
@@ -166,7 +180,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 1024, star_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 1024, near_rounds: int = 2) -> DataFrame:
     """Per row: the id, n_shingles, class (rows with equal sets share it; null if no other row can link) and component_id.
 
     Words are lower-cased (A-Z) runs outside ASCII white space. Rows link when 100 * intersection >=
@@ -192,24 +206,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         shared.groupBy("class").agg(F.min(id_col).alias("least_id"), *(F.first(c).alias(c) for c in ("n_shingles", "set", "prefix", "places", "sketch"))),
         "ngram-classes",
     )
-    postings = classes.select("class", F.col("n_shingles").alias("n"), "sketch", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
-    postings = stored(postings.select(F.col("p.prefix").alias("token"), F.col("p.places").alias("place"), "class", "n", "sketch"), "ngram-postings")
+    postings = classes.select("class", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("prefix", "places")).alias("p"))
+    postings = stored(postings.select(F.col("p.prefix").alias("token"), F.col("p.places").alias("place"), "class", "n"), "ngram-postings")
+    n_buckets = max(16, math.ceil(postings.count() / 50_000))
     found, state = None, postings.withColumn("component", F.col("class"))
-    for turn in range(star_rounds + 1):
-        lists = state.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), "class", "n", "place")).alias("pivot"))
-        lists = lists.filter("c1 != c2")
-        open_ = state.join(lists.select("token", "length", "pivot"), "token")
-        if turn < star_rounds:
-            star = open_.filter(F.col("class") != F.col("pivot.class")).filter(_close(F.col("n"), F.col("pivot.n"), F.col("place"), F.col("pivot.place"), percent))
-            pairs = star.select(F.least("class", "pivot.class").alias("u"), F.greatest("class", "pivot.class").alias("v")).distinct()
+    for turn in range(1 + near_rounds + 1):
+        lists = state.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct(F.xxhash64("class").alias("h"), "class", "n", "place", "component")).alias("pivot"))
+        open_ = state.join(lists.filter("c1 != c2").select("token", "length", "pivot"), "token")
+        if turn == 0:
+            star = open_.filter(F.col("component") != F.col("pivot.component")).filter(_close(F.col("n"), F.col("pivot.n"), F.col("place"), F.col("pivot.place"), percent))
+            shared_lists = star.groupBy("class", F.col("pivot.class").alias("to")).agg(F.count(F.lit(1)).alias("lists"))
+            best = shared_lists.groupBy("class").agg(F.max(F.struct("lists", "to")).alias("best"))
+            pairs = best.select(F.least("class", "best.to").alias("u"), F.greatest("class", "best.to").alias("v")).distinct()
         else:
+            nearest = turn <= near_rounds
             parts = F.greatest(F.lit(1), F.ceil(F.col("length") / block)).cast("int")
-            dealt = open_.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+            dealt = open_.drop("pivot").join(classes.select("class", "sketch"), "class").withColumn("parts", parts)
+            dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-            n_buckets = max(16, math.ceil((postings.count() or 1) / 50_000))
             dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(n_buckets)))
-            pairs = dealt.select("bucket", "token", "i", "j", "own", "class", "component", "n", "place", "sketch").groupBy("bucket").applyInArrow(_block_pairs(percent), "u binary, v binary").distinct()
+            dealt = dealt.select("bucket", "token", "i", "j", "own", "class", "component", "n", "place", "sketch")
+            pairs = dealt.groupBy("bucket").applyInArrow(_block_pairs(percent, nearest), "u binary, v binary, apart double")
+            if nearest:
+                pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = stored(_verified(pairs, classes, percent), f"ngram-links{turn}")
         found = links if found is None else found.unionByName(links)
         member = stored(components(found), "ngram-components")
