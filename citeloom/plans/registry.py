@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from citeloom.plans import association, curation, evaluation, retrieval
+from citeloom.plans import association, curation, evaluation, pages, retrieval
 
-FAMILIES = (association, curation, retrieval, evaluation)
+FAMILIES = (association, pages, curation, retrieval, evaluation)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE = {k: v for f in FAMILIES for k, v in f.ORACLE.items()}
