@@ -21,11 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables that stored() has written and released() has not removed.
+SCRATCH: list[str] = []
+
+
+def released(docs: DataFrame) -> None:
+    """Remove earlier scratch tables, but none that docs still reads.
+
+    For the start of a pipeline's stage, whose input the stage before has written out.
+    """
+    spark, read = docs.sparkSession, docs.inputFiles()
+    for path in [p for p in SCRATCH if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        SCRATCH.remove(path)
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df once to the shared folder and read it back: later steps neither recompute it nor need its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
