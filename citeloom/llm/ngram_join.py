@@ -250,8 +250,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     text one stays.
     """
     found = stored(jaccard_components(docs, id_col, text, **options).select(id_col, "component_id"), "ngram-found")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    again = found.groupBy(id_col).count().filter("count > 1").select(id_col)
+    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "ngram-gone")
     kept = docs.join(gone, id_col, "left_anti")
+    again = stored(found.groupBy(id_col).count().filter("count > 1").select(id_col), "ngram-again")
+    if again.isEmpty():
+        return kept
     once = kept.join(again, id_col, "left_anti")
     return once.unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text]))
