@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import stored
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 CHUNK = "chunk_id long, n_rows long, n_bytes long, blob binary"
 SENT = "bucket long, chunk_id long, stage int, n long, first long, wide int, keys binary, second binary, flags binary"
 ANSWER = "chunk_id long, stage int, bucket long, n long, counts binary"
@@ -73,7 +73,7 @@ def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
     return stored(df.mapInArrow(pack, CHUNK), "chunks", "uncompressed")
 
 
-def bucket_count(chunks: DataFrame, bytes_each: int = 16 << 20) -> int:
+def bucket_count(chunks: DataFrame, bytes_each: int = 12 << 20) -> int:
     """So many buckets that each gets the keys of about bytes_each of text."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     return max(16, math.ceil(total / bytes_each))
@@ -174,6 +174,7 @@ def each_chunk(chunks: DataFrame, run: Callable[[int, pa.Table], Iterator[pa.Rec
         for batch in batches:
             for row in batch.select(["chunk_id", "blob"]).to_pylist():
                 yield from run(row["chunk_id"], from_blob(row["blob"]))
+                pa.default_memory_pool().release_unused()
 
     return chunks.mapInArrow(over, schema)
 
