@@ -20,7 +20,10 @@ def read_records(spark: SparkSession, path: str, schema: str = RULING, key: str
     rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
     rows = rows.withColumn("path", F.input_file_name())
     bad = rows.filter(F.col("_corrupt").isNotNull() | F.col(key).isNull()).select("path", F.when(F.col("_corrupt").isNotNull(), "corrupt").otherwise("no key").alias("reason"))
-    empty = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length = 0").select("path", F.lit("empty").alias("reason"))
+    # scans skip empty files, so these are the listed files that gave no row; the listing is the driver's anyway
+    listed = spark.createDataFrame([(f,) for f in rows.inputFiles()], "path string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    empty = listed.select(plain(F.col("path")).alias("path")).join(rows.select(plain(F.col("path")).alias("path")).distinct(), "path", "left_anti").withColumn("reason", F.lit("empty"))
     good = rows.filter(F.col("_corrupt").isNull() & F.col(key).isNotNull()).drop("_corrupt", "path")
     return good, bad.unionByName(empty)
 
