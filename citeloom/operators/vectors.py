@@ -59,56 +59,62 @@ def attached(nodes: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFr
     return nodes.join(vocabulary.select(*keys, "embedding"), keys, "left")
 
 
-QUERY_BLOCK = "block long, n long, dim int, ids binary, vectors binary"
+def _blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """df in blocks of about `rows` rows, each an Arrow stream in one value, and the number of blocks."""
+    n = max(1, -(-df.count() // rows))
 
+    def pack(group: tuple, table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table.combine_chunks())
+        return pa.table({name: [group[0].as_py()], f"{name}_rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, by: list[str] = (), digits: int = 9, block_rows: int = 1024, scaled: bool = False) -> DataFrame:
-    """query_id, *by, id, score, rank: each query's k nearest corpus rows by cosine, in each group of `by`.
+    dealt = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n)))
+    return dealt.groupBy("__block").applyInArrow(pack, f"{name} long, {name}_rows binary"), n
 
-    corpus: id, embedding, *by; queries: query_id, embedding. A zero vector scores 0. Equal scores (to `digits`)
-    go by id. scaled: (1 + cosine) / 2. Queries travel in blocks of block_rows; every Arrow batch keeps its
-    own k best of a query, so what is shuffled grows with queries * k * batches.
+
+def _unit(table: pa.Table) -> np.ndarray:
+    m = np.array(table["embedding"].to_pylist(), float).reshape(table.num_rows, -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, by: list[str] = (), digits: int = 9, query_rows: int = 1024, corpus_rows: int = 8192, scaled: bool = False) -> DataFrame:
+    """query_id, id, *by, score, rank: each query's k nearest corpus rows by cosine, in each group of `by`.
+
+    corpus: id, embedding, *by; queries: query_id (long), embedding. A zero vector scores 0. Equal scores (to `digits`)
+    go by id. scaled: (1 + cosine) / 2. Blocks of queries meet blocks of the corpus by number; each pair of blocks
+    keeps a query's own k best of a group, so what is shuffled on grows with queries * k * blocks.
     """
     by = list(by)
-    names = corpus.select("id", *by).schema
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names)
-
-    def pack(table: pa.Table) -> pa.Table:
-        m = np.array(table["embedding"].to_pylist(), float).reshape(table.num_rows, -1)
-        ids = table["query_id"].to_pylist()
-        return pa.table({"block": table["block"].slice(0, 1), "n": [len(ids)], "dim": pa.array([m.shape[1]], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "vectors": pa.array([m.tobytes()], pa.binary())})
-
-    count = queries.count()
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // block_rows)))).alias("block"), F.col("query_id").cast("long"), "embedding").groupBy("block").applyInArrow(pack, QUERY_BLOCK)
-    out = None
-    for row in blocks.collect():  # the caller's queries; one block at a time goes to the workers
-        q = np.frombuffer(row["vectors"], float).reshape(row["n"], row["dim"])
-        ids = np.frombuffer(row["ids"], np.int64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-
-        def score(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                c = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-                norm = np.linalg.norm(c, axis=1, keepdims=True)
-                s = q @ np.divide(c, norm, out=np.zeros_like(c), where=norm > 0).T
+    fields = corpus.select("id", *by).schema
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    c_blocks, n = _blocks(corpus.filter("embedding is not null").select("id", "embedding", *by), "id", corpus_rows, "c")
+    q_blocks, _ = _blocks(queries.filter("embedding is not null").select(F.col("query_id").cast("long"), "embedding"), "query_id", query_rows, "q")
+    met = q_blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(c_blocks, "c").select("q_rows", "c_rows")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_rows, c_rows in zip(batch.column(0), batch.column(1), strict=True):
+                q, c = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (q_rows, c_rows))
+                s = _unit(q) @ _unit(c).T
                 s = (1 + s) / 2 if scaled else s
-                groups = np.zeros(b.num_rows, int) if not by else np.unique(np.array([str(x) for x in zip(*(b.column(2 + i).to_pylist() for i in range(len(by))), strict=True)]), return_inverse=True)[1]
-                key = b.column(0).to_numpy(zero_copy_only=False)
+                groups = np.unique(np.array([str(x) for x in zip(*(c[g].to_pylist() for g in by), strict=True)]), return_inverse=True)[1] if by else np.zeros(c.num_rows, int)
+                asked, key, near = q["query_id"].to_numpy(), c["id"].to_numpy(), np.round(s, digits)
+                rows, picked = [], []
                 for g in np.unique(groups):
                     at = np.flatnonzero(groups == g)
-                    for i in range(len(ids)):
-                        top = at[np.lexsort((key[at], -np.round(s[i, at], digits)))[:k]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[i])), *(b.column(j).take(pa.array(top)) for j in (0, *range(2, 2 + len(by)))), pa.array(s[i, top])], names=["query_id", "id", *by, "score"])
-
-        part = corpus.filter("embedding is not null").select("id", "embedding", *by).mapInArrow(score, f"query_id long, {kinds}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], f"query_id long, {kinds}, score double, rank int")
+                    for i in range(len(asked)):
+                        top = at[np.lexsort((key[at], -near[i, at]))[:k]]
+                        picked.append(top)
+                        rows.append(np.full(len(top), i))
+                row, top = np.concatenate(rows), np.concatenate(picked)
+                found = c.take(pa.array(top)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), *(found[f].chunk(0) if found.num_rows else pa.array([], found.schema.field(f).type) for f in ("id", *by)), pa.array(s[row, top])], names=["query_id", "id", *by, "score"])
+
+    found = met.mapInArrow(score, f"query_id long, {kinds}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc(F.round("score", digits)), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def relevant_vocabulary(sections: DataFrame, vocabulary: DataFrame, per_section: int = 15, per_case: int = 50) -> DataFrame:
