@@ -26,7 +26,7 @@ from citeloom.llm.textarrays import Words
 
 NEAR = 1e-9
 #: Documents of a source that the landing decides together, by trying all 2**LANDING choices.
-LANDING = 11
+LANDING = 13
 
 
 def word_counts(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -114,8 +114,8 @@ def _flier(id_col: str, seed: int, level: int, last: bool):
         ids = table[id_col].cast(pa.string()).fill_null("").to_numpy().astype(str)
         order = np.lexsort((ids, -table["size"].to_numpy()))
         rest = min(LANDING - 2, table.num_rows // 2)
-        if rest:  # of the smaller half, evenly by rank
-            late = np.linspace(table.num_rows // 2, table.num_rows - 1, rest).astype(int)
+        if rest:  # evenly by rank, but for the largest
+            late = np.linspace(table.num_rows // 6, table.num_rows - 1, rest).astype(int)
             order = np.concatenate((np.delete(order, late), order[late]))
         size, prob = table["size"].to_numpy()[order].astype(float), table["prob"].to_numpy()[order]
         name = repr((seed, level, *(k.as_py() for k in key)))
