@@ -232,6 +232,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
                 pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
             pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = stored(_verified(pairs, classes, percent), f"ngram-links{turn}")
+        if found is not None and links.isEmpty():
+            continue
         found = links if found is None else found.unionByName(links)
         member = stored(components(found), "ngram-components")
         state = postings.join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
