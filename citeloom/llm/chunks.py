@@ -25,7 +25,8 @@ CHUNK_BYTES = 3 << 20
 CHUNK = "chunk_id long, n_rows long, n_bytes long, blob binary"
 SENT = "bucket long, chunk_id long, stage int, n long, first long, wide int, keys binary, second binary, flags binary"
 ANSWER = "chunk_id long, stage int, bucket long, n long, counts binary"
-KEY_BITS = 48
+#: Bits of a key: so many that keys of a chunk rarely meet by chance, so few that sorted neighbours of a chunk are less than 2**32 apart.
+KEY_BITS = 44
 #: Codec of the answers, most of which are runs of one value.
 CODEC = "zstd"
 
@@ -95,6 +96,11 @@ def distinct(keys: np.ndarray, flags: np.ndarray | None = None, second: np.ndarr
     return k[at], count, (None if second is None else s[at]), order
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Keys: the highest KEY_BITS bits of 64-bit hashes."""
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
 def _width(buckets: int, wide: bool) -> int:
     return -(-(1 << (64 if wide else KEY_BITS)) // buckets)
 

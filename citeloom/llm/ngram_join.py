@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send
+from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send, short
 from citeloom.llm.common import stored
 from citeloom.llm.components import components
 from citeloom.llm.textarrays import Words, inside, mix, windows
@@ -62,7 +62,7 @@ def set_rows(rows: pa.Table, text: str, kept: list[str], k: int, percent: int, c
     """A chunk's documents with n_shingles, and for those with a shared n-gram in the prefix: class, set, prefix, places, sketch."""
     words = Words(rows[text], lower=True)
     sets, at = ngram_sets(words, k)
-    keys = sets >> U(16)
+    keys = short(sets)
     known, _, _, _ = distinct(keys)
     often = counts[np.searchsorted(known, keys)] & 127 if len(keys) else np.zeros(0, np.uint8)
     n_docs = len(at) - 1
@@ -194,7 +194,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     def count(chunk_id, rows):
         sets, _ = ngram_sets(Words(rows[text], lower=True), k)
-        known, counts, _, _ = distinct(sets >> U(16))
+        known, counts, _, _ = distinct(short(sets))
         yield send(chunk_id, 1, known, counts, buckets)
 
     answers = exchanged(each_chunk(chunks, count, SENT))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send
+from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send, short
 from citeloom.llm.textarrays import Words, inside, joined, windows
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -28,7 +28,7 @@ OUT = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.String
 def _probes(words: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and keys of all rolling windows, and which of them are index blocks."""
     at = inside(words.at, block)
-    keys = (windows(words.hash, block) >> np.uint64(16))[at]
+    keys = short(windows(words.hash, block)[at])
     first = words.at[:-1][words.text_of()[at]] if len(at) else at
     return at, keys, (at - first) % block == 0
 
