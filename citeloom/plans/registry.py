@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from citeloom.plans import association, channels, curation, evaluation, pages, retrieval
+from citeloom.plans import association, channels, curation, evaluation, more, pages, retrieval
 
-FAMILIES = (association, pages, curation, retrieval, channels, evaluation)
+FAMILIES = (association, pages, curation, retrieval, channels, evaluation, more)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE = {k: v for f in FAMILIES for k, v in f.ORACLE.items()}
