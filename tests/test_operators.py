@@ -220,3 +220,35 @@ def test_sources(spark, tmp_path):
     (tmp_path / "r.csv").write_text("term\nx\n")
     with pytest.raises(ValueError, match="decision"):
         S.read_reviewed(spark, str(tmp_path / "r.csv"))
+
+
+def test_assembled_rulings(spark):
+    from citeloom.operators.rulings import LABELS, assembled
+
+    text = "شماره دادنامه: ۱۲\nتاریخ دادنامه : 1393/08/25\nگروه رأی: حقوقی\nمستندات: ماده ۳ قانون مدنی-"
+    page = spark.createDataFrame([(1, text), (2, "")], "page_id long, t string").select("page_id", F.lit("title").alias("title"), PG.labelled_box(F.col("t"), LABELS).alias("b")).select("page_id", "title", "b.*")
+    sections = spark.createDataFrame([(1, 2, "b", "ماده 5 قانون تجارت"), (1, 1, "a", "متن")], "page_id long, section_no int, court_level string, text string")
+    related = spark.createDataFrame([(1, "9", 2), (1, "7", 1)], "page_id long, id string, position int")
+    r = {x.ruling_id: x for x in assembled(page, sections, related).collect()}
+    assert (r["1"].verdict_number, r["1"].verdict_date, r["1"].case_type) == ("12", "1393/08/25", "حقوقی")
+    assert [s.court_level for s in r["1"].sections] == ["a", "b"] and r["1"].related_ruling_ids == ["7", "9"]
+    assert [c.article_number for c in r["1"].cited_articles] == [3] and [(c.article_number, c.law_name) for c in r["1"].text_cited_articles] == [(5, "قانون تجارت")]
+    assert r["2"].sections == [] and r["2"].text_cited_articles == [] and r["2"].cited_articles == [] and r["2"].verdict_number is None
+
+
+def test_page_of_vocabulary_rules(spark):
+    v = spark.createDataFrame([("a", "x", "x", True, 1), ("a", "x", "x1", False, 2), ("b", "x", "x", True, 3), ("a", "y", "y", True, 4), ("a", "z", "z", True, 5)], "category string, canonical string, raw string, is_canonical boolean, ord int")
+    rules = spark.createDataFrame([("a", "remove_if_elsewhere", "x", None), ("a", "merge", "y", "z"), ("b", "remove_if_elsewhere", "q", None)], "category string, action string, term string, keep string")
+    got = sorted((r.category, r.canonical, r.raw, r.is_canonical) for r in VO.corrected(v, rules).collect())
+    assert got == [("a", "z", "y", False), ("a", "z", "z", True), ("b", "x", "x", True)]
+
+
+def test_fallback_and_leak(spark):
+    item = "array<struct<condition:string,necessary:boolean,satisfied:boolean>>"
+    rows = [(1, "a", True, True, 1.0), (1, "b", False, True, 0.4), (1, "c", False, True, 0.5), (1, "d", False, False, 0.9)]
+    df = spark.createDataFrame([(*r, []) for r in rows], f"query_id int, article_ref string, is_applicable boolean, topically_relevant boolean, confidence double, checklist {item}")
+    assert sorted(r.article_ref for r in A.with_fallback(df).filter("added").collect()) == ["b", "c"]
+    samples = spark.createDataFrame([("r", ["a", "a"], ["b"], {"a": [("c", True, True)]})], f"ruling_id string, gold_articles array<string>, excluded_articles array<string>, gold_checklist map<string,{item}>")
+    assert sorted((r.article_ref, r.is_applicable, len(r.checklist)) for r in A.audit_from_gold(samples).collect()) == [("a", True, 1), ("b", False, 0)]
+    assert [(r.ref, r.gold_applicable) for r in A.gold_pairs(samples).collect()] == [("a", True)]
+    assert sorted(r.ref for r in A.checklist_refs(samples.withColumn("ord", F.lit(1)), spark.createDataFrame([("b",)], "ref string")).collect()) == ["a"]
