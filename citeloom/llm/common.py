@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -21,28 +22,42 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Tables that stored() has written and released() has not removed.
-SCRATCH: list[str] = []
+#: Tables that the stages of a pipeline have written and that no later stage has removed yet.
+OWNED: list[str] = []
+_in_stage: list[bool] = []
 
 
 def released(docs: DataFrame) -> None:
-    """Remove earlier scratch tables, but none that docs still reads.
-
-    For the start of a pipeline's stage, whose input the stage before has written out.
-    """
+    """Remove the tables of earlier stages, but none that docs still reads. Tables of other queries stay."""
     spark, read = docs.sparkSession, docs.inputFiles()
-    for path in [p for p in SCRATCH if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
+    for path in [p for p in OWNED if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        SCRATCH.remove(path)
+        OWNED.remove(path)
+
+
+def stage(function):
+    """A pipeline's stage (spark, docs, sf_dir): its input is written out, so what earlier stages needed goes first."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(docs)
+        _in_stage.append(True)
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            _in_stage.pop()
+
+    return run
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd", owned: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps neither recompute it nor need its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    SCRATCH.append(path)
+    if owned or _in_stage:
+        OWNED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

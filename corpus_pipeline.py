@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import released, stored
+from citeloom.llm.common import stage, stored
 from citeloom.llm.mixing import mixed_rows
 from citeloom.llm.ngram_join import without_copies
 from citeloom.llm.packing import packed, pieces
@@ -17,36 +17,36 @@ from citeloom.llm.quality_rules import kept_rows
 from citeloom.llm.substring_dedup import remove_repeats
 
 
+@stage
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    released(docs)
     return kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    released(docs)
     return without_copies(docs)
 
 
+@stage
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated passages; texts that lose nothing stay as they are, a text that loses all is empty."""
-    released(docs)
     found = remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    released(docs)
     return mixed_rows(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place."""
-    released(docs)
     return packed(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each reads what the one before has written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{i}")
+            docs = stored(docs, f"pipeline-{i}", owned=True)
     return docs
