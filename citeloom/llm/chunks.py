@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import stored
+from citeloom.llm.tokens import forget
 
 CHUNK_BYTES = 3 << 20
 CHUNK = "chunk_id long, n_rows long, n_bytes long, blob binary"
@@ -177,6 +178,7 @@ def answered(table: pa.Table, stage: int) -> np.ndarray:
 
 def each_chunk(chunks: DataFrame, run: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for row in batch.select(["chunk_id", "blob"]).to_pylist():
                 yield from run(row["chunk_id"], from_blob(row["blob"]))
@@ -189,6 +191,7 @@ def each_answered(chunks: DataFrame, answers: DataFrame, run: Callable[[int, pa.
     """run(chunk_id, rows, answers) for each chunk; the chunk crosses the network compressed."""
 
     def over(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget()
         row = left.select(["chunk_id", "blob"]).to_pylist()[0]
         return run(row["chunk_id"], from_blob(row["blob"]), right)
 

@@ -51,10 +51,19 @@ def stage(function):
     return run
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts may be long, so no Arrow batch of this session gets more than `rows` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd", owned: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps neither recompute it nor need its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
     df.write.option("compression", compression).parquet(path)
     if owned or _in_stage:
         OWNED.append(path)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Words of these characters only are cut here; an apostrophe may start one of the tokenizer's contractions.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[str, "Encoder"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -102,6 +102,12 @@ def encoder(path: str) -> Encoder:
     return ENCODERS[path]
 
 
+def forget() -> None:
+    """Free what a worker remembers of tokenizers; for steps of a pipeline that need the memory."""
+    if ENCODERS:
+        ENCODERS.clear()
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20):
     """Row ranges of a batch with about `most` bytes of text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
