@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import audit as A
@@ -16,9 +16,9 @@ from citeloom.operators import retrieval as R
 from citeloom.operators import vectors as V
 from citeloom.operators import vocabulary as VO
 from citeloom.plans.curation import VOCAB, _vocab
-from citeloom.plans.evaluation import NORM, POOL, gold, pool, r6
+from citeloom.plans.evaluation import POOL, gold, pool, r6
 from citeloom.plans.retrieval import AUDIT, CASES, _audited, _cases
-from citeloom.plans.tables import articles, cites, table
+from citeloom.plans.tables import cites, table
 
 
 def _matches(s: SparkSession, d: str) -> DataFrame:

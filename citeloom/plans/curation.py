@@ -79,7 +79,6 @@ def _mean_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _extract(s: SparkSession, d: str) -> DataFrame:
     """The first benchmark words that a document repeats, as extracted values."""
-    w = F.explode(F.split(F.lower("text"), " "))
     return table(s, d, "documents").filter("doc_id < 300").select(F.col("doc_id").alias("ruling_id"), F.posexplode(F.slice(X.tokens(F.lower("text"), "[a-z]+"), 1, 12)).alias("pos", "value")).withColumns({"category": F.when(F.length("value") > 3, "role").otherwise("fact"), "quote": F.when(F.col("pos") % 4 != 0, F.col("value"))})
 
 

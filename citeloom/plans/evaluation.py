@@ -81,7 +81,6 @@ user_id / 150.0::double as precision, (event_id % 10) / 10.0::double as recall,
 # the area under the curve of `score` for `label` in `t`, by `g`
 _AUROC = """(select {g}, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) as auroc from (select *, coalesce(sum(neg) over (partition by {g} order by score rows between unbounded preceding and 1 preceding), 0) as below
   from (select {g}, score, sum(label) as pos, count(*) - sum(label) as neg from {t} group by {g}, score)) group by {g})"""
-_LEFT = "least(9, case when score >= 0.7000000000000001 then floor(score * 10 + 1e-9) when score >= 0.6 and score < 0.6000000000000001 then 5 when score >= 0.3 and score < 0.30000000000000004 then 2 when score >= 0.7 and score < 0.7000000000000001 then 6 else floor(score * 10 + 1e-9) end)"
 _BINS = "select {g}, bin, count(*) as n, avg(score) as confidence, avg(label) as accuracy from (select *, {b} as bin from {t}) where bin is not null group by {g}, bin"
 _FIVE = "case when score >= 0 and score < 0.2 then 0 when score < 0.4 then 1 when score < 0.6000000000000001 then 2 when score < 0.8 then 3 when score < 1.0 then 4 end"
 

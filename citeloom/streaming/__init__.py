@@ -1,0 +1 @@
+"""No operators: the work is batch only; incremental loads are in operators/graph.py."""
