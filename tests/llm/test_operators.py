@@ -1,7 +1,6 @@
 """Every operator against brute force on small tables, with nulls, empty texts, repeats and clashing columns."""
 
 import collections
-import hashlib
 import math
 import random
 import re
