@@ -25,8 +25,8 @@ def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return without_copies(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return without_copies(docs, k=5, percent=80)
 
 
 @stage

@@ -39,6 +39,16 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(last)
 
 
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    """Four isolated words of 200 changed: 176 / 216 of the 5-word shingles are shared, a copy; five changed: 171 / 221, none."""
+    words = [f"w{i}" for i in range(200)]
+    near = ["x" if i in (30, 70, 110, 150) else w for i, w in enumerate(words)]
+    apart = ["y" if i in (30, 70, 110, 150, 190) else w for i, w in enumerate(f"v{i}" for i in range(200))]
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join(near), "en", "a", 1), (3, " ".join(f"v{i}" for i in range(200)), "en", "a", 1), (4, " ".join(apart), "en", "a", 1)]
+    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert {r.doc_id for r in got.collect()} == {1, 3, 4}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
