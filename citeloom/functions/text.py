@@ -62,9 +62,9 @@ def truncated(c: Column, most: int, end: str = " ...") -> Column:
     return F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most)), F.lit(end))).otherwise(t)
 
 
-def chunks(c: Column, size: int = 3000, overlap: int = 200, cap: int = 20_000) -> Column:
-    """Overlapping pieces of a text of at most `cap` characters; one piece if it is short."""
-    t = F.substring(c, 1, cap)
+def chunks(c: Column, size: int = 3000, overlap: int = 200, cap: int | None = None) -> Column:
+    """Overlapping pieces of the whole text, or of its first `cap` characters; one piece if it is short."""
+    t = c if cap is None else F.substring(c, 1, cap)
     starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size - overlap))
     return F.when(F.length(t) <= size, F.array(t)).otherwise(F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(size))))
 

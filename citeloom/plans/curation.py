@@ -21,6 +21,10 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _chunks(s: SparkSession, d: str, cap: int | None = None) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.posexplode(X.chunks(F.col("text"), cap=cap)).alias("i", "c")).select("doc_id", "i", F.md5("c").alias("h"))
+
+
 def _tokens(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").filter("lang = 'en'").select("doc_id", X.tokens(F.lower("text"), "[a-z]+").alias("tokens"))
 
@@ -90,7 +94,8 @@ QUERIES = {
     "b5_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(X.tokens(F.lower("text"), "[a-z]+", 2)).alias("n")),
     "b7_head_and_tail": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.head_and_tail(F.col("text"), 1000)).alias("h")),
     "b8_truncated": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.truncated(F.col("text"), 300)).alias("h")),
-    "b9_chunks": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("i", "c")).select("doc_id", "i", F.md5("c").alias("h")),
+    "b9_chunks": lambda s, d: _chunks(s, d, 20_000),
+    "b9_whole_chunks": lambda s, d: _chunks(s, d),
     "b12_refs": lambda s, d: cites(s, d).select("law", "article_number").distinct().withColumn("ref", X.article_ref(F.col("law"), F.col("article_number"))).withColumn("p", X.parsed_ref(F.col("ref"))).select("ref", F.col("p.law").alias("law"), F.col("p.article_number").alias("article_number")),
     "b15_value_in_quote": lambda s, d: table(s, d, "part").select("p_partkey", X.value_in_quote(F.col("p_name"), F.lit("small red widget")).alias("found")),
     "e1_upserted": _upserts,
@@ -122,6 +127,7 @@ ORACLE = {
     "b7_head_and_tail": "select doc_id, md5(case when length(text) > 1000 then text[1:400] || chr(10) || '...' || chr(10) || right(text, 600) else text end) as h from documents",
     "b8_truncated": "select doc_id, md5(case when length(trim(text)) > 300 then rtrim(trim(text)[1:300]) || ' ...' else trim(text) end) as h from documents",
     "b9_chunks": "select doc_id, (o // 2800)::int as i, md5(t[o + 1:o + 3000]) as h from (select doc_id, coalesce(text, '')[1:20000] as t from documents), range(0, 20000, 2800) as r(o) where o = 0 or length(t) > 3000 and o <= length(t) - 1",
+    "b9_whole_chunks": "select doc_id, (o // 2800)::int as i, md5(t[o + 1:o + 3000]) as h from (select doc_id, t, unnest(range(0, greatest(length(t), 1), 2800)) as o from (select doc_id, coalesce(text, '') as t from documents)) where o = 0 or length(t) > 3000",
     "b12_refs": "select distinct p_brand || ' - ماده ' || translate(p_size::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') as ref, p_brand as law, p_size as article_number from part join lineitem on p_partkey = l_partkey",
     "b15_value_in_quote": "select p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 1 and contains('small red widget', x))) > 0 as found from part",
     "e1_upserted": "select law, article_number, l_quantity, l_extendedprice from (select *, row_number() over (partition by law, article_number order by o desc, l_extendedprice desc, l_quantity desc) as r from (select l_partkey % 100 as law, l_suppkey as article_number, l_quantity, l_extendedprice, l_orderkey * 10 + l_linenumber as o from lineitem)) where r = 1",

@@ -252,3 +252,11 @@ def test_fallback_and_leak(spark):
     assert sorted((r.article_ref, r.is_applicable, len(r.checklist)) for r in A.audit_from_gold(samples).collect()) == [("a", True, 1), ("b", False, 0)]
     assert [(r.ref, r.gold_applicable) for r in A.gold_pairs(samples).collect()] == [("a", True)]
     assert sorted(r.ref for r in A.checklist_refs(samples.withColumn("ord", F.lit(1)), spark.createDataFrame([("b",)], "ref string")).collect()) == ["a"]
+
+
+def test_chunks_of_whole_texts(spark):
+    """Texts over 20,000 characters are cut into pieces to their end; a cap is the caller's choice."""
+    text = "".join(chr(97 + i % 26) for i in range(30_001))
+    row = spark.createDataFrame([(text, "ab", "")], "long string, short string, empty string").select(X.chunks(F.col("long")).alias("t"), X.chunks(F.col("short")).alias("s"), X.chunks(F.col("empty")).alias("e"), X.chunks(F.col("long"), cap=20_000).alias("cut")).first()
+    assert row.t == [text[o : o + 3000] for o in range(0, 30_001, 2800)] and (row.s, row.e) == (["ab"], [""])
+    assert row.cut == [text[:20_000][o : o + 3000] for o in range(0, 20_000, 2800)]
