@@ -98,8 +98,8 @@ QUERIES = {
     "j4_ruling_channel": _rulings,
     "j5_article_channel": _articles,
     "k3_pruned": lambda s, d: _audited(s, d).filter("NOT is_applicable").select("query_id", "article_ref"),
-    "k5_combined": lambda s, d: r6(A.combined_confidence(A.query_audit(_audited(s, d)).withColumn("retrieval", (F.col("query_id") % 10) / 10.0), "retrieval", "auditor_score", "prune_ratio", 3), "combined").select("query_id", "level"),
-    "k7_formatted": lambda s, d: A.formatted(_audited(s, d)).select("query_id", "article_ref", "block"),
+    "k5_combined": lambda s, d: r6(A.combined_confidence(A.query_audit(_audited(s, d, None)).withColumn("retrieval", (F.col("query_id") % 10) / 10.0), "retrieval", "auditor_score", "prune_ratio", 3), "combined").select("query_id", "level"),
+    "k7_formatted": lambda s, d: A.formatted(_audited(s, d, None)).select("query_id", "article_ref", "block"),
     "l3_uncertain": lambda s, d: O.fused(_cases(s, d), _cases(s, d).groupBy("case_id").agg(F.max("confidence").alias("score"), F.lit(0.0).alias("prune_ratio"))).filter("uncertainty_flag").select("case_id"),
     "l6_case_summary": _summary,
     "l7_citation_leaks": _leaks,

@@ -16,7 +16,7 @@ LATIN = CI.Grammar(law="law", article="article", articles="articles", note="note
 
 def _cited_docs(s: SparkSession, d: str) -> DataFrame:
     """Documents whose line items write citations: each part of an order as an article of one of three laws."""
-    line = table(s, d, "lineitem").filter("l_orderkey < 2000")
+    line = table(s, d, "lineitem")
     law = F.when(F.col("l_suppkey") % 3 == 0, "law of the").when(F.col("l_suppkey") % 3 == 1, "said law above").otherwise("law")
     part = F.concat(F.lit("note 2 of article "), (F.col("l_partkey") % 99).cast("string"), F.lit(" "), law)
     return line.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", part.alias("p")))), lambda x: x["p"]), ". ").alias("text"))

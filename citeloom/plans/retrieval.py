@@ -88,10 +88,11 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
     return R.ranked_candidates(direct, cited).select("query_id", "ref", "position")
 
 
-def _audited(s: SparkSession, d: str) -> DataFrame:
-    """An order is a query, a part an article, a line a checklist item."""
+def _audited(s: SparkSession, d: str, below: int | None = 3000) -> DataFrame:
+    """An order is a query, a part an article, a line a checklist item; orders below a key as the SQL has it, or all."""
     items = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("condition"), (F.col("l_returnflag") == "A").alias("necessary"), (F.col("l_linestatus") == "O").alias("satisfied"))))
-    rows = table(s, d, "lineitem").filter("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 4).cast("string").alias("article_ref")).agg(items.alias("checklist"))
+    line = table(s, d, "lineitem") if below is None else table(s, d, "lineitem").filter(F.col("l_orderkey") < below)
+    rows = line.groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 4).cast("string").alias("article_ref")).agg(items.alias("checklist"))
     return rows.select("query_id", "article_ref", "checklist", A.decided(F.col("checklist")).alias("x")).select("query_id", "article_ref", "checklist", "x.*").withColumn("topically_relevant", F.col("query_id") % 3 != 0)
 
 

@@ -48,3 +48,12 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "i3_top_npmi" in e.queries()
+
+
+@pytest.mark.parametrize("name, key", [("d2_free_text", "doc_id"), ("k5_combined", "query_id"), ("k7_formatted", "query_id")])
+def test_all_orders(spark, tmp_path, name, key):
+    """No order is left out for its key."""
+    orders = [1, 1999, 2000, 3000, 900_000]
+    rows = [(o, n, 7 * n, 3, "A", "O") for o in orders for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r[key] for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(orders)
