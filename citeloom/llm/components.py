@@ -24,7 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that an edge (u, v) has; the component is its least node.
 
     Every round is stored, so a lost executor repeats one round at most. Ends when a round changes
-    nothing; the rounds grow with the logarithm of the longest chain. Self loops and repeated edges
+    nothing, and fails if none of most_rounds does; the rounds grow with the logarithm of the longest chain. Self loops and repeated edges
     are harmless, an edge with a null is no edge, and no edges give no rows.
     """
     state = stored(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
@@ -35,4 +35,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == now:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()

@@ -196,6 +196,11 @@ def test_ngram_join_odd(docs, rows, odd):
     assert jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError, match="settled"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), most_rounds=2)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (5, 5), (None, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
