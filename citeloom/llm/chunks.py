@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import Scratch
 from citeloom.llm.tokens import forget
 
 CHUNK_BYTES = 3 << 20
@@ -43,7 +43,7 @@ def from_blob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
-def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunked(df: DataFrame, text: str, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All rows and columns of df as a stored table of chunks (CHUNK)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def chunked(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
         if held:
             yield flush()
 
-    return stored(df.mapInArrow(pack, CHUNK), "chunks", "uncompressed")
+    return scratch.stored(df.mapInArrow(pack, CHUNK), "chunks", "uncompressed")
 
 
 def bucket_count(chunks: DataFrame, bytes_each: int = 12 << 20) -> int:

@@ -1,10 +1,11 @@
-"""Session helpers shared by the operators: shared scratch tables and small column expressions."""
+"""Session helpers shared by the operators: scratch tables of one call and small column expressions."""
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,60 +15,69 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="citeloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: Tables that the stages of a pipeline have written and that no later stage has removed yet.
-OWNED: list[str] = []
-_in_stage: list[bool] = []
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Texts may be long, so no Arrow batch of a job in this block gets more than `rows` rows; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def released(docs: DataFrame) -> None:
-    """Remove the tables of earlier stages, but none that docs still reads. Tables of other queries stay."""
-    spark, read = docs.sparkSession, docs.inputFiles()
-    for path in [p for p in OWNED if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        OWNED.remove(path)
+class Scratch:
+    """The tables of one call, in a folder of their own below the shared one.
 
+    Only its owner removes it: whoever made it and knows that no lazy result still reads it. Two runs in one
+    session, or the same one again, never see each other's tables.
+    """
 
-def stage(function):
-    """A pipeline's stage (spark, docs, sf_dir): its input is written out, so what earlier stages needed goes first."""
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    @functools.wraps(function)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        released(docs)
-        _in_stage.append(True)
-        try:
-            return function(spark, docs, sf_dir)
-        finally:
-            _in_stage.pop()
+    def stored(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        """Write df once and read it back: later steps neither recompute it nor need its shuffle files."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        with small_batches(self.spark):
+            df.write.option("compression", compression).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    return run
+    def remove(self) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts may be long, so no Arrow batch of this session gets more than `rows` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def scratch_of(df: DataFrame, scratch: Scratch | None, name: str) -> Scratch:
+    """The caller's scratch, or one that stays until the shared folder is cleaned."""
+    return scratch or Scratch(df.sparkSession, name)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores in front until no column of the frames has it (Spark folds case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd", owned: bool = False) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps neither recompute it nor need its shuffle files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    df.write.option("compression", compression).parquet(path)
-    if owned or _in_stage:
-        OWNED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+def distinct_names(given: set[str], outputs: tuple[str, ...]) -> None:
+    """An id column named like an output would make two columns of one name."""
+    if clash := {g for g in given if g.lower() in outputs}:
+        raise ValueError(f"rename the column {', '.join(sorted(clash))}: the result has one of that name")
 
 
 def text_or_empty(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import Scratch, scratch_of
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,17 +20,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node that an edge (u, v) has; the component is its least node.
 
-    Every round is stored, so a lost executor repeats one round at most. Ends when a round changes
-    nothing, and fails if none of most_rounds does; the rounds grow with the logarithm of the longest chain. Self loops and repeated edges
-    are harmless, an edge with a null is no edge, and no edges give no rows.
+    Every round is stored, so a lost executor repeats one round at most. Ends when a round changes nothing, and
+    fails if none of most_rounds does; the rounds grow with the logarithm of the longest chain. Self loops and
+    repeated edges are harmless, an edge with a null is no edge, and no edges give no rows.
     """
-    state = stored(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
+    scratch = scratch_of(edges, scratch, "components")
+    state = scratch.stored(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        state = stored(_star(_star(state, True), False), "stars")
+        state = scratch.stored(_star(_star(state, True), False), "stars")
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == now:
             break

@@ -1,10 +1,14 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A template is a set of words. The document frequencies of the templates' words, counted over all texts,
-order every template rare-first; a block can hold enough of a template only if it holds one of its
-first m - ceil(threshold * m) + 1 words, so texts without any of these are skipped (prefix filter). In
-the others every block around such a word is tried, if it has enough template words at all (length
-filter) and enough of them are left after the word's place in the order (positional filter).
+A template is a set of words. The document frequencies of the templates' words, counted over all texts, order
+every template rare-first. A block can hold enough of a template only if it holds one of its first
+m - ceil(threshold * m) + 1 words: these are the template's prefix, and an index from prefix words to templates
+joins the words of a text with the templates (prefix filter). Of each pair that meets there, only blocks around
+a prefix word's place are looked at, if they have enough template words at all (length filter) and if enough
+words are left in the template's order after the rarest one that they hold (positional filter). Every block that
+then holds the threshold is found, and blocks that overlap are one match.
+
+The index of one scan is bounded (`most_words` template words); more templates take several scans.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.llm.common import distinct_names
 from citeloom.llm.textarrays import Words, windows
 from citeloom.llm.tokens import slices
 
@@ -26,22 +31,55 @@ from citeloom.llm.tokens import slices
 BETWEEN = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 #: The base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Templates, as (label, words), of notices in common use.
+#: Templates, as (label, words): notices in common use, and the bodies of short licenses.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection "
+        "with the software or the use or other dealings in the software",
+    ),
     ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("lgpl", "gnu lesser general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain "
+        "the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or "
+        "implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use "
+        "data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out "
+        "of the use of this software even if advised of the possibility of such damage",
+    ),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear "
+        "in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("all-rights-reserved", "all rights reserved"),
 )
 MATCH = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("containment", T.DoubleType())]))
+_MATCH = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
 
 
 def _words(texts: pa.Array) -> Words:
@@ -50,7 +88,7 @@ def _words(texts: pa.Array) -> Words:
 
 @dataclass(frozen=True)
 class Templates:
-    """The templates' vocabulary as sorted hashes, and each template's word numbers."""
+    """Templates with at least one word: their vocabulary as sorted hashes, and each one's distinct words and block size."""
 
     labels: tuple[str, ...]
     vocabulary: np.ndarray
@@ -58,11 +96,12 @@ class Templates:
     spans: tuple[int, ...]
 
     @classmethod
-    def of(cls, templates: tuple[tuple[str, str], ...], stretch: float) -> Templates:
-        words = _words(pa.array([t for _, t in templates]))
+    def of(cls, templates: list[tuple[str, str]], stretch: float) -> Templates:
+        words = _words(pa.array([t for _, t in templates], pa.string()))
         vocabulary = np.unique(words.hash)
-        sets = tuple(np.unique(np.searchsorted(vocabulary, words.hash[a:b])) for a, b in zip(words.at[:-1], words.at[1:], strict=True))
-        return cls(tuple(label for label, _ in templates), vocabulary, sets, tuple(math.ceil(n * stretch) for n in words.counts().tolist()))
+        kept = [i for i, n in enumerate(words.counts().tolist()) if n]
+        sets = tuple(np.unique(np.searchsorted(vocabulary, words.hash[words.at[i] : words.at[i + 1]])) for i in kept)
+        return cls(tuple(templates[i][0] for i in kept), vocabulary, sets, tuple(math.ceil(int(words.counts()[i]) * stretch) for i in kept))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number in the vocabulary; -1 for other words."""
@@ -72,6 +111,70 @@ class Templates:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
+class Index:
+    """Templates rare-first, and for each word of the vocabulary the templates that have it in their prefix."""
+
+    def __init__(self, known: Templates, often: dict[int, int], threshold: float):
+        self.known, n = known, len(known.vocabulary)
+        self.ranks, self.need = [], []
+        pairs: list[tuple[int, int]] = []
+        for k, words in enumerate(known.sets):
+            order = sorted(words.tolist(), key=lambda w: (often.get(w, 0), w))
+            need = max(1, math.ceil(threshold * len(order) - 1e-9))
+            self.ranks.append(np.array(order, np.int64))
+            self.need.append(need)
+            pairs += [(w, k) for w in order[: len(order) - need + 1]]
+        pairs.sort()
+        self.template = np.array([k for _, k in pairs], np.int64)
+        self.first = np.searchsorted([w for w, _ in pairs], np.arange(n + 1))
+
+    def met(self, text_of: np.ndarray, number: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, template) that share a prefix word: the join of a batch's words with the index."""
+        size = self.first[number + 1] - self.first[number]
+        has = np.flatnonzero(size)
+        size = size[has]
+        at = np.repeat(self.first[number[has]], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        pairs = np.unique(np.repeat(text_of[has], size) * max(1, len(self.need)) + self.template[at])
+        return pairs // max(1, len(self.need)), pairs % max(1, len(self.need))
+
+    def blocks(self, k: int, place: np.ndarray, word: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first, end, containment) of the runs of overlapping blocks that hold enough of template k.
+
+        place, word: places of vocabulary words in a text, in order, and the words. A block starts at a template
+        word, spans known.spans[k] words and ends at its last template word.
+        """
+        order, need, span = self.ranks[k], self.need[k], self.known.spans[k]
+        by = np.sort(order)
+        at = np.minimum(np.searchsorted(by, word), len(by) - 1)
+        own = by[at] == word
+        place, rank = place[own], np.argsort(order, kind="stable")[at[own]]
+        ends = np.searchsorted(place, place + span)
+        prefix = place[rank <= len(order) - need]
+        near = np.searchsorted(prefix, place + span) > np.searchsorted(prefix, place)  # a prefix word in the block
+        starts = np.flatnonzero(near & (ends - np.arange(len(place)) >= need))  # the length filter
+        out: list[list] = []
+        held, distinct, lo, hi = np.zeros(len(order), np.int64), 0, 0, 0
+        for i in starts.tolist():
+            if i >= hi:
+                held[:], distinct, lo, hi = 0, 0, i, i
+            while lo < i:
+                held[rank[lo]] -= 1
+                distinct -= held[rank[lo]] == 0
+                lo += 1
+            while hi < ends[i]:
+                distinct += held[rank[hi]] == 0
+                held[rank[hi]] += 1
+                hi += 1
+            # the positional filter: as many words as from the rarest one held to the template's end
+            if distinct >= need and len(order) - int(np.argmax(held > 0)) >= need:
+                a, b, share = int(place[i]), int(place[ends[i] - 1]) + 1, distinct / len(order)
+                if out and a < out[-1][1]:
+                    out[-1][1], out[-1][2] = max(out[-1][1], b), max(out[-1][2], share)
+                else:
+                    out.append([a, b, share])
+        return [tuple(x) for x in out]
+
+
 def word_frequencies(docs: DataFrame, text: str, known: Templates) -> DataFrame:
     """word (its number) and n_docs over all texts, for the templates' words."""
 
@@ -85,52 +188,52 @@ def word_frequencies(docs: DataFrame, text: str, known: Templates) -> DataFrame:
                 text_of = np.searchsorted(words.at, at, side="right") - 1
                 seen = np.unique(text_of * len(total) + number[at])
                 total += np.bincount(seen % max(1, len(total)), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["word", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["word", "n"])
 
     return docs.select(text).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n_docs"))
 
 
-def best_block(place: np.ndarray, word: np.ndarray, rank: dict[int, int], span: int, m: int, need: int) -> tuple[float, int, int]:
-    """The largest containment of a template in any block of `span` words, with its first and end word; (0, -1, -1) if below the threshold.
+def groups_of(templates: list[tuple[str, str]], most_words: int) -> list[list[tuple[str, str]]]:
+    """Templates in groups of at most most_words words each; a longer template is a group of its own."""
+    out, held = [[]], 0
+    for label, words in templates:
+        n = len(words.split())
+        if out[-1] and held + n > most_words:
+            out.append([])
+            held = 0
+        out[-1].append((label, words))
+        held += n
+    return out
 
-    place, word: the template's words in a text, in order; rank: their places in the template's rare-first order.
-    """
-    best, prefix = (0.0, -1, -1), m - need + 1
-    ends = np.searchsorted(place, place + span)
-    ranks = [rank[w] for w in word.tolist()]
-    for i, j in enumerate(ends.tolist()):
-        if j - i < need or best[0] >= 1:  # the length filter
-            continue
-        own = set(ranks[i:j])
-        first = min(own)
-        if first >= prefix or m - first < need:  # no prefix word; too few words after its place
-            continue
-        if len(own) >= need and len(own) / m > best[0]:
-            best = (len(own) / m, int(place[i]), int(place[j - 1]) + 1)
-    return best
-
-
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, stretch: float = 1.5) -> DataFrame:
+
+def scan_licenses(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: DataFrame | tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, stretch: float = 1.5,
+    most_words: int = 2_000_000,
+) -> DataFrame:
     """Per row: the id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
-    n_base counts the places of the phrases, first_word and last_word are the least and largest start. A
-    template's label is added if some block of stretch * (its words) words holds at least `threshold` of its
-    distinct words; matches has the best block of each template found. score: 1 with a phrase, else the
-    largest containment found, else 0. Null and empty texts have no words and no labels ('' and ''), first
-    and last word null. Repeated rows get equal results; an empty table gives an empty table.
+    n_base counts the places of the phrases, first_word and last_word are the least and largest start. templates:
+    (label, words), as a table or a tuple; ones without words match nothing, and null rows are left out. matches
+    has every text block that holds at least `threshold` of a template's distinct words within stretch * (its
+    words) words, from the first to the last template word in it; blocks of one template that overlap are one, with
+    the largest containment. A match adds its label. score: 1 with a phrase, else the largest containment found,
+    else 0. Null and empty texts have no words and no labels ('' and ''), first and last word null. A text of any
+    length is scanned whole. Repeated rows get equal results; an empty table gives an empty table. Other columns,
+    whatever their names, are not read; an id column named like an output is an error.
     """
-    known = Templates.of(templates, stretch)
-    often = {r["word"]: r["n_docs"] for r in word_frequencies(docs, text, known).collect()}  # one row a template word
-    ranks, needs = [], []
-    for words in known.sets:
-        order = sorted(words.tolist(), key=lambda w: (often.get(w, 0), w))
-        ranks.append({w: i for i, w in enumerate(order)})
-        needs.append(math.ceil(threshold * len(order) - 1e-9))
-    prefix = [np.isin(np.arange(len(known.vocabulary)), [w for w, i in r.items() if i <= len(r) - n]) for r, n in zip(ranks, needs, strict=True)]
-    member = [np.isin(np.arange(len(known.vocabulary)), list(r)) for r in ranks]
-    wanted = _words(pa.array(list(phrases)))
+    outputs = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
+    distinct_names({id_col}, outputs)
+    if isinstance(templates, DataFrame):  # the templates of one scan are bounded by most_words, and all of them are read by the driver
+        templates = tuple((r[0], r[1]) for r in templates.select(*templates.columns[:2]).dropna().distinct().orderBy(*templates.columns[:2]).toLocalIterator())
+    indices = []
+    for group in groups_of(list(templates), most_words):
+        known = Templates.of(group, stretch)
+        often = {r["word"]: r["n_docs"] for r in word_frequencies(docs, text, known).collect()} if len(known.vocabulary) else {}  # one row a template word
+        indices.append(Index(known, often, threshold))
+    wanted = _words(pa.array(list(phrases), pa.string()))
     sought = [(label, int(b - a), windows(wanted.hash[a:b], int(b - a))[0]) for label, a, b in zip(phrases.values(), wanted.at[:-1], wanted.at[1:], strict=True)]
-    out = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")), *(T.StructField(c, T.StringType()) for c in ("base_labels", "labels")), T.StructField("score", T.DoubleType()), T.StructField("matches", MATCH)]
+    out = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in outputs[:4]), *(T.StructField(c, T.StringType()) for c in outputs[4:6]), T.StructField("score", T.DoubleType()), T.StructField("matches", MATCH)]
     schema = T.StructType(out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,25 +251,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
                             if at + length <= words.at[t + 1]:
                                 starts[t].append(at - int(words.at[t]))
                                 base[t].add(label)
-                number = known.numbers(words.hash)
                 found: list[list[dict]] = [[] for _ in range(n)]
-                at = np.flatnonzero(number >= 0)
-                number, text_of = number[at], np.searchsorted(words.at, at, side="right") - 1
-                edges = np.searchsorted(text_of, np.arange(n + 1))
-                for k, label in enumerate(known.labels):
-                    for t in np.unique(text_of[prefix[k][number]]).tolist():
+                for index in indices:
+                    number = index.known.numbers(words.hash)
+                    at = np.flatnonzero(number >= 0)
+                    number, text_of = number[at], np.searchsorted(words.at, at, side="right") - 1
+                    edges = np.searchsorted(text_of, np.arange(n + 1))
+                    for t, k in zip(*(x.tolist() for x in index.met(text_of, number, n)), strict=True):
                         here = slice(edges[t], edges[t + 1])
-                        own = member[k][number[here]]
-                        place, word = at[here][own] - words.at[t], number[here][own]
-                        share, a, b = best_block(place, word, ranks[k], known.spans[k], len(ranks[k]), needs[k])
-                        if share:
-                            found[t].append({"label": label, "first_word": a, "end_word": b, "containment": share})
+                        for a, b, share in index.blocks(k, at[here] - words.at[t], number[here]):
+                            found[t].append({"label": index.known.labels[k], "first_word": a, "end_word": b, "containment": share})
                 pick = lambda f: [f(s) if s else None for s in starts]
                 labels = [",".join(sorted(b | {m["label"] for m in f})) for b, f in zip(base, found, strict=True)]
                 score = [1.0 if b else max([m["containment"] for m in f], default=0.0) for b, f in zip(base, found, strict=True)]
                 columns = [part.column(0), pa.array(counts.astype(np.int64)), pa.array([len(s) for s in starts], pa.int64()), pa.array(pick(min), pa.int64()), pa.array(pick(max), pa.int64())]
                 columns += [pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array(labels, pa.string()), pa.array(score, pa.float64())]
-                kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _MATCH)], names=schema.names)
 
     return docs.select(id_col, text).mapInArrow(scan, schema)

@@ -6,6 +6,11 @@ method draws these fractions: it moves the inclusion probabilities of three docu
 the null-space of (words, 1), so the source's word and document totals stay as they are, until one
 probability is 0 or 1. Blocks of a source do this in parallel; the few documents that a block leaves
 open go on to a block of the next level, and the last few of a source are a landing problem.
+
+A document much larger than its neighbours hardly moves in such a step and would stay open until the landing,
+where nothing makes up for it. So the largest documents are decided first, each in one step along the null-space
+of the words that moves all smaller documents the other way: those of more than a two-thousandth of a source's
+words for the whole source, and those far above the mean of a block in the block.
 """
 
 from __future__ import annotations
@@ -21,12 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import Scratch, distinct_names, free_name, scratch_of
 from citeloom.llm.textarrays import Words
 
 NEAR = 1e-9
 #: Documents of a source that the landing decides together, by trying all 2**LANDING choices.
 LANDING = 13
+#: Documents of more than so many times a block's mean size are decided before the flight.
+LARGE = 4.0
+#: Documents of more than this share of a source's words are decided for the whole source: fewer than 1 / GIANT of them.
+GIANT = 1 / 2000
 
 
 def word_counts(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -49,18 +58,58 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...], cap: int) -
     for sources in the order of cap * size / weight the level is the largest of
     (all sizes - caps of the first i) / weights of the rest. Works on one row a source.
     """
-    per = sizes.groupBy(source).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1
+    per = sizes.groupBy(F.col(source).alias("__source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    place = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     per = per.withColumn("weight", weight)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col(source).asc_nulls_last())
+    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("__source").asc_nulls_last())
     whole = Window.partitionBy(F.lit(1))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     capped = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * cap
     left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     per = per.withColumn("level", (F.sum("source_size").over(whole) - capped) / left)
     level = F.max("level").over(whole)
-    return per.select(source, "source_size", "n_docs", F.least((F.col("source_size") * cap).cast("double"), level * F.col("weight")).alias("target"))
+    return per.select("__source", "source_size", "n_docs", F.least((F.col("source_size") * cap).cast("double"), level * F.col("weight")).alias("target"))
+
+
+def ends(words: np.ndarray, prob: np.ndarray, left: np.ndarray, base: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, float]:
+    """0 or 1 for each of these documents in turn, and the words that are then due from those behind them.
+
+    left: the words from each document on, those behind the last included (one more value); base: the expected
+    words in the same way. A step moves one document to 0 or 1 and all behind it together the other way, so the
+    expected words stay the same. It draws by probability, or takes the only end that leaves the others within 0
+    and 1; where no end does, it takes the nearer and leaves the others at that bound.
+    """
+    takes, due = np.zeros(len(words)), float(base[0]) if len(base) else 0.0
+    for i, draw in enumerate(draws[: len(words)].tolist()):
+        rest, x = float(left[i + 1]), float(words[i])
+        fits = [t for t in (0.0, 1.0) if -1e-9 <= due - t * x <= rest + 1e-9]
+        if len(fits) == 2:
+            take = float(draw < due * prob[i] / base[i]) if base[i] > 0 else 0.0
+        else:
+            take = fits[0] if fits else min((0.0, 1.0), key=lambda t: abs(min(max(due - t * x, 0.0), rest) + t * x - due))
+        takes[i], due = take, min(max(due - take * x, 0.0), rest)
+    return takes, due
+
+
+def large_first(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, large: float = LARGE) -> np.ndarray:
+    """Probabilities after the documents over `large` times the mean size are 0 or 1, in falling order of size."""
+    order = np.argsort(-size, kind="stable")
+    order = order[(prob[order] > NEAR) & (prob[order] < 1 - NEAR)]
+    words, p = size[order], prob[order].astype(float)
+    n = min(int((words > large * words.mean()).sum()), len(order) - 2) if len(order) > 2 else 0
+    if n <= 0:
+        return prob.astype(float)
+    left, base = (np.append(np.cumsum(x[::-1])[::-1], 0.0) for x in (words, p * words))
+    p[:n], due = ends(words[:n], p[:n], left[: n + 1], base[: n + 1], rng.random(n))
+    # the others: scaled down, or their complements scaled down, which keeps every one within 0 and 1
+    if due <= base[n]:
+        p[n:] *= due / base[n] if base[n] else 0.0
+    elif left[n] > base[n]:
+        p[n:] = 1 - (1 - p[n:]) * (left[n] - due) / (left[n] - base[n])
+    out = prob.astype(float)
+    out[order] = np.where(np.abs(p - np.round(p)) < NEAR, np.round(p), p)
+    return out
 
 
 def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, rest: int = 0) -> np.ndarray:
@@ -117,50 +166,91 @@ def _flier(id_col: str, seed: int, level: int, last: bool):
         if rest:  # evenly by rank, but for the largest
             late = np.linspace(table.num_rows // 6, table.num_rows - 1, rest).astype(int)
             order = np.concatenate((np.delete(order, late), order[late]))
-        size, prob = table["size"].to_numpy()[order].astype(float), table["prob"].to_numpy()[order]
+        size, prob = table["size"].to_numpy()[order].astype(float), table["__prob"].to_numpy()[order]
         name = repr((seed, level, *(k.as_py() for k in key)))
-        prob = flight(size, prob, np.random.default_rng(zlib.crc32(name.encode())), rest)
+        rng = np.random.default_rng(zlib.crc32(name.encode()))
+        prob = flight(size, large_first(size, prob, rng), rng, rest)
         prob = landing(size, prob) if last else prob
-        return table.take(pa.array(order)).set_column(table.schema.get_field_index("prob"), "prob", pa.array(prob))
+        return table.take(pa.array(order)).set_column(table.schema.get_field_index("__prob"), "__prob", pa.array(prob))
 
     return fly
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 29, block_rows: int = 8192, fan_in: int = 64) -> DataFrame:
+def _giants(id_col: str, seed: int):
+    """Decides the documents of one source that are over GIANT of its words, large first, then by id."""
+
+    def decide(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table[id_col].cast(pa.string()).fill_null("").to_numpy().astype(str)
+        order = np.lexsort((ids, -table["size"].to_numpy()))
+        words, p = table["size"].to_numpy()[order].astype(float), float(table["__prob"][0].as_py())
+        left = float(table["source_size"][0].as_py()) - np.append(0.0, np.cumsum(words))
+        rng = np.random.default_rng(zlib.crc32(repr((seed, "giants", key[0].as_py())).encode()))
+        takes, _ = ends(words, np.full(len(words), p), left, p * left, rng.random(len(words)))
+        return table.take(pa.array(order)).set_column(table.schema.get_field_index("__prob"), "__prob", pa.array(takes))
+
+    return decide
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 29, block_rows: int = 8192, fan_in: int = 64, scratch: Scratch | None = None
+) -> DataFrame:
     """Per row: the id, the source, size, source_size, target, copies and taken (copies * size).
 
     Null texts have size 0, null sources are a source of their own, placed last. A source whose words are
     all 0 has target 0 and no copies. Ties and repeated rows are ordered by size and id; rows equal in
-    both may swap. An empty table gives an empty table. Reruns agree: blocks, order and draws come from
-    hashes of source, id and seed. A document's copies stay within the cap.
+    both may swap, and of rows with a null id, or an id that more than block_rows rows share, any may. An empty
+    table gives an empty table. Reruns agree: blocks, order and draws come from hashes of source, id and seed.
+    A document's copies stay within the cap. A text of any length is one document with its words as size; where
+    it is most of its source, the target can be missed by up to half of it. Other columns, whatever their names,
+    are not read; an id or source column named like an output is an error.
     """
-    sizes = stored(word_counts(docs, list(dict.fromkeys([id_col, source])), text), "mix-sizes")
-    per = stored(targets(sizes, source, weights, cap), "mix-targets")
+    distinct_names({id_col, source}, ("size", "source_size", "target", "copies", "taken"))
+    scratch = scratch_of(docs, scratch, "mixing")
+    sizes = word_counts(docs, list(dict.fromkeys([id_col, source])), text).withColumn("__row", F.monotonically_increasing_id())
+    sizes = scratch.stored(sizes, "sizes")
+    per = scratch.stored(targets(sizes, source, weights, cap), "targets")
     most = per.agg(F.max("n_docs")).first()[0] or 0
+    # rows that share an id would share a block: many of them go by their number
+    shared = scratch.stored(sizes.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > block_rows) | F.col("__id").isNull()).select("__id", F.lit(True).alias("__many")), "shared")
+    if not shared.isEmpty():
+        sizes = sizes.join(shared, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    else:
+        sizes = sizes.withColumn("__many", F.lit(False))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.join(per.withColumnRenamed(source, "__source"), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
+    rows = sizes.join(per, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     base = F.floor(due + NEAR)
     blocks = F.ceil(F.col("n_docs") / block_rows)
-    rows = rows.select(id_col, source, "size", "source_size", "target", base.alias("base"), F.greatest(due - base, F.lit(0.0)).alias("prob"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), blocks).alias("block"))
-    out, state, open_blocks, level = None, rows, max(1, math.ceil(most / block_rows)), 0
+    block = F.pmod(F.xxhash64(F.lit(seed), F.when(F.col("__many"), F.col("__row").cast("string")).otherwise(F.col(id_col).cast("string"))), blocks)
+    rows = rows.select(*dict.fromkeys([id_col, source]), "size", "source_size", "target", base.alias("__base"), F.greatest(due - base, F.lit(0.0)).alias("__prob"), block.alias("__block"))
     schema = rows.schema
+    giant = (F.col("size") > F.col("source_size") * GIANT) & (F.col("__prob") > NEAR) & (F.col("__prob") < 1 - NEAR)
+    decided = scratch.stored(rows.filter(giant).groupBy(source).applyInArrow(_giants(id_col, seed), schema), "giants")
+    # one row a source: its giants' words, and those that they take
+    held = decided.groupBy(F.col(source).alias("__source")).agg(F.sum("size").alias("__giants"), F.sum(F.col("size") * F.col("__prob")).alias("__taken"))
+    rest = rows.filter(~giant).join(held, F.col(source).eqNullSafe(F.col("__source")), "left")
+    left = F.col("source_size") - F.col("__giants")
+    moved_to = F.coalesce(F.try_divide(F.col("__prob") * F.col("source_size") - F.col("__taken"), left), F.lit(0.0))
+    prob = F.when(F.col("__giants").isNull() | (F.col("__prob") <= NEAR), F.col("__prob")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved_to)))
+    rest = rest.withColumn("__prob", prob).select(*schema.names)
+    out, state, open_blocks, level = decided, rest, max(1, math.ceil(most / block_rows)), 0
     while True:
         last = open_blocks == 1
 
-        moved = state.groupBy(source, "block").applyInArrow(_flier(id_col, seed, level, last), schema)
-        moved = moved if last else stored(moved, f"mix-level{level}")
-        done = moved if last else moved.filter("prob in (0.0, 1.0)")
-        out = done if out is None else out.unionByName(done)
+        moved = state.groupBy(source, "__block").applyInArrow(_flier(id_col, seed, level, last), schema)
+        moved = moved if last else scratch.stored(moved, f"level{level}")
+        done = moved if last else moved.filter("__prob in (0.0, 1.0)")
+        out = out.unionByName(done)
         if last:
             break
-        state = moved.filter("prob not in (0.0, 1.0)").withColumn("block", F.floor(F.col("block") / fan_in))
+        state = moved.filter("__prob not in (0.0, 1.0)").withColumn("__block", F.floor(F.col("__block") / fan_in))
         open_blocks, level = -(-open_blocks // fan_in), level + 1
-    copies = (F.col("base") + F.col("prob").cast("long")).alias("copies")
-    return out.select(id_col, source, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = (F.col("__base") + F.col("__prob").cast("long")).alias("copies")
+    return out.select(*dict.fromkeys([id_col, source]), "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None, **options) -> DataFrame:
     """The rows of docs, each as often as mixed() takes it; rows with the same id (or a null one) go by the largest number among them."""
-    copies = mixed(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies.filter("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    key, times, copy = (free_name(n, docs) for n in ("__id", "__copies", "__copy"))
+    copies = mixed(docs, id_col=id_col, scratch=scratch, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times))
+    taken = docs.join(copies.filter(F.col(times) > 0), F.col(id_col).eqNullSafe(F.col(key)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send, short
-from citeloom.llm.common import stored
+from citeloom.llm.common import Scratch, distinct_names, free_name, scratch_of
 from citeloom.llm.components import components
 from citeloom.llm.textarrays import Words, inside, mix, windows
 
@@ -180,16 +180,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 1024, near_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 1024, near_rounds: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """Per row: the id, n_shingles, class (rows with equal sets share it; null if no other row can link) and component_id.
 
     Words are lower-cased (A-Z) runs outside ASCII white space. Rows link when 100 * intersection >=
     percent * union of their sets; component_id is the least id that links reach, the row's own included.
     Null, empty and blank texts have no n-grams, link with nothing and keep their own id. Repeated rows
     have equal sets, so they link. A null id never becomes a component_id unless the whole component has
-    none. An empty table gives an empty table.
+    none. A text of any length is one set. An empty table gives an empty table. Other columns, whatever their
+    names, are not read; an id column named like an output or a step's column is an error.
     """
-    chunks = chunked(docs.select(id_col, text), text)
+    distinct_names({id_col}, ("n_shingles", "class", "component_id", "set", "prefix", "places", "sketch", "least_id"))
+    scratch = scratch_of(docs, scratch, "ngrams")
+    chunks = chunked(docs.select(id_col, text), text, scratch)
     buckets = bucket_count(chunks)
 
     def count(chunk_id, rows):
@@ -200,14 +203,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     answers = exchanged(each_chunk(chunks, count, SENT))
     more = [("n_shingles", T.LongType()), ("class", T.BinaryType()), ("set", T.BinaryType()), ("prefix", T.ArrayType(T.LongType())), ("places", T.ArrayType(T.IntegerType())), ("sketch", T.BinaryType())]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in more)])
-    rows = stored(each_answered(chunks, answers, lambda _, t, a: set_rows(t, text, [id_col], k, percent, answered(a, 1)), schema), "ngram-rows")
+    rows = scratch.stored(each_answered(chunks, answers, lambda _, t, a: set_rows(t, text, [id_col], k, percent, answered(a, 1)), schema), "ngram-rows")
     shared = rows.filter("class is not null")
-    classes = stored(
+    classes = scratch.stored(
         shared.groupBy("class").agg(F.min(id_col).alias("least_id"), *(F.first(c).alias(c) for c in ("n_shingles", "set", "prefix", "places", "sketch"))),
         "ngram-classes",
     )
     postings = classes.select("class", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("prefix", "places")).alias("p"))
-    postings = stored(postings.select(F.col("p.prefix").alias("token"), F.col("p.places").alias("place"), "class", "n"), "ngram-postings")
+    postings = scratch.stored(postings.select(F.col("p.prefix").alias("token"), F.col("p.places").alias("place"), "class", "n"), "ngram-postings")
     n_buckets = max(16, math.ceil(postings.count() / 50_000))
     found, state = None, postings.withColumn("component", F.col("class"))
     for turn in range(1 + near_rounds + 1):
@@ -231,30 +234,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             if nearest:
                 pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
             pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        links = stored(_verified(pairs, classes, percent), f"ngram-links{turn}")
+        links = scratch.stored(_verified(pairs, classes, percent), f"ngram-links{turn}")
         if found is not None and links.isEmpty():
             continue
         found = links if found is None else found.unionByName(links)
-        member = stored(components(found), "ngram-components")
+        member = scratch.stored(components(found, scratch=scratch), "ngram-components")
         state = postings.join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = classes.select("class", "least_id").join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = stored(named.join(least, "component").select("class", "component_id"), "ngram-ids")
+    ids = scratch.stored(named.join(least, "component").select("class", "component_id"), "ngram-ids")
     alone = rows.filter("class is null").select(id_col, "n_shingles", "class", F.col(id_col).alias("component_id"))
     linked = shared.select(id_col, "n_shingles", "class").join(ids, "class").select(id_col, "n_shingles", "class", "component_id")
     return alone.unionByName(linked)
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
     """One row of each component of jaccard_components(), the one whose id is least, with all its columns.
 
     Rows that no other links with stay. Rows with a null id cannot be named and stay; of rows equal in id and
-    text one stays.
+    text one stays. What the join needed is removed before this returns; the result reads docs and a table of ids.
     """
-    found = stored(jaccard_components(docs, id_col, text, **options).select(id_col, "component_id"), "ngram-found")
-    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "ngram-gone")
-    kept = docs.join(gone, id_col, "left_anti")
-    again = stored(found.groupBy(id_col).count().filter("count > 1").select(id_col), "ngram-again")
+    scratch = scratch_of(docs, scratch, "copies")
+    work = Scratch(docs.sparkSession, "ngrams")
+    key = free_name("__id", docs)
+    plain = docs.select(F.col(id_col).alias(key), F.col(text).alias("__text"))
+    found = scratch.stored(jaccard_components(plain, key, "__text", scratch=work, **options).select(key, "component_id"), "found")
+    work.remove()
+    gone = scratch.stored(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(id_col)).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = scratch.stored(found.groupBy(key).count().filter("count > 1").select(F.col(key).alias(id_col)), "again")
     if again.isEmpty():
         return kept
     once = kept.join(again, id_col, "left_anti")

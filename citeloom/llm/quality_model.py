@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import stored
-from citeloom.llm.quality_rules import labelled_sample
+from citeloom.llm.common import distinct_names
+from citeloom.llm.quality_rules import labelled_sample, sampled
 from citeloom.llm.textstats import COUNTS, RATIOS, text_stats
 
 FEATURES = (*RATIOS, *(c for c in COUNTS if c != "n_words"))
@@ -138,15 +138,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Per row: the id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on).
 
     held_out rows (crc32 of the id as text divisible by `folds`) teach nothing; the model is fitted on at most
-    sample_rows of the others. Inputs are statistics of the whole text only. Null and empty texts have
-    statistics of 0 and get a score like any others; a null id is not held out. Without labels every score
-    is 0.5. An empty table gives an empty table.
+    sample_rows of the other labelled documents, and an id with unlike labels teaches nothing. Inputs are
+    statistics of the whole text only, whatever its length. Null and empty texts have statistics of 0 and get a
+    score like any others; a null id is not held out. Without labels every score is 0.5. Repeated rows get equal
+    scores; an empty table gives an empty table. Other columns, whatever their names, are not read; an id column
+    named like an output or a statistic is an error.
     """
-    stats = stored(text_stats(docs, id_col, text), "model-stats")
+    distinct_names({id_col}, ("held_out", "score", "predicted"))
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-    data = labelled_sample(stats, labels.filter(fold != 0), label, id_col, sample_rows)
-    x = np.column_stack([data[c].astype(float) for c in FEATURES]) if len(data[label]) else np.zeros((0, len(FEATURES)))
-    model = fit_additive(x, data[label].astype(float))
+    data, marks = sampled(labelled_sample(docs, labels.filter(fold != 0), label, id_col, text, sample_rows), FEATURES)
+    x = np.column_stack([data[c].astype(float) for c in FEATURES]) if len(marks) else np.zeros((0, len(FEATURES)))
+    model = fit_additive(x, marks.astype(float))
+    stats = text_stats(docs, id_col, text)
     rows = stats.select(id_col, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), *FEATURES)
     schema = T.StructType([stats.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import free_name
 from citeloom.llm.textstats import COUNTS, RATIOS, text_stats
 
 
@@ -104,22 +104,37 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, id_col: str, rows: int) -> dict[str, np.ndarray]:
-    """At most `rows` labelled rows, the first in the order of a hash of the id; the same ones on every run."""
-    given = labels.select(id_col, label).filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    some = given.orderBy(F.xxhash64(F.lit(3), id_col), id_col).limit(rows)
-    got = stats.join(F.broadcast(some), id_col).orderBy(id_col, "n_words").toPandas()  # `rows` bounds it
-    return {c: got[c].to_numpy() for c in got.columns}
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text: str, rows: int) -> DataFrame:
+    """Statistics (text_stats) and label of at most `rows` labelled documents, the first in the order of a hash of the id.
+
+    An id with unlike labels teaches nothing. Of documents that share an id the one with the least text stands for
+    all, chosen in the tasks that read them, so the sample has one row an id. The same rows come on every run.
+    """
+    given = labels.select(F.col(id_col).alias("__id"), F.col(label).alias("__label")).filter("__label is not null and __id is not null")
+    given = given.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__other")).filter("__label = __other").drop("__other")
+    some = given.orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(rows)
+    # `rows` bounds the broadcast side and, after the grouping, the result
+    met = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(some), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label"))
+    return text_stats(met, "__id", "__text", "__row")
+
+
+def sampled(sample: DataFrame, features: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The sample's features by name, and its labels; in the order of the id."""
+    got = sample.select(*features, F.col("__row.__label").alias("__label"), "__id").orderBy("__id").toPandas()  # bounded by the sample
+    return {c: got[c].to_numpy() for c in features}, got["__label"].to_numpy()
+
+
+def base_failed() -> Column:
+    """Fewer than 10 words, or more than 20 % of them in repeated 5-word windows."""
+    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 12_000, precision: float = 0.9, row: str | None = None) -> DataFrame:
-    """text_stats() with base_failed and rule (0: none holds; -1: the base rule)."""
-    base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    stats = stored(text_stats(docs, id_col, text, row).withColumn("base_failed", base), "rule-stats")
-    plain = stats.drop(row) if row else stats
-    data = labelled_sample(plain.filter(~F.col("base_failed")), labels, label, id_col, sample_rows)
-    bad = np.asarray(data[label] == 0, bool)
+    """text_stats() with base_failed and rule (0: none holds; -1: the base rule). Texts are read twice: the sample's, then all; nothing is written."""
+    data, marks = sampled(labelled_sample(docs, labels, label, id_col, text, sample_rows).filter(~base_failed()), RATIOS)
+    bad = np.asarray(marks == 0, bool)
     rules = learn_rules(data, bad, precision=precision) if bad.any() and not bad.all() else []
+    stats = text_stats(docs, id_col, text, row).withColumn("base_failed", base_failed())
     return stats.withColumn("rule", F.when(F.col("base_failed"), -1).otherwise(verdict(rules)))
 
 
@@ -127,14 +142,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Per row: the id, COUNTS, base_failed, kept and rule (0: none; -1: the base rule).
 
     base_failed: fewer than 10 words, or more than 20 % of them in repeated 5-word windows. Rules are learned
-    from at most sample_rows rows whose label is given (label 0: bad) and that pass the base rule; without
-    labels only the base rule rejects. Null, empty and blank texts have no words and fail. Repeated rows
-    get equal verdicts; an empty table gives an empty table. options: those of judged().
+    from at most sample_rows documents whose label is given (label 0: bad) and that pass the base rule; without
+    labels only the base rule rejects, and an id with unlike labels teaches nothing. Null, empty and blank texts
+    have no words and fail; a text of any length is measured whole. Repeated rows get equal verdicts; an empty
+    table gives an empty table. Other columns, whatever their names, are not read; an id column named like an
+    output is an error. options: those of judged().
     """
     id_col = options.get("id_col", "doc_id")
     return judged(docs, labels, **options).select(id_col, *COUNTS, "base_failed", (F.col("rule") == 0).alias("kept"), "rule")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that quality_rules() keeps, with all their columns; no join, so ids may be null or repeat."""
-    return judged(docs, labels, row="__row", **options).filter("rule = 0").select("__row.*")
+    """The rows that quality_rules() keeps, with all their columns; no join, so ids may be null or repeat and columns may have any name."""
+    row = free_name("__row", docs)
+    return judged(docs, labels, row=row, **options).filter("rule = 0").select(f"{row}.*")

@@ -16,7 +16,7 @@ from citeloom.llm.quality_model import quality_scores
 from citeloom.llm.quality_rules import quality_rules
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
-from citeloom.llm.token_files import read_token_files, write_token_files
+from citeloom.llm.token_files import read_token_files, token_counts, write_token_files
 from citeloom.llm.topk import top_k
 
 
@@ -59,6 +59,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("matches")
 
 
+def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of the first 256 ids of the vocabulary comes in all documents, from the counts in the files."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return token_counts(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")), tuple(range(256)))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -76,5 +82,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_model": op9_quality_model,
     "op10_packing": op10_packing,
+    "token_lookup": token_lookup,
 }
 

@@ -3,6 +3,9 @@
 Rows get global numbers 0..n-1 (hash range of the id first, then the id), a keyed Feistel network
 permutes the numbers, and the permuted number gives shard (remainder) and slot (quotient): any
 worker can compute where a row goes, and the counts of two shards differ by one at most.
+
+Numbers go to distinct (id, crc32, size) first, each with as many as it has rows, so an id that a third of all
+rows share is one row to count and sort; its rows are then written out in pieces.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import distinct_names
+
 #: Rounds of the network, and the walks that one expression can make.
 ROUNDS, MOST_WALKS = 6, 32
 
@@ -60,19 +65,26 @@ def _walks(spark: SparkSession, n: int, seed: int) -> tuple[int, int]:
     raise ValueError(f"no key near {seed} lets all {n} rows walk out")
 
 
-def numbered(df: DataFrame, key: Column, ties: list[Column], buckets: int = 4096) -> DataFrame:
-    """df with row_number (0..n-1, long): by hash bucket of the key, then key, then ties.
+def numbered(df: DataFrame, key: Column, ties: list[Column], buckets: int = 4096, piece: int = 65_536) -> DataFrame:
+    """Every row of df with row_number (0..n-1, long): by hash bucket of the key, then key, then ties.
 
-    Bucket sizes come from a count, so no task sorts all rows and no partition order matters.
+    The columns of df must be known from key and ties. Equal rows are counted first (in the tasks that read them);
+    buckets of distinct rows get their offsets from a sum, so no task sorts all rows; a row that came often is
+    dealt in pieces and multiplied there.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    sizes = df.groupBy(bucket.alias("__bucket")).count()
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__bucket"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(key, *ties))
-    rows = df.withColumn("__bucket", bucket).withColumn("__within", within)
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("__bucket").agg(F.sum("__rows").alias("__all"))
+    before = Window.unboundedPreceding, -1
+    offsets = sizes.select("__bucket", F.coalesce(F.sum("__all").over(Window.orderBy("__bucket").rowsBetween(*before)), F.lit(0)).alias("__before"))
+    within = F.coalesce(F.sum("__rows").over(Window.partitionBy("__bucket").orderBy(key, *ties).rowsBetween(*before)), F.lit(0))
     # at most `buckets` rows of offsets, whatever the size of df
-    return rows.join(F.broadcast(offsets), "__bucket").withColumn("row_number", F.col("__before") + F.col("__within") - 1).drop("__bucket", "__before", "__within")
+    first = rows.withColumn("__within", within).join(F.broadcast(offsets), "__bucket").withColumn("__first", F.col("__before") + F.col("__within"))
+    whole = first.filter(F.col("__rows") <= piece).select(*df.columns, "__first", "__rows")
+    often = first.filter(F.col("__rows") > piece).withColumn("__lo", F.explode(F.sequence(F.lit(0), F.col("__rows") - 1, F.lit(piece))))
+    parts = often.select(*df.columns, (F.col("__first") + F.col("__lo")).alias("__first"), F.least(F.lit(piece), F.col("__rows") - F.col("__lo")).alias("__rows"))
+    dealt = whole.unionByName(parts.repartition("__first"))
+    return dealt.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__rows") - 1))).select(*df.columns, (F.col("__first") + F.col("__i")).alias("row_number"))
 
 
 def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text: str = "text", seed: int = 17, buckets: int = 4096) -> DataFrame:
@@ -80,10 +92,12 @@ def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text: str =
 
     Law `rows`: the counts of any two shards differ by one at most, whatever the sizes; equal texts are
     placed apart like any other rows. grown_shard is null: only a key-based law defines it. A null text
-    counts as empty (size 16, crc32 0). Rows with equal or null ids are ordered by crc32 and size; those
-    equal in all three may swap places. An empty table gives an empty table. Reruns and other partition
-    counts give the same shards.
+    counts as empty (size 16, crc32 0); of a text of any length only size and crc32 move. Rows with equal or null
+    ids are ordered by crc32 and size; those equal in all three are alike in the result. An empty table gives an
+    empty table. Reruns and other partition counts give the same shards. Other columns, whatever their names, are
+    not read; an id column named like an output is an error.
     """
+    distinct_names({id_col}, ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_number", "place"))
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(raw).cast("long") + 16).alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"))

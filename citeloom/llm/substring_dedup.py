@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send, short
+from citeloom.llm.common import Scratch, scratch_of
 from citeloom.llm.textarrays import Words, inside, joined, windows
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -63,16 +64,18 @@ def repeated_starts(words: Words, starts: np.ndarray, window: int, counts: np.nd
     return starts[(counts[group] & 127) >= 2]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, chunk_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, chunk_bytes: int | None = None, prefix: str = "", scratch: Scratch | None = None) -> DataFrame:
     """Every row of docs with n_words, n_removed, kept_text (kept words joined by one space) and removed_spans (word positions).
 
     A word goes if any window of `window` words that covers it starts elsewhere too, in the same text or
     another; windows are judged on the input. Null texts count as empty: no words, kept_text ''. Texts
-    shorter than the window stay whole; repeated rows are separate occurrences, so their windows go from
-    both. An empty table gives an empty table. Input columns named like an output column are replaced.
+    shorter than the window stay whole; a text of any length is judged whole. Repeated rows are separate
+    occurrences, so their windows go from both. An empty table gives an empty table. prefix: put in front of the
+    four new names; input columns that still have one of them are replaced.
     """
+    scratch = scratch_of(docs, scratch, "repeats")
     block = (window + 1) // 2
-    chunks = chunked(docs, text, *([chunk_bytes] if chunk_bytes else []))
+    chunks = chunked(docs, text, scratch, *([chunk_bytes] if chunk_bytes else []))
     buckets = bucket_count(chunks)
 
     def probe(chunk_id, rows):
@@ -88,8 +91,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, chunk_
         keys, counts, second, _ = distinct(first, second=second)
         return pa.Table.from_batches([send(chunk_id, 2, keys, counts, buckets, second)])
 
-    kept_fields = [f for f in docs.schema.fields if f.name not in OUT]
-    schema = T.StructType([*kept_fields, *(T.StructField(n, t) for n, t in OUT.items())])
+    named = {f"{prefix}{n}": t for n, t in OUT.items()}
+    kept_fields = [f for f in docs.schema.fields if f.name not in named]
+    schema = T.StructType([*kept_fields, *(T.StructField(n, t) for n, t in named.items())])
 
     def remove(chunk_id, rows, answers):
         words = Words(rows[text])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.llm.common import distinct_names
 from citeloom.llm.textarrays import SPACE, Words, inside, windows
 from citeloom.llm.tokens import slices
 
@@ -91,7 +92,11 @@ def batch_stats(texts: pa.Array, k: int = 5) -> tuple[dict[str, np.ndarray], dic
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """Per row: the id, COUNTS and RATIOS of the whole text; and the whole input row as a struct, if a name is given for it."""
+    """Per row: the id, COUNTS and RATIOS of the whole text; and the whole input row as a struct, if a name is given for it.
+
+    Other columns are not read; an id column named like a statistic is an error.
+    """
+    distinct_names({id_col}, (*COUNTS, *RATIOS, "base_failed", "kept", "rule"))
     whole = [T.StructField(row, docs.schema)] if row else []
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS), *whole])
 

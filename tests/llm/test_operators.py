@@ -2,25 +2,29 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import Scratch, shared_dir
 from citeloom.llm.components import components
 from citeloom.llm.licenses import PHRASES, TEMPLATES, scan_licenses
-from citeloom.llm.mixing import mixed, mixed_rows
+from citeloom.llm.mixing import large_first, mixed, mixed_rows
 from citeloom.llm.ngram_join import jaccard_components, without_copies
 from citeloom.llm.packing import best_fit, packed, pieces
 from citeloom.llm.quality_model import fit_additive, quality_scores
-from citeloom.llm.quality_rules import kept_rows, learn_rules, quality_rules
+from citeloom.llm.quality_rules import kept_rows, labelled_sample, learn_rules, quality_rules
 from citeloom.llm.sharding import sharded
 from citeloom.llm.substring_dedup import remove_repeats
-from citeloom.llm.token_files import read_token_files, write_token_files
+from citeloom.llm.token_files import read_token_files, token_counts, token_places, write_token_files
 from citeloom.llm.topk import top_k
+from citeloom.llm.wavelet import BLOCK, WaveletMatrix, build
 
 DOCS = "doc_id long, text string, source string"
 TOKENIZERS = pytest.importorskip("public_tokenizers")
@@ -103,7 +107,49 @@ def test_sharding(docs, rows, odd):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     again = {r.doc_id: (r.shard, r.slot) for r in sharded(docs.repartition(2), 7).collect()}
     assert again == {r.doc_id: (r.shard, r.slot) for r in got}
-    assert sorted(r.place for r in sharded(odd, 4).collect()) == list(range(6)) and sharded(odd.limit(0), 4).count() == 0
+    a = sorted(tuple(r) for r in sharded(odd, 4).select("size", "text_crc32", "shard", "slot", "place").collect())
+    assert sorted(r[4] for r in a) == list(range(6)) and sharded(odd.limit(0), 4).count() == 0
+    assert sorted((s, c) for s, c, *_ in a) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, _ in ODD)
+    assert all((p % 4, p // 4) == (h, s) for _, _, h, s, p in a)
+    clash = docs.withColumn("row_number", F.lit("x")).withColumn("place", F.lit("y"))
+    assert {r.doc_id: (r.shard, r.slot) for r in sharded(clash, 7).collect()} == again
+    with pytest.raises(ValueError, match="rename"):
+        sharded(docs.withColumnRenamed("doc_id", "size"), 4, id_col="size")
+
+
+def test_permutation_is_a_feistel_network(spark):
+    """The places against a plain Feistel network with the same round function, walked until they are in range."""
+    n, seed = 101, 17
+    side_a, side_b = 11, 10
+    assert side_a * side_b >= n
+    table = {(r, x): h for r in range(6) for x, h in enumerate(row.h for row in spark.range(side_a).select(F.xxhash64(F.lit(seed), F.lit(r), F.col("id")).alias("h")).collect())}
+
+    def once(x):
+        left, right = divmod(x, side_b)
+        for r in range(6):
+            if r % 2 == 0:
+                left = (left + table[r, right] % side_a) % side_a
+            else:
+                right = (right + table[r, left] % side_b) % side_b
+        return left * side_b + right
+
+    def walk(x):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        return x
+
+    got = sharded(spark.range(n).selectExpr("id doc_id", "'' text"), 3).collect()
+    assert all(r.place == walk(r.row_number) for r in got)
+
+
+def test_numbers_of_a_hot_id(spark):
+    """An id with most of the rows is dealt in pieces; numbers stay gapless."""
+    from citeloom.llm.sharding import numbered
+
+    df = spark.range(1000).selectExpr("if(id < 700, null, id) doc_id", "cast(id % 2 as long) size")
+    rows = numbered(df, F.col("doc_id"), [F.col("size")], buckets=8, piece=32).collect()
+    assert sorted(r.row_number for r in rows) == list(range(1000)) and sum(r.doc_id is None for r in rows) == 700
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 6, 50, 101])
@@ -129,6 +175,20 @@ def test_top_k(spark):
     assert top_k(few.limit(0), few).count() == 0 and top_k(few, few.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Large finite components take part exactly; what no long can hold is an error, never a wrong score."""
+    big = spark.createDataFrame([(0, [1.0]), (1, [2.0**48]), (2, [-(2.0**48)]), (3, [2.0**47 + 1])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(big, big.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 64 * 2**54), (3, 64 * (2**53 + 64)), (2, -64 * 2**54)]
+    for rows in ([(0, [1e300]), (1, [1.0])], [(0, [2.0**40]), (1, [2.0**40])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large|does not fit"):
+            top_k(df, df.filter("vec_id = 0")).collect()
+    same = spark.createDataFrame([(i % 3, [1.0, 2.0]) for i in range(300)], "vec_id long, embedding array<double>").withColumn("block", F.lit("x"))
+    got = top_k(same, same.filter("vec_id = 0"), 5, candidate_rows=16).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got)] == [(i, 1, 20480) for i in range(1, 6)]
+
+
 def test_mixing(docs, rows, odd):
     size = {i: len((t or "").encode().split()) for i, t, _ in rows}
     per = collections.Counter()
@@ -150,11 +210,40 @@ def test_mixing(docs, rows, odd):
         assert r.size == size[r.doc_id] and r.source_size == per[r.source] and abs(r.target - target[r.source]) < 1e-6
         assert r.taken == r.copies * r.size <= 3 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 60 for s in order if s != "s2")
+    for s in order:
+        # what any choice must miss where one document is most of a source, and a landing within a few words or 0.2 % beyond it
+        most, due = max(r.size for r in got if r.source == s), (target[s] / per[s] - int(target[s] / per[s] + 1e-9)) * per[s]
+        least = min(abs(due - t * most - min(max(due - t * most, 0), per[s] - most)) for t in (0, 1))
+        assert abs(taken[s] - target[s]) <= least + max(0.002 * target[s], 12)
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in mixed(docs.repartition(3), block_rows=16, fan_in=2).collect())
     copies = {r.doc_id: r.copies for r in mixed(docs).collect()}
     assert collections.Counter(r.doc_id for r in mixed_rows(docs).collect()) == {i: c for i, c in copies.items() if c}
-    assert mixed(odd).count() == 6 and mixed(odd.limit(0)).count() == 0
+    got = sorted(((r.doc_id, r.size, r.source_size, r.copies <= 3) for r in mixed(odd).collect()), key=str)
+    assert got == sorted([(None, 0, 0, True), (None, 0, 0, True), (1, 0, 0, True), (2, 2, 6, True), (2, 2, 6, True), (3, 2, 6, True)], key=str)
+    assert mixed(odd.limit(0)).count() == 0 and mixed(odd.withColumn("prob", F.lit("x")).withColumn("size", F.lit("y"))).count() == 6
+    many = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert mixed(many, block_rows=16, fan_in=2).count() == len(rows)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_large_documents_first(seed):
+    """Documents far above the mean are 0 or 1 after the first step, and the words due stay the same."""
+    g = np.random.default_rng(seed)
+    size = np.concatenate((g.integers(50, 400, 900), [20_000, 12_000, 9_000])).astype(float)
+    for p in (0.1, 0.37, 0.9):
+        prob = np.full(len(size), p)
+        out = large_first(size, prob, np.random.default_rng(seed))
+        assert ((out >= 0) & (out <= 1)).all() and set(out[-3:]) <= {0.0, 1.0}
+        assert abs(out @ size - prob @ size) < 1e-6 * size.sum()
+
+
+def test_mix_of_the_driver_tables(spark):
+    """Every source of the driver's documents, also those with one huge text, comes within 0.2 % of its target."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    per = mixed(spark.read.parquet(path)).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
+    assert all(abs(r.taken - r.target) <= 0.002 * r.target for r in per)
 
 
 def shingles(text, k=4):
@@ -257,17 +346,46 @@ def test_licenses(spark, rows, odd):
     for i, t, _ in every:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
         starts = [(a, label) for p, label in PHRASES.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
-        base, found = {x for _, x in starts}, {}
+        base, found = {x for _, x in starts}, []
         for label, template in TEMPLATES:
-            tw = template.split()
-            span, own = math.ceil(len(tw) * 1.5), set(tw)
-            best = max((len(set(w[a : a + span]) & own) / len(own) for a in range(len(w)) if w[a] in own), default=0)
-            if best >= 0.9:
-                found[label] = max(best, found.get(label, 0))
+            found += [(label, *m) for m in blocks_brute(w, template.split(), 0.9, 1.5)]
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(starts), min((a for a, _ in starts), default=None), max((a for a, _ in starts), default=None))
-        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | set(found)))) and abs(r.score - (1.0 if base else max(found.values(), default=0.0))) < 1e-12
-    assert scan_licenses(odd).count() == 6 and scan_licenses(odd.limit(0)).count() == 0
+        assert sorted((m.label, m.first_word, m.end_word, round(m.containment, 9)) for m in r.matches) == sorted((k, a, b, round(x, 9)) for k, a, b, x in found)
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | {m[0] for m in found}))) and abs(r.score - (1.0 if base else max((m[3] for m in found), default=0.0))) < 1e-12
+    got = sorted(((r.doc_id, r.n_words, r.labels, r.score, r.matches) for r in scan_licenses(odd.withColumn("labels", F.lit(1))).collect()), key=str)
+    assert got == sorted([(None, 0, "", 0.0, []), (None, 0, "", 0.0, []), (1, 0, "", 0.0, []), (2, 2, "", 0.0, []), (2, 2, "", 0.0, []), (3, 2, "", 0.0, [])], key=str)
+    assert scan_licenses(odd.limit(0)).count() == 0
+
+
+def blocks_brute(w, template, threshold, stretch):
+    """Every block of a text around every place of a template word that holds enough; overlapping ones as one."""
+    own, span, out = set(template), math.ceil(len(template) * stretch), []
+    for a in range(len(w)):
+        if w[a] in own:
+            ends = [b for b in range(a, min(len(w), a + span)) if w[b] in own]
+            share = len({w[b] for b in ends}) / len(own)
+            if len({w[b] for b in ends}) >= math.ceil(threshold * len(own) - 1e-9):
+                if out and a < out[-1][1]:
+                    out[-1] = (out[-1][0], max(out[-1][1], ends[-1] + 1), max(out[-1][2], share))
+                else:
+                    out.append((a, ends[-1] + 1, share))
+    return out
+
+
+def test_license_tables(spark):
+    """Templates as a table of random word sets; every place in long texts; several scans give what one gives."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    table = [(f"t{k}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for k in range(40)] + [("none", ""), ("null", None)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 5, 40, 600]))) + " " + " ".join(rng.choice(table[:40])[1] for _ in range(4))) for i in range(30)]
+    docs, templates = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(table, "label string, words string")
+    want = {i: sorted((label, a, b, round(x, 9)) for label, t in table if t for a, b, x in blocks_brute(text.split(), t.split(), 0.75, 1.5)) for i, text in texts}
+    for most in (2_000_000, 30):
+        got = {r.doc_id: sorted((m.label, m.first_word, m.end_word, round(m.containment, 9)) for m in r.matches) for r in scan_licenses(docs, templates=templates, threshold=0.75, most_words=most).collect()}
+        assert got == want
+    forty = spark.createDataFrame([(1, "x " * 50 + ("all rights reserved " + "y " * 9) * 40)], "doc_id long, text string")
+    assert len(scan_licenses(forty).first().matches) == 40
 
 
 def encoded(rows, end):
@@ -287,7 +405,41 @@ def test_token_files(docs, rows, odd):
     got = read_token_files(files, docs.schema["doc_id"])
     assert sorted(tuple(r)[:4] for r in got.collect()) == want
     again = read_token_files(write_token_files(odd, PATH), odd.schema["doc_id"])
-    assert sorted(r.start for r in again.collect()) == [0, 1, 2, 3, 6, 9] and read_token_files(write_token_files(odd.limit(0), PATH), odd.schema["doc_id"]).count() == 0
+    assert sorted(r.start for r in again.collect()) == [0, 1, 2, 3, 6, 9]
+    assert read_token_files(write_token_files(odd.limit(0), PATH), odd.schema["doc_id"]).count() == 0
+
+
+def test_lookup_in_token_files(docs, rows):
+    """Counts and places of ids from the files' rank and select, against the ids themselves."""
+    ids = encoded(rows, 1)
+    files, field = write_token_files(docs, PATH, shard_bytes=3000, partitions=3), docs.schema["doc_id"]
+    often = collections.Counter(x for v in ids.values() for x in v.tolist())
+    tokens = (1, 0, 49_151, 70_000, *(t for t, _ in often.most_common(5)), *(t for t, _ in often.most_common()[-5:]))
+    assert {r.token: r.n for r in token_counts(files, tokens).collect()} == {t: often[t] for t in tokens}
+    want = sorted((i, t, p) for i, v in ids.items() for t in set(tokens) for p in np.flatnonzero(v == t).tolist())
+    assert sorted(map(tuple, token_places(files, field, tuple(set(tokens))).collect())) == want
+
+
+@pytest.mark.parametrize("n, top", [(0, 5), (1, 1), (7, 3), (BLOCK - 1, 2), (BLOCK, 50), (BLOCK + 9, 70_000), (3 * BLOCK, 4)])
+def test_wavelet(n, top):
+    g = np.random.default_rng(n)
+    ids = (g.integers(0, top, n) * g.integers(0, 2, n)).astype(np.uint32)
+    file = build(ids, pa.table({"n_tokens": pa.array([n])}))
+    w = WaveletMatrix(file)
+    assert w.n == n and w.unpacked == 0 and w.texts["n_tokens"].to_pylist() == [n]
+    for i in g.integers(0, n, min(n, 20)).tolist():
+        assert w.access(i) == ids[i]
+    assert w.unpacked <= w.bits * w.n_blocks
+    for t in {0, 1, top, int(ids[0]) if n else 0, 1 << 20}:
+        at = np.flatnonzero(ids == t)
+        assert w.count(t) == len(at) and w.places(t).tolist() == at.tolist() and w.select(t, len(at)) == -1 == w.select(t, -1)
+        assert all(w.select(t, k) == at[k] for k in {0, len(at) // 2, len(at) - 1} if len(at)) and w.places(t, 1, 2).tolist() == at[1:3].tolist()
+        assert all(w.rank(t, i) == int((ids[:i] == t).sum()) for i in {0, n // 3, n})
+    assert w.all().tolist() == ids.tolist()
+    if n > 2 * BLOCK:
+        one = WaveletMatrix(file)
+        one.access(5)
+        assert one.unpacked <= 2 * one.bits  # a block or two a plane, not the file
 
 
 @pytest.mark.parametrize("block", [16384, 20])
@@ -308,7 +460,12 @@ def test_packing(docs, rows, odd, block):
             end += n
         assert end <= 256
     assert len(bins) <= 1.03 * len(best_fit(np.array([v[1] for v in want.values()]), 256)[2]) + 2
-    assert packed(pieces(odd, PATH)).count() == 6 and packed(pieces(odd.limit(0), PATH)).count() == 0
+    got = packed(pieces(odd.withColumn("bin", F.lit("x")).withColumn("length", F.lit(1)), PATH)).collect()
+    assert sorted((str(r.doc_id), r.piece, r.length) for r in got) == sorted([("None", 0, 1), ("None", 0, 1), ("1", 0, 1), ("2", 0, 3), ("2", 0, 3), ("3", 0, 3)])
+    assert len({r.sequence_id for r in got}) == 1 and sorted(r.offset for r in got) == [0, 3, 6, 9, 10, 11]
+    assert packed(pieces(odd.limit(0), PATH)).count() == 0
+    with pytest.raises(ValueError, match="rename"):
+        pieces(odd.withColumnRenamed("doc_id", "piece"), PATH, id_col="piece")
 
 
 def test_additive_model(spark, odd):
@@ -326,4 +483,44 @@ def test_additive_model(spark, odd):
     assert all(r.predicted == int(r.doc_id % 3 > 0) for r in got if r.held_out)
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert sorted((r.doc_id, r.score) for r in quality_scores(spark.createDataFrame(rows, DOCS), flipped).collect()) == sorted((r.doc_id, r.score) for r in got)
-    assert {r.score for r in quality_scores(odd, labels.limit(0)).collect()} == {0.5} and quality_scores(odd.limit(0), labels).count() == 0
+    assert sorted(((r.doc_id, r.held_out, r.score, r.predicted) for r in quality_scores(odd.withColumn("score", F.lit("x")), labels.limit(0)).collect()), key=str) == sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, 0.5, 1) for i, _, _ in ODD), key=str)
+    assert quality_scores(odd.limit(0), labels).count() == 0
+
+
+def test_sample_of_labels(spark):
+    """One row an id however many documents share it, and none of an id with unlike labels."""
+    docs = spark.createDataFrame([(1, f"a b {i}") for i in range(500)] + [(2, "c"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (9, 1)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", "doc_id", "text", 100).select("__id", "n_words", "__row.__label").collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 1), (3, 0, 0)]
+
+
+@pytest.mark.parametrize("threshold, held", [(0.3, True)])
+def test_quality_of_the_driver_tables(spark, threshold, held):
+    """Held-out labels of the driver's documents: the classifier ranks them, and the learned rules agree with most."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = {r.doc_id: r for r in quality_scores(docs, labels, threshold=threshold).collect()}
+    y = [(r.quality, out[r.doc_id].score) for r in labels.collect() if out[r.doc_id].held_out == held]
+    good, bad = [s for q, s in y if q == 1], [s for q, s in y if q == 0]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad) > 0.98
+    # rules learned without the held-out labels
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    kept = {r.doc_id: r for r in quality_rules(docs, labels.filter(fold != 0)).collect()}
+    told = [(r.quality, kept[r.doc_id]) for r in labels.filter(fold == 0).collect()]
+    assert sum(k.kept for q, k in told if q == 0) <= 0.1 * sum(q == 0 for q, _ in told)
+    assert sum(not k.kept and not k.base_failed for q, k in told if q == 1) <= 0.02 * sum(q == 1 for q, _ in told)
+
+
+def test_scratch(spark):
+    """A scratch removes its own tables only, and the session's batch size comes back."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    a, b = Scratch(spark, "x"), Scratch(spark, "x")
+    one, two = a.stored(spark.range(3), "t"), b.stored(spark.range(4), "t")
+    a.remove()
+    assert two.count() == 4 and a.path != b.path and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        one.collect()
+    assert shared_dir(spark) in b.path
