@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from citeloom.operators.retrieval import leveled
 
 ITEM = "array<struct<condition:string,necessary:boolean,satisfied:boolean>>"
-#: Words of doubt that count as not satisfied.
-DOUBT = ("unknown", "uncertain", "unclear", "maybe", "null", "none", "")
+#: Words of doubt that count as not satisfied, and the words, numbers and spellings that are booleans.
+DOUBT = ("unknown", "unclear", "uncertain", "insufficient", "n/a", "none", "null")
+TRUE, FALSE = ("true", "t", "yes", "y", "on", "1"), ("false", "f", "no", "n", "off", "0")
+
+
+def _boolean(item: Column, path: str, doubt: bool = False) -> Column:
+    """A JSON value as a boolean: itself, 0 or 1, or a word for either; null for anything else. doubt: words of doubt are false."""
+    kind = F.schema_of_variant(F.try_variant_get(item, path, "variant"))
+    text, number = F.lower(F.try_variant_get(item, path, "string")), F.try_variant_get(item, path, "double")
+    word = F.when(text.isin(*TRUE), True).when(text.isin(*FALSE), False)
+    word = F.when(F.trim(text).isin(*DOUBT), False).otherwise(word) if doubt else word
+    return F.when(kind == "BOOLEAN", F.try_variant_get(item, path, "boolean")).when(kind == "STRING", word).when(number == 1, True).when(number == 0, False)
 
 
 def parsed_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """answers with topically_relevant, checklist and parse_error.
 
-    Fences are stripped; a topical flag that is no boolean is true; doubtful satisfied values are false; items
-    without a condition are dropped, and an answer without items is an error.
+    Code fences go wherever they stand. A topical flag that is no JSON boolean is true. An item needs a condition (a
+    string, which may be blank) and two booleans: true or false, 0 or 1, or a word for one (TRUE, FALSE); a satisfied
+    flag of doubt is false. Items that lack one of these are dropped. An answer that is no JSON object, or keeps no
+    item, is an error with an empty checklist.
     """
-    text = F.regexp_replace(raw, "(?s)^\\s*```(?:json)?\\s*|\\s*```\\s*$", "")
-    p = F.from_json(text, "topically_relevant string, checklist array<struct<condition:string,necessary:string,satisfied:string>>", {"mode": "PERMISSIVE"})
-    truth = lambda c, other: F.when(F.lower(c) == "true", True).when(F.lower(c) == "false", False).otherwise(other)
-    good = F.filter(F.coalesce(p["checklist"], F.array().cast("array<struct<condition:string,necessary:string,satisfied:string>>")), lambda i: i["condition"].isNotNull() & (F.trim(i["condition"]) != ""))
-    items = F.transform(good, lambda i: F.struct(i["condition"].alias("condition"), truth(i["necessary"], True).alias("necessary"), truth(F.when(F.lower(i["satisfied"]).isin(*DOUBT), "false").otherwise(i["satisfied"]), False).alias("satisfied")))
-    return answers.withColumn("topically_relevant", truth(p["topically_relevant"], True)).withColumn("checklist", items).withColumn("parse_error", F.size("checklist") == 0)
+    body = F.try_parse_json(F.trim(F.replace(F.replace(F.col(raw), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))))
+    items = F.try_variant_get(body, "$.checklist", "array<variant>")
+    text = lambda i: F.when(F.schema_of_variant(F.try_variant_get(i, "$.condition", "variant")) == "STRING", F.try_variant_get(i, "$.condition", "string"))
+    made = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda i: F.struct(text(i).alias("condition"), _boolean(i, "$.necessary").alias("necessary"), _boolean(i, "$.satisfied", True).alias("satisfied")))
+    good = F.filter(made, lambda i: i["condition"].isNotNull() & i["necessary"].isNotNull() & i["satisfied"].isNotNull())
+    topical = F.when(F.schema_of_variant(F.try_variant_get(body, "$.topically_relevant", "variant")) == "BOOLEAN", F.try_variant_get(body, "$.topically_relevant", "boolean"))
+    return answers.withColumn("topically_relevant", F.coalesce(topical, F.lit(True))).withColumn("checklist", good.cast(ITEM)).withColumn("parse_error", F.size("checklist") == 0)
 
 
 def decided(checklist: Column, bar: float = 0.6) -> Column:

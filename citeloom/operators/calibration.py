@@ -10,27 +10,56 @@ from pyspark.sql import functions as F
 from citeloom.operators.metrics import auroc, cumulative, spearman
 
 
-def _shuffled(key: str, stratum: str, seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
+def shuffled(df: DataFrame, key: str, stratum: str, seed: int, buckets: int = 1024) -> DataFrame:
+    """df with __place (from 1) in the order of a hash of the key and seed within its stratum (nulls are one), and __size, the stratum's rows.
+
+    Rows are numbered in hash buckets, which get their offsets from the buckets' counts, so few large strata do not
+    end in few tasks.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    rows = df.withColumns({"__hash": h, "__bucket": F.shiftrightunsigned(h, 64 - (buckets - 1).bit_length())})
+    counts = rows.groupBy(F.col(stratum).alias("__stratum"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__stratum")
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__stratum", "__b", before.alias("__before"), F.sum("__n").over(w).alias("__size"))
+    within = F.row_number().over(Window.partitionBy(stratum, "__bucket").orderBy("__hash", key))
+    placed = rows.withColumn("__within", within).join(offsets, F.col(stratum).eqNullSafe(F.col("__stratum")) & (F.col("__bucket") == F.col("__b")))
+    return placed.withColumn("__place", F.col("__before") + F.col("__within")).drop("__hash", "__bucket", "__stratum", "__b", "__before", "__within")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float, seed: int = 42) -> DataFrame:
     """df with is_test: round(n * fraction), half to even, of each stratum, by a hash of the key and seed."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return df.withColumn("is_test", _shuffled(key, stratum, seed) <= F.bround(size * fraction))
+    return shuffled(df, key, stratum, seed).withColumn("is_test", F.col("__place") <= F.bround(F.col("__size") * fraction)).drop("__place", "__size")
 
 
 def stratified_folds(df: DataFrame, key: str, stratum: str, k: int, seed: int = 42) -> DataFrame:
     """df with fold (0..k-1), dealt in turn within each stratum."""
-    return df.withColumn("fold", (_shuffled(key, stratum, seed) - 1) % k)
+    return shuffled(df, key, stratum, seed).withColumn("fold", ((F.col("__place") - 1) % k).cast("int")).drop("__place", "__size")
+
+
+#: The weights that the search tries.
+GRID = {
+    "feature_weight": (0.3, 0.4, 0.5), "ruling_weight": (0.3, 0.4, 0.5), "graph_support_weight": (0.0, 0.1, 0.15, 0.2), "missing_channel_penalty": (0.1, 0.15, 0.2), "routing_uncertainty_weight": (0.1, 0.15, 0.2),
+    "ambiguity_penalty": (0.05, 0.1, 0.15),
+}
+
+
+def weight_configs(spark, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
+    """config_id (in the order of the grid), its weights and article_weight, for feature and ruling weights of 1 at most together."""
+    size, columns = 1, []
+    for name, values in reversed(grid.items()):
+        columns.append(F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("config_id") / size) % len(values) + 1).cast("int")).alias(name))
+        size *= len(values)
+    rows = spark.range(size).withColumnRenamed("id", "config_id").select("config_id", *reversed(columns))
+    return rows.filter(F.col("feature_weight") + F.col("ruling_weight") <= 1).withColumn("article_weight", F.round(1 - F.col("feature_weight") - F.col("ruling_weight"), 3))
 
 
 def grid_search(rows: DataFrame, configs: DataFrame, score: Column, target: str, fold: str = "fold") -> DataFrame:
     """config_id and mean_score: each config's Spearman with the target, averaged over folds; best first, ties to the first config.
 
-    configs is a table of some thousand rows at most; it is the broadcast side by its size.
+    Every row is scored by every config, which is the search; Spark picks the join by the size of the config table.
     """
-    scored = rows.crossJoin(F.broadcast(configs.limit(100_000))).select("config_id", fold, target, score.alias("__score"))
+    scored = rows.crossJoin(configs).select("config_id", fold, target, score.alias("__score"))
     per = spearman(scored, "__score", target, ["config_id", fold])
     return per.groupBy("config_id").agg(F.avg("spearman").alias("mean_score")).orderBy(F.desc("mean_score"), "config_id")
 
@@ -106,21 +135,28 @@ def conformal_quantiles(scores: DataFrame, alphas: list[float], s: str = "s") ->
 
 def prediction_sets(pool: DataFrame, thresholds: DataFrame) -> DataFrame:
     """pool rows with 1 - score at most each alpha's threshold."""
-    return pool.join(F.broadcast(thresholds.limit(10_000)), 1 - F.col("score") <= F.col("threshold"))
+    return pool.join(thresholds, 1 - F.col("score") <= F.col("threshold"))
 
 
-def conformal_report(pool: DataFrame, gold: DataFrame, queries: DataFrame, thresholds: DataFrame, mode: str = "all", key: str = "query_id", item: str = "ref") -> DataFrame:
-    """Per alpha: coverage and mean set size. A query without gold counts as covered; an infinite threshold takes the whole pool."""
-    members = prediction_sets(pool, thresholds).select("alpha", key, item).distinct()
-    frame = queries.select(key).distinct().crossJoin(F.broadcast(thresholds.select("alpha").limit(10_000)))
-    sizes = members.groupBy("alpha", key).agg(F.count(F.lit(1)).alias("size"))
+def set_sizes(pool: DataFrame, gold: DataFrame, queries: DataFrame, thresholds: DataFrame, mode: str = "all", key: str = "query_id", item: str = "ref") -> DataFrame:
+    """alpha, key, size and covered (0 or 1) of every query at every alpha. A query without gold counts as covered; an infinite threshold takes the whole pool."""
+    members = prediction_sets(pool, thresholds).groupBy("alpha", key, item).agg(F.count(F.lit(1)).alias("times"))
+    frame = queries.select(key).distinct().crossJoin(thresholds.select("alpha"))
+    sizes = members.groupBy("alpha", key).agg(F.sum("times").alias("size"))
     real = gold.filter(F.col(item).isNotNull()).select(key, item).distinct()
     goals = real.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold"))
     hits = members.join(real, [key, item], "left_semi").groupBy("alpha", key).agg(F.count(F.lit(1)).alias("hits"))
     rows = frame.join(sizes, ["alpha", key], "left").join(goals, key, "left").join(hits, ["alpha", key], "left")
     got, due = F.coalesce("hits", F.lit(0)), F.coalesce("n_gold", F.lit(0))
     covered = (due == 0) | ((got == due) if mode == "all" else (got > 0))
-    return rows.select("alpha", key, F.coalesce("size", F.lit(0)).alias("size"), covered.cast("int").alias("covered")).groupBy("alpha").agg(F.avg("covered").alias("coverage"), F.avg("size").alias("mean_size"), F.count(F.lit(1)).alias("n"))
+    return rows.select("alpha", key, F.coalesce("size", F.lit(0)).alias("size"), covered.cast("int").alias("covered"))
+
+
+def conformal_report(pool: DataFrame, gold: DataFrame, queries: DataFrame, thresholds: DataFrame, mode: str = "all", key: str = "query_id", item: str = "ref", share: float = 0.1) -> DataFrame:
+    """Per alpha: coverage, ecr (the same in percent), mean set size, n, and worst_coverage: in percent, the least among the set sizes of coverage_by_size()."""
+    sized = set_sizes(pool, gold, queries, thresholds, mode, key, item)
+    out = sized.groupBy("alpha").agg(F.avg("covered").alias("coverage"), (100 * F.avg("covered")).alias("ecr"), F.avg("size").alias("mean_size"), F.count(F.lit(1)).alias("n"))
+    return out.join(coverage_by_size(sized, share).select("alpha", (100 * F.col("worst_coverage")).alias("worst_coverage")), "alpha", "left")
 
 
 def coverage_by_size(sized: DataFrame, share: float = 0.1) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.features import ngrams
+from citeloom.operators.features import ngrams, with_lengths
 from citeloom.operators.vectors import cosine_top_k
 
 
-def vocabulary_matches(queries: DataFrame, vocab: DataFrame, stop_terms: list[str] = (), most: int = 5) -> DataFrame:
+def vocabulary_matches(queries: DataFrame, vocab: DataFrame, stop_terms: list[str] = ()) -> DataFrame:
     """query_id, category, canonical, position: vocabulary terms that occur in the query as whole token runs, in vocabulary order.
 
     queries: query_id, tokens; vocab: category, canonical, raw, ord. Over-generic canonicals are left out.
     """
-    runs = queries.select("query_id", F.explode(ngrams(F.col("tokens"), most)).alias("g")).select("query_id", F.col("g.gram").alias("raw")).distinct()
+    runs = with_lengths(queries.select("query_id", "tokens"), vocab).select("query_id", F.explode(ngrams(F.col("tokens"), F.col("__lengths"))).alias("g")).select("query_id", F.col("g.gram").alias("raw")).distinct()
     hit = runs.join(vocab, "raw")
     if stop_terms:
         hit = hit.filter(~F.col("canonical").isin(list(stop_terms)))
@@ -27,7 +27,11 @@ def feature_channel(matches: DataFrame, features: DataFrame, k: int) -> DataFram
 
     Order: the match's position, then the ruling. features: ruling_id, category, value, quote.
     """
-    rows = matches.join(features.withColumnRenamed("value", "canonical"), ["category", "canonical"])
+    one = features.groupBy("category", "value", "ruling_id").agg(F.min(F.struct("quote"))["quote"].alias("quote"))
+    # A match gives k rows at most, and fewer than k of its rulings can have come by an earlier match of the same value.
+    first = F.row_number().over(Window.partitionBy("category", "value").orderBy("ruling_id"))
+    few = one.withColumn("r", first).filter(F.col("r") <= 2 * k).drop("r")
+    rows = matches.join(few.withColumnRenamed("value", "canonical"), ["category", "canonical"])
     one = rows.groupBy("query_id", "ruling_id", F.col("canonical").alias("value")).agg(F.min(F.struct("position", "category", "quote")).alias("x"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("x.position", "ruling_id", "value"))
     out = one.withColumn("rank", rank).filter(F.col("rank") <= k)

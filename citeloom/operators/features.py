@@ -13,18 +13,26 @@ from citeloom.functions.text import match_key
 from citeloom.operators.vocabulary import index
 
 
-def ngrams(tokens: Column, most: int) -> Column:
-    """All runs of 1 to `most` tokens, joined by a space, as struct(n, gram)."""
-    of = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-    return F.concat(*(of(n) for n in range(1, most + 1)))
+def ngrams(tokens: Column, lengths: Column) -> Column:
+    """All runs of `lengths` (an array of ints) tokens, joined by a space, as struct(n, gram)."""
+    fit = F.filter(lengths, lambda n: n <= F.size(tokens))
+    runs = F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"))))
+    return F.flatten(runs)
 
 
-def resolved(values: DataFrame, vocab: DataFrame, most: int = 5, key=match_key, split: str = "\\s+") -> DataFrame:
+def with_lengths(rows: DataFrame, terms: DataFrame, raw: str = "raw", split: str = "\\s+") -> DataFrame:
+    """rows with __lengths: the numbers of tokens that the terms have, each once (one small row for all)."""
+    lengths = terms.agg(F.array_sort(F.collect_set(F.size(F.filter(F.split(raw, split), lambda t: t != "")))).alias("__lengths"))
+    return rows.crossJoin(F.broadcast(lengths))
+
+
+def resolved(values: DataFrame, vocab: DataFrame, key=match_key, split: str = "\\s+") -> DataFrame:
     """values (category, value, ...) with canonical: the exact key, else the longest token run in the value, ties to the first term; else null."""
     exact = index(vocab, key).select("category", F.col("key").alias("k"), F.col("canonical").alias("exact"))
-    terms = vocab.select("category", F.array_join(F.filter(F.split("raw", split), lambda t: t != ""), " ").alias("gram"), F.col("canonical").alias("term"), "ord").groupBy("category", "gram").agg(F.min(F.struct("ord", "term")).alias("t"))
+    parts = lambda c: F.filter(F.split(c, split), lambda t: t != "")
+    terms = vocab.select("category", F.array_join(parts("raw"), " ").alias("gram"), F.col("canonical").alias("term"), "ord").groupBy("category", "gram").agg(F.min(F.struct("ord", "term")).alias("t"))
     keys = values.select("category", "value").distinct()
-    runs = keys.select("category", "value", F.explode(ngrams(F.filter(F.split("value", split), lambda t: t != ""), most)).alias("g")).select("category", "value", "g.*")
+    runs = with_lengths(keys, vocab, split=split).select("category", "value", F.explode(ngrams(parts("value"), F.col("__lengths"))).alias("g")).select("category", "value", "g.*")
     found = runs.join(terms, ["category", "gram"]).groupBy("category", "value").agg(F.max(F.struct("n", (-F.col("t.ord")).alias("o"), F.col("t.term").alias("term")))["term"].alias("contained"))
     known = keys.withColumn("k", key(F.col("value"))).join(exact, ["category", "k"], "left").join(found, ["category", "value"], "left").select("category", "value", F.coalesce("exact", "contained").alias("canonical"))
     return values.join(known, ["category", "value"], "left")
@@ -68,6 +76,16 @@ def feature_nodes(features: DataFrame) -> DataFrame:
     return features.filter("category != 'fact'").select("category", "value").distinct()
 
 
+def feature_edges(features: DataFrame) -> DataFrame:
+    """One edge a mention: ruling_id, node, category, value, quote, start_char, end_char, confidence.
+
+    node: `category:value` for a closed category, so all mentions share it; a fact is a node of its own, named by its
+    ruling and pos.
+    """
+    node = F.when(F.col("category") == "fact", F.concat_ws(":", F.lit("fact"), "ruling_id", F.col("pos").cast("string"))).otherwise(F.concat_ws(":", "category", "value"))
+    return features.select("ruling_id", node.alias("node"), "category", "value", "quote", "start_char", "end_char", "confidence")
+
+
 def orphans(features: DataFrame, rulings: DataFrame) -> DataFrame:
     """ruling_id of features without a ruling, with matches_as_int: whether a ruling has the same number in another spelling."""
     lost = features.select(F.col("ruling_id").cast("string").alias("ruling_id")).distinct().join(rulings.select(F.col("ruling_id").cast("string").alias("ruling_id")), "ruling_id", "left_anti")

@@ -26,10 +26,11 @@ def source_counts(edges: DataFrame) -> DataFrame:
 
 
 def cooccurrence(features: DataFrame, edges: DataFrame, articles: DataFrame, procedural: list[str]) -> DataFrame:
-    """Paths between a feature and an article through a ruling, by the source of the citation.
+    """Paths between a feature and an article through a ruling, by the source of the citation, and the rulings that have both (n_joint).
 
-    Both sides shrink to counts for each ruling before the join, so repeated mentions never multiply rows.
-    Articles of procedural domains fall out, and so do those without a domain (a null is never outside a list).
+    Both sides shrink to one row a ruling and feature or article before the join, so repeated mentions never multiply
+    rows, and each joined row is one ruling of the pair. Articles of procedural domains fall out, and so do those
+    without a domain (a null is never outside a list).
     """
     mentions = features.groupBy("ruling_id", *FEATURE).agg(F.count(F.lit(1)).alias("m"))
     wanted = articles.filter(~F.col("domain").isin(procedural)).select(*ARTICLE)
@@ -37,21 +38,19 @@ def cooccurrence(features: DataFrame, edges: DataFrame, articles: DataFrame, pro
         F.sum((F.col("source") == "official").cast("long")).alias("o"), F.sum((F.col("source") == "text").cast("long")).alias("t")
     )
     paths = mentions.join(cited, "ruling_id")
-    return paths.groupBy(*FEATURE, *ARTICLE).agg(F.sum(F.col("m") * F.col("o")).alias("official_count"), F.sum(F.col("m") * F.col("t")).alias("text_count"))
+    return paths.groupBy(*FEATURE, *ARTICLE).agg(F.sum(F.col("m") * F.col("o")).alias("official_count"), F.sum(F.col("m") * F.col("t")).alias("text_count"), F.count(F.lit(1)).alias("n_joint"))
 
 
 def pmi(features: DataFrame, edges: DataFrame, grounded: DataFrame, n_rulings: DataFrame) -> DataFrame:
-    """grounded with n_joint, n_feature, n_article, pmi and npmi, from distinct rulings.
+    """grounded (of cooccurrence()) with n_feature, n_article, pmi and npmi, from distinct rulings.
 
-    n_rulings has one row and one column n: all rulings, stubs included. npmi is null where every ruling has
-    the pair.
+    n_rulings has a column n, the number of all rulings, stubs included; its largest value counts. npmi is null where
+    every ruling has the pair.
     """
-    f = features.select("ruling_id", *FEATURE).distinct()
-    a = edges.select("ruling_id", *ARTICLE).distinct()
-    joint = f.join(a, "ruling_id").groupBy(*FEATURE, *ARTICLE).agg(F.count(F.lit(1)).alias("n_joint"))
-    nf = f.groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("n_feature"))
-    na = a.groupBy(*ARTICLE).agg(F.count(F.lit(1)).alias("n_article"))
-    out = grounded.join(joint, [*FEATURE, *ARTICLE]).join(nf, FEATURE).join(na, ARTICLE).crossJoin(F.broadcast(n_rulings))  # one row
+    nf = features.groupBy(*FEATURE).agg(F.count_distinct("ruling_id").alias("n_feature"))
+    na = edges.groupBy(*ARTICLE).agg(F.count_distinct("ruling_id").alias("n_article"))
+    n = n_rulings.agg(F.max("n").cast("double").alias("n"))  # one row
+    out = grounded.join(nf, FEATURE).join(na, ARTICLE).crossJoin(F.broadcast(n))
     score = F.log(F.col("n_joint") * F.col("n") / (F.col("n_feature") * F.col("n_article")))
     return out.withColumn("pmi", score).withColumn("npmi", F.try_divide(F.col("pmi"), -F.log(F.col("n_joint") / F.col("n")))).drop("n")
 
@@ -78,13 +77,13 @@ def top_features(scored: DataFrame, articles: DataFrame, k: int = 10, least: int
 def graph_support(queries: DataFrame, query_features: DataFrame, query_articles: DataFrame, scored: DataFrame, least: int = 3) -> DataFrame:
     """query_id and support: mean npmi over the query's feature-article pairs that have an edge, at least 0.
 
-    Null if the query has no feature or no article; 0 if no pair has an edge. Pairs come from the edge table,
-    never from a product of the two sides.
+    Null if the query has no feature or no article; 0 if no pair has an edge. Pairs come from the edge table, never
+    from a product of the two sides, and start at the articles: a generic feature has an edge to nearly every article.
     """
     f = query_features.select("query_id", *FEATURE).distinct()
     a = query_articles.select("query_id", *ARTICLE).distinct()
     edges = scored.filter((F.col("official_count") + F.col("text_count") >= least) & F.col("npmi").isNotNull())
-    hit = f.join(edges.select(*FEATURE, *ARTICLE, "npmi"), FEATURE).join(a, ["query_id", *ARTICLE]).groupBy("query_id").agg(F.avg("npmi").alias("mean"))
+    hit = a.join(edges.select(*FEATURE, *ARTICLE, "npmi"), ARTICLE).join(f, ["query_id", *FEATURE]).groupBy("query_id").agg(F.avg("npmi").alias("mean"))
     sides = f.select("query_id").distinct().join(a.select("query_id").distinct(), "query_id").withColumn("both", F.lit(True))
     out = queries.select("query_id").join(sides, "query_id", "left").join(hit, "query_id", "left")
     return out.select("query_id", F.when(F.col("both"), F.greatest(F.lit(0.0), F.coalesce("mean", F.lit(0.0)))).alias("support"))

@@ -11,18 +11,18 @@ from citeloom.functions.text import to_latin_digits
 EDGES = tuple(i * 0.1 if i not in (3, 6, 7) else {3: 0.30000000000000004, 6: 0.6000000000000001, 7: 0.7000000000000001}[i] for i in range(11))
 
 
-def cumulative(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 256) -> DataFrame:
-    """df with before_<value>: the sum over rows of the group with a smaller `order` (unique within a group).
+def cumulative(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 128) -> DataFrame:
+    """df with before_<value>: the sum over rows of the group with a smaller `order` (unique within a group, not null).
 
-    Rows are cut into ranges of the order first; sums of ranges, then sums within a range. No task sees more
-    than a range of one group, or the range sums of one group.
+    Each group is cut at its own quantiles, so an outlier does not crowd the rest into one range; sums of ranges, then
+    sums within a range. No task sees more than a range of one group, or the range sums of one group.
     """
     one = [F.lit(0).alias("__all")] if not by else []
     keys = by or ["__all"]
     df = df.select("*", *one)
-    span = df.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    part = F.coalesce(F.floor(F.try_divide(F.col(order) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * ranges), F.lit(0)).alias("__range")
-    cut = df.join(span, keys).select(*df.columns, part)
+    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("__edges"))
+    part = F.size(F.filter("__edges", lambda e: e < F.col(order))).alias("__range")
+    cut = df.join(edges, keys).select(*df.columns, part)
     sums = cut.groupBy(*keys, "__range").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     w = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "__range", *(F.coalesce(F.sum(f"__{v}").over(w), F.lit(0)).alias(f"__{v}") for v in values))
@@ -36,11 +36,12 @@ def _total(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
 
 
 def _by_score(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    return df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return known.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
-    """auroc of each group, ties counting one half; null for one class only."""
+    """auroc of each group, ties counting one half; null for one class only. Rows without a score or label do not count."""
     by = list(by)
     ranked = cumulative(_by_score(df, by, score, label), by, score, ["neg"])
     area = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
@@ -48,7 +49,7 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFram
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
-    """Precision at each score, weighted by the recall it adds; null without positives."""
+    """Precision at each score, weighted by the recall it adds; null without positives. Rows without a score or label do not count."""
     by = list(by)
     rows = _by_score(df, by, score, label).withColumn("falling", -F.col(score))
     ranked = cumulative(rows, by, "falling", ["pos", "n"])
@@ -63,8 +64,9 @@ def mid_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
-    """Correlation of average ranks; 0 where it is undefined."""
+    """Correlation of average ranks; 0 where it is undefined. Rows without both values do not count."""
     by = list(by)
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     both = df.join(mid_ranks(df, x, by, "__rx"), [*by, x]).join(mid_ranks(df, y, by, "__ry"), [*by, y])
     r = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
     return _total(both, by, F.coalesce(r, F.lit(0.0)).alias("spearman"))
@@ -140,7 +142,7 @@ def recall_at(ranked: DataFrame, gold: DataFrame, ks: list[int], key: str = "que
     cuts = F.broadcast(spark.range(len(ks)).select(F.element_at(F.array(*map(F.lit, ks)), (F.col("id") + 1).cast("int")).alias("k")))
     goals = gold.groupBy(key).agg(F.count_distinct(item).alias("n_gold"))
     groups = ranked.select(*by).distinct() if by else None
-    frame = (goals.crossJoin(F.broadcast(groups)) if by else goals).crossJoin(cuts)  # the few ks and channels
+    frame = (goals.crossJoin(groups) if by else goals).crossJoin(cuts)  # every query in every channel at each of the ks given
     best = ranked.groupBy(key, item, *by).agg(F.min("rank").alias("rank")).join(gold.select(key, item).distinct(), [key, item], "left_semi")
     hits = best.join(cuts, F.col("rank") <= F.col("k")).groupBy(key, *by, "k").agg(F.count(F.lit(1)).alias("hits"))
     out = frame.join(hits, [key, *by, "k"], "left")
@@ -162,19 +164,30 @@ def signal_comparison(df: DataFrame, signals: dict[str, tuple[str, str]], mode:
 
 
 def split_summary(df: DataFrame, by: list[str]) -> DataFrame:
-    """One row a split: sizes, accuracies, means and deviations of the e2e table."""
-    ok = df.filter("error is null")
+    """One row a split: sizes, accuracies, calibration, consensus, means and deviations of the e2e table.
+
+    Rows with an error or without a final confidence count as errors only. auroc is null for one class only.
+    """
+    valid = F.col("error").isNull() & F.col("final_confidence").isNotNull()
+    ok = df.filter(valid)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     out = ok.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("correct_any").alias("accuracy_any"), F.avg("correct_all").alias("accuracy_all"), F.avg("final_confidence").alias("mean_confidence"),
-        F.stddev_pop("final_confidence").alias("std_confidence"), F.avg(F.col("uncertainty_flag").cast("int")).alias("flag_rate"), F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"),
-    )
-    errors = df.groupBy(*by).agg(F.count("error").alias("n_errors"))
-    parts = (auroc(ok, "final_confidence", "correct_any", by), ece(ok, "final_confidence", "correct_any", "five", by))
-    for p in (errors, *parts):
-        out = out.join(p, by, "left")
+        F.count(F.lit(1)).alias("n"), F.avg("correct_any").alias("accuracy_any"), F.avg("correct_all").alias("accuracy_all"), F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"),
+        share(F.col("consensus").isin("full", "majority")).alias("consensus_rate"), share(F.col("consensus") == "full").alias("full_consensus_rate"), share(F.col("consensus") == "split").alias("split_rate"),
+        F.avg("final_confidence").alias("mean_confidence"), F.stddev_pop("final_confidence").alias("std_confidence"), share(F.col("uncertainty_flag")).alias("flag_rate"), F.avg(F.coalesce("gold_in_applicable", F.lit(0))).alias("gold_in_applicable_rate"),
+    )
+    out = df.groupBy(*by).agg(F.sum((~valid).cast("long")).alias("n_errors")).join(out, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    for kind in ("any", "all"):
+        out = out.join(auroc(ok, "final_confidence", f"correct_{kind}", by).withColumnRenamed("auroc", f"auroc_{kind}"), by, "left")
+        out = out.join(ece(ok, "final_confidence", f"correct_{kind}", "five", by).withColumnRenamed("ece", f"ece_{kind}"), by, "left")
     return out
 
 
+def mean_f1(scores: DataFrame, by: list[str] = (), f1: str = "f1") -> DataFrame:
+    """mean_f1, zero_f1 and n of the queries of a channel (or each of several)."""
+    return _total(scores, list(by), F.avg(f1).alias("mean_f1"), F.sum((F.col(f1) == 0).cast("long")).alias("zero_f1"), F.count(F.lit(1)).alias("n"))
+
+
 def consensus_breakdown(df: DataFrame) -> DataFrame:
     """Per consensus level: n, percent, accuracies, mean confidence, and what raised the flag."""
     split, wide = F.col("consensus") == "split", F.col("agent_conf_std") > 0.20
@@ -189,14 +202,16 @@ def consensus_breakdown(df: DataFrame) -> DataFrame:
 
 def verdict_distribution(df: DataFrame, verdict: str = "majority_verdict") -> DataFrame:
     """Rows by verdict with a total row; a null verdict counts as 'missing'."""
-    named = df.select(F.coalesce(verdict, F.lit("missing")).alias("verdict"))
+    named = df.select(F.coalesce(verdict, F.lit("missing")).alias("verdict"))  # no null is left, so a null is the total row
     return named.rollup("verdict").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("verdict", F.lit("total")).alias("verdict"), "n")
 
 
 def pass_report(df: DataFrame, recall: str, case_type: str, bar: float = 0.7) -> DataFrame:
-    """Counts by passed (recall at least bar) and case type, with subtotals ('all')."""
-    named = df.select((F.col(recall) >= bar).cast("string").alias("passed"), F.col(case_type).alias("case_type"))
-    return named.cube("passed", "case_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("passed", F.lit("all")).alias("passed"), F.coalesce("case_type", F.lit("all")).alias("case_type"), "n")
+    """Counts by passed (recall at least bar) and case type, with subtotals ('all'); null recalls and case types are 'missing'."""
+    named = df.select((F.col(recall) >= bar).cast("string").alias("p"), F.col(case_type).alias("c"))
+    table = named.cube("p", "c").agg(F.count(F.lit(1)).alias("n"), F.grouping("p").alias("gp"), F.grouping("c").alias("gc"))
+    name = lambda c, g: F.when(F.col(g) == 1, "all").otherwise(F.coalesce(c, F.lit("missing")))
+    return table.select(name("p", "gp").alias("passed"), name("c", "gc").alias("case_type"), "n")
 
 
 def miss_buckets(gold: DataFrame, nodes: DataFrame, articles: DataFrame, citations: DataFrame, near: int = 20, deep: int = 100) -> DataFrame:

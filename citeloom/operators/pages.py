@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -13,73 +13,117 @@ from pyspark.sql import types as T
 
 from citeloom.functions.text import strip_invisible, to_latin_digits
 
-ELEMENTS = "pos int, tag string, class string, text string"
+ELEMENTS = "pos int, tag string, class string, id string, value string, text string"
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+SECTIONS = "array<struct<court_level:string,text:string>>"
 
 
-class Elements(HTMLParser):
-    """Ordered elements of the wanted tags with their class and whole text, nested ones included; scripts and styles have no text."""
+@dataclass
+class Node:
+    """An element with its attributes and, in order, its texts and elements."""
 
-    def __init__(self, tags: frozenset[str]):
+    tag: str
+    attrs: dict
+    above: "Node | None" = None
+    inner: list = field(default_factory=list)
+
+    def walk(self) -> Iterator["Node"]:
+        """All elements below, in order."""
+        ahead = [x for x in reversed(self.inner) if isinstance(x, Node)]
+        while ahead:
+            node = ahead.pop()
+            yield node
+            ahead += [x for x in reversed(node.inner) if isinstance(x, Node)]
+
+    def text(self, between: str = " ") -> str:
+        """The trimmed texts below that are not blank, scripts and styles left out."""
+        out, ahead = [], list(reversed(self.inner))
+        while ahead:
+            x = ahead.pop()
+            if isinstance(x, str):
+                out.append(x.strip())
+            elif x.tag not in ("script", "style"):
+                ahead += reversed(x.inner)
+        return between.join(t for t in out if t)
+
+    def has(self, tag: str, css: str | None = None, id: str | None = None) -> bool:
+        return self.tag == tag and (css is None or css in (self.attrs.get("class") or "").split()) and (id is None or self.attrs.get("id") == id)
+
+    def first(self, tag: str, css: str | None = None, id: str | None = None) -> "Node | None":
+        return next((n for n in self.walk() if n.has(tag, css, id)), None)
+
+
+class Tree(HTMLParser):
+    """A page as nodes. A paragraph ends where the next begins; an end without a start is ignored."""
+
+    def __init__(self, page: str | None):
         super().__init__(convert_charrefs=True)
-        self.tags, self.out, self.open, self.mute = tags, [], [], 0
+        self.root = self.now = Node("", {})
+        self.feed(page or "")
+        self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.mute += 1
-        if tag in self.tags:
-            if tag == "p" and any(self.out[i][0] == "p" for i in self.open):  # a paragraph ends where the next begins
-                self.handle_endtag("p")
-            self.out.append([tag, dict(attrs).get("class") or "", []])
-            if tag not in VOID:
-                self.open.append(len(self.out) - 1)
+        if tag == "p":
+            self.handle_endtag("p")
+        node = Node(tag, dict(attrs), self.now)
+        self.now.inner.append(node)
+        if tag not in VOID:
+            self.now = node
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.mute = max(0, self.mute - 1)
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.out[self.open[k]][0] == tag:
-                del self.open[k:]
-                break
+        node = self.now
+        while node.above and node.tag != tag:
+            node = node.above
+        if node.above:
+            self.now = node.above
 
     def handle_data(self, data: str) -> None:
-        if not self.mute:
-            for i in self.open:
-                self.out[i][2].append(data)
+        self.now.inner.append(data)
 
 
-def elements(pages: DataFrame, tags: list[str], css: str | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, pos, tag, class, text of every wanted element in order; css keeps one class. Null pages have none."""
-    wanted = frozenset(tags)
-    schema = T.StructType([pages.schema[key], *T._parse_datatype_string(ELEMENTS).fields])
+def _each_page(pages: DataFrame, key: str, html: str, fields: list[T.StructField], rows) -> DataFrame:
+    """rows(tree) gives a list of tuples for a page; one mapInArrow pass, no shuffle."""
+    schema = T.StructType([pages.schema[key], *fields])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in schema.fields]
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = Elements(wanted)
-                reader.feed(page or "")
-                reader.close()
-                kept = [e for e in reader.out if css is None or css in e[1].split()]
-                for pos, (tag, cls, parts) in enumerate(kept):
-                    for column, x in zip(rows, (name, pos, tag, cls, "".join(parts)), strict=True):
+                for row in rows(Tree(page).root):
+                    for column, x in zip(out, (name, *row), strict=True):
                         column.append(x)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], names=schema.names)
 
     return pages.select(key, html).mapInArrow(parse, schema)
 
 
+def elements(pages: DataFrame, tags: list[str], css: str | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, pos, tag, class, id, value, text of every wanted element in order; css keeps one class. Null pages have none.
+
+    text: the trimmed texts of the element and those inside it, joined by a space; scripts and styles have none.
+    """
+    wanted = frozenset(tags)
+
+    def rows(root: Node) -> list[tuple]:
+        kept = [n for n in root.walk() if n.tag in wanted and (css is None or n.has(n.tag, css))]
+        return [(pos, n.tag, n.attrs.get("class") or "", n.attrs.get("id"), n.attrs.get("value"), n.text()) for pos, n in enumerate(kept)]
+
+    return _each_page(pages, key, html, T._parse_datatype_string(ELEMENTS).fields, rows)
+
+
 @dataclass(frozen=True)
 class StatuteWords:
-    """Patterns of statutes; (?U) makes Java's classes cover all scripts."""
+    """Patterns of statutes; (?U) makes Java's classes cover all scripts. The words and patterns of the pages."""
 
     article: str = "(?U)^ماده\\s*(\\d+)"
     note: str = "(?U)^تبصره\\s*(\\d*)"
-    reference: str = "(?U)ماده\\s*(\\d+)"
-    amended: str = "اصلاحی|اصلاح شده"
-    abolished: str = "منسوخ|نسخ شده|حذف شده"
-    interpreted: str = "تفسیر|استفساریه"
+    reference: str = "(?U)ماده\\s+(\\d+)"
+    amended: str = "اصلاح[ىي]|الحاق[ىي]"
+    abolished: str = "منسوخ|موقوف"
+    interpreted: str = "تفسیر|تفسير"
 
 
 def status_of(text: Column, w: StatuteWords = StatuteWords()) -> Column:  # noqa: B008
@@ -93,22 +137,24 @@ def references_in(text: Column, own: Column, w: StatuteWords = StatuteWords()) -
 
 
 def segmented(elems: DataFrame, w: StatuteWords = StatuteWords(), key: str = "page_id") -> DataFrame:  # noqa: B008
-    """key, article_seq, note_seq (0: the article itself), number, content, status of each article and note of a page.
+    """key, article_seq, note_seq (0: the article itself), number, content, status, references of each article and note of a page.
 
     Text before the first article is dropped; continuation goes to the last note if there is one, else to the article.
+    Status and references are those of the head paragraph; notes have no references.
     """
     text = to_latin_digits(strip_invisible(F.col("text")))
     rows = elems.withColumn("text", text).filter("text != ''")
     is_article, is_note = F.col("text").rlike(w.article), F.col("text").rlike(w.note)
     order = Window.partitionBy(key).orderBy("pos")
-    rows = rows.withColumns({"a": is_article.cast("int"), "n": is_note.cast("int")}).withColumn("article_seq", F.sum("a").over(order)).filter("article_seq > 0")
+    rows = rows.withColumns({"a": is_article.cast("int"), "n": (is_note & ~is_article).cast("int")}).withColumn("article_seq", F.sum("a").over(order)).filter("article_seq > 0")
     rows = rows.withColumn("note_seq", F.sum("n").over(Window.partitionBy(key, "article_seq").orderBy("pos")))
     head = F.min_by("text", "pos")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"])
-    out = rows.groupBy(key, "article_seq", "note_seq").agg(head.alias("head"), F.array_join(parts, "\n").alias("content"))
+    out = rows.groupBy(key, "article_seq", "note_seq").agg(head.alias("head"), F.array_join(parts, " ").alias("content"))
     number = F.when(F.col("note_seq") == 0, F.regexp_extract("head", w.article, 1)).otherwise(F.regexp_extract("head", w.note, 1))
-    number = F.when(number == "", 1).otherwise(number.try_cast("int"))
-    return out.select(key, "article_seq", "note_seq", number.alias("number"), "content", status_of(F.col("head"), w).alias("status"))
+    out = out.withColumn("number", F.when(number == "", 1).otherwise(number.try_cast("int")))
+    refs = F.when(F.col("note_seq") == 0, references_in(F.col("head"), F.col("number"), w)).otherwise(F.array().cast("array<int>"))
+    return out.select(key, "article_seq", "note_seq", "number", "content", status_of(F.col("head"), w).alias("status"), refs.alias("references"))
 
 
 def link_ids(pages: DataFrame, pattern: str, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -119,20 +165,71 @@ def link_ids(pages: DataFrame, pattern: str, key: str = "page_id", html: str = "
 
 
 def page_health(elems: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, n elements, classes seen and characters."""
-    return elems.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("class")).alias("classes"), F.sum(F.length("text")).alias("chars"))
+    """key, n elements, classes seen, characters, and the first title ('' without one); elems must hold `title` elements for that."""
+    title = F.min_by(F.when(F.col("tag") == "title", F.col("text")), F.when(F.col("tag") == "title", F.col("pos")))
+    return elems.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("class")).alias("classes"), F.sum(F.length("text")).alias("chars"), F.coalesce(title, F.lit("")).alias("title"))
+
+
+def sections_of(root: Node, heading: str = "h1", stop: str = "div") -> list[tuple[str, str]]:
+    """(heading, text) of each heading below: the texts beside it up to the next heading or the first `stop` element."""
+    heads, out = [n for n in root.walk() if n.tag == heading], []
+    known = {id(h) for h in heads}
+    for h in heads:
+        beside, parts = h.above.inner, []
+        at = next(i for i, x in enumerate(beside) if x is h)
+        for x in beside[at + 1 :]:
+            if isinstance(x, Node) and (id(x) in known or x.tag == stop):
+                break
+            parts.append(x.strip() if isinstance(x, str) else "" if x.tag in ("script", "style") else x.text())
+        out.append((h.text(""), " ".join(p for p in parts if p)))
+    return out
 
 
-def ruling_sections(elems: DataFrame, heading: str = "h1", stop: str = "div", key: str = "page_id") -> DataFrame:
-    """key, section_no, court_level, text: a section for each heading, up to the first `stop` element after it."""
-    order = Window.partitionBy(key).orderBy("pos")
-    rows = elems.withColumn("section_no", F.sum((F.col("tag") == heading).cast("int")).over(order)).filter("section_no > 0")
-    rows = rows.withColumn("stopped", F.max((F.col("tag") == stop).cast("int")).over(order)).filter("stopped = 0")
-    body = F.filter(F.array_sort(F.collect_list(F.struct("pos", "tag", "text"))), lambda p: p["tag"] != heading)
-    out = rows.groupBy(key, "section_no").agg(F.min_by("text", "pos").alias("court_level"), F.array_join(F.transform(body, lambda p: p["text"]), "\n").alias("text"))
-    return out.select(key, "section_no", F.trim("court_level").alias("court_level"), to_latin_digits(F.col("text")).alias("text"))
+def ruling_sections(pages: DataFrame, heading: str = "h1", stop: str = "div", root_id: str | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, section_no (from 1), court_level, text: a section for each heading of a page, or of its div with the id. Digits are folded."""
+
+    def rows(root: Node) -> list[tuple]:
+        top = root if root_id is None else root.first("div", id=root_id)
+        return [(i, level, text) for i, (level, text) in enumerate(sections_of(top, heading, stop) if top else [], 1)]
+
+    out = _each_page(pages, key, html, T._parse_datatype_string("section_no int, court_level string, text string").fields, rows)
+    return out.withColumn("text", to_latin_digits(F.col("text")))
 
 
-def labelled_box(text: Column, labels: dict[str, str]) -> Column:
-    """A struct with, for each name, what follows its label up to the line's end; digits folded; null if absent."""
-    return F.struct(*(F.nullif(F.trim(F.regexp_extract(to_latin_digits(text), f"{label}\\s*:?\\s*([^\\n]*)", 1)), F.lit("")).alias(n) for n, label in labels.items()))
+@dataclass(frozen=True)
+class RulingWords:
+    """The marks and patterns of ruling pages."""
+
+    title: str = "عنوان"
+    summary: str = "پیام"
+    cited: str = "مستندات"
+    verdict_number: str = "شماره دادنامه قطعی\\s*:\\s*(\\d+)"
+    verdict_date: str = "تاریخ دادنامه قطعی\\s*:\\s*([\\d/]+)"
+    case_type: str = "گروه رأی\\s*:\\s*(حقوقی|کیفری)"
+
+
+def ruling_boxes(pages: DataFrame, w: RulingWords = RulingWords(), key: str = "page_id", html: str = "html") -> DataFrame:  # noqa: B008
+    """key, title, legal_factual_summary, verdict_number, verdict_date, case_type, cited, related_ruling_ids of each page.
+
+    All but sections are read in the page's first div of class container: the h1 of class Title3D, what surrounds the
+    first <b> with the mark of the summary and of the citations, the cell of class font-size-small, and the options of
+    the select Judge_ID. What a page lacks is '' or an empty array; a null page lacks everything.
+    """
+
+    def rows(root: Node) -> list[tuple]:
+        box = root.first("div", "container")
+        if box is None:
+            return [("", "", "", "", [])]
+        title, meta, chosen = box.first("h1", "Title3D"), box.first("td", "font-size-small"), box.first("select", id="Judge_ID")
+        bold = [n for n in box.walk() if n.tag == "b"]
+        around = lambda mark: next((n.above.text() for n in bold if mark in n.text("")), "")
+        ids = [n.attrs["value"] for n in chosen.walk() if n.tag == "option" and n.attrs.get("value")] if chosen else []
+        return [(title.text() if title else "", around(w.summary), meta.text() if meta else "", around(w.cited), ids)]
+
+    raw = _each_page(pages, key, html, T._parse_datatype_string("title string, summary string, meta string, cited string, ids array<string>").fields, rows)
+    bare = lambda c, mark: F.trim(F.regexp_replace(c, f"^{mark}\\s*:\\s*", ""))
+    meta = to_latin_digits(F.col("meta"))
+    return raw.select(
+        key, bare("title", w.title).alias("title"), bare("summary", w.summary).alias("legal_factual_summary"), F.regexp_extract(meta, w.verdict_number, 1).alias("verdict_number"),
+        F.regexp_extract(meta, w.verdict_date, 1).alias("verdict_date"), F.regexp_extract(meta, w.case_type, 1).alias("case_type"), bare("cited", w.cited).alias("cited"), F.col("ids").alias("related_ruling_ids"),
+    )

@@ -10,24 +10,35 @@ from pyspark.sql import functions as F
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 9) -> DataFrame:
-    """query_id, id, score, rank by Okapi BM25. docs: id, tokens; queries: query_id, tokens.
+    """query_id, id, score, rank by Okapi BM25. docs: id (distinct), tokens; queries: query_id, tokens.
 
-    Repeated query tokens count again. A negative idf becomes epsilon times the mean idf over all terms.
-    Only documents with a query token are ranked. Postings shrink to the queries' terms before the join.
+    Repeated query tokens count again. A negative idf becomes epsilon times the mean idf over all terms. Documents
+    without a query token score 0 and rank too, by id: a query with fewer than k better ones gets k rows all the same.
+    Document frequencies come from each document's distinct tokens; only tokens that some query has are counted by
+    document. A negative mean idf over more than some thousand documents is an error.
     """
     sized = docs.select("id", F.size("tokens").alias("len"), "tokens")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
-    tf = sized.select("id", "len", F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of stats
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = idf.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
-    wanted = wanted.select("term", "mean_len", F.when(F.col("raw") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("raw")).alias("idf"))
+    terms = asked.select("term").distinct()
+    wanted = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean))
+    # only a corpus in which most terms are in most documents has a mean below 0, and then scores below those of other documents
+    first = max(2 * k, 1000)
+    low = F.when((F.col("mean_idf") < 0) & (F.col("n") > first), F.raise_error(F.lit("the mean idf is negative")).cast("double")).otherwise(F.col("mean_idf") * epsilon)
+    wanted = wanted.select("term", "mean_len", F.when(F.col("raw") < 0, low).otherwise(F.col("raw")).alias("idf"))
+    tf = sized.select("id", "len", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     scores = tf.join(wanted, "term").withColumn("w", weight).join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    # queries with fewer than k scores above 0: the k first ids without a score, or with one of 0, are among the first 2 k ids
+    above = F.sum((F.round("score", digits) > 0).cast("long"))
+    short = queries.select("query_id").distinct().join(scores.groupBy("query_id").agg(above.alias("above")).filter(F.col("above") >= k), "query_id", "left_anti")
+    rest = short.crossJoin(docs.select("id").orderBy("id").limit(first)).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    every = scores.unionByName(rest.withColumn("score", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def fusion_key(source: Column, ruling: Column, text: Column) -> Column:
@@ -109,22 +120,34 @@ def ranked_candidates(direct: DataFrame, cited: DataFrame, digits: int = 9) -> D
     return both.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("weight"), "at", "ref")))
 
 
-def bundles(refs: DataFrame, texts: DataFrame, rulings: DataFrame, features: DataFrame, most_refs: int = 25, most_rulings: int = 5, most_features: int = 8) -> DataFrame:
-    """query_id, ref, article_text ('' if unknown) and supporting_texts: citing rulings, then feature texts, each in rank order.
+#: Fixed value: what stands before the features that cases like it tie to an article.
+GROUNDED = "عوامل حقوقی که طبق آمار پرونده‌های مشابه با این ماده مرتبط‌اند: "
 
-    refs: query_id, ref, position; texts: ref, text; rulings: query_id, ref, rank, text; features: query_id, rank, text.
+
+def bundles(refs: DataFrame, texts: DataFrame, rulings: DataFrame, features: DataFrame, grounded: DataFrame | None = None, most_refs: int = 25, most_rulings: int = 5, most_features: int = 8, line: str = GROUNDED, separator: str = "، ") -> DataFrame:
+    """query_id, ref, article_text ('' if unknown) and supporting_texts: a line of grounded features, citing rulings, then feature texts, each in rank order.
+
+    refs: query_id, ref, position; texts: ref, text; rulings: query_id, ref, rank, text; features: query_id, rank, text;
+    grounded: ref, rank, value (the best features of an article, as top_features() ranks them). Rulings without text do
+    not count; of the first features those without text are left out. An article without grounded features has no line.
     """
 
     def first(df: DataFrame, keys: list[str], n: int) -> DataFrame:
         r = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "text"))
         kept = df.withColumn("r", r).filter(F.col("r") <= n)
-        return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("list"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"])
+        return kept.groupBy(*keys).agg(F.filter(listed, lambda t: t.isNotNull() & (t != "")).alias("list"))
 
     top = refs.filter(F.col("position") <= most_refs)
     out = top.join(texts.select("ref", F.col("text").alias("article_text")), "ref", "left")
-    out = out.join(first(rulings, ["query_id", "ref"], most_rulings).withColumnRenamed("list", "a"), ["query_id", "ref"], "left").join(first(features, ["query_id"], most_features).withColumnRenamed("list", "b"), "query_id", "left")
+    out = out.join(first(rulings.filter(F.coalesce("text", F.lit("")) != ""), ["query_id", "ref"], most_rulings).withColumnRenamed("list", "a"), ["query_id", "ref"], "left").join(first(features, ["query_id"], most_features).withColumnRenamed("list", "b"), "query_id", "left")
     empty = F.array().cast("array<string>")
-    return out.select("query_id", "ref", "position", F.coalesce("article_text", F.lit("")).alias("article_text"), F.concat(F.coalesce("a", empty), F.coalesce("b", empty)).alias("supporting_texts"))
+    parts = [F.coalesce("a", empty), F.coalesce("b", empty)]
+    if grounded is not None:
+        known = grounded.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), separator).alias("known"))
+        out = out.join(known, "ref", "left")
+        parts = [F.when(F.col("known").isNotNull(), F.array(F.concat(F.lit(line), "known"))).otherwise(empty), *parts]
+    return out.select("query_id", "ref", "position", F.coalesce("article_text", F.lit("")).alias("article_text"), F.concat(*parts).alias("supporting_texts"))
 
 
 def routed(answers: DataFrame, raw: str, channels: list[str], case_types: list[str]) -> DataFrame:

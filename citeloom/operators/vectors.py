@@ -59,53 +59,81 @@ def attached(nodes: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFr
     return nodes.join(vocabulary.select(*keys, "embedding"), keys, "left")
 
 
-def _blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:
-    """df in blocks of about `rows` rows, each an Arrow stream in one value, and the number of blocks."""
-    n = max(1, -(-df.count() // rows))
-
-    def pack(group: tuple, table: pa.Table) -> pa.Table:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table.combine_chunks())
-        return pa.table({name: [group[0].as_py()], f"{name}_rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    dealt = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n)))
-    return dealt.groupBy("__block").applyInArrow(pack, f"{name} long, {name}_rows binary"), n
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components of an array column as doubles, and how many each row has; null components are NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(column.offsets.to_numpy())
 
 
 def _unit(table: pa.Table) -> np.ndarray:
-    m = np.array(table["embedding"].to_pylist(), float).reshape(table.num_rows, -1)
+    """Rows of length 1; a zero vector stays 0, and vectors of unlike length are filled up with 0."""
+    flat, size = _flat(table["embedding"].combine_chunks() if table["embedding"].num_chunks != 1 else table["embedding"].chunk(0))
+    m = np.zeros((table.num_rows, int(size.max(initial=0))))
+    m[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, by: list[str] = (), digits: int = 9, query_rows: int = 1024, corpus_rows: int = 8192, scaled: bool = False) -> DataFrame:
+def _blocks(df: DataFrame, rows: int, name: str, n: int) -> DataFrame:
+    """df dealt to n blocks by row number, so no key is hot; each block is one value or, beyond `rows` rows, several: name, name_rows (an Arrow stream)."""
+
+    def pack(group: tuple, table: pa.Table) -> pa.Table:
+        out = []
+        for lo in range(0, table.num_rows, rows):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table.slice(lo, rows).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        return pa.table({name: pa.array([group[0].as_py()] * len(out), pa.int64()), f"{name}_rows": pa.array(out, pa.binary())})
+
+    dealt = df.withColumn("__block", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
+    return dealt.groupBy("__block").applyInArrow(pack, f"{name} long, {name}_rows binary")
+
+
+def _best(near: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k highest, ties to the smaller key, in that order."""
+    at = np.arange(len(near))
+    if len(near) > k:
+        bar = np.partition(near, len(near) - k)[len(near) - k]
+        at = np.flatnonzero(near >= bar)
+    return at[np.lexsort((key[at], -near[at]))[:k]]
+
+
+def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, by: list[str] = (), digits: int = 9, query_rows: int = 1024, corpus_rows: int = 65_536, scaled: bool = False) -> DataFrame:
     """query_id, id, *by, score, rank: each query's k nearest corpus rows by cosine, in each group of `by`.
 
     corpus: id, embedding, *by; queries: query_id (long), embedding. A zero vector scores 0. Equal scores (to `digits`)
-    go by id. scaled: (1 + cosine) / 2. Blocks of queries meet blocks of the corpus by number; each pair of blocks
-    keeps a query's own k best of a group, so what is shuffled on grows with queries * k * blocks.
+    go by id. scaled: (1 + cosine) / 2. Blocks of queries meet blocks of the corpus by number, and a query crosses the
+    network once for each large block of the corpus; each pair of blocks keeps a query's own k best of a group, so what
+    is shuffled on grows with queries * k * blocks.
     """
     by = list(by)
-    fields = corpus.select("id", *by).schema
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    c_blocks, n = _blocks(corpus.filter("embedding is not null").select("id", "embedding", *by), "id", corpus_rows, "c")
-    q_blocks, _ = _blocks(queries.filter("embedding is not null").select(F.col("query_id").cast("long"), "embedding"), "query_id", query_rows, "q")
+    corpus = corpus.filter("embedding is not null").select("id", "embedding", *by)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.drop("embedding").schema)
+    n = max(1, -(-corpus.count() // corpus_rows))
+    c_blocks = _blocks(corpus, corpus_rows, "c", n)
+    asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long"), "embedding")
+    q_blocks = _blocks(asked, query_rows, "q", max(1, asked.rdd.getNumPartitions()))
     met = q_blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(c_blocks, "c").select("q_rows", "c_rows")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_rows, c_rows in zip(batch.column(0), batch.column(1), strict=True):
                 q, c = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (q_rows, c_rows))
-                s = _unit(q) @ _unit(c).T
+                a, b = _unit(q), _unit(c)
+                d = min(a.shape[1], b.shape[1])
+                s = a[:, :d] @ b[:, :d].T
                 s = (1 + s) / 2 if scaled else s
-                groups = np.unique(np.array([str(x) for x in zip(*(c[g].to_pylist() for g in by), strict=True)]), return_inverse=True)[1] if by else np.zeros(c.num_rows, int)
+                group = np.zeros(c.num_rows, np.int64)
+                for g in by:  # numbers of the groups, column by column
+                    codes = c[g].combine_chunks().dictionary_encode(null_encoding="encode")
+                    codes = codes if isinstance(codes, pa.Array) else codes.chunk(0)
+                    group = np.unique(group * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True)[1]
                 asked, key, near = q["query_id"].to_numpy(), c["id"].to_numpy(), np.round(s, digits)
-                rows, picked = [], []
-                for g in np.unique(groups):
-                    at = np.flatnonzero(groups == g)
+                rows, picked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                order = np.argsort(group, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
                     for i in range(len(asked)):
-                        top = at[np.lexsort((key[at], -near[i, at]))[:k]]
+                        top = at[_best(near[i, at], key[at], k)]
                         picked.append(top)
                         rows.append(np.full(len(top), i))
                 row, top = np.concatenate(rows), np.concatenate(picked)

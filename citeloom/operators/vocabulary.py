@@ -84,7 +84,7 @@ def corrected(vocab: DataFrame, rules: DataFrame) -> DataFrame:
 
 def reviewed(candidates: DataFrame, vocab: DataFrame, categories: list[str]) -> DataFrame:
     """candidates (term, decision) with kind (new, alias, skipped, invalid), category and canonical."""
-    alias = F.when(F.col("decision").startswith("alias:"), F.trim(F.substring("decision", 7, 10_000)))
+    alias = F.when(F.col("decision").startswith("alias:"), F.trim(F.expr("substring(decision, 7)")))
     homes = vocab.filter("is_canonical").groupBy("canonical").agg(F.min(F.struct("ord", "category"))["category"].alias("home"))
     rows = candidates.withColumn("decision", F.trim(F.coalesce("decision", F.lit("")))).withColumn("of", alias).join(homes, F.col("of") == F.col("canonical"), "left").drop("canonical")
     kind = F.when(F.col("decision").isin("", "REMOVE"), "skipped").when(F.col("decision").isin(categories), "new").when(F.col("home").isNotNull(), "alias").otherwise("invalid")
@@ -102,9 +102,24 @@ def grams(tokens: Column, stopwords: list[str]) -> Column:
 
 
 def gram_counts(docs: DataFrame, stopwords: list[str]) -> DataFrame:
-    """gram, total and n_docs. docs: doc_id, tokens. Counted for each document first, so no set of ids is held."""
-    per = docs.select("doc_id", F.explode(grams(F.col("tokens"), stopwords)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("gram").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n_docs"))
+    """gram, total and n_docs. docs: tokens, one row a document.
+
+    Counted inside the row: a document's grams are sorted, and each run of equal ones becomes one (gram, count), so
+    only distinct grams leave the row and one shuffle by gram adds them up.
+    """
+
+    def runs(g: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (g[i] != g[F.greatest(i - 1, F.lit(0))]))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(g)))
+        return _bound(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.struct(g[a].alias("gram"), (b - a).alias("c"))))
+
+    one = _bound(F.array_sort(grams(F.col("tokens"), stopwords)), lambda g: F.when(F.size(g) > 0, runs(g)).otherwise(F.array().cast("array<struct<gram:string,c:int>>")))
+    return docs.select(F.explode(one).alias("x")).groupBy("x.gram").agg(F.sum("x.c").alias("total"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def _bound(value: Column, then) -> Column:
+    """then(value), with the value computed once a row however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
 
 def gap_candidates(counts: DataFrame, vocab: DataFrame, least: int = 50, key=match_key) -> DataFrame:

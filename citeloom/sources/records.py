@@ -41,7 +41,7 @@ def flattened_features(results: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id (the file's name) and html."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.regexp_extract(F.input_file_name(), "([^/]+?)(?:\\.[^./]*)?$", 1).alias("page_id"), F.col("value").alias("html"))
 
 

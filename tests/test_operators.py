@@ -1,5 +1,6 @@
 """Small hand-written tables for the cases that the driver tables lack."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as X
 from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
+from citeloom.operators import channels as CH
 from citeloom.operators import citations as CI
 from citeloom.operators import features as FE
 from citeloom.operators import graph as GR
@@ -59,10 +61,10 @@ def test_official_box(spark):
 
 
 def test_statute_page(spark):
-    html = "<p>پیش</p><p>‌ماده ۱ - متن ماده ۱ و ماده ۲</p><p>ادامه</p><p>تبصره - یک</p><p>دنباله</p><p> </p><p>ماده 2 (اصلاحی) منسوخ</p><p>تبصره ۳ - سه</p>"
+    html = "<p>پیش</p><p>‌ماده ۱ - متن ماده ۱ و ماده ۲</p><p>ادامه</p><p>تبصره - یک</p><p>دنباله</p><p> </p><p>ماده 2 (اصلاحي) منسوخ</p><p>تبصره ۳ - سه</p>"
     e = PG.elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), ["p"])
     got = {(r.article_seq, r.note_seq): (r.number, r.content, r.status) for r in PG.segmented(e).collect()}
-    assert got[1, 0][:2] == (1, "ماده 1 - متن ماده 1 و ماده 2\nادامه") and got[1, 1][:2] == (1, "تبصره - یک\nدنباله")
+    assert got[1, 0][:2] == (1, "ماده 1 - متن ماده 1 و ماده 2 ادامه") and got[1, 1][:2] == (1, "تبصره - یک دنباله")
     assert got[2, 0][0] == 2 and got[2, 0][2] == "amended" and got[2, 1][0] == 3 and len(got) == 4
     assert values(spark, r=PG.references_in(F.lit("ماده ۱ و ماده ۲ و ماده 2"), F.lit(1))).r == [2, 2]
 
@@ -70,9 +72,9 @@ def test_statute_page(spark):
 def test_elements_and_sections(spark):
     html = "<script>var t='<p>no</p>';</script><div class='box a'>x<b>y</b></div><h1>One</h1><p>a &amp; ۲<p>b</p><h1>Two</h1><p>c</p><div>end</div><p>gone</p>"
     page = spark.createDataFrame([(1, html)], "page_id long, html string")
-    assert [(r["class"], r.text) for r in PG.elements(page, ["div"], "a").collect()] == [("box a", "xy")]
-    s = PG.ruling_sections(PG.elements(page, ["h1", "p", "div"]).filter("pos > 0")).orderBy("section_no").collect()
-    assert [(r.court_level, r.text) for r in s] == [("One", "a & 2\nb"), ("Two", "c")]
+    assert [(r["class"], r.text) for r in PG.elements(page, ["div"], "a").collect()] == [("box a", "x y")]
+    s = PG.ruling_sections(page).orderBy("section_no").collect()
+    assert [(r.section_no, r.court_level, r.text) for r in s] == [(1, "One", "a & 2 b"), (2, "Two", "c")]
     assert [(r.id, r.position) for r in PG.link_ids(spark.createDataFrame([(1, '<a href="/r/5"><a href="/r/2"><a href="/r/5">')], "page_id long, html string"), "/r/(\\d+)").orderBy("position").collect()] == [("5", 1), ("2", 2)]
 
 
@@ -120,9 +122,14 @@ def test_audit(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, checklist array<{item}>")
     got = {r.i: (round(r.x.ratio, 3), r.x.is_applicable) for r in df.select("i", A.decided(F.col("checklist")).alias("x")).collect()}
     assert got == {0: (1.0, True), 1: (0.5, False), 2: (0.6, True), 3: (0.5, False), 4: (0.0, False)}
-    raw = ['```json\n{"topically_relevant": "perhaps", "checklist": [{"condition": "c", "necessary": true, "satisfied": "unknown"}, {"condition": ""}]}\n```', "not json", '{"topically_relevant": false, "checklist": [{"condition": "c", "necessary": false, "satisfied": true}]}']
+    raw = [
+        '```json\n{"topically_relevant": "perhaps", "checklist": [{"condition": "c", "necessary": true, "satisfied": " Unknown "}, {"condition": "", "necessary": 1, "satisfied": "yes"}]}\n```', "not json",
+        '{"topically_relevant": false, "checklist": [{"condition": "c", "necessary": "off", "satisfied": 1.0}, {"condition": 5, "necessary": true, "satisfied": true}, {"condition": "d", "necessary": "odd", "satisfied": true}]}',
+        '{"checklist": [{"condition": "c", "necessary": true, "satisfied": "maybe"}, {"condition": "d", "necessary": true, "satisfied": 7}, {"condition": "e", "satisfied": true}, {"condition": "f", "necessary": null, "satisfied": true}, 3]}',
+        '["x"]', '{"checklist": {}}', None,
+    ]
     out = [(r.topically_relevant, [tuple(i) for i in r.checklist], r.parse_error) for r in A.parsed_answers(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()]
-    assert out == [(True, [("c", True, False)], False), (True, [], True), (False, [("c", False, True)], False)]
+    assert out == [(True, [("c", True, False), ("", True, True)], False), (True, [], True), (False, [("c", False, True)], False), *[(True, [], True)] * 4]
 
 
 def test_opinions(spark):
@@ -176,7 +183,7 @@ def test_vocabulary(spark):
     idx = {(r.category, r.key): r.canonical for r in VO.index(v, lambda c: c).collect()}
     assert idx["role", "x"] == "x"
     vals = spark.createDataFrame([("role", "a y z b"), ("role", "x"), ("role", "none")], "category string, value string")
-    assert {r.value: r.canonical for r in FE.resolved(vals, v, 3, lambda c: c).collect()} == {"a y z b": "y", "x": "x", "none": None}
+    assert {r.value: r.canonical for r in FE.resolved(vals, v, lambda c: c).collect()} == {"a y z b": "y", "x": "x", "none": None}
     review = spark.createDataFrame([("t1", "role"), ("t2", "alias:x"), ("t3", "alias:q"), ("t4", " "), ("t5", "zz"), ("t6", "REMOVE")], "term string, decision string")
     assert {r.term: (r.kind, r.category, r.canonical) for r in VO.reviewed(review, v, ["role", "act"]).collect()} == {"t1": ("new", "role", "t1"), "t2": ("alias", "role", "x"), "t3": ("invalid", None, None), "t4": ("skipped", None, None), "t5": ("invalid", None, None), "t6": ("skipped", None, None)}
     toks = values(spark, g=VO.grams(F.array(*map(F.lit, ["aa", "the", "b", "cc", "dd"])), ["the"]))
@@ -222,18 +229,115 @@ def test_sources(spark, tmp_path):
         S.read_reviewed(spark, str(tmp_path / "r.csv"))
 
 
-def test_assembled_rulings(spark):
-    from citeloom.operators.rulings import LABELS, assembled
-
-    text = "شماره دادنامه: ۱۲\nتاریخ دادنامه : 1393/08/25\nگروه رأی: حقوقی\nمستندات: ماده ۳ قانون مدنی-"
-    page = spark.createDataFrame([(1, text), (2, "")], "page_id long, t string").select("page_id", F.lit("title").alias("title"), PG.labelled_box(F.col("t"), LABELS).alias("b")).select("page_id", "title", "b.*")
-    sections = spark.createDataFrame([(1, 2, "b", "ماده 5 قانون تجارت"), (1, 1, "a", "متن")], "page_id long, section_no int, court_level string, text string")
-    related = spark.createDataFrame([(1, "9", 2), (1, "7", 1)], "page_id long, id string, position int")
-    r = {x.ruling_id: x for x in assembled(page, sections, related).collect()}
-    assert (r["1"].verdict_number, r["1"].verdict_date, r["1"].case_type) == ("12", "1393/08/25", "حقوقی")
-    assert [s.court_level for s in r["1"].sections] == ["a", "b"] and r["1"].related_ruling_ids == ["7", "9"]
-    assert [c.article_number for c in r["1"].cited_articles] == [3] and [(c.article_number, c.law_name) for c in r["1"].text_cited_articles] == [(5, "قانون تجارت")]
-    assert r["2"].sections == [] and r["2"].text_cited_articles == [] and r["2"].cited_articles == [] and r["2"].verdict_number is None
+RULING = """<html><body><div class="nav">x</div><div class="container main"><h1 class="Title3D">عنوان : ابطال سند</h1>
+<table><tr><td class="font-size-small"> شماره دادنامه قطعی : ۹۳۰۹۹۷ <br> تاریخ دادنامه قطعی : ۱۳۹۳/۰۸/۲۵ <br>گروه رأی: حقوقی - شعبه ۱۲ </td></tr></table>
+<span><b>پیام:</b> سند رسمی معتبر است <b>x</b></span><div><b>مستندات:</b> ماده ۳ قانون مدنی-تبصره 1 از ماده 2 قانون صدور چک-</div>
+<select id="Judge_ID"><option value="">-</option><option value="77">a</option><option value="76">b</option></select></div>
+<div class="container"><h1 class="Title3D">other</h1></div>
+<div id="treeText">before<h1>رأی <b>بدوی</b></h1>متن ماده ۵ قانون تجارت<br>دو<script>no()</script><h1>رأی تجدیدنظر</h1> سه <i>چهار</i><div>فهرست</div>پنج</div></body></html>"""
+
+
+def test_ruling_pages(spark):
+    """A page as the court's site has it, one without any part, and none at all."""
+    from citeloom.operators.rulings import parsed_rulings
+
+    pages = spark.createDataFrame([("12", RULING, "http://x/12"), ("13", "<p>x</p>", None), ("14", None, None)], "page_id string, html string, url string")
+    r = {x.ruling_id: x for x in parsed_rulings(pages).collect()}
+    a = r["12"]
+    assert (a.title, a.legal_factual_summary, a.url) == ("ابطال سند", "سند رسمی معتبر است x", "http://x/12")
+    assert (a.verdict_number, a.verdict_date, a.case_type, a.related_ruling_ids) == ("930997", "1393/08/25", "حقوقی", ["77", "76"])
+    assert [(s.court_level, s.text) for s in a.sections] == [("رأیبدوی", "متن ماده 5 قانون تجارت دو"), ("رأی تجدیدنظر", "سه چهار")]
+    assert [(c.article_number, c.law_name, c.note_number) for c in a.cited_articles] == [(3, "قانون مدنی", None), (2, "قانون صدور چک", 1)]
+    assert [(c.article_number, c.law_name) for c in a.text_cited_articles] == [(5, "قانون تجارت")]
+    for x in (r["13"], r["14"]):
+        assert (x.title, x.verdict_number, x.case_type, x.related_ruling_ids, x.sections, x.cited_articles, x.text_cited_articles) == ("", "", "", [], [], [], [])
+
+
+@pytest.mark.parametrize("text, status", [("اصلاحي 1380", "amended"), ("الحاقي", "amended"), ("اصلاحى", "amended"), ("موقوف الاجرا", "abolished"), ("منسوخ و اصلاحي", "amended"), ("الحاقی", "active"), ("تفسير", "interpreted"), ("تفسیر", "interpreted"), ("اصلاح شده", "active"), ("حذف شده", "active")])
+def test_status(spark, text, status):
+    assert values(spark, s=PG.status_of(F.lit(text))).s == status
+
+
+def test_references_need_a_space(spark):
+    r = values(spark, a=PG.references_in(F.lit("ماده۳ و ماده ۴ و ماده  5"), F.lit(5)))
+    assert r.a == [4]
+
+
+def fences_brute(tokens, laws, known_words):
+    """Citations of a token list, read token by token: nearest law ahead, else the law just behind."""
+    law_at, known = {}, None
+    for i, t in enumerate(tokens):
+        if t == "law":
+            name = next((laws[k] for k in sorted(laws, key=len, reverse=True) if " ".join(tokens[i : i + len(k.split())]) == k), None)
+            size = len(next((k for k in sorted(laws, key=len, reverse=True) if " ".join(tokens[i : i + len(k.split())]) == k), "law").split())
+            refers = 0
+            if not name:
+                for gap in range(5):
+                    if i + gap + 1 < len(tokens) and tokens[i + gap + 1] in known_words and all(x.isalpha() for x in tokens[i + 1 : i + gap + 1]):
+                        refers = gap + 2
+                        break
+            known = name or known
+            back = i and tokens[i - 1] == "that"
+            law_at[i] = (i + (size if name else refers or 1), name or (known if refers or back else None))
+    marks = sorted(law_at.items())
+    behind, after = {i: [] for i, _ in marks}, {i: [] for i, _ in marks}
+    i = 0
+    while i < len(tokens):
+        if tokens[i] in ("article", "articles") and i + 1 < len(tokens) and tokens[i + 1].isdigit():
+            j, numbers = i + 1, []
+            while j < len(tokens) and (tokens[j].isdigit() or (tokens[j] == "and" and tokens[j - 1].isdigit())):
+                numbers += [int(tokens[j])] if tokens[j].isdigit() else []
+                j += 1
+            before = tokens[:i][:-1] if i and tokens[i - 1] == "of" else tokens[:i]
+            start = len(before) - 2
+            note = int(before[-1]) if len(numbers) == 1 and start >= 0 and before[-2] == "note" and before[-1].isdigit() else None
+            ahead = next((m for m in marks if m[0] > i), None)
+            last = next((m for m in reversed(marks) if m[0] < i), None)
+            lo = last[1][0] if last else 0
+            note = note if start >= lo else None
+            if i >= lo:
+                if ahead and ahead[1][1]:
+                    behind[ahead[0]] += [(n, note) for n in numbers]
+                elif last and last[1][1]:
+                    after[last[0]] += [(n, note) for n in numbers]
+            i = j
+        else:
+            i += 1
+    tied = set()
+    for k, (at, (_, law)) in enumerate(marks):
+        lo = marks[k - 1][1][0] if k else 0
+        if law and lo + 1 < at and tokens[lo] == "and" and tokens[lo + 1].isdigit():
+            behind[at].append((int(tokens[lo + 1]), None))
+            tied.add(lo)
+    for k, (at, (end, law)) in enumerate(marks):
+        hi = marks[k + 1][0] if k + 1 < len(marks) else len(tokens)
+        if law and end not in tied and end + 1 < hi and tokens[end] == "and" and tokens[end + 1].isdigit():
+            after[at].append((int(tokens[end + 1]), None))
+    return [(n, law, note) for side in (behind, after) for at, (_, law) in marks for n, note in side[at]]
+
+
+def test_free_text_against_tokens():
+    g = CI.Grammar(law="law", article="article", articles="articles", note="note", of="of", joins=("and", ","), letters="a-z", said=("said", "above"), that=("that",), back=10**6, ahead=10**6, reach=10**6)
+    laws = {"law of trade": "trade", "law of trade courts": "courts", "law civil": "civil"}
+    reader, rng = CI.FenceReader(laws, g), random.Random(6)
+    words = ["law", "law of trade", "law of trade courts", "law civil", "said", "above", "that", "article", "articles", "note", "of", "and", "5", "12", "7", "x", "court"]
+    found = 0
+    for _ in range(4000):
+        tokens = " ".join(rng.choice(words) for _ in range(rng.randint(1, 25))).split()
+        got = [(c["article_number"], c["law_name"], c["note_number"]) for c in reader.read(" ".join(tokens))]
+        assert got == fences_brute(tokens, laws, {"said", "above"}), " ".join(tokens)
+        found += len(got)
+    assert found > 1000
+
+
+def test_free_text_limits():
+    """A law inside a reference counts as the last law; windows end at 400 characters before a law and 60 after it."""
+    read = lambda t: [(c["article_number"], c["law_name"], c["note_number"]) for c in CI.FenceReader(CI.LAWS, CI.Grammar()).read(t)]
+    civil, trade, procedure = "قانون مدنی", "قانون تجارت", "قانون آیین دادرسی مدنی"
+    assert read(f"{civil} و قانون جدید آیین دادرسی مدنی مذکور. ماده 9 قانون مذکور")[-1] == (9, procedure, None)
+    assert read("ماده 7 " + "x" * 392 + " " + civil) == [(7, civil, None)] and read("ماده 7 " + "x" * 394 + " " + civil) == []
+    assert read(civil + " " + "x" * 50 + " ماده 12345") == [(123, civil, None)] and read(civil + " " + "x" * 58 + " ماده 12345") == []
+    assert read(f"ماده 1 {civil} و 3 {trade}") == [(1, civil, None), (3, trade, None)]
 
 
 def test_page_of_vocabulary_rules(spark):
@@ -260,3 +364,160 @@ def test_chunks_of_whole_texts(spark):
     row = spark.createDataFrame([(text, "ab", "")], "long string, short string, empty string").select(X.chunks(F.col("long")).alias("t"), X.chunks(F.col("short")).alias("s"), X.chunks(F.col("empty")).alias("e"), X.chunks(F.col("long"), cap=20_000).alias("cut")).first()
     assert row.t == [text[o : o + 3000] for o in range(0, 30_001, 2800)] and (row.s, row.e) == (["ab"], [""])
     assert row.cut == [text[:20_000][o : o + 3000] for o in range(0, 20_000, 2800)]
+
+
+def test_association_by_hand(spark):
+    """PMI from one join against counts of sets."""
+    rng = random.Random(4)
+    cites = {(r, a) for r in range(40) for a in range(5) if rng.random() < 0.4}
+    feats = [(r, "role", f"v{v}") for r in range(40) for v in range(4) for _ in range(rng.randint(0, 2))]
+    edges = spark.createDataFrame([(r, "l", a, rng.choice(["official", "text"])) for r, a in sorted(cites)], "ruling_id long, law string, article_number int, source string")
+    f = spark.createDataFrame(feats, "ruling_id long, category string, value string")
+    art = spark.createDataFrame([("l", a, "civil" if a else "proc") for a in range(5)], "law string, article_number int, domain string")
+    got = {(r.value, r.article_number): r for r in G.pmi(f, edges, G.cooccurrence(f, edges, art, ["proc"]), spark.createDataFrame([(50,)], "n long")).collect()}
+    has, cited = {(r, v) for r, _, v in feats}, {a: {r for r, x in cites if x == a} for a in range(5)}
+    for v in {v for _, _, v in feats}:
+        for a in range(1, 5):
+            rulings = {r for r, x in has if x == v}
+            joint = len(rulings & cited[a])
+            if not joint:
+                assert (v, a) not in got
+                continue
+            r, pmi = got[v, a], math.log(joint * 50 / (len(rulings) * len(cited[a])))
+            assert r.n_joint == joint and abs(r.pmi - pmi) < 1e-9 and abs(r.npmi - pmi / -math.log(joint / 50)) < 1e-9
+            assert r.official_count + r.text_count == sum(1 for x, _, y in feats if y == v and x in cited[a])
+    assert (0 not in {a for _, a in got}) and G.graph_support(spark.createDataFrame([(1,)], "query_id long"), f.select(F.lit(1).alias("query_id"), "category", "value"), edges.select(F.lit(1).alias("query_id"), "law", "article_number"), G.pmi(f, edges, G.cooccurrence(f, edges, art, ["proc"]), spark.createDataFrame([(50,)], "n long"))).count() == 1
+
+
+def test_bm25_fills_up(spark):
+    """A query with fewer than k matches gets the first other documents with score 0."""
+    docs = spark.createDataFrame([(i, ["a", "b"] if i == 7 else ["c", f"d{i}"]) for i in range(12)], "id long, tokens array<string>")
+    q = spark.createDataFrame([(1, ["a"]), (2, ["zz"])], "query_id long, tokens array<string>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score > 0) for r in R.bm25(docs, q, 3).collect()}
+    assert got == {(1, 1): (7, True), (1, 2): (0, False), (1, 3): (1, False), (2, 1): (0, False), (2, 2): (1, False), (2, 3): (2, False)}
+
+
+def test_long_terms(spark):
+    """Terms of any number of tokens are found in values and queries."""
+    six = "a b c d e f g"
+    v = spark.createDataFrame([("role", "long", six, True, 1), ("role", "short", "c d", True, 2)], "category string, canonical string, raw string, is_canonical boolean, ord int")
+    vals = spark.createDataFrame([("role", f"x {six} y"), ("role", "q c d")], "category string, value string")
+    assert {r.value: r.canonical for r in FE.resolved(vals, v, lambda c: c).collect()} == {f"x {six} y": "long", "q c d": "short"}
+    q = spark.createDataFrame([(1, f"x {six}".split())], "query_id long, tokens array<string>")
+    assert [(r.canonical, r.position) for r in CH.vocabulary_matches(q, v).orderBy("position").collect()] == [("long", 1), ("short", 2)]
+    long_alias = "alias:" + "z" * 20_000
+    vz = spark.createDataFrame([("role", "z" * 20_000, "z" * 20_000, True, 1)], "category string, canonical string, raw string, is_canonical boolean, ord int")
+    assert VO.reviewed(spark.createDataFrame([("t", long_alias)], "term string, decision string"), vz, ["role"]).first().kind == "alias"
+
+
+def test_many_configs_and_alphas(spark):
+    """No config or alpha is dropped for its number."""
+    rows = spark.createDataFrame([(float(i), float(i), i % 2) for i in range(4)], "x double, y double, fold int")
+    out = C.grid_search(rows, spark.range(100_001).withColumnRenamed("id", "config_id"), F.col("x") * 1, "y")
+    assert out.count() == 100_001
+    t = spark.range(10_001).select((F.col("id") / 20_000.0).alias("alpha"), F.lit(0.5).alias("threshold"))
+    pool = spark.createDataFrame([(1, "a", 0.9)], "query_id int, ref string, score double")
+    assert C.conformal_report(pool, pool.select("query_id", "ref"), pool, t).count() == 10_001
+    assert C.weight_configs(spark).count() == 972 and C.weight_configs(spark).filter("article_weight < 0").count() == 0
+
+
+def test_ranges_follow_the_data(spark):
+    """One outlier does not crowd the other rows into one range, and sums stay exact."""
+    xs = [random.Random(i).random() for i in range(3000)] + [1e12]
+    df = spark.createDataFrame([(x, 1) for x in xs], "x double, n long")
+    got = {r.x: r.before_n for r in M.cumulative(df, [], "x", ["n"]).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(xs))}
+
+
+def test_null_scores_and_types(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (None, 1), (0.5, None)], "s double, y int")
+    assert M.auroc(df, "s", "y").first().auroc == 1.0 and M.average_precision(df, "s", "y").first().average_precision == 1.0
+    rows = spark.createDataFrame([(0.9, "civil"), (0.1, None), (None, "civil")], "r double, c string")
+    got = {(r.passed, r.case_type): r.n for r in M.pass_report(rows, "r", "c").collect()}
+    assert got[("all", "all")] == 3 and got[("all", "missing")] == 1 and got[("missing", "all")] == 1 and got[("true", "civil")] == 1
+
+
+def test_stratified_in_buckets(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(3000)], "k long, s string")
+    folds = C.stratified_folds(df, "k", "s", 5).groupBy("s", "fold").count().collect()
+    assert sorted((str(r.s), r["count"]) for r in folds) == sorted([("None", 200)] * 5 + [("a", 400)] * 5)
+    split = {(r.s, r.is_test): r["count"] for r in C.stratified_split(df, "k", "s", 0.2).groupBy("s", "is_test").count().collect()}
+    assert split == {("a", True): 400, ("a", False): 1600, (None, True): 200, (None, False): 800}
+
+
+def test_logistic_against_newton(spark):
+    """The fitted weights solve the penalised likelihood's equations."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 2))
+    y = (x[:, 0] + 0.4 * rng.random(300) > 0.7).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
+    c, m = 0.5, None
+    m = C.fit_logistic(df, ["a", "b"], "y", c)
+    full, w = np.column_stack((x, np.ones(300))), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ w))
+        pen = np.array([1.0, 1.0, 0.0])
+        w = w - np.linalg.solve(c * (full.T * (p * (1 - p))) @ full + np.diag(pen), c * full.T @ (p - y) + pen * w)
+    assert np.allclose([*m.coefficients, m.intercept], w, atol=1e-4)
+
+
+def test_evidence_bundles(spark):
+    refs = spark.createDataFrame([(1, "r1", 1), (1, "r2", 2), (1, "r3", 3)], "query_id int, ref string, position int")
+    texts = spark.createDataFrame([("r1", "text one")], "ref string, text string")
+    rulings = spark.createDataFrame([(1, "r1", 2, "b"), (1, "r1", 1, "a"), (1, "r1", 3, None), (1, "r2", 1, "")], "query_id int, ref string, rank int, text string")
+    features = spark.createDataFrame([(1, 1, "f1"), (1, 2, None), (1, 3, "f3")], "query_id int, rank int, text string")
+    grounded = spark.createDataFrame([("r1", 2, "w"), ("r1", 1, "v")], "ref string, rank int, value string")
+    got = {r.ref: (r.article_text, r.supporting_texts) for r in R.bundles(refs, texts, rulings, features, grounded, most_refs=2, most_features=2).collect()}
+    assert got == {"r1": ("text one", [R.GROUNDED + "v، w", "a", "b", "f1"]), "r2": ("", ["f1"])}
+    assert R.bundles(refs, texts, rulings, features).filter("ref = 'r3'").first().supporting_texts == ["f1", "f3"]
+
+
+def test_gated_and_routed(spark):
+    q = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, None)], "query_id int, channels array<string>")
+    assert [r.query_id for r in CH.gated(q, "a").collect()] == [1] and CH.gated(q, "b").count() == 2
+    vector = spark.createDataFrame([(1, 0.8, 0.4, [], ["a", "b"], 0.2, 1.0), (2, 0.0, 0.6, ["a"], ["a", "b"], None, None)], "query_id int, a_quality double, b_quality double, missing array<string>, queried array<string>, route double, amb double")
+    got = [round(r.score, 6) for r in R.blended_confidence(vector, "queried", {"a": 0.5, "b": 0.5}, routing="route", routing_weight=0.5, ambiguity="amb", ambiguity_weight=0.1).orderBy("query_id").collect()]
+    assert got == [round(0.6 - 0.1 - 0.1, 6), round(0.3 - 0.1, 6)]
+
+
+def test_feature_edges(spark):
+    f = spark.createDataFrame([("1", "role", 0, "a", "q", 1, 2, 0.5), ("1", "role", 1, "a", "r", None, None, None), ("1", "fact", 0, "x", "s", 3, 4, 0.9), ("2", "fact", 0, "x", "s", 3, 4, 0.9)], "ruling_id string, category string, pos int, value string, quote string, start_char int, end_char int, confidence double")
+    e = FE.feature_edges(f).collect()
+    assert sorted(r.node for r in e) == ["fact:1:0", "fact:2:0", "role:a", "role:a"] and FE.feature_nodes(f).count() == 1
+    stats = FE.extraction_stats(f, ["zz"]).first()
+    assert (stats.n, stats.unlocated, stats.low, stats.middle, stats.high, stats.n_rulings, stats.n_lacking) == (4, 0.25, 0, 1, 2, 2, 2)
+
+
+def test_worst_coverage(spark):
+    sized = spark.createDataFrame([(0.1, q, 2 if q < 10 else 1 if q < 19 else 5, int(q % 2)) for q in range(20)] + [(0.2, 1, 0, 1)], "alpha double, query_id int, size int, covered int")
+    assert {r.alpha: r.worst_coverage for r in C.coverage_by_size(sized).collect()} == {0.1: pytest.approx(4 / 9)}
+
+
+def test_incremental_sources(spark, tmp_path):
+    """Pages, features and reports written and read back."""
+    item = "array<struct<category:string,value:string,evidence:struct<quote:string,start_char:int,end_char:int,confidence:double>>>"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/1.json").write_text('{"ruling_id": "1", "roles": [{"category": "role", "value": "v", "evidence": {"quote": "q", "start_char": 1, "end_char": 2, "confidence": 0.5}}], "facts": [{"category": "fact", "value": "w", "evidence": {}}]}')
+    good, _ = S.read_records(spark, str(tmp_path / "f"), S.FEATURES)
+    assert sorted((r.category, r.pos, r.value, r.quote) for r in S.flattened_features(good).collect()) == [("fact", 0, "w", None), ("role", 0, "v", "q")] and item in S.FEATURES
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/12.html").write_text("<p>a\nb</p>")
+    assert [tuple(r) for r in S.read_pages(spark, str(tmp_path / "p")).collect()] == [("12", "<p>a\nb</p>")]
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    for kind in ("parquet", "csv", "json"):
+        S.write_table(df, str(tmp_path / kind), ["k"], kind)
+        assert spark.read.option("header", True).format(kind).load(str(tmp_path / kind)).count() == 2
+    assert {(r.status, r.n) for r in GR.load_report(spark.createDataFrame([("new", "civil"), ("new", "civil"), ("error", None)], "status string, case_type string")).collect()} == {("new", 2), ("error", 1)}
+    s = GR.sections(spark.createDataFrame([("1", [("x", "t"), ("y", "u")]), ("2", [])], "ruling_id string, sections array<struct<court_level:string,text:string>>"))
+    assert [(r.ruling_id, r.section_no, r.court_level) for r in s.orderBy("section_no").collect()] == [("1", 0, "x"), ("1", 1, "y")]
+
+
+def test_vector_fallback(spark):
+    """Queries without an exact hit get the rulings of the nearest nodes, one row a ruling and value."""
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<double>")
+    nodes = spark.createDataFrame([(1, "role", "a", [1.0, 0.1]), (2, "role", "b", [0.0, 1.0]), (3, "act", "a", [1.0, 0.0])], "id long, category string, value string, embedding array<double>")
+    feats = spark.createDataFrame([(10, "role", "a", "q"), (10, "act", "a", "w"), (11, "act", "a", None), (12, "role", "b", "z")], "ruling_id long, category string, value string, quote string")
+    got = [(r.query_id, r["rank"], r.ruling_id, r.value, r.text) for r in CH.feature_fallback(q, spark.createDataFrame([(2,)], "query_id long"), nodes, feats, 2).orderBy("rank").collect()]
+    assert got == [(1, 1, 10, "a", "w"), (1, 2, 11, "a", "a")]
