@@ -131,9 +131,9 @@ def status_of(text: Column, w: StatuteWords = StatuteWords()) -> Column:  # noqa
 
 
 def references_in(text: Column, own: Column, w: StatuteWords = StatuteWords()) -> Column:  # noqa: B008
-    """Article numbers in the text except the own one; repeats stay."""
+    """Article numbers in the text except the own one; repeats stay, numbers beyond an int go."""
     found = F.regexp_extract_all(to_latin_digits(text), F.lit(w.reference), F.lit(1))
-    return F.filter(F.transform(found, lambda n: n.cast("int")), lambda n: n != own)
+    return F.filter(F.transform(found, lambda n: n.try_cast("int")), lambda n: n.isNotNull() & (n != own))
 
 
 def segmented(elems: DataFrame, w: StatuteWords = StatuteWords(), key: str = "page_id") -> DataFrame:  # noqa: B008

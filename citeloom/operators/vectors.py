@@ -162,7 +162,7 @@ def relevant_vocabulary(sections: DataFrame, vocabulary: DataFrame, per_section:
 
 def pair_check(pairs: DataFrame, vectors: DataFrame, bar: float = 0.75) -> DataFrame:
     """pairs (a, b, expected) with cosine and agrees: whether cosine > bar is what was expected."""
-    v = lambda n: vectors.select(F.col("id").alias(n), F.col("embedding").alias(f"{n}_v"))
+    v = lambda n: vectors.select(F.col("id").alias(n), F.transform("embedding", lambda x: x.cast("double")).alias(f"{n}_v"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     rows = pairs.join(v("a"), "a").join(v("b"), "b")
     cosine = F.coalesce(F.try_divide(dot(F.col("a_v"), F.col("b_v")), F.sqrt(dot(F.col("a_v"), F.col("a_v"))) * F.sqrt(dot(F.col("b_v"), F.col("b_v")))), F.lit(0.0))

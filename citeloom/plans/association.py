@@ -42,9 +42,9 @@ def support(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "d3_citation_edges": _edges,
     "d4_source_counts": lambda s, d: G.source_counts(_edges(s, d)),
-    "i1_cooccurrence": _grounded,
+    "i1_cooccurrence": lambda s, d: _grounded(s, d).drop("n_joint"),
     "i2_pmi": lambda s, d: _round(scored(s, d)),
-    "i3_top_count": lambda s, d: G.top_by_count(_grounded(s, d)),
+    "i3_top_count": lambda s, d: G.top_by_count(_grounded(s, d).drop("n_joint")),
     "i3_top_npmi": lambda s, d: _round(G.top_by_npmi(scored(s, d))),
     "i4_top_features": lambda s, d: G.top_features(scored(s, d), articles(s, d).filter("domain = 'LARGE'")).select("law", "article_number", "rank", "category", "value", F.round("npmi", 6).alias("npmi")),
     "i5_graph_support": support,

@@ -26,7 +26,7 @@ def _chunks(s: SparkSession, d: str, cap: int | None = None) -> DataFrame:
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").filter("lang = 'en'").select("doc_id", X.tokens(F.lower("text"), "[a-z]+").alias("tokens"))
+    return table(s, d, "documents").select("doc_id", X.tokens(F.lower(F.coalesce("text", F.lit(""))), "\\p{L}+").alias("tokens"))
 
 
 def _vocab(s: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _vocab(s: SparkSession, d: str) -> DataFrame:
 VOCAB = """with p as (select p_type as category, p_name as raw, p_partkey as ord, p_brand from part),
 vocab as (select p.category, canonical, raw, ord = o as is_canonical, ord from p join (select category, p_brand, arg_min(raw, ord) as canonical, min(ord) as o from p group by all) f on p.category = f.category and p.p_brand = f.p_brand)
 """
-TOK = "with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents where lang = 'en'),\n"
+TOK = "with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') as w from documents),\n"
 GRAMS = TOK + """g as (select doc_id, gram from (select doc_id, unnest(w) as gram from t) where length(gram) > 1 and gram not in ('the', 'of', 'and', 'to', 'in')
  union all select doc_id, a || ' ' || b from (select doc_id, unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from t where len(w) > 1) where length(a) > 1 and length(b) > 1 and not (a in ('the', 'of', 'and', 'to', 'in') and b in ('the', 'of', 'and', 'to', 'in'))),
 counts as (select gram, count(*) as total, count(distinct doc_id) as n_docs from g group by gram)
@@ -82,15 +82,17 @@ def _mean_vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _extract(s: SparkSession, d: str) -> DataFrame:
-    """The first benchmark words that a document repeats, as extracted values."""
-    return table(s, d, "documents").filter("doc_id < 300").select(F.col("doc_id").alias("ruling_id"), F.posexplode(F.slice(X.tokens(F.lower("text"), "[a-z]+"), 1, 12)).alias("pos", "value")).withColumns({"category": F.when(F.length("value") > 3, "role").otherwise("fact"), "quote": F.when(F.col("pos") % 4 != 0, F.col("value"))})
+    """The words of all documents as extracted values, every fourth without a quote."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("ruling_id"), F.posexplode(X.tokens(F.lower("text"), "[a-z]+")).alias("pos", "value")).withColumns({"category": F.when(F.length("value") > 3, "role").otherwise("fact"), "quote": F.when(F.col("pos") % 4 != 0, F.col("value"))})
 
 
-EXTRACT = """with x as (select doc_id as ruling_id, i - 1 as pos, w[i] as value, case when length(w[i]) > 3 then 'role' else 'fact' end as category, case when (i - 1) % 4 <> 0 then w[i] end as quote from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents where doc_id < 300), range(1, 13) as r(i) where i <= len(w))
+EXTRACT = """with x as (select doc_id as ruling_id, i - 1 as pos, w[i] as value, case when length(w[i]) > 3 then 'role' else 'fact' end as category, case when (i - 1) % 4 <> 0 then w[i] end as quote from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents)))
 """
 QUERIES = {
     "b1_digits": lambda s, d: _docs(s, d).select("doc_id", X.to_latin_digits(X.to_persian_digits(F.col("doc_id").cast("string"))).alias("latin"), X.to_persian_digits(F.col("doc_id").cast("string")).alias("persian")),
     "b3_clean": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.clean_free_text(F.col("text"))).alias("h")),
+    "b5_search_tokens": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.array_join(X.search_tokens(F.concat(X.to_persian_digits(F.col("doc_id").cast("string")), F.lit(" قانون‌مدنی ماده 12 "), "text")), "|")).alias("h")),
+    "b6_vocabulary_tokens": lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.vocabulary_tokens(F.concat(X.to_persian_digits(F.col("doc_id").cast("string")), F.lit(" قانون‌مدنی و "), "text")), "|").alias("t")),
     "b5_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(X.tokens(F.lower("text"), "[a-z]+", 2)).alias("n")),
     "b7_head_and_tail": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.head_and_tail(F.col("text"), 1000)).alias("h")),
     "b8_truncated": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.truncated(F.col("text"), 300)).alias("h")),
@@ -103,7 +105,7 @@ QUERIES = {
     "e4_stubs": lambda s, d: GR.stub_articles(cites(s, d), articles(s, d).filter("domain != 'LARGE'")).select("law", "article_number"),
     "e7_extra_values": lambda s, d: GR.extra_values(table(s, d, "supplier").select(F.col("s_nationkey").alias("law")), table(s, d, "nation").filter("n_regionkey < 2").select(F.col("n_nationkey").alias("law"))),
     "a6_missing": lambda s, d: GR.missing_from(table(s, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", (F.col("o_orderkey") % 3).alias("n")), table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_linestatus").alias("o_orderstatus"), F.count(F.lit(1)).alias("n")), ["k"], ["o_orderstatus"], "n"),
-    "f1_resolved": lambda s, d: FE.resolved(table(s, d, "part").filter("p_partkey < 500").select(F.col("p_type").alias("category"), F.concat_ws(" ", F.lit("old"), "p_name", F.lit("set")).alias("value"), "p_partkey"), _vocab(s, d), 3, FOLD).select("p_partkey", "canonical"),
+    "f1_resolved": lambda s, d: FE.resolved(table(s, d, "part").select(F.col("p_type").alias("category"), F.concat_ws(" ", F.lit("old"), "p_name", F.lit("set")).alias("value"), "p_partkey"), _vocab(s, d), FOLD).select("p_partkey", "canonical"),
     "f2_index": lambda s, d: VO.index(_vocab(s, d), FOLD),
     "f4_cleaned": lambda s, d: FE.cleaned(_extract(s, d)),
     "f7_orphans": lambda s, d: FE.orphans(table(s, d, "customer").select(F.col("c_custkey").alias("ruling_id")), table(s, d, "orders").select(F.col("o_custkey").alias("ruling_id"))),
@@ -123,6 +125,11 @@ QUERIES = {
 _FOLD = "translate(replace(lower({c}), ' ', ''), 'e', 'a')"
 ORACLE = {
     "b1_digits": "select doc_id, doc_id::varchar as latin, translate(doc_id::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') as persian from documents",
+    "b5_search_tokens": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.array_join(X.search_tokens(F.concat(X.to_persian_digits(F.col("doc_id").cast("string")), F.lit(" قانون‌مدنی ماده 12 "), "text")), "|")).alias("h")),
+    "b6_vocabulary_tokens": lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.vocabulary_tokens(F.concat(X.to_persian_digits(F.col("doc_id").cast("string")), F.lit(" قانون‌مدنی و "), "text")), "|").alias("t")),
+    "b3_clean": "select doc_id, md5(trim(regexp_replace(regexp_replace(translate(coalesce(text, ''), '۰۱۲۳۴۵۶۷۸۹', '0123456789'), '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}\\x{FEFF}]', ' ', 'g'), '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) as h from documents",
+    "b5_search_tokens": "select doc_id, md5(array_to_string(regexp_extract_all(translate(doc_id::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' قانون مدنی ماده 12 ' || coalesce(text, ''), '[\\x{0600}-\\x{06FF}]+|\\p{Nd}+'), '|')) as h from documents",
+    "b6_vocabulary_tokens": "select doc_id, array_to_string(list_filter(regexp_extract_all(translate(doc_id::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' قانون‌مدنی و ' || coalesce(text, ''), '[\\x{0600}-\\x{06FF}\\x{200C}]+'), lambda x: length(x) >= 2), '|') as t from documents",
     "b5_tokens": "select doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: length(x) >= 2))::int as n from documents",
     "b7_head_and_tail": "select doc_id, md5(case when length(text) > 1000 then text[1:400] || chr(10) || '...' || chr(10) || right(text, 600) else text end) as h from documents",
     "b8_truncated": "select doc_id, md5(case when length(trim(text)) > 300 then rtrim(trim(text)[1:300]) || ' ...' else trim(text) end) as h from documents",
@@ -136,8 +143,8 @@ ORACLE = {
     "e7_extra_values": "select distinct s_nationkey as law from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey < 2)",
     "a6_missing": "select o_orderkey as k, o_orderstatus, o_orderkey % 3 as n from orders where not exists (select 1 from (select l_orderkey, min(l_linestatus) as s, count(*) as c from lineitem group by l_orderkey) where l_orderkey = o_orderkey and s = o_orderstatus and c >= o_orderkey % 3)",
     "f2_index": VOCAB + f"select category, key, canonical, ord from (select *, row_number() over (partition by category, key order by is_canonical desc, case when is_canonical then -ord else ord end) as r from (select *, {_FOLD.format(c='raw')} as key from vocab)) where r = 1",
-    "f1_resolved": VOCAB + """, best as (select p_partkey, arg_min(canonical, (-n) * 1000000 + ord) as canonical from (select p_partkey, len(string_split(raw, ' ')) as n, canonical, ord from part join vocab on category = p_type and contains(' old ' || p_name || ' set ', ' ' || raw || ' ') where p_partkey < 500) group by p_partkey)
-select part.p_partkey, canonical from part left join best using (p_partkey) where part.p_partkey < 500""",
+    "f1_resolved": VOCAB + """, best as (select p_partkey, arg_min(canonical, (-n) * 1000000 + ord) as canonical from (select p_partkey, len(string_split(raw, ' ')) as n, canonical, ord from part join vocab on category = p_type and contains(' old ' || p_name || ' set ', ' ' || raw || ' ')) group by p_partkey)
+select part.p_partkey, canonical from part left join best using (p_partkey)""",
     "f4_cleaned": EXTRACT + "select ruling_id, pos::int as pos, value, category, quote from (select *, row_number() over (partition by ruling_id, category, value order by pos) as r from x) where r = 1 and quote is not null",
     "f7_orphans": "select distinct c_custkey::varchar as ruling_id, false as matches_as_int from customer where c_custkey not in (select o_custkey from orders)",
     "f8_top_values": EXTRACT + "select value, count(*) as n from x where category = 'role' group by value order by n desc, value limit 15",

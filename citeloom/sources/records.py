@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,22 @@ def write_table(df: DataFrame, path: str, by: list[str] = (), kind: str = "parqu
     """Write a table, or a report as csv or json; by: partition columns."""
     out = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
     (out.option("header", True) if kind == "csv" else out).format(kind).save(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local master without one gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        folder = tempfile.mkdtemp(prefix="citeloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_records(df: DataFrame, path: str, records: int = 2000) -> None:
+    """Write the rows as JSON record files of about `records` objects each."""
+    n = max(1, -(-df.count() // records))
+    body = F.to_json(F.collect_list(F.struct(*df.columns)))
+    df.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("file")).agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
