@@ -521,3 +521,36 @@ def test_vector_fallback(spark):
     feats = spark.createDataFrame([(10, "role", "a", "q"), (10, "act", "a", "w"), (11, "act", "a", None), (12, "role", "b", "z")], "ruling_id long, category string, value string, quote string")
     got = [(r.query_id, r["rank"], r.ruling_id, r.value, r.text) for r in CH.feature_fallback(q, spark.createDataFrame([(2,)], "query_id long"), nodes, feats, 2).orderBy("rank").collect()]
     assert got == [(1, 1, 10, "a", "w"), (1, 2, 11, "a", "a")]
+
+
+FUSION = [
+    # verdicts, confidences, citations, prior score, prune ratio -> majority, consensus, final, level, flag, notes, agreed
+    ("aaa", (0.90, 0.85, 0.88), "||", 0.5, 0.0, "a", "full", 0.726, "high", False, [], []),
+    ("aba", (0.70, 0.60, 0.65), "||", 0.5, 0.0, "a", "majority", 0.59, "medium", False, [], []),
+    ("abn", (0.80, 0.80, 0.50), "||", 0.5, 0.0, "neutral", "split", 0.52, "medium", True, ["uncertain"], []),
+    ("aaa", (0.70, 0.70, 0.70), "||", 0.8, 0.0, "a", "full", 0.74, "high", False, [], []),
+    ("abn", (0.70, 0.70, 0.70), "||", 0.75, 0.0, "neutral", "split", 0.62, "medium", True, ["uncertain"], []),
+    ("abn", (0.01, 0.01, 0.01), "||", 0.01, 0.0, "neutral", "split", 0.0, "low", True, ["uncertain"], []),
+    ("aaa", (0.75, 0.73, 0.74), "||", 0.5, 0.0, "a", "full", 0.644, "medium", False, [], []),
+    ("aaa", (0.95, 0.95, 0.10), "||", 0.5, 0.0, "a", "full", 0.6, "medium", True, ["uncertain"], []),
+    ("aaa", (0.70, 0.65, 0.68), "1,2|2,3|3", 0.5, 0.2, "a", "full", 0.606, "medium", False, [], ["2", "3"]),
+    ("aaa", (0.70, 0.65, 0.68), "1|2|3", 0.5, 0.5, "a", "full", 0.606, "medium", False, [], []),
+    ("nnn", (0.50, 0.50, 0.50), "1,1||", 0.5, 0.7, "n", "full", 0.5, "medium", False, ["pruned"], []),
+    ("aaa", (0.90, 0.88, 0.89), "||", 0.9, 0.0, "a", "full", 0.894, "high", False, [], []),
+    ("nnn", (0.20, 0.22, 0.21), "||", 0.2, 0.0, "n", "full", 0.206, "low", False, [], []),
+    ("aaa", (1.0, 1.0, 1.0), "||", 1.5, 0.9, "a", "full", 1.0, "high", False, ["pruned"], []),
+    ("abn", (0.1, 0.9, 0.5), "x|x|x", 0.4, 0.6, "neutral", "split", 0.36, "low", True, ["uncertain", "pruned"], ["x"]),
+]
+
+
+def test_fusion_cases(spark):
+    """Every kind of vote, blend, flag, note and agreement, as one table."""
+    rows = [(c, i, f"r{i}", v, x, [r for r in cites.split(",") if r]) for c, (vs, confs, allc, *_) in enumerate(FUSION) for i, (v, x, cites) in enumerate(zip(vs, confs, allc.split("|"), strict=True))]
+    o = spark.createDataFrame(rows, "case_id int, pos int, role string, verdict string, confidence double, cited_articles array<string>")
+    p = spark.createDataFrame([(c, f[3], f[4]) for c, f in enumerate(FUSION)], "case_id int, score double, prune_ratio double")
+    got, agreed = {r.case_id: r for r in O.fused(o, p).collect()}, {r.case_id: r for r in O.agreed_refs(o).collect()}
+    for c, (vs, _, allc, _, _, *want, refs) in enumerate(FUSION):
+        r = got[c]
+        assert [r.majority_verdict, r.consensus, r.final_confidence, r.level, r.uncertainty_flag, r.notes] == want, c
+        assert agreed[c].agreed == refs and agreed[c].all_cited == sorted({x for x in allc.replace("|", ",").split(",") if x})
+        assert agreed[c].verdict_spread == {f"r{i}": v for i, v in enumerate(vs)}
