@@ -25,6 +25,11 @@ def source_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _mentions(features: DataFrame) -> DataFrame:
+    """One row a ruling and feature; the same plan wherever it is used, so its shuffle is used again."""
+    return features.groupBy("ruling_id", *FEATURE).agg(F.count(F.lit(1)).alias("m"))
+
+
 def cooccurrence(features: DataFrame, edges: DataFrame, articles: DataFrame, procedural: list[str]) -> DataFrame:
     """Paths between a feature and an article through a ruling, by the source of the citation, and the rulings that have both (n_joint).
 
@@ -32,7 +37,7 @@ def cooccurrence(features: DataFrame, edges: DataFrame, articles: DataFrame, pro
     rows, and each joined row is one ruling of the pair. Articles of procedural domains fall out, and so do those
     without a domain (a null is never outside a list).
     """
-    mentions = features.groupBy("ruling_id", *FEATURE).agg(F.count(F.lit(1)).alias("m"))
+    mentions = _mentions(features)
     wanted = articles.filter(~F.col("domain").isin(procedural)).select(*ARTICLE)
     cited = edges.join(wanted, ARTICLE).groupBy("ruling_id", *ARTICLE).agg(
         F.sum((F.col("source") == "official").cast("long")).alias("o"), F.sum((F.col("source") == "text").cast("long")).alias("t")
@@ -47,8 +52,8 @@ def pmi(features: DataFrame, edges: DataFrame, grounded: DataFrame, n_rulings: D
     n_rulings has a column n, the number of all rulings, stubs included; its largest value counts. npmi is null where
     every ruling has the pair.
     """
-    nf = features.groupBy(*FEATURE).agg(F.count_distinct("ruling_id").alias("n_feature"))
-    na = edges.groupBy(*ARTICLE).agg(F.count_distinct("ruling_id").alias("n_article"))
+    nf = _mentions(features).groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("n_feature"))
+    na = edges.select("ruling_id", *ARTICLE).distinct().groupBy(*ARTICLE).agg(F.count(F.lit(1)).alias("n_article"))
     n = n_rulings.agg(F.max("n").cast("double").alias("n"))  # one row
     out = grounded.join(nf, FEATURE).join(na, ARTICLE).crossJoin(F.broadcast(n))
     score = F.log(F.col("n_joint") * F.col("n") / (F.col("n_feature") * F.col("n_article")))

@@ -14,31 +14,27 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
 
     Repeated query tokens count again. A negative idf becomes epsilon times the mean idf over all terms. Documents
     without a query token score 0 and rank too, by id: a query with fewer than k better ones gets k rows all the same.
-    Document frequencies come from each document's distinct tokens; only tokens that some query has are counted by
-    document. A negative mean idf over more than some thousand documents is an error.
+    Document frequencies come from tokens that are distinct within their row; only tokens that some query has are
+    counted by document. A negative mean idf over more than 2 * k documents is an error.
     """
-    sized = docs.select("id", F.size("tokens").alias("len"), "tokens")
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
-    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of stats
-    mean = idf.agg(F.avg("raw").alias("mean_idf"))
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_len"))  # one row
+    idf = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = idf.agg(F.avg("raw").alias("mean_idf"))  # one row
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = asked.select("term").distinct()
-    wanted = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean))
+    posts = docs.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    first = 2 * k
     # only a corpus in which most terms are in most documents has a mean below 0, and then scores below those of other documents
-    first = max(2 * k, 1000)
     low = F.when((F.col("mean_idf") < 0) & (F.col("n") > first), F.raise_error(F.lit("the mean idf is negative")).cast("double")).otherwise(F.col("mean_idf") * epsilon)
-    wanted = wanted.select("term", "mean_len", F.when(F.col("raw") < 0, low).otherwise(F.col("raw")).alias("idf"))
-    tf = sized.select("id", "len", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "mean_len", F.when(F.col("raw") < 0, low).otherwise(F.col("raw")).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    scores = tf.join(wanted, "term").withColumn("w", weight).join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
-    # queries with fewer than k scores above 0: the k first ids without a score, or with one of 0, are among the first 2 k ids
-    above = F.sum((F.round("score", digits) > 0).cast("long"))
-    short = queries.select("query_id").distinct().join(scores.groupBy("query_id").agg(above.alias("above")).filter(F.col("above") >= k), "query_id", "left_anti")
-    rest = short.crossJoin(docs.select("id").orderBy("id").limit(first)).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    every = scores.unionByName(rest.withColumn("score", F.lit(0.0)))
+    scored = posts.join(wanted, "term").withColumn("w", weight).join(asked, "term").select("query_id", "id", (F.col("w") * F.col("times")).alias("w"))
+    # the k first ids without a score, or with one of 0, are among the first 2 k ids: they stand by with 0
+    rest = queries.select("query_id").distinct().crossJoin(docs.select("id").orderBy("id").limit(first)).select("query_id", "id", F.lit(0.0).alias("w"))
+    scores = scored.unionByName(rest).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def fusion_key(source: Column, ruling: Column, text: Column) -> Column:

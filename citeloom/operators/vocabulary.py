@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import match_key
+from citeloom.functions.text import counted, match_key
 
 
 def merged_terms(source: DataFrame, separator: str = " ؛ ") -> DataFrame:
@@ -104,22 +104,10 @@ def grams(tokens: Column, stopwords: list[str]) -> Column:
 def gram_counts(docs: DataFrame, stopwords: list[str]) -> DataFrame:
     """gram, total and n_docs. docs: tokens, one row a document.
 
-    Counted inside the row: a document's grams are sorted, and each run of equal ones becomes one (gram, count), so
-    only distinct grams leave the row and one shuffle by gram adds them up.
+    Counted inside the row: only a document's distinct grams leave it, tasks add up by gram, and one shuffle ends it.
     """
-
-    def runs(g: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (g[i] != g[F.greatest(i - 1, F.lit(0))]))
-        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(g)))
-        return _bound(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.struct(g[a].alias("gram"), (b - a).alias("c"))))
-
-    one = _bound(F.array_sort(grams(F.col("tokens"), stopwords)), lambda g: F.when(F.size(g) > 0, runs(g)).otherwise(F.array().cast("array<struct<gram:string,c:int>>")))
-    return docs.select(F.explode(one).alias("x")).groupBy("x.gram").agg(F.sum("x.c").alias("total"), F.count(F.lit(1)).alias("n_docs"))
-
-
-def _bound(value: Column, then) -> Column:
-    """then(value), with the value computed once a row however often it is used."""
-    return F.transform(F.array(value), then)[0]
+    one = docs.select(F.explode(counted(grams(F.col("tokens"), stopwords))).alias("x"))
+    return one.groupBy(F.col("x.item").alias("gram")).agg(F.sum("x.c").alias("total"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def gap_candidates(counts: DataFrame, vocab: DataFrame, least: int = 50, key=match_key) -> DataFrame:

@@ -73,6 +73,13 @@ def _raw_pruned(s: SparkSession, d: str) -> DataFrame:
     return r6(rows.agg(F.avg("a.recall").alias("raw_recall"), F.avg("b.recall").alias("kept_recall"), F.avg("a.precision").alias("raw_precision"), F.avg("b.precision").alias("kept_precision"), F.sum((F.col("b.f1") == 0).cast("long")).alias("zero_f1")), "raw_recall", "kept_recall", "raw_precision", "kept_precision")
 
 
+def _embedded(s: SparkSession, d: str) -> DataFrame:
+    """The mean vectors of all documents' chunks by the test embedder."""
+    chunks = table(s, d, "documents").select("doc_id", F.explode(X.chunks(F.coalesce("text", F.lit("")))).alias("chunk"))
+    m = V.mean_vectors(V.embedded(chunks, V.hashing_embedder(8)), "doc_id")
+    return m.select("doc_id", *(F.round(F.col("embedding")[i], 6).alias(f"x{i}") for i in range(8)))
+
+
 QUERIES = {
     "b2_strip_invisible": lambda s, d: table(s, d, "customer").select("c_custkey", X.strip_invisible(F.concat(F.lit(" ​"), "c_name", F.lit("‌\t"))).alias("name")),
     "b4_match_key": lambda s, d: table(s, d, "part").select("p_partkey", X.match_key(F.concat(F.lit("أ إ ة ك ي ء‌ "), "p_name")).alias("key")),
@@ -86,6 +93,7 @@ QUERIES = {
     "g12_reviewed": _reviewed,
     "g15_gap_report": _gaps,
     "g17_lost_phrases": _lost,
+    "h2_embedded": _embedded,
     "h4_attached": lambda s, d: V.attached(table(s, d, "labels").select("doc_id"), table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), ["doc_id"]).select("doc_id", F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 6).alias("first")),
     "h6_vocabulary": lambda s, d: r6(V.relevant_vocabulary(table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("section_id"), (F.col("vec_id") % 600).alias("case_id"), "embedding"), table(s, d, "embeddings").filter("vec_id % 100 != 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("category"), "embedding"), 4, 6), "score"),
     "k1_parsed_answers": _answers,

@@ -76,3 +76,16 @@ def test_all_orders(spark, tmp_path, name, key):
     rows = [(o, n, 7 * n, 3, "A", "O") for o in orders for n in (1, 2)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r[key] for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(orders)
+
+
+def test_embedded_documents(spark, con):
+    """Means of counts of hashed words over each text's chunks, counted by hand."""
+    import zlib
+
+    got = {r.doc_id: [r[f"x{i}"] for i in range(8)] for r in QUERIES["h2_embedded"](spark, SF).collect()}
+    for doc, text in con.execute("select doc_id, coalesce(text, '') from documents").fetchall():
+        parts = [text] if len(text) <= 3000 else [text[o : o + 3000] for o in range(0, len(text), 2800)]
+        sums = [0] * 8
+        for w in (w for p in parts for w in p.split()):
+            sums[zlib.crc32(w.encode()) % 8] += 1
+        assert got[doc] == pytest.approx([x / len(parts) for x in sums], abs=1e-6)
