@@ -8,6 +8,7 @@ only new pieces go to the model; every other word goes through encode_batch().
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -29,13 +30,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """One tokenizer file in one worker. most: pieces that are remembered, about 150 bytes each."""
+    """One tokenizer file in one worker. most: pieces, and as many whole words, that are remembered, about 150 bytes each."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.pieces, self.words = Tokenizer.from_file(path), most, {}, {}
         letters = _byte_letters()
         self.letter = [letters[b] for b in range(256)]
         self.model = self.tokenizer.model
@@ -44,29 +45,33 @@ class Encoder:
         self.short = "Lowercase" in shown and "NFC" in shown and "ByteLevel" in shown and "Split" in shown
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.model.tokenize("".join([self.letter[b] for b in piece.encode()])))
+        # visible ASCII characters stand for themselves
+        shown = piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()])
+        ids = tuple([t.id for t in self.model.tokenize(shown)])
         if len(self.pieces) < self.most:
             self.pieces[piece] = ids
         return ids
 
     def word_ids(self, words: list[str]) -> list:
-        out: list = [None] * len(words)
-        other, known, plain = [], self.pieces, PLAIN.fullmatch
-        for i, word in enumerate(words):
-            ids = known.get(low := word.lower())
-            if ids is None:
-                if not self.short or not plain(word) or "<|" in word:
-                    other.append(i)
-                    continue
-                parts = PIECES.findall(low)
-                if len(parts) == 1:
-                    ids = self._piece(low)
-                else:
-                    ids = ()
-                    for part in parts:
-                        got = known.get(part)
-                        ids += got if got is not None else self._piece(part)
+        out = list(map(self.words.get, words))
+        other, known, plain, split = [], self.pieces, PLAIN.fullmatch, PIECES.findall
+        room = self.most - len(self.words)
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word = words[i]
+            if not self.short or not plain(word) or "<|" in word:
+                other.append(i)
+                continue
+            parts = split(word.lower())
+            if len(parts) == 1:
+                ids = known.get(parts[0]) or self._piece(parts[0])
+            else:
+                ids = ()
+                for part in parts:
+                    ids += known.get(part) or self._piece(part)
             out[i] = ids
+            if room > 0:
+                self.words[word] = ids
+                room -= 1
         if other:
             for i, found in zip(other, self.tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
                 out[i] = found.ids
@@ -77,22 +82,19 @@ class Encoder:
         texts = texts.cast(pa.large_string()).fill_null("")
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        ids = self.word_ids(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for w in ids for x in w), np.uint32, int(size.sum()))
-        at = np.cumsum(size) - size
-        use = words.indices.to_numpy()
+        # the end is one more word, after the last of each text
+        ids = [*self.word_ids(words.dictionary.to_numpy(zero_copy_only=False).tolist()), (end,)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+        at = np.cumsum(size, dtype=np.int32) - size  # all below 2**31 in a slice of some megabytes
         lists = split.offsets.to_numpy()
         lists = lists - lists[0]
+        use = np.insert(words.indices.to_numpy(), lists[1:], len(ids) - 1)
         size_of = size[use]
-        before = np.concatenate(([0], np.cumsum(size_of)))  # below 2**31 in a slice of some megabytes
-        count = before[lists[1:]] - before[lists[:-1]] + 1
-        starts = np.concatenate(([0], np.cumsum(count)))
-        out = np.full(int(starts[-1]), end, np.uint32)
-        to = before[:-1] + np.repeat(np.arange(len(texts)), np.diff(lists))
-        every = np.arange(int(before[-1]))
-        out[np.repeat(to - before[:-1], size_of) + every] = flat[np.repeat(at[use] - before[:-1], size_of) + every]
-        return out, starts
+        before = np.zeros(len(use) + 1, np.int32)
+        np.cumsum(size_of, out=before[1:])
+        out = flat[np.repeat(at[use] - before[:-1], size_of) + np.arange(before[-1], dtype=np.int32)]
+        return out, before[lists + np.arange(len(lists))].astype(np.int64)
 
 
 def encoder(path: str) -> Encoder:
