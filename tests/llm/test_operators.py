@@ -524,3 +524,19 @@ def test_scratch(spark):
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         one.collect()
     assert shared_dir(spark) in b.path
+
+
+def test_long_texts(spark):
+    """One text of megabytes and one word of a megabyte go through the operators that no pipeline stage covers."""
+    long = " ".join(f"w{i % 5000}" for i in range(300_000)) + " all rights reserved"
+    rows = [(1, long), (2, "z" * 1_000_000), (3, "all rights reserved"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("x")).withColumn("part", F.lit("y"))
+    size = {i: len((t or "").encode()) for i, t in rows}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in sharded(docs, 2).collect()} == {i: (size[i] + 16, zlib.crc32((t or "").encode())) for i, t in rows}
+    found = {r.doc_id: (r.n_words, [(m.first_word, m.end_word) for m in r.matches]) for r in scan_licenses(docs).collect()}
+    assert found == {1: (300_003, [(300_000, 300_003)]), 2: (1, []), 3: (3, [(0, 3)]), 4: (0, [])}
+    ids = encoded([(i, t, None) for i, t in rows], 1)
+    read = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in read_token_files(write_token_files(docs, PATH), docs.schema["doc_id"]).collect()}
+    assert read == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+    scores = {r.doc_id: r.score for r in quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert scores == dict.fromkeys((1, 2, 3, 4), 0.5)
