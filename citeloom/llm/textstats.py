@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,16 +92,20 @@ def batch_stats(texts: pa.Array, k: int = 5) -> tuple[dict[str, np.ndarray], dic
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Per row: the id, COUNTS and RATIOS of the whole text; and the whole input row as a struct, if a name is given for it.
 
-    Other columns are not read; an id column named like a statistic is an error.
+    Only texts go to the Python workers; other columns stay in the JVM. Other columns are not read without `row`; an id
+    column named like a statistic is an error.
     """
     distinct_names({id_col}, (*COUNTS, *RATIOS, "base_failed", "kept", "rule"))
-    whole = [T.StructField(row, docs.schema)] if row else []
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS), *whole])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
-                exact, ratios = batch_stats(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(exact[c].astype(np.int64)) for c in COUNTS), *(pa.array(ratios[c]) for c in RATIOS), *part.columns[2:]], names=schema.names)
-
-    return docs.select(id_col, text, *([F.struct(*docs.columns).alias(row)] if row else [])).mapInArrow(measure, schema)
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS)])
+    kinds = pa.struct([*((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in RATIOS)])
+
+    def measure(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, 2 << 20):
+            exact, ratios = batch_stats(part.column(0))
+            out.append(pa.StructArray.from_arrays([*(pa.array(exact[c].astype(np.int64)) for c in COUNTS), *(pa.array(ratios[c]) for c in RATIOS)], fields=list(kinds)))
+        return pa.concat_arrays(out) if out else pa.array([], kinds)
+
+    found = F.arrow_udf(measure, schema)(F.col(text)).alias("__stats")
+    rows = docs.select(F.col(id_col), *([F.struct(*docs.columns).alias(row)] if row else []), found)
+    return rows.select(id_col, *(F.col(f"__stats.{c}").alias(c) for c in (*COUNTS, *RATIOS)), *([row] if row else []))
