@@ -42,4 +42,66 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id
 from d left join n on d.doc_id = n.doc_id join (select doc_id, min(other) as component_id from reach group by doc_id) c on d.doc_id = c.doc_id
 """
 
-ORACLE = {"op1_substring_dedup": OP1, "op3_exact_top_k": OP3, "op5_ngram_join": OP5}
+OP11 = r"""
+with crc as (select list(c order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) as c from range(256) as r(i))),
+tok as (
+  select true as own, row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select false, row_number() over (), null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+),
+feat as (
+  select own, r, unnest(w) as f from tok
+  union all select own, r, w[i] || ' ' || w[i + 1] from (select own, r, w, unnest(range(1, len(w))) as i from tok where len(w) >= 2)
+),
+per as (select own, r, f, count(*) as n from feat group by all),
+code as (
+  select f, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as b
+  from (select distinct f from per), crc
+),
+held as (select own, r, b, sum(n)::bigint as n from per join code using (f) group by all),
+sums as (select b, coalesce(sum(n) filter (where own), 0)::bigint as s, coalesce(sum(n) filter (where not own), 0)::bigint as t from held group by b),
+whole as (select coalesce(sum(s), 0)::double + 10000 as s_all, coalesce(sum(t), 0)::double + 10000 as t_all from sums),
+gain as (select b, floor(1000 * ln(((t + 1)::double * s_all) / ((s + 1)::double * t_all)))::bigint as g from sums, whole),
+weights as (select r, sum(n)::bigint as n_features, floor(sum(n * g)::double / sum(n))::bigint as weight from held join gain using (b) where own group by r),
+scored as (
+  select tok.r, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::varchar, ''))[:8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from tok left join weights using (r) where own
+),
+drawn as (select r, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20),
+quota as (select 25 * count(*) // 100 as q from scored where n_words >= 20)
+select doc_id, n_features::bigint as n_features, weight, score, case when rank <= q then rank end as rank from scored left join drawn using (r), quota
+"""
+
+OP13 = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+flags as (
+  select r, part,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails,
+    coalesce(doc_id in (select doc_id from labels where quality = 1 and doc_id is not null), false) as good, coalesce(doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null), false) as toxic
+  from d
+),
+masks as (select part, list_sum(list_transform(fails, lambda x, i: x::int << (i - 1)::int))::int as m, good, toxic, count(*) as n from flags group by all),
+one as (select unnest(range(1, 6))::int as i),
+steps as (
+  select chr((64 + a.i)::int) || chr((64 + b.i)::int) || chr((64 + c.i)::int) || chr((64 + e.i)::int) || chr((64 + g.i)::int) as filter_order, unnest([1, 2, 3, 4, 5]) as step,
+    unnest([a.i, b.i, c.i, e.i, g.i]) - 1 as f,
+    unnest([0, 1 << (a.i - 1), (1 << (a.i - 1)) | (1 << (b.i - 1)), (1 << (a.i - 1)) | (1 << (b.i - 1)) | (1 << (c.i - 1)), 31 - (1 << (g.i - 1))])::int as before
+  from one a, one b, one c, one e, one g where len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5
+),
+cells as (
+  select part, f, before,
+    coalesce(sum(n) filter (where m & (before | (1 << f)) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where m & before = 0 and m & (1 << f) <> 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where m & before <> 0 and m & (1 << f) <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where m = 1 << f), 0)::bigint as unique_fails,
+    coalesce(sum(n) filter (where m & before = 0 and m & (1 << f) <> 0 and good), 0)::bigint as good_lost,
+    coalesce(sum(n) filter (where m & before = 0 and m & (1 << f) <> 0 and toxic), 0)::bigint as toxic_lost
+  from masks, (select distinct f, before from steps) group by part, f, before
+),
+rows as (select part, filter_order, step::int as step, cells.* exclude (part) from steps join cells using (f, before))
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, f)::bigint as shapley from rows
+"""
+
+ORACLE = {"op1_substring_dedup": OP1, "op3_exact_top_k": OP3, "op5_ngram_join": OP5, "op11_importance": OP11, "op13_filter_audit": OP13}

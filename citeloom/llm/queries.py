@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import documents
+from citeloom.llm.filter_audit import filter_audit
+from citeloom.llm.importance import importance_resample
 from citeloom.llm.licenses import scan_licenses
 from citeloom.llm.mixing import mixed
 from citeloom.llm.ngram_join import jaccard_components
@@ -15,6 +17,7 @@ from citeloom.llm.packing import packed, pieces
 from citeloom.llm.quality_model import quality_scores
 from citeloom.llm.quality_rules import quality_rules
 from citeloom.llm.sharding import sharded
+from citeloom.llm.simhash import simhash_components
 from citeloom.llm.substring_dedup import remove_repeats
 from citeloom.llm.token_files import read_token_files, token_counts, write_token_files
 from citeloom.llm.topk import top_k
@@ -71,6 +74,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files, docs.schema["doc_id"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -82,6 +98,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_model": op9_quality_model,
     "op10_packing": op10_packing,
+    "op11_importance": op11_importance,
+    "op12_simhash": op12_simhash,
+    "op13_filter_audit": op13_filter_audit,
     "token_lookup": token_lookup,
 }
 

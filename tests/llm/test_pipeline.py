@@ -86,7 +86,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     said = con.execute(ORACLE[name])
     columns = [c[0] for c in said.description]
