@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.metrics import auroc, cumulative, spearman
+from citeloom.operators.metrics import auroc, cumulative, mid_ranks, null_safe_join
 
 
 def shuffled(df: DataFrame, key: str, stratum: str, seed: int, buckets: int = 1024) -> DataFrame:
@@ -57,11 +57,23 @@ def weight_configs(spark, grid: dict[str, tuple[float, ...]] = GRID) -> DataFram
 def grid_search(rows: DataFrame, configs: DataFrame, score: Column, target: str, fold: str = "fold") -> DataFrame:
     """config_id and mean_score: each config's Spearman with the target, averaged over folds; best first, ties to the first config.
 
-    Every row is scored by every config, which is the search; Spark picks the join by the size of the config table.
+    Every row is scored by every config, which is the search, but a task sends only runs: a config's distinct scores in
+    a fold, with their rows and the sum of the rows' target ranks, which no config changes and which are ranked once.
+    A row without a target, or without a score under the first config, does not count; 0 where a correlation is undefined.
+    configs: the table of the weights tried, which is broadcast.
     """
-    scored = rows.crossJoin(configs).select("config_id", fold, target, score.alias("__score"))
-    per = spearman(scored, "__score", target, ["config_id", fold])
-    return per.groupBy("config_id").agg(F.avg("spearman").alias("mean_score")).orderBy(F.desc("mean_score"), "config_id")
+    first = configs.orderBy("config_id").limit(1)
+    known = rows.filter(F.col(target).isNotNull()).crossJoin(F.broadcast(first)).filter(score.isNotNull()).select(*rows.columns)
+    placed = null_safe_join(known, mid_ranks(known, target, [fold], "__ry"), [fold, target])
+    scored = placed.crossJoin(F.broadcast(configs)).select("config_id", fold, score.alias("__score"), "__ry").filter("__score is not null")
+    runs = scored.groupBy("config_id", fold, "__score").agg(F.count(F.lit(1)).alias("n"), F.sum("__ry").alias("__sum_y"), F.sum(F.col("__ry") * F.col("__ry")).alias("__sum_yy"))
+    x = F.col("before_n") + (F.col("n") + 1) / 2
+    sums = cumulative(runs, ["config_id", fold], "__score", ["n"]).groupBy("config_id", fold).agg(
+        F.sum("n").alias("__n"), F.sum(F.col("n") * x).alias("__x"), F.sum(F.col("n") * x * x).alias("__xx"), F.sum(x * F.col("__sum_y")).alias("__xy"), F.sum("__sum_y").alias("__y"), F.sum("__sum_yy").alias("__yy")
+    )
+    spread = lambda c: F.col("__n") * F.col(f"__{c}{c}") - F.col(f"__{c}") * F.col(f"__{c}")
+    r = F.try_divide(F.col("__n") * F.col("__xy") - F.col("__x") * F.col("__y"), F.sqrt(spread("x") * spread("y")))
+    return sums.groupBy("config_id").agg(F.avg(F.coalesce(r, F.lit(0.0))).alias("mean_score")).orderBy(F.desc("mean_score"), "config_id")
 
 
 def weight_sweep(rows: DataFrame, a: str, b: str, label: str, weights: list[float]) -> DataFrame:
@@ -134,19 +146,18 @@ def conformal_quantiles(scores: DataFrame, alphas: list[float], s: str = "s") ->
 
 
 def prediction_sets(pool: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """pool rows with 1 - score at most each alpha's threshold."""
-    return pool.join(thresholds, 1 - F.col("score") <= F.col("threshold"))
+    """pool rows with 1 - score at most each alpha's threshold. thresholds: one row an alpha that the caller listed, so it is broadcast."""
+    return pool.join(F.broadcast(thresholds), 1 - F.col("score") <= F.col("threshold"))
 
 
 def set_sizes(pool: DataFrame, gold: DataFrame, queries: DataFrame, thresholds: DataFrame, mode: str = "all", key: str = "query_id", item: str = "ref") -> DataFrame:
     """alpha, key, size and covered (0 or 1) of every query at every alpha. A query without gold counts as covered; an infinite threshold takes the whole pool."""
-    members = prediction_sets(pool, thresholds).groupBy("alpha", key, item).agg(F.count(F.lit(1)).alias("times"))
-    frame = queries.select(key).distinct().crossJoin(thresholds.select("alpha"))
-    sizes = members.groupBy("alpha", key).agg(F.sum("times").alias("size"))
     real = gold.filter(F.col(item).isNotNull()).select(key, item).distinct()
-    goals = real.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = members.join(real, [key, item], "left_semi").groupBy("alpha", key).agg(F.count(F.lit(1)).alias("hits"))
-    rows = frame.join(sizes, ["alpha", key], "left").join(goals, key, "left").join(hits, ["alpha", key], "left")
+    flagged = pool.join(real.withColumn("__gold", F.lit(True)), [key, item], "left")
+    # sizes and hits in one aggregate; a reference that repeats in the pool is one hit
+    members = prediction_sets(flagged, thresholds).groupBy("alpha", key).agg(F.count(F.lit(1)).alias("size"), F.count_distinct(F.when(F.col("__gold"), F.col(item))).alias("hits"))
+    frame = queries.select(key).distinct().join(real.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold")), key, "left").crossJoin(F.broadcast(thresholds.select("alpha")))
+    rows = frame.join(members, ["alpha", key], "left")
     got, due = F.coalesce("hits", F.lit(0)), F.coalesce("n_gold", F.lit(0))
     covered = (due == 0) | ((got == due) if mode == "all" else (got > 0))
     return rows.select("alpha", key, F.coalesce("size", F.lit(0)).alias("size"), covered.cast("int").alias("covered"))

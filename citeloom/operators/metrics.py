@@ -11,24 +11,34 @@ from citeloom.functions.text import to_latin_digits
 EDGES = tuple(i * 0.1 if i not in (3, 6, 7) else {3: 0.30000000000000004, 6: 0.6000000000000001, 7: 0.7000000000000001}[i] for i in range(11))
 
 
-def cumulative(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int = 128) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right's other columns on keys, where a null key is a key of its own. Without keys right is one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*(f"__right_{k}" for k in keys))
+
+
+def cumulative(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int | None = None) -> DataFrame:
     """df with before_<value>: the sum over rows of the group with a smaller `order` (unique within a group, not null).
 
-    Each group is cut at its own quantiles, so an outlier does not crowd the rest into one range; sums of ranges, then
-    sums within a range. No task sees more than a range of one group, or the range sums of one group.
+    Each group (a null is one) is cut at its own quantiles, so an outlier does not crowd the rest into one range; sums of
+    ranges, then sums within a range. No task sees more than a range of one group, or the range sums of one group.
+    ranges: as many as there are shuffle partitions, 128 to 1,024, if not given. Without `by` the quantiles are one
+    row, which is broadcast.
     """
-    one = [F.lit(0).alias("__all")] if not by else []
-    keys = by or ["__all"]
-    df = df.select("*", *one)
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("__edges"))
+    ranges = ranges or min(1024, max(128, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    edges = _total(df, by, F.array_distinct(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("__edges"))
     part = F.size(F.filter("__edges", lambda e: e < F.col(order))).alias("__range")
-    cut = df.join(edges, keys).select(*df.columns, part)
-    sums = cut.groupBy(*keys, "__range").agg(*(F.sum(v).alias(f"__{v}") for v in values))
-    w = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__range", *(F.coalesce(F.sum(f"__{v}").over(w), F.lit(0)).alias(f"__{v}") for v in values))
-    inner = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(sums, [*keys, "__range"])
-    return out.select(*[c for c in df.columns if c != "__all"], *((F.col(f"__{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0))).alias(f"before_{v}") for v in values))
+    cut = null_safe_join(df, edges, by).select(*df.columns, part)
+    sums = cut.groupBy(*by, "__range").agg(*(F.sum(v).alias(f"__{v}") for v in values))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__range", *(F.coalesce(F.sum(f"__{v}").over(w), F.lit(0)).alias(f"__{v}") for v in values))
+    inner = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = null_safe_join(cut, sums, [*by, "__range"])
+    return out.select(*df.columns, *((F.col(f"__{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0))).alias(f"before_{v}") for v in values))
 
 
 def _total(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
@@ -67,7 +77,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """Correlation of average ranks; 0 where it is undefined. Rows without both values do not count."""
     by = list(by)
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = df.join(mid_ranks(df, x, by, "__rx"), [*by, x]).join(mid_ranks(df, y, by, "__ry"), [*by, y])
+    both = null_safe_join(null_safe_join(df, mid_ranks(df, x, by, "__rx"), [*by, x]), mid_ranks(df, y, by, "__ry"), [*by, y])
     r = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
     return _total(both, by, F.coalesce(r, F.lit(0.0)).alias("spearman"))
 
@@ -98,7 +108,7 @@ def ece(df: DataFrame, score: str, label: str, mode: str = "left", by: list[str]
     by = list(by)
     total = _total(df, by, F.count(F.lit(1)).alias("total"))
     bins = reliability(df, score, label, mode, by)
-    joined = bins.join(total, by) if by else bins.crossJoin(F.broadcast(total))  # one row
+    joined = null_safe_join(bins, total, by)
     error = F.sum(F.col("n") / F.col("total") * F.abs(F.col("accuracy") - F.col("confidence")))
     return _total(joined, by, (error * (100 if mode == "left" else 1)).alias("ece"))
 

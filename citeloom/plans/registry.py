@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from citeloom.plans import answers, association, channels, curation, evaluation, loads, more, pages, retrieval
+from citeloom.plans import answers, association, channels, curation, evaluation, fits, loads, more, pages, retrieval
 
-FAMILIES = (association, pages, curation, retrieval, channels, evaluation, more, loads, answers)
+FAMILIES = (association, pages, curation, retrieval, channels, evaluation, more, loads, answers, fits)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE = {k: v for f in FAMILIES for k, v in f.ORACLE.items()}
