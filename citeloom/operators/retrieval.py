@@ -8,14 +8,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.metrics import cumulative
+
+
+def filled_up(scores: DataFrame, queries: DataFrame, ids: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """query_id, id, score, rank: the k best of each query by score, ties by id, where every id without a score has 0.
+
+    scores: query_id, id, score (one row each); queries: query_id (distinct); ids: id (distinct). Queries with fewer than k
+    scores above 0 take the least ids that they have not scored: these stand in the gaps between the places of
+    the scored ones among all ids, so no query meets all ids.
+    """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id"))
+    few = queries.join(scores.groupBy("query_id").agg(F.sum((F.col("score") > 0).cast("long")).alias("good")), "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k).select("query_id")
+    placed = cumulative(ids.select("id").withColumn("n", F.lit(1)), [], "id", ["n"]).select("id", (F.col("before_n") + 1).alias("place"))
+    taken = scores.select("query_id", "id").join(few, "query_id").join(placed, "id").select("query_id", "place")
+    ends = few.select("query_id", F.lit(None).cast("long").alias("place"))  # the gap behind the last one
+    order = Window.partitionBy("query_id").orderBy(F.col("place").asc_nulls_last())
+    gaps = taken.unionByName(ends).select("query_id", "place", F.coalesce(F.lag("place").over(order), F.lit(0)).alias("last"), F.row_number().over(order).alias("i"))
+    free = F.col("last") - (F.col("i") - 1)  # places up to the last one that are not taken
+    most = F.least(F.coalesce(F.col("place") - F.col("last") - 1, F.lit(k)), k - free)
+    stand = gaps.withColumn("most", most).filter("most > 0").select("query_id", F.explode(F.sequence(F.col("last") + 1, F.col("last") + F.col("most"))).alias("place"))
+    rest = stand.join(placed, "place").select("query_id", "id", F.lit(0.0).alias("score"))
+    return scores.select("query_id", "id", "score").unionByName(rest).withColumn("rank", rank).filter(F.col("rank") <= k)
+
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 9) -> DataFrame:
-    """query_id, id, score, rank by Okapi BM25. docs: id (distinct), tokens; queries: query_id, tokens.
+    """query_id, id, score, rank by Okapi BM25 over texts that are read once; postings.search() answers from a stored index.
 
-    Repeated query tokens count again. A negative idf becomes epsilon times the mean idf over all terms. Documents
-    without a query token score 0 and rank too, by id: a query with fewer than k better ones gets k rows all the same.
-    Document frequencies come from tokens that are distinct within their row; only tokens that some query has are
-    counted by document. A negative mean idf over more than 2 * k documents is an error.
+    docs: id (distinct), tokens; queries: query_id, tokens. Repeated query tokens count again. A negative idf becomes
+    epsilon times the mean idf over all terms, which may be negative too. Documents without a query token score 0 and rank
+    too, by id: a query with fewer than k better ones gets k rows all the same. Document frequencies come from tokens
+    that are distinct within their row; only tokens that some query has are counted by document.
     """
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_len"))  # one row
@@ -24,17 +47,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = asked.select("term").distinct()
     posts = docs.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    first = 2 * k
-    # only a corpus in which most terms are in most documents has a mean below 0, and then scores below those of other documents
-    low = F.when((F.col("mean_idf") < 0) & (F.col("n") > first), F.raise_error(F.lit("the mean idf is negative")).cast("double")).otherwise(F.col("mean_idf") * epsilon)
-    wanted = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "mean_len", F.when(F.col("raw") < 0, low).otherwise(F.col("raw")).alias("idf"))
+    wanted = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "mean_len", F.when(F.col("raw") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("raw")).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     scored = posts.join(wanted, "term").withColumn("w", weight).join(asked, "term").select("query_id", "id", (F.col("w") * F.col("times")).alias("w"))
-    # the k first ids without a score, or with one of 0, are among the first 2 k ids: they stand by with 0
-    rest = queries.select("query_id").distinct().crossJoin(docs.select("id").orderBy("id").limit(first)).select("query_id", "id", F.lit(0.0).alias("w"))
-    scores = scored.unionByName(rest).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
+    scores = scored.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    return filled_up(scores, queries.select("query_id").distinct(), docs.select("id"), k, digits)
 
 
 def fusion_key(source: Column, ruling: Column, text: Column) -> Column:

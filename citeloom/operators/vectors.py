@@ -73,29 +73,65 @@ def _unit(table: pa.Table) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _blocks(df: DataFrame, rows: int, name: str, n: int) -> DataFrame:
-    """df dealt to n blocks by row number, so no key is hot; each block is one value or, beyond `rows` rows, several: name, name_rows (an Arrow stream)."""
+def packed_rows(df: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
+    """The keys (int) and `name`: the other columns of a group's rows as an Arrow stream, several of them beyond `rows` rows."""
 
     def pack(group: tuple, table: pa.Table) -> pa.Table:
-        out = []
+        table, out = table.drop_columns(keys), []
         for lo in range(0, table.num_rows, rows):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as stream:
                 stream.write_table(table.slice(lo, rows).combine_chunks())
             out.append(sink.getvalue().to_pybytes())
-        return pa.table({name: pa.array([group[0].as_py()] * len(out), pa.int64()), f"{name}_rows": pa.array(out, pa.binary())})
+        return pa.table({**{k: pa.array([g.as_py()] * len(out), pa.int32()) for k, g in zip(keys, group, strict=True)}, name: pa.array(out, pa.binary())})
 
-    dealt = df.withColumn("__block", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
-    return dealt.groupBy("__block").applyInArrow(pack, f"{name} long, {name}_rows binary")
+    return df.groupBy(*keys).applyInArrow(pack, f"{', '.join(f'{k} int' for k in keys)}, {name} binary")
 
 
-def _best(near: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest, ties to the smaller key, in that order."""
-    at = np.arange(len(near))
-    if len(near) > k:
-        bar = np.partition(near, len(near) - k)[len(near) - k]
-        at = np.flatnonzero(near >= bar)
-    return at[np.lexsort((key[at], -near[at]))[:k]]
+def _blocks(df: DataFrame, rows: int, name: str, n: int) -> DataFrame:
+    """df dealt to n blocks by row number, so no key is hot; each block is one value or, beyond `rows` rows, several: name, name_rows (an Arrow stream)."""
+    return packed_rows(df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), [name], rows, f"{name}_rows")
+
+
+def _best(near: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k highest, ties to the smaller key; rows in turn, their best in order."""
+    if near.shape[1] > k:
+        bar = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        row, at = np.nonzero(near >= bar[:, None])
+    else:
+        row, at = np.divmod(np.arange(near.size), max(1, near.shape[1]))
+    order = np.lexsort((key[at], -near[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], at[place < k]
+
+
+def group_numbers(table: pa.Table, by: list[str]) -> np.ndarray:
+    """A number for each row's group, from 0; nulls are a group."""
+    group = np.zeros(table.num_rows, np.int64)
+    for g in by:
+        codes = table[g].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes if isinstance(codes, pa.Array) else codes.chunk(0)
+        group = np.unique(group * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True)[1]
+    return group
+
+
+def nearest_in_block(q: pa.Table, c: pa.Table, k: int, by: list[str], digits: int, scaled: bool) -> pa.RecordBatch:
+    """query_id, id, *by, score: of a block of rows the k nearest of each group to each query of a block."""
+    a, b = _unit(q), _unit(c)
+    d = min(a.shape[1], b.shape[1])
+    s = a[:, :d] @ b[:, :d].T
+    s = (1 + s) / 2 if scaled else s
+    asked, key, near, group = q["query_id"].to_numpy(), c["id"].to_numpy(), np.round(s, digits), group_numbers(c, by)
+    rows, picked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = np.argsort(group, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        row, top = _best(near[:, at], key[at], k)
+        rows.append(row)
+        picked.append(at[top])
+    row, top = np.concatenate(rows), np.concatenate(picked)
+    found = c.take(pa.array(top)).combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.array(asked[row]), *(found[f].chunk(0) if found.num_rows else pa.array([], found.schema.field(f).type) for f in ("id", *by)), pa.array(s[row, top])], names=["query_id", "id", *by, "score"])
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, by: list[str] = (), digits: int = 9, query_rows: int = 1024, corpus_rows: int = 65_536, scaled: bool = False) -> DataFrame:
@@ -112,33 +148,14 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, by: list[str] =
     n = max(1, -(-corpus.count() // corpus_rows))
     c_blocks = _blocks(corpus, corpus_rows, "c", n)
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long"), "embedding")
-    q_blocks = _blocks(asked, query_rows, "q", max(1, asked.rdd.getNumPartitions()))
+    q_blocks = _blocks(asked, query_rows, "q", int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = q_blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(c_blocks, "c").select("q_rows", "c_rows")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_rows, c_rows in zip(batch.column(0), batch.column(1), strict=True):
                 q, c = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (q_rows, c_rows))
-                a, b = _unit(q), _unit(c)
-                d = min(a.shape[1], b.shape[1])
-                s = a[:, :d] @ b[:, :d].T
-                s = (1 + s) / 2 if scaled else s
-                group = np.zeros(c.num_rows, np.int64)
-                for g in by:  # numbers of the groups, column by column
-                    codes = c[g].combine_chunks().dictionary_encode(null_encoding="encode")
-                    codes = codes if isinstance(codes, pa.Array) else codes.chunk(0)
-                    group = np.unique(group * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True)[1]
-                asked, key, near = q["query_id"].to_numpy(), c["id"].to_numpy(), np.round(s, digits)
-                rows, picked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                order = np.argsort(group, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                    for i in range(len(asked)):
-                        top = at[_best(near[i, at], key[at], k)]
-                        picked.append(top)
-                        rows.append(np.full(len(top), i))
-                row, top = np.concatenate(rows), np.concatenate(picked)
-                found = c.take(pa.array(top)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), *(found[f].chunk(0) if found.num_rows else pa.array([], found.schema.field(f).type) for f in ("id", *by)), pa.array(s[row, top])], names=["query_id", "id", *by, "score"])
+                yield nearest_in_block(q, c, k, by, digits, scaled)
 
     found = met.mapInArrow(score, f"query_id long, {kinds}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc(F.round("score", digits)), "id"))

@@ -11,16 +11,26 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import tokens
 from citeloom.operators import audit as A
 from citeloom.operators import opinions as O
+from citeloom.operators import pivots as PV
+from citeloom.operators import postings as P
 from citeloom.operators import retrieval as R
 from citeloom.operators import vectors as V
 from citeloom.plans.evaluation import r6
 from citeloom.plans.tables import table
+from citeloom.sources.records import shared_folder
 
 CHANNELS = ["feature", "ruling", "article"]
 
 
 def _tokens(c: str):
-    return tokens(F.lower(F.coalesce(F.col(c), F.lit(""))), "[a-z]+")
+    return tokens(F.lower(F.coalesce(F.col(c), F.lit(""))), "\\p{L}+")
+
+
+def _pruned(s: SparkSession, d: str) -> DataFrame:
+    """The search of h5_cosine_top_k from a stored pivot table."""
+    e, path = table(s, d, "embeddings"), shared_folder(s, "pivots")
+    PV.write_pivots(e.select(F.col("vec_id").alias("id"), "embedding", "label"), path, ["label"])
+    return r6(PV.search(s, path, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5), "score")
 
 
 def _bm25(s: SparkSession, d: str) -> DataFrame:
@@ -29,6 +39,23 @@ def _bm25(s: SparkSession, d: str) -> DataFrame:
     return r6(R.bm25(docs, q, 10), "score")
 
 
+def _stored_bm25(s: SparkSession, d: str) -> DataFrame:
+    """The search of h8_bm25 from a stored index."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), _tokens("text").alias("tokens"))
+    q, path = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), _tokens("text").alias("tokens")), shared_folder(s, "postings")
+    P.write_postings(docs, path)
+    return r6(P.search(s, path, q, 10), "score")
+
+
+def _bm25_words(s: SparkSession, d: str) -> DataFrame:
+    """Short queries: the two words of every hundredth part's name against all names."""
+    docs = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"))
+    q = table(s, d, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.slice(F.split(F.lower("p_name"), " "), 1, 2).alias("tokens"))
+    path = shared_folder(s, "postings")
+    P.write_postings(docs, path)
+    return r6(P.search(s, path, q, 5), "score")
+
+
 def _hits(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select(F.col("user_id").alias("query_id"), "event_id", "event_type", "value", (F.col("event_id") % 40).alias("ruling_id"))
     by = lambda n, *o: e.withColumns({"list_no": F.lit(n), "rank": F.row_number().over(Window.partitionBy("query_id").orderBy(*o))}).filter("rank <= 20")
@@ -121,7 +148,10 @@ def _fusion(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "h5_cosine_top_k": lambda s, d: r6(V.cosine_top_k(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, ["label"]), "score"),
+    "h5_pruned_top_k": _pruned,
     "h8_bm25": _bm25,
+    "h8_bm25_words": _bm25_words,
+    "h8_stored_bm25": _stored_bm25,
     "j6_rrf": _fused,
     "j7_article_refs": _refs,
     "j8_confidence": _confidence,
@@ -140,12 +170,25 @@ QUERIES = {
 }
 ORACLE = {
     "h5_cosine_top_k": """with v as (select vec_id, label, embedding::double[] as e from embeddings) select query_id, label, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id, label order by round(score, 9) desc, id)::int as rank from (select q.vec_id as query_id, c.label, c.vec_id as id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as score from v q join v c on true where q.vec_id % 100 = 0)) where rank <= 5""",
-    "h8_bm25": """with d as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') as t from documents), s as (select count(*)::double as n, avg(len(t)) as m from d),
+    "h5_pruned_top_k": """with v as (select vec_id, label, embedding::double[] as e from embeddings) select query_id, label, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id, label order by round(score, 9) desc, id)::int as rank from (select q.vec_id as query_id, c.label, c.vec_id as id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as score from v q join v c on true where q.vec_id % 100 = 0)) where rank <= 5""",
+    "h8_bm25": """with d as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') as t from documents), s as (select count(*)::double as n, avg(len(t)) as m from d),
 tf as (select id, len, term, count(*)::double as tf from (select id, len(t) as len, unnest(t) as term from d) group by all), raw as (select term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as raw from tf, s group by term, n),
-idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw), q as (select query_id, term, count(*) as times from (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark) group by all),
+idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw), q as (select query_id, term, count(*) as times from (select item_id as query_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as term from benchmark) group by all),
 met as (select query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) as score from tf join idf using (term) join q using (term), s group by query_id, id),
 sc as (select query_id, id, coalesce(score, 0) as score from (select item_id as query_id, id from benchmark, d) left join met using (query_id, id))
 select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from sc) where rank <= 10""",
+    "h8_stored_bm25": """with d as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') as t from documents), s as (select count(*)::double as n, avg(len(t)) as m from d),
+tf as (select id, len, term, count(*)::double as tf from (select id, len(t) as len, unnest(t) as term from d) group by all), raw as (select term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as raw from tf, s group by term, n),
+idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw), q as (select query_id, term, count(*) as times from (select item_id as query_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as term from benchmark) group by all),
+met as (select query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) as score from tf join idf using (term) join q using (term), s group by query_id, id),
+sc as (select query_id, id, coalesce(score, 0) as score from (select item_id as query_id, id from benchmark, d) left join met using (query_id, id))
+select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from sc) where rank <= 10""",
+    "h8_bm25_words": """with d as (select p_partkey as id, string_split(lower(p_name), ' ') as t from part), asked as (select p_partkey as query_id, string_split(lower(p_name), ' ')[1:2] as t from part where p_partkey % 100 = 0), s as (select count(*)::double as n, avg(len(t)) as m from d),
+tf as (select id, len, term, count(*)::double as tf from (select id, len(t) as len, unnest(t) as term from d) group by all), raw as (select term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as raw from tf, s group by term, n),
+idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw), q as (select query_id, term, count(*) as times from (select query_id, unnest(t) as term from asked) group by all),
+met as (select query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) as score from tf join idf using (term) join q using (term), s group by query_id, id),
+sc as (select query_id, id, coalesce(score, 0) as score from (select query_id, id from asked, d) left join met using (query_id, id))
+select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from sc) where rank <= 5""",
     "j6_rrf": HITS + """, f as (select query_id, event_type || ':' || ruling_id as key, sum(1.0::double / (rank + 60)) as s, min(list_no * 1000 + rank) as pos_at, arg_min(event_id, list_no * 1000 + rank) as event_id from hits group by 1, 2)
 select query_id, key, round(s, 6) as rrf_score, rank, event_id from (select *, row_number() over (partition by query_id order by round(s, 12) desc, pos_at)::int as rank from f) where rank <= 15""",
     "j7_article_refs": HITS + ", x as (select query_id, list_no, rank, 0 as i, 'a' || (event_id % 9) as ref from hits union all select query_id, list_no, rank, 1, 'b' || (event_id % 5) from hits) select query_id, ref, row_number() over (partition by query_id order by pos_at)::int as position from (select query_id, ref, min(list_no * 10000 + rank * 10 + i) as pos_at from x group by query_id, ref)",
