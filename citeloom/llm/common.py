@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,19 @@ def distinct_names(given: set[str], outputs: tuple[str, ...]) -> None:
         raise ValueError(f"rename the column {', '.join(sorted(clash))}: the result has one of that name")
 
 
+def rows_named(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """df with two columns that name each row, whatever its id: the file's hash and the row's number in it, the same in every run over these files.
+
+    A frame that is not a plain scan of Parquet files is stored first. Returns the frame and the two new names.
+    """
+    names = [free_name("__file", df), free_name("__at", df)]
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        df = scratch.stored(df, "named")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+
+
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -7,10 +7,12 @@ the null-space of (words, 1), so the source's word and document totals stay as t
 probability is 0 or 1. Blocks of a source do this in parallel; the few documents that a block leaves
 open go on to a block of the next level, and the last few of a source are a landing problem.
 
-A document much larger than its neighbours hardly moves in such a step and would stay open until the landing,
-where nothing makes up for it. So the largest documents are decided first, each in one step along the null-space
-of the words that moves all smaller documents the other way: those of more than a two-thousandth of a source's
-words for the whole source, and those far above the mean of a block in the block.
+A document much larger than its neighbours hardly moves in a step of three and would stay open until the landing, where
+nothing makes up for it. So the documents far above a block's mean fly first: each moves along the null-space of
+(words, 1) of the whole block, its unit vector projected on it, until it or another document is at 0 or 1.
+All but the few documents of the landing are so decided by the flight, at every size of a source. Where a document is
+so large that the others cannot make up for both totals, the total of documents is dropped for its step, as a landing of
+the cube method does, and the words are kept.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import Scratch, distinct_names, free_name, scratch_of
+from citeloom.llm.common import Scratch, distinct_names, free_name, rows_named, scratch_of
 from citeloom.llm.textarrays import Words
 
 NEAR = 1e-9
 #: Documents of a source that the landing decides together, by trying all 2**LANDING choices.
 LANDING = 13
-#: Documents of more than so many times a block's mean size are decided before the flight.
+#: Documents of more than so many times a block's mean size fly against the whole block.
 LARGE = 4.0
-#: Documents of more than this share of a source's words are decided for the whole source: fewer than 1 / GIANT of them.
-GIANT = 1 / 2000
+#: Steps that a large document may take while others reach an end before it, and the share of them that may.
+STEPS, SPENT = 64, 0.25
+#: Draws of a large document's way before a total is dropped.
+TRIES = 4
 
 
 def word_counts(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -72,44 +76,85 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...], cap: int) -
     return per.select("__source", "source_size", "n_docs", F.least((F.col("source_size") * cap).cast("double"), level * F.col("weight")).alias("target"))
 
 
-def ends(words: np.ndarray, prob: np.ndarray, left: np.ndarray, base: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, float]:
-    """0 or 1 for each of these documents in turn, and the words that are then due from those behind them.
+def _steps(g: int, scaled: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+    """Probabilities after document g has moved to an end along the null-space of (words, 1) of all open documents.
 
-    left: the words from each document on, those behind the last included (one more value); base: the expected
-    words in the same way. A step moves one document to 0 or 1 and all behind it together the other way, so the
-    expected words stay the same. It draws by probability, or takes the only end that leaves the others within 0
-    and 1; where no end does, it takes the nearer and leaves the others at that bound.
+    A step moves the others by v_i = -p_i (1 - p_i) (a + b * size_i), with a and b such that words and documents stay what
+    they are, up or down to the first end, so that the expected move is none. None where that takes more than SPENT
+    of the others to an end: they cannot make up for g.
     """
-    takes, due = np.zeros(len(words)), float(base[0]) if len(base) else 0.0
-    for i, draw in enumerate(draws[: len(words)].tolist()):
-        rest, x = float(left[i + 1]), float(words[i])
-        fits = [t for t in (0.0, 1.0) if -1e-9 <= due - t * x <= rest + 1e-9]
-        if len(fits) == 2:
-            take = float(draw < due * prob[i] / base[i]) if base[i] > 0 else 0.0
-        else:
-            take = fits[0] if fits else min((0.0, 1.0), key=lambda t: abs(min(max(due - t * x, 0.0), rest) + t * x - due))
-        takes[i], due = take, min(max(due - take * x, 0.0), rest)
-    return takes, due
-
-
-def large_first(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, large: float = LARGE) -> np.ndarray:
-    """Probabilities after the documents over `large` times the mean size are 0 or 1, in falling order of size."""
-    order = np.argsort(-size, kind="stable")
-    order = order[(prob[order] > NEAR) & (prob[order] < 1 - NEAR)]
-    words, p = size[order], prob[order].astype(float)
-    n = min(int((words > large * words.mean()).sum()), len(order) - 2) if len(order) > 2 else 0
-    if n <= 0:
-        return prob.astype(float)
-    left, base = (np.append(np.cumsum(x[::-1])[::-1], 0.0) for x in (words, p * words))
-    p[:n], due = ends(words[:n], p[:n], left[: n + 1], base[: n + 1], rng.random(n))
-    # the others: scaled down, or their complements scaled down, which keeps every one within 0 and 1
-    if due <= base[n]:
-        p[n:] *= due / base[n] if base[n] else 0.0
-    elif left[n] > base[n]:
-        p[n:] = 1 - (1 - p[n:]) * (left[n] - due) / (left[n] - base[n])
-    out = prob.astype(float)
-    out[order] = np.where(np.abs(p - np.round(p)) < NEAR, np.round(p), p)
-    return out
+    p, at_first = p.copy(), None
+    for _ in range(STEPS):
+        others = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+        others = others[others != g]
+        at_first = len(others) if at_first is None else at_first
+        w, x = p[others] * (1 - p[others]), scaled[others]
+        s0, s1, s2 = w.sum(), w @ x, w @ (x * x)
+        det = s0 * s2 - s1 * s1
+        if len(others) < max(3, (1 - SPENT) * at_first) or det <= 1e-12 * s0 * s2:
+            return None
+        move = np.append(1.0, -w * ((s2 - s1 * scaled[g]) / det + (s0 * scaled[g] - s1) / det * x))
+        who = np.append(g, others)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(move > 0, (1 - p[who]) / move, np.where(move < 0, -p[who] / move, np.inf)).min()
+            down = np.where(move > 0, p[who] / move, np.where(move < 0, (p[who] - 1) / move, np.inf)).min()
+        step = up if rng.random() * (up + down) < down else -down
+        p[who] = np.clip(p[who] + step * move, 0.0, 1.0)
+        near = who[np.abs(p[who] - np.round(p[who])) <= NEAR]
+        p[near] = np.round(p[near])
+        if not NEAR < p[g] < 1 - NEAR:
+            return p
+    return None
+
+
+def _by_words(g: int, size: np.ndarray, p: np.ndarray, rng: np.random.Generator, force: bool) -> np.ndarray | None:
+    """Probabilities after g is 0 or 1 and all other open documents are scaled the other way, so that the words stay what they are.
+
+    The constraint on documents is dropped for this one document. The end is drawn where the others can make up for both;
+    where they can for neither, the result is None or, with force, the nearer end.
+    """
+    open_ = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+    others = open_[open_ != g]
+    words, base = size[others].sum(), p[others] @ size[others]
+    due = base + p[g] * size[g]
+    fits = [t for t in (0.0, 1.0) if -1e-9 <= due - t * size[g] <= words + 1e-9]
+    if not fits and not force:
+        return None
+    if len(fits) == 2:
+        take = float(rng.random() < p[g])
+    else:
+        take = fits[0] if fits else min((0.0, 1.0), key=lambda t: abs(min(max(due - t * size[g], 0.0), words) + t * size[g] - due))
+    p, left = p.copy(), min(max(due - take * size[g], 0.0), words)
+    p[g] = take
+    if left <= base:
+        p[others] *= left / base if base else 0.0
+    elif words > base:
+        p[others] = 1 - (1 - p[others]) * (words - left) / (words - base)
+    return np.where(np.abs(p - np.round(p)) <= NEAR, np.round(p), p)
+
+
+def large_first(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, large: float = LARGE, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities after the steps of the documents over `large` times the mean size, in falling order of size, and which of them are still open.
+
+    A document that the others cannot make up for in words and documents together goes by words alone; one that they
+    cannot make up for in words stays open for a larger block, unless this is the last.
+    """
+    p, waiting = prob.astype(float), np.zeros(len(size), bool)
+    at = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+    if len(at) < 4:
+        return p, waiting
+    scaled = size / max(size[at].mean(), 1e-9)
+    for g in at[np.argsort(-size[at], kind="stable")]:
+        if scaled[g] <= large:
+            break
+        if not NEAR < p[g] < 1 - NEAR:
+            continue
+        # where one end is out of the others' reach, another draw may lead to the one that is not
+        moved = next((m for m in (_steps(g, scaled, p, rng) for _ in range(TRIES)) if m is not None), None)
+        moved = _by_words(g, size, p, rng, last) if moved is None else moved
+        waiting[g] = moved is None
+        p = p if moved is None else moved
+    return p, waiting
 
 
 def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, rest: int = 0) -> np.ndarray:
@@ -157,11 +202,11 @@ def landing(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
 
 
 def _flier(id_col: str, seed: int, level: int, last: bool):
-    """Flies one block, in the order of size (large first) and id."""
+    """Flies one block, in the order of size (large first), id, text and number."""
 
     def fly(key: tuple, table: pa.Table) -> pa.Table:
         ids = table[id_col].cast(pa.string()).fill_null("").to_numpy().astype(str)
-        order = np.lexsort((ids, -table["size"].to_numpy()))
+        order = np.lexsort((table["__ordinal"].to_numpy(), table["__digest"].to_numpy(), ids, -table["size"].to_numpy()))
         rest = min(LANDING - 2, table.num_rows // 2)
         if rest:  # evenly by rank, but for the largest
             late = np.linspace(table.num_rows // 6, table.num_rows - 1, rest).astype(int)
@@ -169,88 +214,82 @@ def _flier(id_col: str, seed: int, level: int, last: bool):
         size, prob = table["size"].to_numpy()[order].astype(float), table["__prob"].to_numpy()[order]
         name = repr((seed, level, *(k.as_py() for k in key)))
         rng = np.random.default_rng(zlib.crc32(name.encode()))
-        prob = flight(size, large_first(size, prob, rng), rng, rest)
+        prob, waiting = large_first(size, prob, rng, last=last)
+        if waiting.any():  # behind those that fly
+            late = np.argsort(waiting, kind="stable")
+            order, size, prob, rest = order[late], size[late], prob[late], rest + int(waiting.sum())
+        prob = flight(size, prob, rng, rest)
         prob = landing(size, prob) if last else prob
         return table.take(pa.array(order)).set_column(table.schema.get_field_index("__prob"), "__prob", pa.array(prob))
 
     return fly
 
 
-def _giants(id_col: str, seed: int):
-    """Decides the documents of one source that are over GIANT of its words, large first, then by id."""
-
-    def decide(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table[id_col].cast(pa.string()).fill_null("").to_numpy().astype(str)
-        order = np.lexsort((ids, -table["size"].to_numpy()))
-        words, p = table["size"].to_numpy()[order].astype(float), float(table["__prob"][0].as_py())
-        left = float(table["source_size"][0].as_py()) - np.append(0.0, np.cumsum(words))
-        rng = np.random.default_rng(zlib.crc32(repr((seed, "giants", key[0].as_py())).encode()))
-        takes, _ = ends(words, np.full(len(words), p), left, p * left, rng.random(len(words)))
-        return table.take(pa.array(order)).set_column(table.schema.get_field_index("__prob"), "__prob", pa.array(takes))
-
-    return decide
+def _ordinals(sizes: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """sizes (with __part and __row) with __ordinal, from 0 among the rows that are equal in keys: numbered part by part, so that no task holds all of a row's copies."""
+    flags = [F.col(k).isNull() for k in keys]
+    rows = sizes.withColumn("__class", F.xxhash64(*keys, *flags))
+    counts = rows.groupBy("__class", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__class")
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    again = counts.select("__class", "__part", before.alias("__before"), F.sum("__n").over(w).alias("__all")).filter("__all > 1").drop("__all")
+    again = scratch.stored(again, "again")
+    if again.isEmpty():
+        return rows.withColumn("__ordinal", F.lit(0).cast("long")).drop("__class")
+    within = F.row_number().over(Window.partitionBy("__class", "__part").orderBy("__row")) - 1
+    out = rows.join(again, ["__class", "__part"], "left").withColumn("__ordinal", F.when(F.col("__before").isNull(), F.lit(0).cast("long")).otherwise(F.col("__before") + within))
+    return out.drop("__class", "__before")
 
 
 def mixed(
-    docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 29, block_rows: int = 8192, fan_in: int = 64, scratch: Scratch | None = None
-) -> DataFrame:
-    """Per row: the id, the source, size, source_size, target, copies and taken (copies * size).
+    docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 29, block_rows: int = 8192, fan_in: int = 64, scratch: Scratch | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per row: the id, the source, size, source_size, target, copies and taken (copies * size), and the columns in `keep`.
 
     Null texts have size 0, null sources are a source of their own, placed last. A source whose words are
-    all 0 has target 0 and no copies. Ties and repeated rows are ordered by size and id; rows equal in
-    both may swap, and of rows with a null id, or an id that more than block_rows rows share, any may. An empty
-    table gives an empty table. Reruns agree: blocks, order and draws come from hashes of source, id and seed.
+    all 0 has target 0 and no copies. Ties and repeated rows are ordered by size, id (a null like an empty one), text and
+    number among equal rows; rows equal in id, source and text may swap. An empty table gives an empty table. Reruns
+    agree, however the rows are partitioned: blocks, order and draws come from hashes of source, id, text and seed.
     A document's copies stay within the cap. A text of any length is one document with its words as size; where
-    it is most of its source, the target can be missed by up to half of it. Other columns, whatever their names,
-    are not read; an id or source column named like an output is an error.
+    it is most of its source, or larger than all others of its block together, the target can be missed by up to half of it. Other columns, whatever their names,
+    are not read; an id, source or kept column named like an output is an error.
     """
-    distinct_names({id_col, source}, ("size", "source_size", "target", "copies", "taken"))
+    distinct_names({id_col, source, *keep}, ("size", "source_size", "target", "copies", "taken"))
     scratch = scratch_of(docs, scratch, "mixing")
-    sizes = word_counts(docs, list(dict.fromkeys([id_col, source])), text).withColumn("__row", F.monotonically_increasing_id())
-    sizes = scratch.stored(sizes, "sizes")
+    own = list(dict.fromkeys([id_col, source, *keep]))
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    sizes = word_counts(docs.withColumn("__digest", digest), [*own, "__digest"], text)
+    sizes = scratch.stored(sizes.withColumns({"__row": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}), "sizes")
     per = scratch.stored(targets(sizes, source, weights, cap), "targets")
     most = per.agg(F.max("n_docs")).first()[0] or 0
-    # rows that share an id would share a block: many of them go by their number
-    shared = scratch.stored(sizes.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > block_rows) | F.col("__id").isNull()).select("__id", F.lit(True).alias("__many")), "shared")
-    if not shared.isEmpty():
-        sizes = sizes.join(shared, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    else:
-        sizes = sizes.withColumn("__many", F.lit(False))
+    sizes = _ordinals(sizes, list(dict.fromkeys([id_col, source, "__digest"])), scratch)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.join(per, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     base = F.floor(due + NEAR)
-    blocks = F.ceil(F.col("n_docs") / block_rows)
-    block = F.pmod(F.xxhash64(F.lit(seed), F.when(F.col("__many"), F.col("__row").cast("string")).otherwise(F.col(id_col).cast("string"))), blocks)
-    rows = rows.select(*dict.fromkeys([id_col, source]), "size", "source_size", "target", base.alias("__base"), F.greatest(due - base, F.lit(0.0)).alias("__prob"), block.alias("__block"))
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "__digest", "__ordinal"), F.ceil(F.col("n_docs") / block_rows))
+    rows = rows.select(*own, "size", "source_size", "target", "__digest", "__ordinal", base.alias("__base"), F.greatest(due - base, F.lit(0.0)).alias("__prob"), block.alias("__block"))
     schema = rows.schema
-    giant = (F.col("size") > F.col("source_size") * GIANT) & (F.col("__prob") > NEAR) & (F.col("__prob") < 1 - NEAR)
-    decided = scratch.stored(rows.filter(giant).groupBy(source).applyInArrow(_giants(id_col, seed), schema), "giants")
-    # one row a source: its giants' words, and those that they take
-    held = decided.groupBy(F.col(source).alias("__source")).agg(F.sum("size").alias("__giants"), F.sum(F.col("size") * F.col("__prob")).alias("__taken"))
-    rest = rows.filter(~giant).join(held, F.col(source).eqNullSafe(F.col("__source")), "left")
-    left = F.col("source_size") - F.col("__giants")
-    moved_to = F.coalesce(F.try_divide(F.col("__prob") * F.col("source_size") - F.col("__taken"), left), F.lit(0.0))
-    prob = F.when(F.col("__giants").isNull() | (F.col("__prob") <= NEAR), F.col("__prob")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved_to)))
-    rest = rest.withColumn("__prob", prob).select(*schema.names)
-    out, state, open_blocks, level = decided, rest, max(1, math.ceil(most / block_rows)), 0
+    out, state, open_blocks, level = None, rows, max(1, math.ceil(most / block_rows)), 0
     while True:
         last = open_blocks == 1
 
         moved = state.groupBy(source, "__block").applyInArrow(_flier(id_col, seed, level, last), schema)
         moved = moved if last else scratch.stored(moved, f"level{level}")
         done = moved if last else moved.filter("__prob in (0.0, 1.0)")
-        out = out.unionByName(done)
+        out = done if out is None else out.unionByName(done)
         if last:
             break
         state = moved.filter("__prob not in (0.0, 1.0)").withColumn("__block", F.floor(F.col("__block") / fan_in))
         open_blocks, level = -(-open_blocks // fan_in), level + 1
     copies = (F.col("__base") + F.col("__prob").cast("long")).alias("copies")
-    return out.select(*dict.fromkeys([id_col, source]), "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*own, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of docs, each as often as mixed() takes it; rows with the same id (or a null one) go by the largest number among them."""
-    key, times, copy = (free_name(n, docs) for n in ("__id", "__copies", "__copy"))
-    copies = mixed(docs, id_col=id_col, scratch=scratch, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times))
-    taken = docs.join(copies.filter(F.col(times) > 0), F.col(id_col).eqNullSafe(F.col(key)))
-    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    """The rows of docs, each as often as mixed() takes it. Rows are told apart by their place in the table, so null and repeated ids take what is theirs."""
+    scratch = scratch_of(docs, scratch, "mixing")
+    named, at = rows_named(docs, scratch)
+    times, copy = free_name("__copies", named), free_name("__copy", named)
+    copies = scratch.stored(mixed(named, id_col=id_col, scratch=scratch, keep=tuple(at), **options).filter("copies > 0").select(*at, F.col("copies").alias(times)), "copies")
+    return named.join(copies, at).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

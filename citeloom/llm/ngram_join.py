@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.chunks import SENT, answered, bucket_count, chunked, distinct, each_answered, each_chunk, exchanged, send, short
-from citeloom.llm.common import Scratch, distinct_names, free_name, scratch_of
+from citeloom.llm.common import Scratch, distinct_names, rows_named, scratch_of
 from citeloom.llm.components import components
 from citeloom.llm.textarrays import Words, inside, mix, windows
 
@@ -249,21 +249,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
-    """One row of each component of jaccard_components(), the one whose id is least, with all its columns.
+    """One row of each component of jaccard_components(), the one whose id is least (null last; then by text and place), with all its columns.
 
-    Rows that no other links with stay. Rows with a null id cannot be named and stay; of rows equal in id and
-    text one stays. What the join needed is removed before this returns; the result reads docs and a table of ids.
+    Rows that no other links with stay, whatever their ids: rows are told apart by their place in the table, so of near
+    or exact copies with null or equal ids one stays as well. What the join needed is removed before this returns;
+    the result reads docs and a table of the places that are gone.
     """
     scratch = scratch_of(docs, scratch, "copies")
+    named, at = rows_named(docs, scratch)
     work = Scratch(docs.sparkSession, "ngrams")
-    key = free_name("__id", docs)
-    plain = docs.select(F.col(id_col).alias(key), F.col(text).alias("__text"))
-    found = scratch.stored(jaccard_components(plain, key, "__text", scratch=work, **options).select(key, "component_id"), "found")
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(at[0]).alias("file"), F.col(at[1]).alias("at"))
+    found = jaccard_components(named.select(key.alias("__key"), F.col(text).alias("__text")), "__key", "__text", scratch=work, **options)
+    gone = scratch.stored(found.filter(F.col("__key") != F.col("component_id")).select(F.col("__key.file").alias(at[0]), F.col("__key.at").alias(at[1])), "gone")
     work.remove()
-    gone = scratch.stored(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(id_col)).distinct(), "gone")
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = scratch.stored(found.groupBy(key).count().filter("count > 1").select(F.col(key).alias(id_col)), "again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, id_col, "left_anti")
-    return once.unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text]))
+    return named.join(gone, at, "left_anti").select(*docs.columns)

@@ -65,15 +65,20 @@ def _walks(spark: SparkSession, n: int, seed: int) -> tuple[int, int]:
     raise ValueError(f"no key near {seed} lets all {n} rows walk out")
 
 
+def bucket_of(key: Column, ties: list[Column], buckets: int) -> Column:
+    """The hash bucket of a row by all its sort columns, so that unlike rows of one key (or of none) do not share one."""
+    return F.pmod(F.xxhash64(key, *ties), F.lit(buckets)).cast("int")
+
+
 def numbered(df: DataFrame, key: Column, ties: list[Column], buckets: int = 4096, piece: int = 65_536) -> DataFrame:
-    """Every row of df with row_number (0..n-1, long): by hash bucket of the key, then key, then ties.
+    """Every row of df with row_number (0..n-1, long): by hash bucket of key and ties, then key, then ties.
 
     The columns of df must be known from key and ties. Equal rows are counted first (in the tasks that read them);
     buckets of distinct rows get their offsets from a sum, so no task sorts all rows; a row that came often is
     dealt in pieces and multiplied there.
     """
     rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__rows"))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__bucket", bucket_of(key, ties, buckets))
     sizes = rows.groupBy("__bucket").agg(F.sum("__rows").alias("__all"))
     before = Window.unboundedPreceding, -1
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__all").over(Window.orderBy("__bucket").rowsBetween(*before)), F.lit(0)).alias("__before"))
