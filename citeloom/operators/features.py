@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,25 +48,41 @@ def cleaned(rows: DataFrame) -> DataFrame:
     return kept.filter(F.coalesce(F.trim("quote"), F.lit("")) != "")
 
 
-def located(rows: DataFrame, texts: DataFrame, key: str = "ruling_id") -> DataFrame:
-    """rows with start_char and end_char of the quote in the text: exact, else ignoring white space and invisible characters, else null."""
+#: White space of all scripts and invisible characters, which a quote and its text may have unlike.
+SKIPPED = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u2060\\u3000\\ufeff]"
 
-    skip = re.compile("[\\s​-‏‪-‮⁠﻿]+")
 
-    def loose(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for quotes, whole in batches:
-            out = []
-            for q, t in zip(quotes, whole, strict=True):
-                parts = [re.escape(c) for c in skip.sub("", q or "")]
-                m = re.search((skip.pattern[:-1] + "*").join(parts), t) if parts and t else None
-                out.append((m.start(), m.end()) if m else (None, None))
-            yield pd.DataFrame({"start_char": pd.array([a for a, _ in out], "Int32"), "end_char": pd.array([b for _, b in out], "Int32")})
+def located(rows: DataFrame, texts: DataFrame, key: str = "ruling_id", most: int = 1024) -> DataFrame:
+    """rows with start_char and end_char of the quote in the text: exact, else ignoring white space and invisible characters, else null.
 
-    fuzzy = F.pandas_udf(loose, "start_char int, end_char int")
-    both = rows.join(texts.select(key, F.col("text").alias("__text")), key, "left").withColumn("__at", F.instr(F.coalesce("__text", F.lit("")), F.col("quote")))
-    exact = both.filter("__at > 0").withColumns({"start_char": F.col("__at") - 1, "end_char": F.col("__at") - 1 + F.length("quote")})
-    rest = both.filter("__at = 0 or __at is null").withColumn("__f", fuzzy("quote", "__text")).withColumns({"start_char": F.col("__f.start_char"), "end_char": F.col("__f.end_char")}).drop("__f")
-    return exact.unionByName(rest).drop("__text", "__at")
+    The quotes of a text go to it together, `most` at a time, so a text is not copied to each of them. Where one is not
+    there exactly, the text's normal form, without what is skipped, is searched, and an array of the places that
+    its characters had maps back. texts: key (distinct), text. Quotes that are null or hold nothing to search for,
+    and quotes of a missing text, are nowhere.
+    """
+    own = rows.columns
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(F.col(key).alias("__key"), F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+    dealt = rows.join(many, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.pmod(F.xxhash64(*own), F.coalesce("__parts", F.lit(1))))
+    per = dealt.groupBy(key, "__part").agg(F.collect_list(F.struct(*own)).alias("__rows"))
+    both = per.join(texts.select(key, F.col("text").alias("__text")), key, "left")
+    text = F.coalesce("__text", F.lit(""))
+    normal = lambda c: F.regexp_replace(c, SKIPPED, "")
+    quote = lambda r: F.coalesce(r["quote"], F.lit(""))
+    exact = F.transform("__rows", lambda r: F.struct(r.alias("row"), F.instr(text, quote(r)).alias("at")))
+    both = both.withColumn("__found", exact)
+    loose = F.exists("__found", lambda f: f["at"] == 0)
+    # one place for each character, also for those that take two units
+    letters = F.split(F.regexp_replace(text, "[\\x{10000}-\\x{10ffff}]", "x"), "")
+    kept = F.filter(F.transform(letters, lambda c, i: F.when(c.rlike(f"^{SKIPPED}$"), -1).otherwise(i)), lambda i: i >= 0)
+    both = both.withColumn("__places", F.when(loose, kept)).withColumn("__normal", F.when(loose, normal(text)))
+    out = both.select("__places", "__normal", F.explode("__found").alias("f"))
+    bare = F.when(F.col("f.at") == 0, normal(F.coalesce("f.row.quote", F.lit(""))))
+    near = F.when(F.coalesce(bare, F.lit("")) != "", F.instr("__normal", bare)).otherwise(0)
+    out = out.select("f.row.*", F.col("f.at").alias("__at"), near.alias("__near"), F.length(bare).alias("__size"), "__places")
+    at, size = F.col("__at"), F.length("quote")
+    start = F.when((at > 0) & (size > 0), at - 1).when(F.col("__near") > 0, F.try_element_at("__places", F.col("__near")))
+    end = F.when((at > 0) & (size > 0), at - 1 + size).when(F.col("__near") > 0, F.try_element_at("__places", F.col("__near") + F.col("__size") - 1) + 1)
+    return out.select(*own, start.cast("int").alias("start_char"), end.cast("int").alias("end_char"))
 
 
 def feature_nodes(features: DataFrame) -> DataFrame:

@@ -171,18 +171,32 @@ def page_health(elems: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def sections_of(root: Node, heading: str = "h1", stop: str = "div") -> list[tuple[str, str]]:
-    """(heading, text) of each heading below: the texts beside it up to the next heading or the first `stop` element."""
-    heads, out = [n for n in root.walk() if n.tag == heading], []
-    known = {id(h) for h in heads}
-    for h in heads:
-        beside, parts = h.above.inner, []
-        at = next(i for i, x in enumerate(beside) if x is h)
-        for x in beside[at + 1 :]:
-            if isinstance(x, Node) and (id(x) in known or x.tag == stop):
-                break
-            parts.append(x.strip() if isinstance(x, str) else "" if x.tag in ("script", "style") else x.text())
-        out.append((h.text(""), " ".join(p for p in parts if p)))
-    return out
+    """(heading, text) of each heading below, in order: one pass over the tree, with the open section of each level.
+
+    A heading opens a section on its level, the next heading or a `stop` element there closes it, and what stands between
+    belongs to it.
+    """
+    out: list[tuple[str, list[str]]] = []
+    levels: list[list] = [[iter(root.inner), None]]
+    while levels:
+        x = next(levels[-1][0], None)
+        if x is None:
+            levels.pop()
+            continue
+        section = levels[-1][1]
+        if isinstance(x, str):
+            if section and (words := x.strip()):
+                section[1].append(words)
+            continue
+        if x.tag == heading:
+            levels[-1][1] = (x.text(""), [])
+            out.append(levels[-1][1])
+        elif x.tag == stop:
+            levels[-1][1] = None
+        elif section and x.tag not in ("script", "style") and (words := x.text()):
+            section[1].append(words)
+        levels.append([iter(x.inner), None])
+    return [(name, " ".join(parts)) for name, parts in out]
 
 
 def ruling_sections(pages: DataFrame, heading: str = "h1", stop: str = "div", root_id: str | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -216,20 +230,51 @@ def ruling_boxes(pages: DataFrame, w: RulingWords = RulingWords(), key: str = "p
     the select Judge_ID. What a page lacks is '' or an empty array; a null page lacks everything.
     """
 
-    def rows(root: Node) -> list[tuple]:
-        box = root.first("div", "container")
-        if box is None:
-            return [("", "", "", "", [])]
-        title, meta, chosen = box.first("h1", "Title3D"), box.first("td", "font-size-small"), box.first("select", id="Judge_ID")
-        bold = [n for n in box.walk() if n.tag == "b"]
-        around = lambda mark: next((n.above.text() for n in bold if mark in n.text("")), "")
-        ids = [n.attrs["value"] for n in chosen.walk() if n.tag == "option" and n.attrs.get("value")] if chosen else []
-        return [(title.text() if title else "", around(w.summary), meta.text() if meta else "", around(w.cited), ids)]
-
-    raw = _each_page(pages, key, html, T._parse_datatype_string("title string, summary string, meta string, cited string, ids array<string>").fields, rows)
+    raw = _each_page(pages, key, html, T._parse_datatype_string(BOX).fields, lambda root: [box_of(root, w)])
+    return raw.select(key, *box_columns(w))
+
+
+BOX = "title string, summary string, meta string, cited string, ids array<string>"
+
+
+def box_of(root: Node, w: RulingWords) -> tuple[str, str, str, str, list[str]]:
+    """The fields of BOX of a page."""
+    box = root.first("div", "container")
+    if box is None:
+        return "", "", "", "", []
+    title, meta, chosen = box.first("h1", "Title3D"), box.first("td", "font-size-small"), box.first("select", id="Judge_ID")
+    bold = [n for n in box.walk() if n.tag == "b"]
+    around = lambda mark: next((n.above.text() for n in bold if mark in n.text("")), "")
+    ids = [n.attrs["value"] for n in chosen.walk() if n.tag == "option" and n.attrs.get("value")] if chosen else []
+    return title.text() if title else "", around(w.summary), meta.text() if meta else "", around(w.cited), ids
+
+
+def box_columns(w: RulingWords) -> list[Column]:
+    """The columns of ruling_boxes() from the fields of BOX."""
     bare = lambda c, mark: F.trim(F.regexp_replace(c, f"^{mark}\\s*:\\s*", ""))
     meta = to_latin_digits(F.col("meta"))
-    return raw.select(
-        key, bare("title", w.title).alias("title"), bare("summary", w.summary).alias("legal_factual_summary"), F.regexp_extract(meta, w.verdict_number, 1).alias("verdict_number"),
+    return [
+        bare("title", w.title).alias("title"), bare("summary", w.summary).alias("legal_factual_summary"), F.regexp_extract(meta, w.verdict_number, 1).alias("verdict_number"),
         F.regexp_extract(meta, w.verdict_date, 1).alias("verdict_date"), F.regexp_extract(meta, w.case_type, 1).alias("case_type"), bare("cited", w.cited).alias("cited"), F.col("ids").alias("related_ruling_ids"),
-    )
+    ]
+
+
+def ruling_parts(pages: DataFrame, w: RulingWords = RulingWords(), root_id: str | None = None, html: str = "html") -> DataFrame:  # noqa: B008
+    """pages without html, with the columns of ruling_boxes() and sections (in order; digits folded): one parse a page, all other columns left in the JVM."""
+    schema = T._parse_datatype_string(f"{BOX}, sections {SECTIONS}")
+
+    def parse(batch: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        out = []
+        for page in batch.to_pylist():
+            root = Tree(page).root
+            top = root if root_id is None else root.first("div", id=root_id)
+            out.append((*box_of(root, w), [{"court_level": level, "text": text} for level, text in sections_of(top)] if top else []))
+        return pa.array([dict(zip(schema.names, row, strict=True)) for row in out], to_arrow_type(schema))
+
+    parsed = pages.withColumn("__page", F.arrow_udf(parse, schema)(F.col(html))).drop(html)
+    own = parsed.columns[:-1]
+    flat = parsed.select(*own, "__page.*")
+    folded = F.transform("sections", lambda s: F.struct(s["court_level"].alias("court_level"), to_latin_digits(s["text"]).alias("text")))
+    return flat.select(*own, *box_columns(w), folded.alias("sections"))

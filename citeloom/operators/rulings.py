@@ -7,25 +7,16 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import joined_sections
 from citeloom.operators.citations import LAWS, Grammar, free_text_citations, official_citations
-from citeloom.operators.pages import SECTIONS, RulingWords, ruling_boxes, ruling_sections
+from citeloom.operators.pages import RulingWords, ruling_parts
 
 
-def assembled(boxes: DataFrame, sections: DataFrame, laws: dict[str, str] = LAWS, grammar: Grammar = Grammar(), key: str = "page_id") -> DataFrame:  # noqa: B008
-    """One row a ruling: its boxes, sections in order, official and free-text citations, related ids.
+def parsed_rulings(pages: DataFrame, words: RulingWords = RulingWords(), laws: dict[str, str] = LAWS, grammar: Grammar = Grammar(), root_id: str | None = "treeText", key: str = "page_id", html: str = "html") -> DataFrame:  # noqa: B008
+    """Raw ruling pages (key, html, and a url if there is one) to ruling rows: boxes, sections in order, official and free-text citations, related ids.
 
-    boxes: as ruling_boxes() gives them; sections: key, section_no, court_level, text. Rulings without sections have an
-    empty array. Free-text citations are read from all sections joined by a space.
+    A page is parsed once and no row leaves its partition. Rulings without sections have an empty array. Free-text
+    citations are read from all sections joined by a space.
     """
-    parts = sections.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "court_level", "text"))), lambda s: F.struct(s["court_level"].alias("court_level"), s["text"].alias("text"))).alias("sections"))
-    rows = boxes.join(parts, key, "left").withColumn("sections", F.coalesce("sections", F.array().cast(SECTIONS)))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = ruling_parts(pages.select(F.col(key).cast("string").alias("ruling_id"), url.alias("url"), F.col(html).alias("html")), words, root_id)
     rows = rows.withColumn("cited_articles", official_citations(F.col("cited"), laws, grammar)).withColumn("__text", joined_sections(F.col("sections"), " "))
-    out = free_text_citations(rows, "__text", laws, grammar)
-    return out.withColumn("ruling_id", F.col(key).cast("string")).drop("__text", "cited", *([key] if key != "ruling_id" else []))
-
-
-def parsed_rulings(pages: DataFrame, words: RulingWords = RulingWords(), laws: dict[str, str] = LAWS, grammar: Grammar = Grammar(), root_id: str | None = "treeText", key: str = "page_id", html: str = "html") -> DataFrame:  # noqa: B008
-    """Raw ruling pages (key, html, and a url if there is one) to ruling rows."""
-    out = assembled(ruling_boxes(pages, words, key, html), ruling_sections(pages, root_id=root_id, key=key, html=html), laws, grammar, key)
-    if "url" not in pages.columns:
-        return out.withColumn("url", F.lit(None).cast("string"))
-    return out.join(pages.select(F.col(key).cast("string").alias("ruling_id"), "url"), "ruling_id", "left")
+    return free_text_citations(rows, "__text", laws, grammar).drop("__text", "cited")

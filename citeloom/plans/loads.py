@@ -43,6 +43,14 @@ features as (select l_orderkey::varchar as ruling_id, category, (row_number() ov
 """
 
 
+def _page_files(s: SparkSession, d: str) -> DataFrame:
+    """Pages written as one file each and read back; every tenth file is of no bytes but for its end of line."""
+    path = S.shared_folder(s, "pages")
+    table(s, d, "pages").select(F.when(F.col("page_id") % 10 != 0, F.col("html")).otherwise("").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    back = S.read_pages(s, path).withColumn("html", F.regexp_replace("html", "\n$", ""))
+    return back.filter("html != '' and page_id != ''").groupBy("html").agg(F.count_distinct("page_id").alias("n"))
+
+
 def _reviewed(s: SparkSession, d: str) -> DataFrame:
     path = S.shared_folder(s, "reviewed")
     p = table(s, d, "part").select(F.col("p_name").alias("term"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("alias:"), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.col("p_type")).alias("decision"))
@@ -66,6 +74,7 @@ QUERIES = {
     "a1_records": lambda s, d: _rulings(s, d)[0].select("ruling_id", "title", "case_type", F.coalesce(F.size("sections"), F.lit(0)).alias("n_sections")),
     "a1_errors": lambda s, d: _rulings(s, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
     "a2_features": _features,
+    "a3_pages": _page_files,
     "a4_reviewed": _reviewed,
     "a5_written": _written,
     "a7_load_report": lambda s, d: GR.load_report(table(s, d, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, "error").when(F.col("o_orderkey") % 7 < 3, "already there").otherwise("new").alias("status"), F.col("o_orderpriority").alias("case_type"))),
@@ -78,6 +87,7 @@ ORACLE = {
     "a1_records": "select o_orderkey::varchar as ruling_id, o_orderpriority as title, o_orderstatus as case_type, coalesce(n, 0)::int as n_sections from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey where o_orderkey % 50 <> 0",
     "a1_errors": "select 'no key' as reason, count(*) as n from orders where o_orderkey % 50 = 0 having count(*) > 0",
     "a2_features": FEATURES + "select * from features",
+    "a3_pages": "select html, count(*) as n from pages where page_id % 10 <> 0 group by html",
     "a4_reviewed": "select case when p_partkey % 3 = 0 then 'alias:' || p_brand when p_partkey % 3 = 1 then p_type end as decision, count(*) as n, count(distinct p_name) as terms from part group by 1",
     "a5_written": "select kind, p_brand as law, count(*) as n, sum(p_size)::bigint as total from part, (select unnest(['parquet', 'csv', 'json']) as kind) group by 1, 2",
     "a7_load_report": "select case when o_orderkey % 7 = 0 then 'error' when o_orderkey % 7 < 3 then 'already there' else 'new' end as status, o_orderpriority as case_type, count(*) as n from orders group by 1, 2",

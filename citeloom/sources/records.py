@@ -21,12 +21,11 @@ FEATURES = "ruling_id string, " + ", ".join(f"{c} {_ITEM}" for c in CATEGORIES)
 def read_records(spark: SparkSession, path: str, schema: str = RULING, key: str = "ruling_id") -> tuple[DataFrame, DataFrame]:
     """Records of one JSON object a file, and an error table (path, reason): unreadable, empty, or without a key."""
     rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
-    rows = rows.withColumn("path", F.input_file_name())
+    rows = rows.withColumn("path", F.col("_metadata.file_path"))
     bad = rows.filter(F.col("_corrupt").isNotNull() | F.col(key).isNull()).select("path", F.when(F.col("_corrupt").isNotNull(), "corrupt").otherwise("no key").alias("reason"))
-    # scans skip empty files, so these are the listed files that gave no row; the listing is the driver's anyway
+    # scans, also of file metadata, skip files without bytes, so these are the listed files that gave no row; the listing is the driver's anyway
     listed = spark.createDataFrame([(f,) for f in rows.inputFiles()], "path string")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    empty = listed.select(plain(F.col("path")).alias("path")).join(rows.select(plain(F.col("path")).alias("path")).distinct(), "path", "left_anti").withColumn("reason", F.lit("empty"))
+    empty = listed.join(rows.select("path").distinct(), "path", "left_anti").withColumn("reason", F.lit("empty"))
     good = rows.filter(F.col("_corrupt").isNull() & F.col(key).isNotNull()).drop("_corrupt", "path")
     return good, bad.unionByName(empty)
 
@@ -45,7 +44,7 @@ def flattened_features(results: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id (the file's name) and html."""
     rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return rows.select(F.regexp_extract(F.input_file_name(), "([^/]+?)(?:\\.[^./]*)?$", 1).alias("page_id"), F.col("value").alias("html"))
+    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), "([^/]+?)(?:\\.[^./]*)?$", 1).alias("page_id"), F.col("value").alias("html"))
 
 
 def read_reviewed(spark: SparkSession, path: str, required: tuple[str, ...] = ("term", "decision")) -> DataFrame:

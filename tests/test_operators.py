@@ -197,6 +197,13 @@ def test_quotes_and_orphans(spark):
     rows = spark.createDataFrame([("1", "cd"), ("1", "cdef  gh"), ("1", "zz"), ("2", "ab")], "ruling_id string, quote string")
     got = {(r.ruling_id, r.quote): (r.start_char, r.end_char) for r in FE.located(rows, texts).collect()}
     assert got == {("1", "cd"): (3, 5), ("1", "cdef  gh"): (3, 11), ("1", "zz"): (None, None), ("2", "ab"): (None, None)}
+    odd = spark.createDataFrame([("1", "\U0001f600a b\u200fc\xa0d 😀 e"), ("2", None), ("3", "  ")], "ruling_id string, text string")
+    asked = spark.createDataFrame([("1", "bcd"), ("1", "a bc"), ("1", "😀e"), ("1", ""), ("1", None), ("1", " \u200f"), ("2", "x"), ("3", "y"), (None, "z"), ("1", "bcd")], "ruling_id string, quote string")
+    for most in (1024, 2):
+        found = FE.located(asked, odd, most=most)
+        got = sorted(map(tuple, found.collect()), key=str)
+        assert got == sorted([("1", "bcd", 3, 8), ("1", "a bc", 1, 6), ("1", "😀e", 9, 12), ("1", "", None, None), ("1", None, None, None), ("1", " \u200f", None, None), ("2", "x", None, None), ("3", "y", None, None), (None, "z", None, None), ("1", "bcd", 3, 8)], key=str)
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
     lost = FE.orphans(spark.createDataFrame([("007",), ("9",)], "ruling_id string"), spark.createDataFrame([("7",)], "ruling_id string")).collect()
     assert {r.ruling_id: r.matches_as_int for r in lost} == {"007": True, "9": False}
 
@@ -241,6 +248,9 @@ def test_ruling_pages(spark):
     """A page as the court's site has it, one without any part, and none at all."""
     from citeloom.operators.rulings import parsed_rulings
 
+    one = parsed_rulings(spark.range(5).selectExpr("id page_id", "'<h1>x</h1>' html", "'u' url"))
+    assert "Exchange" not in one._jdf.queryExecution().toString() and {r.url for r in one.collect()} == {"u"}
+
     pages = spark.createDataFrame([("12", RULING, "http://x/12"), ("13", "<p>x</p>", None), ("14", None, None)], "page_id string, html string, url string")
     r = {x.ruling_id: x for x in parsed_rulings(pages).collect()}
     a = r["12"]
