@@ -6,6 +6,8 @@ articles: law, article_number, domain. All functions are lazy DataFrame expressi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +32,44 @@ def _mentions(features: DataFrame) -> DataFrame:
     return features.groupBy("ruling_id", *FEATURE).agg(F.count(F.lit(1)).alias("m"))
 
 
-def cooccurrence(features: DataFrame, edges: DataFrame, articles: DataFrame, procedural: list[str]) -> DataFrame:
+#: Pairs of one ruling that a task joins.
+CELL = 1 << 22
+
+
+def celled(mentions: DataFrame, cited: DataFrame, most: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __row and __column: a ruling of more than `most` pairs of a feature and an article is a grid of cells of about `most` pairs.
+
+    A mention has one row of the grid and is copied to its columns, an article one column and is copied to its rows, so
+    each pair lies in one cell and no cell is much larger than the others.
+    """
+    side = math.isqrt(most)
+    m = mentions.groupBy("ruling_id").agg(F.count(F.lit(1)).alias("__m"))
+    n = cited.groupBy("ruling_id").agg(F.count(F.lit(1)).alias("__n"))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / side)).cast("int")
+    heavy = m.join(n, "ruling_id").filter(F.col("__m") * F.col("__n") > most).select("ruling_id", parts("__m").alias("__rows"), parts("__n").alias("__columns"))
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+
+    def dealt(side: DataFrame, keys: list[str], own: str, count: str, other: str, others: str) -> DataFrame:
+        rows = side.join(heavy, "ruling_id", "left").withColumn(own, F.pmod(F.xxhash64(*keys), one(count)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), one(others) - 1))).drop("__rows", "__columns")
+
+    return dealt(mentions, FEATURE, "__row", "__rows", "__column", "__columns"), dealt(cited, ARTICLE, "__column", "__columns", "__row", "__rows")
+
+
+def cooccurrence(features: DataFrame, edges: DataFrame, articles: DataFrame, procedural: list[str], most: int = CELL) -> DataFrame:
     """Paths between a feature and an article through a ruling, by the source of the citation, and the rulings that have both (n_joint).
 
     Both sides shrink to one row a ruling and feature or article before the join, so repeated mentions never multiply
-    rows, and each joined row is one ruling of the pair. Articles of procedural domains fall out, and so do those
-    without a domain (a null is never outside a list).
+    rows, and each joined row is one ruling of the pair; heavy rulings are joined cell by cell (celled()). Articles of
+    procedural domains fall out, and so do those without a domain (a null is never outside a list).
     """
     mentions = _mentions(features)
     wanted = articles.filter(~F.col("domain").isin(procedural)).select(*ARTICLE)
     cited = edges.join(wanted, ARTICLE).groupBy("ruling_id", *ARTICLE).agg(
         F.sum((F.col("source") == "official").cast("long")).alias("o"), F.sum((F.col("source") == "text").cast("long")).alias("t")
     )
-    paths = mentions.join(cited, "ruling_id")
+    left, right = celled(mentions, cited, most)
+    paths = left.join(right, ["ruling_id", "__row", "__column"])
     return paths.groupBy(*FEATURE, *ARTICLE).agg(F.sum(F.col("m") * F.col("o")).alias("official_count"), F.sum(F.col("m") * F.col("t")).alias("text_count"), F.count(F.lit(1)).alias("n_joint"))
 
 

@@ -9,6 +9,7 @@ from citeloom.operators import features as FE
 from citeloom.operators import graph as GR
 from citeloom.plans.tables import table
 from citeloom.sources import records as S
+from citeloom.sources.keyed import KeyedTable
 
 
 def _rulings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +71,17 @@ def _written(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """The last order of each customer, loaded in two steps: a customer's odd orders come later and stand for the even ones."""
+    rows = table(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("last_order"), "o_orderpriority", "o_totalprice")
+    held = KeyedTable(s, S.shared_folder(s, "customers"), ["o_custkey"])
+    held.load(rows.filter("o_orderkey % 2 = 0"), "o_orderkey")
+    held.load(rows.filter("o_orderkey % 2 = 1"), "o_orderkey")
+    return held.read()
+
+
 QUERIES = {
+    "e1_stored": _stored,
     "a1_records": lambda s, d: _rulings(s, d)[0].select("ruling_id", "title", "case_type", F.coalesce(F.size("sections"), F.lit(0)).alias("n_sections")),
     "a1_errors": lambda s, d: _rulings(s, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
     "a2_features": _features,
@@ -84,6 +95,7 @@ QUERIES = {
 }
 _SECTIONS = "sections as (select o_orderkey, l_returnflag, l_linestatus, (row_number() over (partition by o_orderkey order by l_linenumber, l_returnflag, l_linestatus) - 1)::int as section_no from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 50 <> 0)"
 ORACLE = {
+    "e1_stored": "select o_custkey, max(o_orderkey) as last_order, arg_max(o_orderpriority, o_orderkey) as o_orderpriority, arg_max(o_totalprice, o_orderkey) as o_totalprice from (select *, max(o_orderkey % 2) over (partition by o_custkey) as odd from orders) where o_orderkey % 2 = odd group by o_custkey",
     "a1_records": "select o_orderkey::varchar as ruling_id, o_orderpriority as title, o_orderstatus as case_type, coalesce(n, 0)::int as n_sections from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey where o_orderkey % 50 <> 0",
     "a1_errors": "select 'no key' as reason, count(*) as n from orders where o_orderkey % 50 = 0 having count(*) > 0",
     "a2_features": FEATURES + "select * from features",
