@@ -118,3 +118,10 @@ def extraction_stats(features: DataFrame, required: list[str]) -> DataFrame:
 
 def top_values(features: DataFrame, category: str, k: int = 15) -> DataFrame:
     return features.filter(F.col("category") == category).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def confidence_histogram(features: DataFrame, digits: int | None = None) -> DataFrame:
+    """confidence, n and share of each value of the features' confidence, null among them; digits: values are rounded to so many first."""
+    value = F.col("confidence") if digits is None else F.round("confidence", digits)
+    counts = features.groupBy(value.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__all")))).select("confidence", "n", (F.col("n") / F.col("__all")).alias("share"))  # one row

@@ -91,6 +91,7 @@ QUERIES = {
     "a7_load_report": lambda s, d: GR.load_report(table(s, d, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, "error").when(F.col("o_orderkey") % 7 < 3, "already there").otherwise("new").alias("status"), F.col("o_orderpriority").alias("case_type"))),
     "e6_sections": _sections,
     "f6_edges": lambda s, d: FE.feature_edges(_features(s, d)),
+    "f8_confidences": lambda s, d: FE.confidence_histogram(_features(s, d)).withColumn("share", F.round("share", 6)),
     "f8_stats": lambda s, d: FE.extraction_stats(_features(s, d).withColumn("start_char", F.when(F.col("pos") != 1, F.col("start_char"))), ["red widget", "small bolt"]).withColumn("unlocated", F.round("unlocated", 6)),
 }
 _SECTIONS = "sections as (select o_orderkey, l_returnflag, l_linestatus, (row_number() over (partition by o_orderkey order by l_linenumber, l_returnflag, l_linestatus) - 1)::int as section_no from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 50 <> 0)"
@@ -105,6 +106,7 @@ ORACLE = {
     "a7_load_report": "select case when o_orderkey % 7 = 0 then 'error' when o_orderkey % 7 < 3 then 'already there' else 'new' end as status, o_orderpriority as case_type, count(*) as n from orders group by 1, 2",
     "e6_sections": f"with {_SECTIONS} select o_orderkey::varchar as ruling_id, section_no, l_returnflag as court_level, l_linestatus as text from sections",
     "f6_edges": FEATURES + "select ruling_id, case when category = 'fact' then 'fact:' || ruling_id || ':' || pos else category || ':' || value end as node, category, value, quote, start_char, end_char, confidence from features",
+    "f8_confidences": FEATURES + "select confidence, count(*) as n, round(count(*)::double / sum(count(*)) over (), 6) as share from features group by confidence",
     "f8_stats": FEATURES + """select n, round(unlocated, 6) as unlocated, low, middle, high, n_rulings, n_lacking from (select count(*) as n, avg((pos = 1)::int) as unlocated, count(*) filter (where confidence < 0.5) as low, count(*) filter (where confidence >= 0.5 and confidence < 0.8) as middle, count(*) filter (where confidence >= 0.8) as high from features),
 (select count(*) as n_rulings, count(*) filter (where has = 0) as n_lacking from (select ruling_id, max((category = 'role' and value in ('red widget', 'small bolt'))::int) as has from features group by 1))""",
 }

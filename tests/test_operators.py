@@ -564,3 +564,9 @@ def test_fusion_cases(spark):
         assert [r.majority_verdict, r.consensus, r.final_confidence, r.level, r.uncertainty_flag, r.notes] == want, c
         assert agreed[c].agreed == refs and agreed[c].all_cited == sorted({x for x in allc.replace("|", ",").split(",") if x})
         assert agreed[c].verdict_spread == {f"r{i}": v for i, v in enumerate(vs)}
+
+
+def test_confidence_histogram(spark):
+    df = spark.createDataFrame([(0.9,), (0.9,), (0.94,), (None,)], "confidence double")
+    assert {r.confidence: (r.n, r.share) for r in FE.confidence_histogram(df).collect()} == {0.9: (2, 0.5), 0.94: (1, 0.25), None: (1, 0.25)}
+    assert {r.confidence: r.n for r in FE.confidence_histogram(df, 1).collect()} == {0.9: 3, None: 1} and FE.confidence_histogram(df.limit(0)).count() == 0
