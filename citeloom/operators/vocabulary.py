@@ -5,10 +5,15 @@ vocab: category, canonical, raw, is_canonical, ord.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import counted, match_key
+from citeloom.functions.text import match_key
 
 
 def merged_terms(source: DataFrame, separator: str = " ؛ ") -> DataFrame:
@@ -101,13 +106,47 @@ def grams(tokens: Column, stopwords: list[str]) -> Column:
     return F.concat(ones, F.array_compact(pairs))
 
 
+def _partial_counts(tokens: pa.Array, stopwords: frozenset[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The grams (as grams() gives them) of some documents' tokens: gram, how often it comes, and in how many documents."""
+    size = np.diff(tokens.offsets.to_numpy())
+    size[np.asarray(tokens.is_null())] = 0
+    codes = tokens.flatten().dictionary_encode()
+    words = codes.dictionary.cast(pa.string())
+    n = max(1, len(words))
+    code = codes.indices.fill_null(n).to_numpy().astype(np.int64)
+    real = np.append(np.asarray(pc.greater(pc.utf8_length(words), 1)), False)  # the last: a null
+    stop = np.append(np.asarray(pc.is_in(words, pa.array(sorted(stopwords), pa.string()))), False)
+    row = np.repeat(np.arange(len(size)), size)
+    ones = np.flatnonzero(real[code] & ~stop[code])
+    left, right = code[:-1], code[1:]
+    pairs = np.flatnonzero((row[1:] == row[:-1]) & real[left] & real[right] & ~(stop[left] & stop[right]))
+    # a gram's number: its only word's, or n and up for two words
+    gram = np.concatenate((code[ones], n + left[pairs] * n + right[pairs]))
+    held, which = np.unique(gram, return_inverse=True)
+    of_row, times = np.unique(np.concatenate((row[ones], row[pairs])) * max(1, len(held)) + which, return_counts=True)
+    at = of_row % max(1, len(held))
+    single = np.searchsorted(held, n)
+    double = held[single:] - n
+    names = pa.concat_arrays([words.take(pa.array(held[:single])), pc.binary_join_element_wise(words.take(pa.array(double // n)), words.take(pa.array(double % n)), " ")])
+    return names, np.bincount(at, times, len(held)).astype(np.int64), np.bincount(at, minlength=len(held))
+
+
 def gram_counts(docs: DataFrame, stopwords: list[str]) -> DataFrame:
-    """gram, total and n_docs. docs: tokens, one row a document.
+    """gram, total and n_docs. docs: tokens, one row a document; null tokens part their neighbours.
 
-    Counted inside the row: only a document's distinct grams leave it, tasks add up by gram, and one shuffle ends it.
+    A batch's words are numbered and its grams counted as pairs of numbers, so what leaves a task is one row for each gram of a
+    batch; one shuffle adds them up.
     """
-    one = docs.select(F.explode(counted(grams(F.col("tokens"), stopwords))).alias("x"))
-    return one.groupBy(F.col("x.item").alias("gram")).agg(F.sum("x.c").alias("total"), F.count(F.lit(1)).alias("n_docs"))
+    stops = frozenset(stopwords)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                names, total, n_docs = _partial_counts(batch.column(0).slice(lo, 4096), stops)
+                yield pa.RecordBatch.from_arrays([names, pa.array(total), pa.array(n_docs.astype(np.int64))], names=["gram", "total", "n_docs"])
+
+    parts = docs.select("tokens").mapInArrow(count, "gram string, total long, n_docs long")
+    return parts.groupBy("gram").agg(F.sum("total").alias("total"), F.sum("n_docs").alias("n_docs"))
 
 
 def gap_candidates(counts: DataFrame, vocab: DataFrame, least: int = 50, key=match_key) -> DataFrame:

@@ -570,3 +570,21 @@ def test_confidence_histogram(spark):
     df = spark.createDataFrame([(0.9,), (0.9,), (0.94,), (None,)], "confidence double")
     assert {r.confidence: (r.n, r.share) for r in FE.confidence_histogram(df).collect()} == {0.9: (2, 0.5), 0.94: (1, 0.25), None: (1, 0.25)}
     assert {r.confidence: r.n for r in FE.confidence_histogram(df, 1).collect()} == {0.9: 3, None: 1} and FE.confidence_histogram(df.limit(0)).count() == 0
+
+
+def test_gram_counts_by_batches(spark):
+    """Counts of words and pairs over several documents: stopwords, one-letter words, nulls, empty and missing arrays, words of other scripts."""
+    docs = [["aa", "the", "bb", "aa", "the", "of"], ["aa", "x", "bb"], [], None, ["aa", None, "bb", "bb", "bb"], ["ماده", "é", "éé", "ماده"], ["the"]]
+    total, n_docs = {}, {}
+    for d in docs:
+        d, mine = d or [], []
+        ok = lambda t: t is not None and len(t) > 1
+        mine += [t for t in d if ok(t) and t not in ("the", "of")]
+        mine += [f"{a} {b}" for a, b in zip(d, d[1:]) if ok(a) and ok(b) and not (a in ("the", "of") and b in ("the", "of"))]
+        for g in mine:
+            total[g] = total.get(g, 0) + 1
+        for g in set(mine):
+            n_docs[g] = n_docs.get(g, 0) + 1
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>").repartition(2)
+    assert {r.gram: (r.total, r.n_docs) for r in VO.gram_counts(df, ["the", "of"]).collect()} == {g: (n, n_docs[g]) for g, n in total.items()}
+    assert VO.gram_counts(df.limit(0), []).count() == 0
