@@ -104,23 +104,3 @@ def mapped(c: Column, table: dict[str, str], strict: bool = False) -> Column:
 def value_in_quote(value: Column, quote: Column) -> Column:
     """Whether any token of the value (longer than one character) occurs in the quote."""
     return F.exists(F.filter(F.split(value, SPACE), lambda t: F.length(t) > 1), lambda t: F.contains(quote, t))
-
-
-def _bound(value: Column, then) -> Column:
-    """then(value), with the value computed once a row however often it is used."""
-    return F.transform(F.array(value), then)[0]
-
-
-def counted(items: Column) -> Column:
-    """Distinct items of an array of strings with their counts, as array<struct<item, c>>: the items are sorted, and each run of equal ones is one.
-
-    Null items are left out; a null array gives none.
-    """
-
-    def runs(g: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (g[i] != g[F.greatest(i - 1, F.lit(0))]))
-        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(g)))
-        return _bound(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.struct(g[a].alias("item"), (b - a).alias("c"))))
-
-    none = F.array().cast("array<struct<item:string,c:int>>")
-    return _bound(F.sort_array(F.array_compact(F.coalesce(items, F.array().cast("array<string>")))), lambda g: F.when(F.size(g) > 0, runs(g)).otherwise(none))
