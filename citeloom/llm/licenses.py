@@ -3,19 +3,23 @@
 A template is a set of words. The document frequencies of the templates' words, counted over all texts, order
 every template rare-first. A block can hold enough of a template only if it holds one of its first
 m - ceil(threshold * m) + 1 words: these are the template's prefix, and an index from prefix words to templates
-joins the words of a text with the templates (prefix filter). Of each pair that meets there, only blocks around
-a prefix word's place are looked at, if they have enough template words at all (length filter) and if enough
-words are left in the template's order after the rarest one that they hold (positional filter). Every block that
+joins the words of a text with the templates (prefix filter). The positional filter judges each meeting before
+anything is counted: if the place is that of the rarest word a block holds, all its other template words come later
+in the order, so fewer than ceil(threshold * m) words of its rank or later within reach rule the meeting out. A pair
+of a text and a template whose every meeting is ruled out is never looked at again. Of the other pairs only the
+blocks around a place that is left, with enough words of the template (length filter), are counted. Every block that
 then holds the threshold is found, and blocks that overlap are one match.
 
-The index of one scan is bounded (`most_words` template words); more templates take several scans.
+Templates of a table are read in groups of at most `most_words` words. Each group has a scan of its own, whose tasks
+hold that group alone; what it finds is stored by row, and the driver lets it go before it reads the next.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import distinct_names
+from citeloom.llm.common import Scratch, distinct_names, rows_named, scratch_of
 from citeloom.llm.textarrays import Words, windows
 from citeloom.llm.tokens import slices
 
@@ -111,46 +115,73 @@ class Templates:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
+#: Steps of the rare-first order that the positional filter tells apart, and the meetings that are judged at a time.
+BANDS, MEETINGS = 8, 1 << 21
+
+
 class Index:
     """Templates rare-first, and for each word of the vocabulary the templates that have it in their prefix."""
 
     def __init__(self, known: Templates, often: dict[int, int], threshold: float):
         self.known, n = known, len(known.vocabulary)
-        self.ranks, self.need = [], []
+        count = np.array([often.get(w, 0) for w in range(n)], np.int64)
+        rare = np.argsort(count, kind="stable")
+        # bands of about equal frequency: a word's band and the later ones hold all words of its rank or a later one
+        before = np.cumsum(count[rare]) - count[rare]
+        self.band = np.empty(n, np.int64)
+        self.band[rare] = before * BANDS // max(1, int(count.sum()))
+        place = np.argsort(rare, kind="stable")
+        self.ranks, self.need, self.spans = [], np.zeros(len(known.sets), np.int64), np.array(known.spans, np.int64)
         pairs: list[tuple[int, int]] = []
         for k, words in enumerate(known.sets):
-            order = sorted(words.tolist(), key=lambda w: (often.get(w, 0), w))
-            need = max(1, math.ceil(threshold * len(order) - 1e-9))
-            self.ranks.append(np.array(order, np.int64))
-            self.need.append(need)
-            pairs += [(w, k) for w in order[: len(order) - need + 1]]
+            order = words[np.argsort(place[words])]
+            self.need[k] = max(1, math.ceil(threshold * len(order) - 1e-9))
+            self.ranks.append(order)
+            pairs += [(w, k) for w in order[: len(order) - self.need[k] + 1].tolist()]
         pairs.sort()
         self.template = np.array([k for _, k in pairs], np.int64)
-        self.first = np.searchsorted([w for w, _ in pairs], np.arange(n + 1))
+        self.first = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(n + 1))
+
+    def met(self, text_of: np.ndarray, place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(text, template, place) where a prefix word of the template stands and the positional filter leaves a block possible, in this order; and how many meetings it ruled out.
 
-    def met(self, text_of: np.ndarray, number: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, template) that share a prefix word: the join of a batch's words with the index."""
+        text_of, place, number: text, place in the batch and word of all vocabulary words of a batch, by place.
+        """
+        from_band = np.zeros((BANDS, len(number) + 1), np.int32)  # vocabulary words of a band or a later one before each place
+        for b in range(BANDS):
+            np.cumsum(self.band[number] >= b, out=from_band[b, 1:])
         size = self.first[number + 1] - self.first[number]
         has = np.flatnonzero(size)
-        size = size[has]
-        at = np.repeat(self.first[number[has]], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        pairs = np.unique(np.repeat(text_of[has], size) * max(1, len(self.need)) + self.template[at])
-        return pairs // max(1, len(self.need)), pairs % max(1, len(self.need))
+        total = np.cumsum(size[has])
+        found, ruled_out = [], 0
+        for piece in np.split(has, np.searchsorted(total, np.arange(MEETINGS, int(total[-1]) if len(total) else 0, MEETINGS))):
+            each = size[piece]
+            at = np.repeat(piece, each)
+            k = self.template[np.repeat(self.first[number[piece]] - np.cumsum(each) + each, each) + np.arange(len(at))]
+            # a block with this place reaches less than its span to each side, and not into another text
+            lo = np.maximum(np.searchsorted(place, place[at] - self.spans[k], side="right"), np.searchsorted(text_of, text_of[at]))
+            hi = np.minimum(np.searchsorted(place, place[at] + self.spans[k]), np.searchsorted(text_of, text_of[at], side="right"))
+            band = self.band[number[at]]
+            left = from_band[band, hi] - from_band[band, lo] >= self.need[k]
+            ruled_out += len(left) - int(left.sum())
+            found.append((text_of[at[left]], k[left], place[at[left]]))
+        text, k, where = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((where, k, text))
+        return text[order], k[order], where[order], ruled_out
 
-    def blocks(self, k: int, place: np.ndarray, word: np.ndarray) -> list[tuple[int, int, float]]:
+    def blocks(self, k: int, place: np.ndarray, word: np.ndarray, met: np.ndarray) -> list[tuple[int, int, float]]:
         """(first, end, containment) of the runs of overlapping blocks that hold enough of template k.
 
-        place, word: places of vocabulary words in a text, in order, and the words. A block starts at a template
-        word, spans known.spans[k] words and ends at its last template word.
+        place, word: places of vocabulary words in a text, in order, and the words; met: the places that the filters
+        left. A block starts at a template word, spans known.spans[k] words and ends at its last template word.
         """
-        order, need, span = self.ranks[k], self.need[k], self.known.spans[k]
+        order, need, span = self.ranks[k], int(self.need[k]), self.known.spans[k]
         by = np.sort(order)
         at = np.minimum(np.searchsorted(by, word), len(by) - 1)
         own = by[at] == word
         place, rank = place[own], np.argsort(order, kind="stable")[at[own]]
         ends = np.searchsorted(place, place + span)
-        prefix = place[rank <= len(order) - need]
-        near = np.searchsorted(prefix, place + span) > np.searchsorted(prefix, place)  # a prefix word in the block
+        near = np.searchsorted(met, place + span) > np.searchsorted(met, place)
         starts = np.flatnonzero(near & (ends - np.arange(len(place)) >= need))  # the length filter
         out: list[list] = []
         held, distinct, lo, hi = np.zeros(len(order), np.int64), 0, 0, 0
@@ -165,8 +196,7 @@ class Index:
                 distinct += held[rank[hi]] == 0
                 held[rank[hi]] += 1
                 hi += 1
-            # the positional filter: as many words as from the rarest one held to the template's end
-            if distinct >= need and len(order) - int(np.argmax(held > 0)) >= need:
+            if distinct >= need:
                 a, b, share = int(place[i]), int(place[ends[i] - 1]) + 1, distinct / len(order)
                 if out and a < out[-1][1]:
                     out[-1][1], out[-1][2] = max(out[-1][1], b), max(out[-1][2], share)
@@ -174,6 +204,23 @@ class Index:
                     out.append([a, b, share])
         return [tuple(x) for x in out]
 
+    def found(self, words: Words, n: int) -> list[list[dict]]:
+        """The matches of each of a batch's n texts."""
+        out: list[list[dict]] = [[] for _ in range(n)]
+        number = self.known.numbers(words.hash)
+        place = np.flatnonzero(number >= 0)
+        number, text_of = number[place], np.searchsorted(words.at, place, side="right") - 1
+        edges = np.searchsorted(text_of, np.arange(n + 1))
+        text, template, met, _ = self.met(text_of, place, number)
+        cuts = np.flatnonzero(np.diff(text) | np.diff(template)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)], strict=True):
+            if lo < hi:
+                t, k = int(text[lo]), int(template[lo])
+                start, here = int(words.at[t]), slice(edges[t], edges[t + 1])
+                for a, b, share in self.blocks(k, place[here] - start, number[here], met[lo:hi] - start):
+                    out[t].append({"label": self.known.labels[k], "first_word": a, "end_word": b, "containment": share})
+        return out
+
 
 def word_frequencies(docs: DataFrame, text: str, known: Templates) -> DataFrame:
     """word (its number) and n_docs over all texts, for the templates' words."""
@@ -194,22 +241,51 @@ def word_frequencies(docs: DataFrame, text: str, known: Templates) -> DataFrame:
     return docs.select(text).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n_docs"))
 
 
-def groups_of(templates: list[tuple[str, str]], most_words: int) -> list[list[tuple[str, str]]]:
-    """Templates in groups of at most most_words words each; a longer template is a group of its own."""
-    out, held = [[]], 0
+def groups_of(templates: Iterable[tuple[str, str]], most_words: int) -> Iterator[list[tuple[str, str]]]:
+    """Templates in groups of at most most_words words each, one group at a time; a longer template is a group of its own."""
+    out, held = [], 0
     for label, words in templates:
         n = len(words.split())
-        if out[-1] and held + n > most_words:
-            out.append([])
-            held = 0
-        out[-1].append((label, words))
+        if out and held + n > most_words:
+            yield out
+            out, held = [], 0
+        out.append((label, words))
         held += n
-    return out
+    yield out
+
+
+def _phrase_places(words: Words, n: int, sought: list[tuple[str, int, int]]) -> tuple[list[list[int]], list[set[str]]]:
+    """The starts of all phrases in each of n texts, and their labels."""
+    starts: list[list[int]] = [[] for _ in range(n)]
+    base: list[set] = [set() for _ in range(n)]
+    for length in {s[1] for s in sought}:
+        grams = windows(words.hash, length)
+        for label, _, target in (s for s in sought if s[1] == length):
+            for at in np.flatnonzero(grams == target).tolist():
+                t = int(np.searchsorted(words.at, at, side="right")) - 1
+                if at + length <= words.at[t + 1]:
+                    starts[t].append(at - int(words.at[t]))
+                    base[t].add(label)
+    return starts, base
+
+
+def _matches(docs: DataFrame, names: list[str], text: str, index: Index) -> DataFrame:
+    """names and matches of the rows in which a template of the index is found."""
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("matches", MATCH)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, len(names), 4 << 20):
+                found = index.found(_words(part.column(len(names))), part.num_rows)
+                hit = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(hit) for i in range(len(names))), pa.array([f for f in found if f], _MATCH)], names=schema.names)
+
+    return docs.select(*names, text).mapInArrow(scan, schema)
 
 
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: DataFrame | tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, stretch: float = 1.5,
-    most_words: int = 2_000_000,
+    most_words: int = 2_000_000, scratch: Scratch | None = None,
 ) -> DataFrame:
     """Per row: the id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
@@ -221,51 +297,54 @@ def scan_licenses(
     else 0. Null and empty texts have no words and no labels ('' and ''), first and last word null. A text of any
     length is scanned whole. Repeated rows get equal results; an empty table gives an empty table. Other columns,
     whatever their names, are not read; an id column named like an output is an error.
+
+    The driver and a task hold at most `most_words` words of templates, or one longer template. More templates take a scan
+    of docs for each group, and the rows' matches, without their texts, are joined by file and place.
     """
     outputs = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
     distinct_names({id_col}, outputs)
-    if isinstance(templates, DataFrame):  # the templates of one scan are bounded by most_words, and all of them are read by the driver
-        templates = tuple((r[0], r[1]) for r in templates.select(*templates.columns[:2]).dropna().distinct().orderBy(*templates.columns[:2]).toLocalIterator())
-    indices = []
-    for group in groups_of(list(templates), most_words):
+    if isinstance(templates, DataFrame):
+        label, template = templates.columns[:2]
+        templates = ((r[0], r[1]) for r in templates.select(label, template).dropna().distinct().orderBy(label, template).toLocalIterator())
+    groups = groups_of(templates, most_words)
+    group, following = next(groups), next(groups, None)
+    names: list[str] = []
+    if following is not None:
+        scratch = scratch_of(docs, scratch, "licenses")
+        docs, names = rows_named(docs, scratch)
+
+    def indexed(group: list[tuple[str, str]]) -> Index:
         known = Templates.of(group, stretch)
         often = {r["word"]: r["n_docs"] for r in word_frequencies(docs, text, known).collect()} if len(known.vocabulary) else {}  # one row a template word
-        indices.append(Index(known, often, threshold))
+        return Index(known, often, threshold)
+
+    stored = []
+    while following is not None:
+        stored.append(scratch.stored(_matches(docs, names, text, indexed(group)), "matches"))
+        group, following = following, next(groups, None)
+    index = indexed(group)
     wanted = _words(pa.array(list(phrases), pa.string()))
     sought = [(label, int(b - a), windows(wanted.hash[a:b], int(b - a))[0]) for label, a, b in zip(phrases.values(), wanted.at[:-1], wanted.at[1:], strict=True)]
-    out = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in outputs[:4]), *(T.StructField(c, T.StringType()) for c in outputs[4:6]), T.StructField("score", T.DoubleType()), T.StructField("matches", MATCH)]
+    given = [*names, id_col]
+    out = [*(docs.schema[c] for c in given), *(T.StructField(c, T.LongType()) for c in outputs[:4]), T.StructField("base_labels", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)]
     schema = T.StructType(out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                words = _words(part.column(1))
-                n, counts = part.num_rows, words.counts()
-                starts: list[list[int]] = [[] for _ in range(n)]
-                base: list[set] = [set() for _ in range(n)]
-                for length in {s[1] for s in sought}:
-                    grams = windows(words.hash, length)
-                    for label, _, target in (s for s in sought if s[1] == length):
-                        for at in np.flatnonzero(grams == target).tolist():
-                            t = int(np.searchsorted(words.at, at, side="right")) - 1
-                            if at + length <= words.at[t + 1]:
-                                starts[t].append(at - int(words.at[t]))
-                                base[t].add(label)
-                found: list[list[dict]] = [[] for _ in range(n)]
-                for index in indices:
-                    number = index.known.numbers(words.hash)
-                    at = np.flatnonzero(number >= 0)
-                    number, text_of = number[at], np.searchsorted(words.at, at, side="right") - 1
-                    edges = np.searchsorted(text_of, np.arange(n + 1))
-                    for t, k in zip(*(x.tolist() for x in index.met(text_of, number, n)), strict=True):
-                        here = slice(edges[t], edges[t + 1])
-                        for a, b, share in index.blocks(k, at[here] - words.at[t], number[here]):
-                            found[t].append({"label": index.known.labels[k], "first_word": a, "end_word": b, "containment": share})
-                pick = lambda f: [f(s) if s else None for s in starts]
-                labels = [",".join(sorted(b | {m["label"] for m in f})) for b, f in zip(base, found, strict=True)]
-                score = [1.0 if b else max([m["containment"] for m in f], default=0.0) for b, f in zip(base, found, strict=True)]
-                columns = [part.column(0), pa.array(counts.astype(np.int64)), pa.array([len(s) for s in starts], pa.int64()), pa.array(pick(min), pa.int64()), pa.array(pick(max), pa.int64())]
-                columns += [pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array(labels, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _MATCH)], names=schema.names)
-
-    return docs.select(id_col, text).mapInArrow(scan, schema)
+            for part in slices(batch, len(given), 4 << 20):
+                words, n = _words(part.column(len(given))), part.num_rows
+                starts, base = _phrase_places(words, n, sought)
+                edge = lambda f: pa.array([f(s) if s else None for s in starts], pa.int64())  # noqa: B023, E731
+                columns = [pa.array(words.counts().astype(np.int64)), pa.array([len(s) for s in starts], pa.int64()), edge(min), edge(max)]
+                columns += [pa.array([sorted(b) for b in base], pa.list_(pa.string())), pa.array(index.found(words, n), _MATCH)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(given))), *columns], names=schema.names)
+
+    rows = docs.select(*given, text).mapInArrow(scan, schema)
+    if stored:
+        more = reduce(DataFrame.unionAll, stored).groupBy(*names).agg(F.flatten(F.collect_list("matches")).alias("__more"))
+        none = F.array().cast(MATCH)
+        rows = rows.join(more, names, "left").withColumn("matches", F.concat("matches", F.coalesce("__more", none)))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("matches", lambda m: m["label"])))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
+    score = F.when(F.size("base_labels") > 0, 1.0).otherwise(best)
+    return rows.select(id_col, *outputs[:4], F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), F.array_sort("matches").alias("matches"))

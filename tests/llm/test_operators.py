@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import Scratch, shared_dir
 from citeloom.llm.components import components
-from citeloom.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from citeloom.llm.licenses import PHRASES, TEMPLATES, Index, Templates, _words, scan_licenses
 from citeloom.llm.mixing import LANDING, flight, large_first, mixed, mixed_rows
 from citeloom.llm.ngram_join import jaccard_components, without_copies
 from citeloom.llm.packing import best_fit, packed, pieces
@@ -434,10 +434,43 @@ def test_license_tables(spark):
     for most in (2_000_000, 30):
         got = {r.doc_id: sorted((m.label, m.first_word, m.end_word, round(m.containment, 9)) for m in r.matches) for r in scan_licenses(docs, templates=templates, threshold=0.75, most_words=most).collect()}
         assert got == want
+    many = [(f"m{k}", " ".join(f"{rng.choice('abc')}{rng.randrange(4000)}" for _ in range(rng.randint(3, 9)))) for k in range(10_000)]
+    texts = [(i if i % 3 else None, " ".join(rng.choice(many)[1] for _ in range(3))) for i in range(20)]
+    docs, templates = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(many, "label string, words string").repartition(3)
+    got = [sorted((r.doc_id or 0, r.n_words, r.labels) for r in scan_licenses(docs, templates=templates, most_words=most).collect()) for most in (2_000_000, 25_000)]
+    assert got[0] == got[1] and all(n for _, n, _ in got[0]) and all(len(labels.split(",")) >= 3 for *_, labels in got[0])
     forty = spark.createDataFrame([(1, "x " * 50 + ("all rights reserved " + "y " * 9) * 40)], "doc_id long, text string")
     assert len(scan_licenses(forty).first().matches) == 40
 
 
+def test_license_positions():
+    """The positional filter: meetings it rules out are counted, pairs of a text and a template go, and no block is lost."""
+    rng = random.Random(4)
+    words = [f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(5000)]
+    table = [(f"t{k}", " ".join(words[i : i + rng.randint(4, 12)])) for k, i in enumerate(range(0, 2400, 60))]
+    thin = lambda w: [x if rng.random() < 0.3 else f"p{rng.randrange(900)}" for x in w]
+    texts = [" ".join([*thin(words[i : i + 100]), *words[i + 100 : i + 150], *thin(words[i : i + 100])]) for i in range(0, 5000, 150)]
+    known, batch = Templates.of(table, 1.5), _words(pa.array(texts))
+    number = known.numbers(batch.hash)
+    place = np.flatnonzero(number >= 0)
+    text_of = np.searchsorted(batch.at, place, side="right") - 1
+    index = Index(known, collections.Counter(number[place].tolist()), 0.8)
+    text, template, _, ruled_out = index.met(text_of, place, number[place])
+    every = {(t, k) for t, w in zip(text_of.tolist(), number[place].tolist(), strict=True) for k in index.template[index.first[w] : index.first[w + 1]].tolist()}
+    left = set(zip(text.tolist(), template.tolist(), strict=True))
+    assert ruled_out > 100 and left < every
+    got = [sorted((m["label"], m["first_word"], m["end_word"], m["containment"]) for m in f) for f in index.found(batch, len(texts))]
+    assert got == [sorted((label, *m) for label, t in table for m in blocks_brute(w.split(), t.split(), 0.8, 1.5)) for w in texts] and sum(map(len, got)) > 5
+    # three of four words, within six: r alone in reach; r among words of an earlier rank only; r with two later ones
+    known, batch = Templates.of([("t", "r a b c"), ("u", "q a b c")], 1.5), _words(pa.array(["r x x x x x a b c", "q q r q q", "x r a b y"]))
+    often = dict(zip(known.numbers(_words(pa.array(["q r a b c"])).hash).tolist(), (5, 6, 9, 9, 9), strict=True))
+    index, number = Index(known, often, 0.75), known.numbers(batch.hash)
+    place = np.flatnonzero(number >= 0)
+    text, template, _, ruled_out = index.met(np.searchsorted(batch.at, place, side="right") - 1, place, number[place])
+    assert {(t, known.labels[k]) for t, k in zip(text.tolist(), template.tolist(), strict=True)} == {(0, "t"), (0, "u"), (1, "u"), (2, "t")} and ruled_out >= 2
+    assert [sorted(m["label"] for m in f) for f in index.found(batch, 3)] == [["t", "u"], [], ["t"]]
+
+
 def encoded(rows, end):
     from tokenizers import Tokenizer
 
