@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.features import ngrams, with_lengths
+from citeloom.operators.terms import term_places, words_of
 from citeloom.operators.vectors import cosine_top_k
 
 
@@ -14,8 +14,8 @@ def vocabulary_matches(queries: DataFrame, vocab: DataFrame, stop_terms: list[st
 
     queries: query_id, tokens; vocab: category, canonical, raw, ord. Over-generic canonicals are left out.
     """
-    runs = with_lengths(queries.select("query_id", "tokens"), vocab).select("query_id", F.explode(ngrams(F.col("tokens"), F.col("__lengths"))).alias("g")).select("query_id", F.col("g.gram").alias("raw")).distinct()
-    hit = runs.join(vocab, "raw")
+    found = term_places(queries, vocab, ["query_id"]).select("query_id", "gram").distinct()
+    hit = found.join(vocab.withColumn("gram", F.array_join(words_of("raw"), " ")), "gram")
     if stop_terms:
         hit = hit.filter(~F.col("canonical").isin(list(stop_terms)))
     first = hit.groupBy("query_id", "category", "canonical").agg(F.min("ord").alias("ord"))

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import match_key
+from citeloom.operators.terms import term_places, words_of
 from citeloom.operators.vocabulary import index
 
 
-def ngrams(tokens: Column, lengths: Column) -> Column:
-    """All runs of `lengths` (an array of ints) tokens, joined by a space, as struct(n, gram)."""
-    fit = F.filter(lengths, lambda n: n <= F.size(tokens))
-    runs = F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"))))
-    return F.flatten(runs)
-
-
-def with_lengths(rows: DataFrame, terms: DataFrame, raw: str = "raw", split: str = "\\s+") -> DataFrame:
-    """rows with __lengths: the numbers of tokens that the terms have, each once (one small row for all)."""
-    lengths = terms.agg(F.array_sort(F.collect_set(F.size(F.filter(F.split(raw, split), lambda t: t != "")))).alias("__lengths"))
-    return rows.crossJoin(F.broadcast(lengths))
-
-
 def resolved(values: DataFrame, vocab: DataFrame, key=match_key, split: str = "\\s+") -> DataFrame:
     """values (category, value, ...) with canonical: the exact key, else the longest token run in the value, ties to the first term; else null."""
     exact = index(vocab, key).select("category", F.col("key").alias("k"), F.col("canonical").alias("exact"))
-    parts = lambda c: F.filter(F.split(c, split), lambda t: t != "")
-    terms = vocab.select("category", F.array_join(parts("raw"), " ").alias("gram"), F.col("canonical").alias("term"), "ord").groupBy("category", "gram").agg(F.min(F.struct("ord", "term")).alias("t"))
+    terms = vocab.select("category", F.array_join(words_of("raw", split), " ").alias("gram"), F.col("canonical").alias("term"), "ord").groupBy("category", "gram").agg(F.min(F.struct("ord", "term")).alias("t"))
     keys = values.select("category", "value").distinct()
-    runs = with_lengths(keys, vocab, split=split).select("category", "value", F.explode(ngrams(parts("value"), F.col("__lengths"))).alias("g")).select("category", "value", "g.*")
+    runs = term_places(keys.select("category", "value", words_of("value", split).alias("tokens")), vocab, ["category", "value"], split=split)
     found = runs.join(terms, ["category", "gram"]).groupBy("category", "value").agg(F.max(F.struct("n", (-F.col("t.ord")).alias("o"), F.col("t.term").alias("term")))["term"].alias("contained"))
     known = keys.withColumn("k", key(F.col("value"))).join(exact, ["category", "k"], "left").join(found, ["category", "value"], "left").select("category", "value", F.coalesce("exact", "contained").alias("canonical"))
     return values.join(known, ["category", "value"], "left")

@@ -10,9 +10,10 @@ from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
 from citeloom.operators import features as FE
 from citeloom.operators import metrics as M
+from citeloom.operators import terms as TE
 from citeloom.operators import vectors as V
 from citeloom.operators import vocabulary as VO
-from citeloom.plans.curation import GRAMS, STOP, VOCAB, _counts, _tokens, _vocab
+from citeloom.plans.curation import GRAMS, STOP, TOK, VOCAB, _counts, _tokens, _vocab
 from citeloom.plans.evaluation import POOL, SCORED, gold, pool, r6, scored
 from citeloom.plans.tables import table
 
@@ -51,6 +52,23 @@ def _lost(s: SparkSession, d: str) -> DataFrame:
     return VO.lost_phrases(_counts(s, d), after, words, words.filter("length(raw) > 6").select(F.col("raw").alias("phrase")))
 
 
+#: Runs of two and three words and single ones that the masked texts lose.
+MASKED = ["the", "the and", "that", "in the", "of the", "en", "in", "and in the", "er"]
+
+
+def _term_places(s: SparkSession, d: str) -> DataFrame:
+    """Every run of one to three words of the benchmark, in all documents."""
+    words = table(s, d, "benchmark").select("item_id", X.tokens(F.lower(F.coalesce("text", F.lit(""))), "\\p{L}+").alias("w"))
+    runs = words.select(F.explode(TE.ngrams(F.col("w"), F.array(*map(F.lit, (1, 2, 3))))).alias("g")).select(F.col("g.gram").alias("raw")).distinct()
+    per = TE.term_places(_tokens(s, d), runs, ["doc_id"]).groupBy("gram", "n", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    return per.groupBy("gram", "n").agg(F.sum("times").alias("n_places"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def _without_terms(s: SparkSession, d: str) -> DataFrame:
+    out = TE.without_terms(_tokens(s, d), MASKED, sentinel="~")
+    return out.select("doc_id", F.size("masked").cast("long").alias("n_tokens"), F.md5(F.array_join("masked", " ")).alias("h"))
+
+
 def _ridge(s: SparkSession, d: str) -> DataFrame:
     rows = scored(s, d).select(F.col("score"), (F.col("other") + F.col("label")).cast("double").alias("y"))
     m = C.fit_ridge(rows, ["score"], "y", 2.0)
@@ -85,8 +103,10 @@ QUERIES = {
     "b4_match_key": lambda s, d: table(s, d, "part").select("p_partkey", X.match_key(F.concat(F.lit("أ إ ة ك ي ء‌ "), "p_name")).alias("key")),
     "b10_joined": lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(X.joined_sections(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_returnflag").alias("text")))), "|").alias("text")),
     "b11_without_noise": lambda s, d: table(s, d, "part").select("p_partkey", X.without_noise(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")), ["red", "red ring"], ["[0-9]{3,}"], "~").alias("text")),
+    "b11_without_terms": _without_terms,
     "b13_case_type": lambda s, d: table(s, d, "part").select("p_partkey", X.mapped(F.col("p_type"), {t: t.lower() for t in ("LARGE", "SMALL", "MEDIUM", "STANDARD", "ECONOMY", "PROMO")}).alias("case_type")),
     "b14_mapped": lambda s, d: table(s, d, "customer").select("c_custkey", X.mapped(F.col("c_mktsegment"), SEGMENTS).alias("segment")),
+    "f1_term_places": _term_places,
     "f3_parsed_json": lambda s, d: FE.parsed_json(table(s, d, "events"), "k long", "props").select("event_id", F.col("parsed.k").alias("k")),
     "f5_located": lambda s, d: FE.located(table(s, d, "part").select(F.col("p_partkey").alias("ruling_id"), F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.element_at(F.split("p_name", " "), -1)).alias("quote")), table(s, d, "part").select(F.col("p_partkey").alias("ruling_id"), F.col("p_name").alias("text"))),
     "g4_failed_batches": lambda s, d: VO.failed_batches(table(s, d, "part").select((F.col("p_partkey") % 50).alias("batch"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("term")), table(s, d, "part").filter("p_partkey % 97 != 0").select((F.col("p_partkey") % 50).alias("batch"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("term"), F.col("p_type").alias("category"), F.when(F.col("p_partkey") % 89 != 0, F.col("p_brand")).alias("root")), ["LARGE", "SMALL", "MEDIUM", "STANDARD", "ECONOMY", "PROMO"]),
@@ -106,8 +126,13 @@ ORACLE = {
     "b4_match_key": "select p_partkey, 'ااهکی' || replace(p_name, ' ', '') as key from part",
     "b10_joined": "select l_orderkey, string_agg(l_returnflag, '|' order by l_linenumber, l_partkey, l_returnflag) as text from lineitem group by l_orderkey",
     "b11_without_noise": "select p_partkey, regexp_replace(p_name || ' ' || p_partkey, 'red ring|red|[0-9]{3,}', '~', 'g') as text from part",
+    "b11_without_terms": TOK + "m as (select doc_id, regexp_replace(array_to_string(list_transform(w, lambda x: '<' || x || '>'), ''), '" + "|".join(sorted(("".join(f"<{w}>" for w in t.split()) for t in MASKED), key=len, reverse=True)) + "', '<~>', 'g') as t from t) select doc_id, len(t) - len(replace(t, '<', '')) as n_tokens, md5(replace(replace(replace(t, '><', ' '), '<', ''), '>', '')) as h from m",
     "b13_case_type": "select p_partkey, case when p_type in ('LARGE', 'SMALL', 'MEDIUM', 'STANDARD', 'ECONOMY', 'PROMO') then lower(p_type) else p_type end as case_type from part",
     "b14_mapped": "select c_custkey, case c_mktsegment when 'HOUSEHOLD' then 'home' when 'MACHINERY' then 'plant' when 'BUILDING' then 'plant' else c_mktsegment end as segment from customer",
+    "f1_term_places": TOK + """b as (select regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') as w from benchmark),
+terms as (select distinct array_to_string(w[i:i + n - 1], ' ') as gram, n from (select w, unnest(range(1, len(w) + 1)) as i from b), (select unnest([1, 2, 3]) as n) where i + n - 1 <= len(w)),
+runs as (select doc_id, array_to_string(w[i:i + n - 1], ' ') as gram, n from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t), (select unnest([1, 2, 3]) as n) where i + n - 1 <= len(w))
+select gram, n::int as n, count(*) as n_places, count(distinct doc_id) as n_docs from runs join terms using (gram, n) group by gram, n""",
     "f3_parsed_json": "select event_id, regexp_extract(props, '\"k\": *([0-9]+)', 1)::bigint as k from events",
     "f5_located": "select p_partkey as ruling_id, case when p_partkey % 3 = 0 then replace(p_name, ' ', '') else q end as quote, case when p_partkey % 3 = 0 then 0 else instr(p_name, q) - 1 end::int as start_char, case when p_partkey % 3 = 0 then length(p_name) else instr(p_name, q) - 1 + length(q) end::int as end_char from (select *, string_split(p_name, ' ')[-1] as q from part)",
     "g4_failed_batches": "select p_partkey % 50 as batch, count(*) as n_bad from part where p_partkey % 97 = 0 or p_partkey % 89 = 0 group by 1",
