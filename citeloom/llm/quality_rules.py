@@ -118,13 +118,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return text_stats(met, "__id", "__text", "__row")
 
 
-def sampled(sample: DataFrame, features: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The features by name of the sample's rows that pass the base rule, and their labels; in the order of the id.
+def sampled(sample: DataFrame, features: tuple[str, ...], passed: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The sample's features by name, and its labels; in the order of the id. passed: only of rows that pass the base rule.
 
-    The rule is applied to what was collected: a filter in Spark would be pushed below the columns and measure the texts once more.
+    That rule is applied to what was collected: a filter in Spark would be pushed below the columns and measure the texts once more.
     """
     got = sample.select(*features, base_failed().alias("__failed"), F.col("__row.__label").alias("__label"), "__id").orderBy("__id").toPandas()  # bounded by the sample
-    got = got[~got["__failed"].astype(bool)]
+    got = got[~got["__failed"].astype(bool)] if passed else got
     return {c: got[c].to_numpy() for c in features}, got["__label"].to_numpy()
 
 
@@ -135,7 +135,7 @@ def base_failed() -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 12_000, precision: float = 0.9, row: str | None = None) -> DataFrame:
     """text_stats() with base_failed and rule (0: none holds; -1: the base rule). Texts are read twice: the sample's, then all; nothing is written."""
-    data, marks = sampled(labelled_sample(docs, labels, label, id_col, text, sample_rows), RATIOS)
+    data, marks = sampled(labelled_sample(docs, labels, label, id_col, text, sample_rows), RATIOS, passed=True)
     bad = np.asarray(marks == 0, bool)
     rules = learn_rules(data, bad, precision=precision) if bad.any() and not bad.all() else []
     stats = text_stats(docs, id_col, text, row).withColumn("base_failed", base_failed())
