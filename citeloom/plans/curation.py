@@ -52,11 +52,11 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
     """Words of the benchmark as a vocabulary."""
-    w = table(s, d, "benchmark").select(F.explode(X.tokens(F.lower("text"), "[a-z]+")).alias("raw")).distinct()
+    w = table(s, d, "benchmark").select(F.explode(X.tokens(F.lower("text"), "\\p{L}+")).alias("raw")).distinct()
     return w.filter(F.length("raw") % 2 == 0)
 
 
-_TERMS = "terms as (select distinct raw from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as raw from benchmark) where length(raw) % 2 = 0)"
+_TERMS = "terms as (select distinct raw from (select unnest(regexp_extract_all(lower(text), '\\p{L}+')) as raw from benchmark) where length(raw) % 2 = 0)"
 
 
 def _rules(s: SparkSession, d: str) -> DataFrame:
@@ -83,17 +83,17 @@ def _mean_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _extract(s: SparkSession, d: str) -> DataFrame:
     """The words of all documents as extracted values, every fourth without a quote."""
-    return table(s, d, "documents").select(F.col("doc_id").alias("ruling_id"), F.posexplode(X.tokens(F.lower("text"), "[a-z]+")).alias("pos", "value")).withColumns({"category": F.when(F.length("value") > 3, "role").otherwise("fact"), "quote": F.when(F.col("pos") % 4 != 0, F.col("value"))})
+    return table(s, d, "documents").select(F.col("doc_id").alias("ruling_id"), F.posexplode(X.tokens(F.lower("text"), "\\p{L}+")).alias("pos", "value")).withColumns({"category": F.when(F.length("value") > 3, "role").otherwise("fact"), "quote": F.when(F.col("pos") % 4 != 0, F.col("value"))})
 
 
-EXTRACT = """with x as (select doc_id as ruling_id, i - 1 as pos, w[i] as value, case when length(w[i]) > 3 then 'role' else 'fact' end as category, case when (i - 1) % 4 <> 0 then w[i] end as quote from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents)))
+EXTRACT = """with x as (select doc_id as ruling_id, i - 1 as pos, w[i] as value, case when length(w[i]) > 3 then 'role' else 'fact' end as category, case when (i - 1) % 4 <> 0 then w[i] end as quote from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(lower(text), '\\p{L}+') as w from documents)))
 """
 QUERIES = {
     "b1_digits": lambda s, d: _docs(s, d).select("doc_id", X.to_latin_digits(X.to_persian_digits(F.col("doc_id").cast("string"))).alias("latin"), X.to_persian_digits(F.col("doc_id").cast("string")).alias("persian")),
     "b3_clean": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.clean_free_text(F.col("text"))).alias("h")),
     "b5_search_tokens": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.array_join(X.search_tokens(F.concat(X.to_persian_digits(F.col("doc_id").cast("string")), F.lit(" قانون‌مدنی ماده 12 "), "text")), "|")).alias("h")),
     "b6_vocabulary_tokens": lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.vocabulary_tokens(F.concat(X.to_persian_digits(F.col("doc_id").cast("string")), F.lit(" قانون‌مدنی و "), "text")), "|").alias("t")),
-    "b5_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(X.tokens(F.lower("text"), "[a-z]+", 2)).alias("n")),
+    "b5_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(X.tokens(F.lower("text"), "\\p{L}+", 2)).alias("n")),
     "b7_head_and_tail": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.head_and_tail(F.col("text"), 1000)).alias("h")),
     "b8_truncated": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.truncated(F.col("text"), 300)).alias("h")),
     "b9_chunks": lambda s, d: _chunks(s, d, 20_000),
@@ -130,7 +130,7 @@ ORACLE = {
     "b3_clean": "select doc_id, md5(trim(regexp_replace(regexp_replace(translate(coalesce(text, ''), '۰۱۲۳۴۵۶۷۸۹', '0123456789'), '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}\\x{FEFF}]', ' ', 'g'), '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) as h from documents",
     "b5_search_tokens": "select doc_id, md5(array_to_string(regexp_extract_all(translate(doc_id::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' قانون مدنی ماده 12 ' || coalesce(text, ''), '[\\x{0600}-\\x{06FF}]+|\\p{Nd}+'), '|')) as h from documents",
     "b6_vocabulary_tokens": "select doc_id, array_to_string(list_filter(regexp_extract_all(translate(doc_id::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' قانون‌مدنی و ' || coalesce(text, ''), '[\\x{0600}-\\x{06FF}\\x{200C}]+'), lambda x: length(x) >= 2), '|') as t from documents",
-    "b5_tokens": "select doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: length(x) >= 2))::int as n from documents",
+    "b5_tokens": "select doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+'), lambda x: length(x) >= 2))::int as n from documents",
     "b7_head_and_tail": "select doc_id, md5(case when length(text) > 1000 then text[1:400] || chr(10) || '...' || chr(10) || right(text, 600) else text end) as h from documents",
     "b8_truncated": "select doc_id, md5(case when length(trim(text)) > 300 then rtrim(trim(text)[1:300]) || ' ...' else trim(text) end) as h from documents",
     "b9_chunks": "select doc_id, (o // 2800)::int as i, md5(t[o + 1:o + 3000]) as h from (select doc_id, coalesce(text, '')[1:20000] as t from documents), range(0, 20000, 2800) as r(o) where o = 0 or length(t) > 3000 and o <= length(t) - 1",

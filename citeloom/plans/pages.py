@@ -59,9 +59,23 @@ s as (select *, sum(a) over (partition by page_id order by pos) as article_seq f
 g as (select page_id, article_seq, note_seq, arg_min(text, pos) as head, string_agg(text, ' ' order by pos) as content from u group by all)
 select page_id, article_seq::bigint as article_seq, note_seq::bigint as note_seq, 1 as number, content, case when contains(head, 'the') then 'amended' when contains(head, 'of') then 'abolished' when contains(head, 'and') then 'interpreted' else 'active' end as status,
 case when note_seq = 0 then array_to_string(list_filter(list_transform(regexp_extract_all(head, '[0-9]+'), lambda x: try_cast(x as int)), lambda x: x <> 1), ',') else '' end as "references" from g"""
+#: The same with a number behind the first word of each paragraph.
+_NUMBERED = (
+    _SEGMENTED.replace("from pages)", r"from (select page_id, regexp_replace(html, '<p>([A-Z]\pL*)', '<p>\1' || (page_id % 7 + 2), 'g') as html from pages))")
+    .replace("1 as number", r"number").replace("x <> 1", "x <> number").replace("from g", r"from (select *, coalesce(try_cast(regexp_extract(head, '^[A-Z]\pL*([0-9]*)', 1) as int), 1) as number from g)")
+)
+
+
+def _numbered(s: SparkSession, d: str) -> DataFrame:
+    html = F.regexp_replace(F.col("html"), F.lit("<p>([A-Z]\\pL*)"), F.concat(F.lit("<p>$1"), (F.col("page_id") % 7 + 2).cast("string")))
+    found = PG.segmented(PG.elements(table(s, d, "pages").withColumn("html", html), ["p", "h1"]), WORDS)
+    return found.withColumn("references", F.array_join(F.col("references").cast("array<string>"), ","))
+
+
 QUERIES = {
     "c1_elements": lambda s, d: PG.elements(table(s, d, "pages"), ["p", "h1", "a"]),
     "c2_segmented": lambda s, d: PG.segmented(PG.elements(table(s, d, "pages"), ["p", "h1"]), WORDS).withColumn("references", F.array_join(F.col("references").cast("array<string>"), ",")),
+    "c3_numbered": _numbered,
     "c6_boxes": lambda s, d: PG.ruling_boxes(_ruling_pages(s, d)).withColumn("related_ruling_ids", F.array_join("related_ruling_ids", ",")),
     "c8_rulings": _assembled,
     "c5_references": lambda s, d: table(s, d, "pages").select("page_id", F.explode(PG.references_in(F.col("url"), F.lit(2), PG.StatuteWords(reference="(\\d+)"))).alias("n")).groupBy("page_id", "n").agg(F.count(F.lit(1)).alias("times")),
@@ -75,6 +89,7 @@ ORACLE = {
     "c5_references": "select page_id, n::int as n, count(*) as times from (select page_id, unnest(regexp_extract_all(url, '[0-9]+')) as n from pages) where n::int <> 2 group by page_id, n::int",
     "c9_link_ids": """select page_id, id, row_number() over (partition by page_id order by pos_at)::int as position from (select page_id, id, min(i) as pos_at from (select page_id, unnest(m) as id, unnest(range(len(m))) as i from (select page_id, regexp_extract_all(html, 'href="/([^"/?#]+)[^"]*"', 1) as m from pages)) group by page_id, id)""",
     "c2_segmented": _SEGMENTED,
+    "c3_numbered": _NUMBERED,
     "c6_boxes": """select o_orderkey as page_id, o_orderpriority as title, case when o_orderkey % 3 <> 0 then 'about ' || o_orderstatus else '' end as legal_factual_summary, o_orderkey::varchar as verdict_number, '1393/0' || (o_orderkey % 9 + 1) as verdict_date, case when o_orderkey % 2 = 0 then 'حقوقی' else 'کیفری' end as case_type,
 'ماده ' || (o_orderkey % 50) || ' قانون مدنی-' as cited, (o_orderkey % 7) || ',' || (o_orderkey % 11) as related_ruling_ids from orders""",
     "c7_sections": """select page_id, 1 as section_no, replace(replace(replace(replace(replace(trim(regexp_replace(h, '<[^>]*>', '', 'g')), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as court_level, replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(string_split_regex(b, '<[^>]*>'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), ' '), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as text
