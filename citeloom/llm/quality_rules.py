@@ -121,9 +121,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 def sampled(sample: DataFrame, features: tuple[str, ...], passed: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The sample's features by name, and its labels; in the order of the id. passed: only of rows that pass the base rule.
 
-    That rule is applied to what was collected: a filter in Spark would be pushed below the columns and measure the texts once more.
+    Sorted here, since a sort in Spark measures the texts once for its ranges and once for its rows. The rule is applied to what was collected: a filter in Spark would be pushed below the columns and measure the texts once more.
     """
-    got = sample.select(*features, base_failed().alias("__failed"), F.col("__row.__label").alias("__label"), "__id").orderBy("__id").toPandas()  # bounded by the sample
+    got = sample.select(*features, base_failed().alias("__failed"), F.col("__row.__label").alias("__label"), "__id").toPandas().sort_values("__id")  # bounded by the sample
     got = got[~got["__failed"].astype(bool)] if passed else got
     return {c: got[c].to_numpy() for c in features}, got["__label"].to_numpy()
 
