@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.retrieval import filled_up
+from citeloom.operators.retrieval import best_documents, distinct_queries, for_each_query
 
 RAW = "id long, len int, term string, tf int"
 BLOCKS = "term string, part int, block int, n int, most double, least double, ids array<long>, tfs array<int>, impacts array<double>"
@@ -130,10 +130,14 @@ def block_visits(spark: SparkSession, path: str, queries: DataFrame, k: int) ->
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """query_id, id, score, rank: the k best documents of each query (query_id, tokens) by BM25 from a stored index; ties by id.
 
-    Documents without a query token score 0 and rank too, by id.
+    Documents without a query token score 0 and rank too, by id. Queries of the same tokens are searched once, and a block is
+    read once for all queries that want it.
     """
+    asked, same = distinct_queries(queries)
+    firsts = same.select(F.col("first").alias("query_id")).distinct()
     blocks = spark.read.parquet(f"{path}/blocks").select("bucket", "term", "part", "block", "ids", "impacts")
-    visits = block_visits(spark, path, queries, k).filter("wanted").drop("n", "wanted")
-    scores = _scores(visits.join(blocks, ["bucket", "term", "part", "block"]))
+    visits = block_visits(spark, path, queries.join(firsts, "query_id", "left_semi"), k).filter("wanted").select("bucket", "term", "part", "block").distinct()
+    read = blocks.join(visits, ["bucket", "term", "part", "block"], "left_semi").select("term", F.explode(F.arrays_zip("ids", "impacts")).alias("p"))
     ids = spark.read.schema(RAW).parquet(f"{path}/postings").filter("term is null").select("id")
-    return filled_up(scores, queries.select("query_id").distinct(), ids, k, digits)
+    found = best_documents(read.select(F.col("p.ids").alias("id"), "term", F.col("p.impacts").alias("w")), ids, firsts, asked, k, digits)
+    return for_each_query(found, same)

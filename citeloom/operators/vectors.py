@@ -73,15 +73,15 @@ def _unit(table: pa.Table) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def packed_rows(df: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
-    """The keys (int) and `name`: the other columns of a group's rows as an Arrow stream, several of them beyond `rows` rows."""
+def packed_rows(df: DataFrame, keys: list[str], rows: int | None, name: str) -> DataFrame:
+    """The keys (int) and `name`: the other columns of a group's rows as an Arrow stream, several of them beyond `rows` rows (None: always one)."""
 
     def pack(group: tuple, table: pa.Table) -> pa.Table:
         table, out = table.drop_columns(keys), []
-        for lo in range(0, table.num_rows, rows):
+        for lo in range(0, table.num_rows, rows or table.num_rows):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as stream:
-                stream.write_table(table.slice(lo, rows).combine_chunks())
+                stream.write_table(table.slice(lo, rows or table.num_rows).combine_chunks())
             out.append(sink.getvalue().to_pybytes())
         return pa.table({**{k: pa.array([g.as_py()] * len(out), pa.int32()) for k, g in zip(keys, group, strict=True)}, name: pa.array(out, pa.binary())})
 
@@ -93,7 +93,7 @@ def _blocks(df: DataFrame, rows: int, name: str, n: int) -> DataFrame:
     return packed_rows(df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), [name], rows, f"{name}_rows")
 
 
-def _best(near: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of_rows(near: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k highest, ties to the smaller key; rows in turn, their best in order."""
     if near.shape[1] > k:
         bar = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
@@ -126,7 +126,7 @@ def nearest_in_block(q: pa.Table, c: pa.Table, k: int, by: list[str], digits: in
     rows, picked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     order = np.argsort(group, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        row, top = _best(near[:, at], key[at], k)
+        row, top = best_of_rows(near[:, at], key[at], k)
         rows.append(row)
         picked.append(at[top])
     row, top = np.concatenate(rows), np.concatenate(picked)

@@ -114,3 +114,17 @@ def test_negative_idf(spark, tmp_path):
     for k in (2, 6, 40):
         for found in (P.search(spark, f"{tmp_path}/i", ask, k), R.bm25(df, ask, k)):
             assert sorted((r.query_id, r.id, r["rank"], round(r.score, 6) + 0.0) for r in found.collect()) == okapi(docs, queries, k)
+
+
+def test_repeated_queries_are_searched_once(spark, tmp_path):
+    """Queries of the same tokens, in any order, stand as one; each still gets its rows, and a document beyond the parts' k best makes none."""
+    docs = words(200)
+    queries = [(i, [["t1", "t2"], ["t2", "t1"], ["t5", "t5"], None][i % 4]) for i in range(40)]
+    df, ask = spark.createDataFrame(docs, "id long, tokens array<string>"), spark.createDataFrame(queries, "query_id long, tokens array<string>")
+    asked, same = R.distinct_queries(ask)
+    assert sorted(map(tuple, asked.collect())) == [(0, "t1", 1), (0, "t2", 1), (2, "t5", 2)] and {(r.query_id % 4, r.first) for r in same.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+    got = sorted((r.query_id, r.id, r["rank"], round(r.score, 6) + 0.0) for r in R.bm25(df, ask, 3).collect())
+    assert got == okapi(docs, [(q, t or []) for q, t in queries], 3)
+    posts = spark.createDataFrame([(i, t, 1.0 + i % 7) for i in range(500) for t in ("a", "b")], "id long, term string, w double")
+    most = R.best_documents(posts, posts.select("id").distinct(), spark.createDataFrame([(1,)], "query_id long"), spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, term string, times long"), 2, part_rows=50)
+    assert [(r.id, r.score, r["rank"]) for r in most.orderBy("rank").collect()] == [(6, 21.0, 1), (13, 21.0, 2)]
