@@ -12,14 +12,17 @@ from citeloom.operators.vectors import cosine_top_k
 def vocabulary_matches(queries: DataFrame, vocab: DataFrame, stop_terms: list[str] = ()) -> DataFrame:
     """query_id, category, canonical, position: vocabulary terms that occur in the query as whole token runs, in vocabulary order.
 
-    queries: query_id, tokens; vocab: category, canonical, raw, ord. Over-generic canonicals are left out.
+    queries: query_id (distinct), tokens; vocab: category, canonical, raw, ord. Over-generic canonicals are left out. Rows of
+    the vocabulary that say the same meet a query once, and queries of the same tokens are matched once.
     """
-    found = term_places(queries, vocab, ["query_id"]).select("query_id", "gram").distinct()
-    hit = found.join(vocab.withColumn("gram", F.array_join(words_of("raw"), " ")), "gram")
+    lists = queries.groupBy("tokens").agg(F.min("query_id").alias("list"))
+    terms = vocab.groupBy(F.array_join(words_of("raw"), " ").alias("gram"), "category", "canonical").agg(F.min("ord").alias("ord"))
     if stop_terms:
-        hit = hit.filter(~F.col("canonical").isin(list(stop_terms)))
-    first = hit.groupBy("query_id", "category", "canonical").agg(F.min("ord").alias("ord"))
-    return first.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "category", "canonical"))).drop("ord")
+        terms = terms.filter(~F.col("canonical").isin(list(stop_terms)))
+    hit = term_places(lists, vocab.select("raw").distinct(), ["list"]).select("list", "gram").distinct().join(terms, "gram")
+    first = hit.groupBy("list", "category", "canonical").agg(F.min("ord").alias("ord"))
+    placed = first.withColumn("position", F.row_number().over(Window.partitionBy("list").orderBy("ord", "category", "canonical"))).drop("ord")
+    return queries.join(lists, "tokens").select("query_id", "list").join(placed, "list").drop("list")
 
 
 def feature_channel(matches: DataFrame, features: DataFrame, k: int) -> DataFrame:
@@ -31,7 +34,12 @@ def feature_channel(matches: DataFrame, features: DataFrame, k: int) -> DataFram
     # A match gives k rows at most, and fewer than k of its rulings can have come by an earlier match of the same value.
     first = F.row_number().over(Window.partitionBy("category", "value").orderBy("ruling_id"))
     few = one.withColumn("r", first).filter(F.col("r") <= 2 * k).drop("r")
-    rows = matches.join(few.withColumnRenamed("value", "canonical"), ["category", "canonical"])
+    few = few.withColumnRenamed("value", "canonical")
+    # Behind a match of k rulings no later one of the query can give any of its k rows.
+    sized = matches.join(few.groupBy("category", "canonical").agg(F.count(F.lit(1)).alias("n")), ["category", "canonical"])
+    before = Window.partitionBy("query_id").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    needed = sized.withColumn("most", F.coalesce(F.max("n").over(before), F.lit(0))).filter(F.col("most") < k).drop("n", "most")
+    rows = needed.join(few, ["category", "canonical"])
     one = rows.groupBy("query_id", "ruling_id", F.col("canonical").alias("value")).agg(F.min(F.struct("position", "category", "quote")).alias("x"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("x.position", "ruling_id", "value"))
     out = one.withColumn("rank", rank).filter(F.col("rank") <= k)
