@@ -5,7 +5,7 @@ opinions: case_id, pos, role, verdict, confidence, cited_articles (array).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.retrieval import leveled
@@ -32,10 +32,32 @@ def majority(opinions: DataFrame) -> DataFrame:
     return per.select("case_id", F.when(F.col("most") == 1, "neutral").otherwise(F.col("top")).alias("majority_verdict"), level.alias("consensus"))
 
 
+def _mean(values: Column) -> Column:
+    """The mean of an array of doubles, summed from the left; null if it is empty."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), F.size(values))
+
+
+def _deviation(values: Column) -> Column:
+    """The sample deviation of an array of doubles by Welford's sums from the left; null for fewer than two."""
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(values, start, step, lambda s: F.when(s["n"] > 1, F.sqrt(s["m2"] / (s["n"] - 1))))
+
+
 def fused(opinions: DataFrame, priors: DataFrame, prior_weight: float = 0.4, split_penalty: float = 0.1, wide: float = 0.2, digits: int | None = 4) -> DataFrame:
-    """majority() with final_confidence, level, uncertainty_flag and notes. priors: case_id, score, prune_ratio."""
-    stats = opinions.groupBy("case_id").agg(F.avg("confidence").alias("agent_conf_mean"), F.stddev_samp("confidence").alias("agent_conf_std"))
-    rows = majority(opinions).join(stats, "case_id").join(priors, "case_id")
+    """majority() with final_confidence, level, uncertainty_flag and notes. priors: case_id, score, prune_ratio.
+
+    Mean and deviation are taken one opinion after the other by pos, so that neither depends on how rows were dealt.
+    """
+    voted = majority(opinions)  # cases of three, so no list is long
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct("pos", F.col("confidence").cast("double").alias("c"))))), lambda x: x["c"])
+    stats = opinions.join(voted.select("case_id"), "case_id", "left_semi").groupBy("case_id").agg(listed.alias("l")).select("case_id", _mean(F.col("l")).alias("agent_conf_mean"), _deviation(F.col("l")).alias("agent_conf_std"))
+    rows = voted.join(stats, "case_id").join(priors, "case_id")
     split = F.col("consensus") == "split"
     raw = F.col("score") * prior_weight + F.col("agent_conf_mean") * (1 - prior_weight)
     raw = F.least(F.lit(1.0), F.when(split, F.greatest(F.lit(0.0), raw - split_penalty)).otherwise(raw))
