@@ -54,18 +54,24 @@ def weight_configs(spark, grid: dict[str, tuple[float, ...]] = GRID) -> DataFram
     return rows.filter(F.col("feature_weight") + F.col("ruling_weight") <= 1).withColumn("article_weight", F.round(1 - F.col("feature_weight") - F.col("ruling_weight"), 3))
 
 
-def grid_search(rows: DataFrame, configs: DataFrame, score: Column, target: str, fold: str = "fold") -> DataFrame:
+#: Pairs of a row and a config that a task of the search scores.
+PAIRS = 1 << 19
+
+
+def grid_search(rows: DataFrame, configs: DataFrame, score: Column, target: str, fold: str = "fold", most: int = PAIRS) -> DataFrame:
     """config_id and mean_score: each config's Spearman with the target, averaged over folds; best first, ties to the first config.
 
     Every row is scored by every config, which is the search, but a task sends only runs: a config's distinct scores in
     a fold, with their rows and the sum of the rows' target ranks, which no config changes and which are ranked once.
     A row without a target, or without a score under the first config, does not count; 0 where a correlation is undefined.
-    configs: the table of the weights tried, which is broadcast.
+    configs: the table of the weights tried, which is broadcast. Rows are counted and dealt to tasks of about `most` pairs of
+    a row and a config, so a task holds as many runs at any size.
     """
+    tasks = max(1, -(-rows.count() * configs.count() // most))
     first = configs.orderBy("config_id").limit(1)
     known = rows.filter(F.col(target).isNotNull()).crossJoin(F.broadcast(first)).filter(score.isNotNull()).select(*rows.columns)
     placed = null_safe_join(known, mid_ranks(known, target, [fold], "__ry"), [fold, target])
-    scored = placed.crossJoin(F.broadcast(configs)).select("config_id", fold, score.alias("__score"), "__ry").filter("__score is not null")
+    scored = placed.repartition(tasks).crossJoin(F.broadcast(configs)).select("config_id", fold, score.alias("__score"), "__ry").filter("__score is not null")
     runs = scored.groupBy("config_id", fold, "__score").agg(F.count(F.lit(1)).alias("n"), F.sum("__ry").alias("__sum_y"), F.sum(F.col("__ry") * F.col("__ry")).alias("__sum_yy"))
     x = F.col("before_n") + (F.col("n") + 1) / 2
     sums = cumulative(runs, ["config_id", fold], "__score", ["n"]).groupBy("config_id", fold).agg(
