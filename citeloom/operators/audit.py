@@ -63,12 +63,19 @@ def combined_confidence(df: DataFrame, retrieval: str, auditor: str, prune: str,
 
 
 def with_fallback(audited: DataFrame, least: int = 3) -> DataFrame:
-    """Rows for the next step: all rows, and below `least` applicable ones the best topical others once more (added = true)."""
+    """Rows for the next step: all rows, and below `least` applicable ones the best topical others once more (added = true).
+
+    Rows are ranked and written out in one pass over them, in as many tasks as there are shuffle partitions: rows shrink so
+    much in a shuffle that tasks joined by its bytes would sort many at once.
+    """
     w = Window.partitionBy("query_id")
     n = F.sum(F.col("is_applicable").cast("int")).over(w)
-    rank = F.row_number().over(Window.partitionBy("query_id", (~F.col("is_applicable") & F.col("topically_relevant")).alias("t")).orderBy(F.desc("confidence"), "article_ref"))
-    more = audited.withColumns({"n": n, "r": rank}).filter(~F.col("is_applicable") & F.col("topically_relevant") & (F.col("r") <= F.lit(least) - F.col("n"))).drop("n", "r")
-    return audited.withColumn("added", F.lit(False)).unionByName(more.withColumn("added", F.lit(True)))
+    spare = ~F.col("is_applicable") & F.col("topically_relevant")
+    rank = F.row_number().over(Window.partitionBy("query_id", spare).orderBy(F.desc("confidence"), "article_ref"))
+    again = spare & (F.col("__rank") <= F.lit(least) - F.col("__n"))
+    tasks = int(audited.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = audited.repartition(tasks, "query_id").withColumns({"__n": n, "__rank": rank})
+    return placed.withColumn("added", F.explode(F.when(again, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).drop("__n", "__rank")
 
 
 def formatted(audited: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
 
 
@@ -17,3 +18,14 @@ def test_search_is_dealt_by_pairs(spark):
     small = C.grid_search(rows, configs, score, "y", most=1000)
     assert "RoundRobinPartitioning(12)" in plan(small)
     assert small.collect() == C.grid_search(rows, configs, score, "y").collect()
+
+
+def test_fallback_in_one_pass(spark):
+    """A query's rows are read once, by a stated number of tasks; a null verdict adds nothing."""
+    rows = [(1, "a", False, True, 0.5), (1, "b", False, True, 0.9), (1, "c", True, True, 1.0), (1, "d", False, True, 0.1), (2, "a", None, True, 0.3), (3, "a", False, False, 0.3)]
+    audited = spark.createDataFrame(rows, "query_id long, article_ref string, is_applicable boolean, topically_relevant boolean, confidence double")
+    out = A.with_fallback(audited)
+    said = plan(out)
+    assert said.count("Scan ") == 1 and "REPARTITION_BY_NUM" in said
+    want = [(q, a, False) for q, a, *_ in rows] + [(1, "a", True), (1, "b", True)]
+    assert sorted((r.query_id, r.article_ref, r.added) for r in out.collect()) == sorted(want)
