@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
+from citeloom.operators import grounding as G
 
 
 def plan(df) -> str:
@@ -29,3 +30,13 @@ def test_fallback_in_one_pass(spark):
     assert said.count("Scan ") == 1 and "REPARTITION_BY_NUM" in said
     want = [(q, a, False) for q, a, *_ in rows] + [(1, "a", True), (1, "b", True)]
     assert sorted((r.query_id, r.article_ref, r.added) for r in out.collect()) == sorted(want)
+
+
+def test_groups_are_dealt_by_number(spark):
+    """Mentions and citations are grouped by a stated number of tasks, and come to the same counts."""
+    cites = spark.createDataFrame([(1, "x", 1, "official"), (1, "x", 1, "text"), (1, "x", 2, "official"), (2, "x", 1, "official")], "ruling_id long, law string, article_number int, source string")
+    features = spark.createDataFrame([(1, "role", "v"), (1, "role", "v"), (2, "role", "v")], "ruling_id long, category string, value string")
+    articles = spark.createDataFrame([("x", 1, "d"), ("x", 2, "d")], "law string, article_number int, domain string")
+    out = G.cooccurrence(features, G.citation_edges(cites), articles, [])
+    assert plan(out).count("REPARTITION_BY_NUM") >= 2
+    assert {(r.article_number, r.official_count, r.text_count, r.n_joint) for r in out.collect()} == {(1, 1, 2, 2), (2, 2, 0, 1)}
