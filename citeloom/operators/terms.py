@@ -79,13 +79,13 @@ class Trie:
         return place[order], term[order]
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
-    """Parts of a batch of about AT_A_TIME tokens: the rows, where each one's tokens begin (and the last one's end), and all tokens."""
+def token_slices(batch: pa.RecordBatch, column: int, most: int = AT_A_TIME) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Parts of a batch of about `most` tokens: the rows, where each one's tokens begin (and the last one's end), and all tokens."""
     size = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(size)))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + AT_A_TIME, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + most, side="right")) - 1)
         part = batch.slice(lo, hi - lo)
         yield part, begin[lo : hi + 1] - begin[lo], pc.list_flatten(part.column(column))
         lo = hi
@@ -121,7 +121,7 @@ def term_places(rows: DataFrame, terms: DataFrame, key: list[str], tokens: str =
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, begin, flat in _slices(batch, len(key)):
+            for part, begin, flat in token_slices(batch, len(key)):
                 row_of = np.repeat(np.arange(part.num_rows), np.diff(begin))
                 place, term = trie.places(flat, begin[1:][row_of])
                 row = row_of[place]
@@ -157,7 +157,7 @@ def without_terms(rows: DataFrame, terms: list[str], tokens: str = "tokens", nam
     @F.arrow_udf("array<string>")
     def masked(lists: pa.Array) -> pa.Array:
         out = []
-        for part, begin, flat in _slices(pa.RecordBatch.from_arrays([lists], names=["t"]), 0):
+        for part, begin, flat in token_slices(pa.RecordBatch.from_arrays([lists], names=["t"]), 0):
             row_of = np.repeat(np.arange(part.num_rows), np.diff(begin))
             place, term = trie.places(flat, begin[1:][row_of])
             kept = leftmost_longest(place, sizes[term])

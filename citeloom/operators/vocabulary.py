@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import match_key
+from citeloom.operators.terms import token_slices
 
 
 def merged_terms(source: DataFrame, separator: str = " ؛ ") -> DataFrame:
@@ -131,18 +132,18 @@ def _partial_counts(tokens: pa.Array, stopwords: frozenset[str]) -> tuple[pa.Arr
     return names, np.bincount(at, times, len(held)).astype(np.int64), np.bincount(at, minlength=len(held))
 
 
-def gram_counts(docs: DataFrame, stopwords: list[str]) -> DataFrame:
+def gram_counts(docs: DataFrame, stopwords: list[str], most: int = 1 << 18) -> DataFrame:
     """gram, total and n_docs. docs: tokens, one row a document; null tokens part their neighbours.
 
-    A batch's words are numbered and its grams counted as pairs of numbers, so what leaves a task is one row for each gram of a
-    batch; one shuffle adds them up.
+    The words of a part of a batch are numbered and its grams counted as pairs of numbers, so what leaves a task is one row for each gram of a
+    part; one shuffle adds them up. A part is `most` tokens, or one longer document: its arrays have a place for each token.
     """
     stops = frozenset(stopwords)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                names, total, n_docs = _partial_counts(batch.column(0).slice(lo, 4096), stops)
+            for part, _, _ in token_slices(batch, 0, most):
+                names, total, n_docs = _partial_counts(part.column(0), stops)
                 yield pa.RecordBatch.from_arrays([names, pa.array(total), pa.array(n_docs.astype(np.int64))], names=["gram", "total", "n_docs"])
 
     parts = docs.select("tokens").mapInArrow(count, "gram string, total long, n_docs long")

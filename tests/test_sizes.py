@@ -1,10 +1,13 @@
 """What one task or one shuffle holds does not grow with the tables; results stay as they were."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
 from citeloom.operators import grounding as G
+from citeloom.operators import terms as T
+from citeloom.operators import vocabulary as VO
 
 
 def plan(df) -> str:
@@ -40,3 +43,12 @@ def test_groups_are_dealt_by_number(spark):
     out = G.cooccurrence(features, G.citation_edges(cites), articles, [])
     assert plan(out).count("REPARTITION_BY_NUM") >= 2
     assert {(r.article_number, r.official_count, r.text_count, r.n_joint) for r in out.collect()} == {(1, 1, 2, 2), (2, 2, 0, 1)}
+
+
+def test_grams_by_tokens(spark):
+    """Parts of a batch are cut by tokens, not by documents, and give the same counts."""
+    lists = [["a1", "b1"] * n for n in (5, 0, 3, 40, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["tokens"])
+    assert [p.num_rows for p, _, _ in T.token_slices(batch, 0, 20)] == [3, 1, 1]
+    docs = spark.createDataFrame([(x,) for x in lists], "tokens array<string>").coalesce(1)
+    assert sorted(VO.gram_counts(docs, [], 20).collect()) == sorted(VO.gram_counts(docs, []).collect())
