@@ -139,7 +139,8 @@ def _scored(table: Table, visits: DataFrame, k: int, digits: int, query_rows: in
                 q, c = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (q_rows, c_rows))
                 yield nearest_in_block(q, c, k, by, digits, False)
 
-    return asked.join(blocks, "cell").select("q_rows", "c_rows").mapInArrow(score, f"query_id long, {kinds}, score double")
+    # packed rows look small to the planner, and a broadcast would take all visits through the driver
+    return asked.hint("merge").join(blocks, "cell").select("q_rows", "c_rows").mapInArrow(score, f"query_id long, {kinds}, score double")
 
 
 def _phases(spark: SparkSession, path: str, queries: DataFrame, k: int, digits: int, query_rows: int) -> tuple[Table, DataFrame, DataFrame, DataFrame]:

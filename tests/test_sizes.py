@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
 from citeloom.operators import grounding as G
+from citeloom.operators import pivots as PV
 from citeloom.operators import terms as T
 from citeloom.operators import vocabulary as VO
 
@@ -52,3 +53,13 @@ def test_grams_by_tokens(spark):
     assert [p.num_rows for p, _, _ in T.token_slices(batch, 0, 20)] == [3, 1, 1]
     docs = spark.createDataFrame([(x,) for x in lists], "tokens array<string>").coalesce(1)
     assert sorted(VO.gram_counts(docs, [], 20).collect()) == sorted(VO.gram_counts(docs, []).collect())
+
+
+def test_visits_are_not_broadcast(spark, tmp_path):
+    """Packed visits meet the blocks by a shuffle, however small they look."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(50)], "id long, embedding array<double>, label int")
+    PV.write_pivots(rows, f"{tmp_path}/p", ["label"], 4)
+    asked = rows.filter("id < 3").select(F.col("id").alias("query_id"), "embedding")
+    table = PV.Table(spark, f"{tmp_path}/p")
+    assert "Broadcast" not in plan(PV._scored(table, PV._visits(table, asked, 2, False), 2, 9, 16))
+    assert PV.search(spark, f"{tmp_path}/p", asked, 2).count() == 12
