@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,29 +26,11 @@ def parsed_json(answers: DataFrame, schema: str, raw: str = "raw", name: str = "
     return answers.withColumn(name, F.from_json(F.regexp_replace(raw, "(?s)^\\s*```(?:json)?\\s*|\\s*```\\s*$", ""), schema, {"mode": "PERMISSIVE"}))
 
 
-def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches without rows that have the key of a row with a smaller pos (or the same, earlier) in their batch. Columns: ruling_id, category, value, pos, more."""
-    for batch in batches:
-        number = np.zeros(batch.num_rows, np.int64)
-        for column in batch.columns[:3]:
-            codes = column.dictionary_encode(null_encoding="encode")
-            number = number * len(codes.dictionary) + codes.indices.to_numpy()
-            number = np.unique(number, return_inverse=True)[1] if number.max(initial=0) >> 40 else number
-        place = np.asarray(pc.sort_indices(batch.column(3), null_placement="at_start"))  # as in Spark, nulls come first
-        kept = np.sort(place[np.unique(number[place], return_index=True)[1]])
-        yield batch.take(pa.array(kept))
-
-
 def cleaned(rows: DataFrame) -> DataFrame:
-    """Blank values go; the first row of each (ruling, category, value) by pos stays; then rows without a quote go.
-
-    Rows of a batch that another one of it rules out never leave their task, and nothing is sorted before the shuffle.
-    """
-    key = ["ruling_id", "category", "value"]
-    known = rows.filter(F.trim("value") != "").select(*key, "pos", *(c for c in rows.columns if c not in (*key, "pos")))
-    sent = known.mapInArrow(_first_of_batch, known.schema).repartition(*key)
-    r = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
-    return sent.withColumn("r", r).filter("r = 1").select(*rows.columns).filter(F.coalesce(F.trim("quote"), F.lit("")) != "")
+    """Blank values go; the first row of each (ruling, category, value) by pos stays; then rows without a quote go."""
+    r = F.row_number().over(Window.partitionBy("ruling_id", "category", "value").orderBy("pos"))
+    kept = rows.filter(F.trim("value") != "").withColumn("r", r).filter("r = 1").drop("r")
+    return kept.filter(F.coalesce(F.trim("quote"), F.lit("")) != "")
 
 
 #: White space of all scripts and invisible characters, which a quote and its text may have unlike.
@@ -118,10 +95,12 @@ def orphans(features: DataFrame, rulings: DataFrame) -> DataFrame:
 def extraction_stats(features: DataFrame, required: list[str]) -> DataFrame:
     """One row: rows, rulings, unlocated share, low, middle and high confidences, rulings without any required role."""
     need = F.max(((F.col("category") == "role") & F.col("value").isin(required)).cast("int"))
-    lacking = features.groupBy("ruling_id").agg(need.alias("has")).agg(F.count(F.lit(1)).alias("n_rulings"), F.sum(1 - F.col("has")).alias("n_lacking"))
     c = F.col("confidence")
-    out = features.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("start_char").isNull().cast("int")).alias("unlocated"), F.sum((c < 0.5).cast("long")).alias("low"), F.sum(((c >= 0.5) & (c < 0.8)).cast("long")).alias("middle"), F.sum((c >= 0.8).cast("long")).alias("high"))
-    return out.crossJoin(F.broadcast(lacking))  # one row each
+    counts = {"low": c < 0.5, "middle": (c >= 0.5) & (c < 0.8), "high": c >= 0.8, "__unlocated": F.col("start_char").isNull()}
+    # the sums of rulings are summed, so the features are read once
+    per = features.groupBy("ruling_id").agg(need.alias("has"), F.count(F.lit(1)).alias("__n"), *(F.sum(x.cast("long")).alias(n) for n, x in counts.items()))
+    n = F.coalesce(F.sum("__n"), F.lit(0))
+    return per.agg(n.alias("n"), F.try_divide(F.sum("__unlocated"), n).alias("unlocated"), *(F.sum(x).alias(x) for x in ("low", "middle", "high")), F.count(F.lit(1)).alias("n_rulings"), F.sum(1 - F.col("has")).alias("n_lacking"))
 
 
 def top_values(features: DataFrame, category: str, k: int = 15) -> DataFrame:

@@ -33,13 +33,11 @@ def read_records(spark: SparkSession, path: str, schema: str = RULING, key: str
 
 def flattened_features(results: DataFrame) -> DataFrame:
     """ruling_id, category, pos, value, quote, start_char, end_char, confidence of the five category arrays."""
-    out = None
-    for column, name in CATEGORIES.items():
-        part = results.select("ruling_id", F.posexplode(column).alias("pos", "x")).select(
-            "ruling_id", F.lit(name).alias("category"), "pos", F.col("x.value").alias("value"), F.col("x.evidence.quote").alias("quote"), F.col("x.evidence.start_char").alias("start_char"), F.col("x.evidence.end_char").alias("end_char"), F.col("x.evidence.confidence").alias("confidence")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    item = lambda x: F.struct(x["value"].alias("value"), *(x["evidence"][c].alias(c) for c in ("quote", "start_char", "end_char", "confidence")))
+    # the five arrays in one, so the records are read once
+    lists = F.array(*(F.struct(F.lit(name).alias("category"), F.transform(column, item).alias("items")) for column, name in CATEGORIES.items()))
+    each = results.select("ruling_id", F.explode(lists).alias("c")).select("ruling_id", "c.category", F.posexplode("c.items").alias("pos", "x"))
+    return each.select("ruling_id", "category", "pos", "x.*")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import audit as A
 from citeloom.operators import calibration as C
+from citeloom.operators import features as FE
 from citeloom.operators import grounding as G
 from citeloom.operators import pivots as PV
 from citeloom.operators import terms as T
 from citeloom.operators import vocabulary as VO
+from citeloom.sources import records as S
 
 
 def plan(df) -> str:
@@ -63,3 +65,16 @@ def test_visits_are_not_broadcast(spark, tmp_path):
     table = PV.Table(spark, f"{tmp_path}/p")
     assert "Broadcast" not in plan(PV._scored(table, PV._visits(table, asked, 2, False), 2, 9, 16))
     assert PV.search(spark, f"{tmp_path}/p", asked, 2).count() == 12
+
+
+def test_features_are_read_once(spark):
+    """The five arrays and the statistics are one pass over the records; no records at all are none of each."""
+    item = "struct(1 as x, 'v' as value, struct('q' as quote, 2 as start_char, 3 as end_char, 0.6d as confidence) as evidence)"
+    none = "cast(null as array<struct<x:int,value:string,evidence:struct<quote:string,start_char:int,end_char:int,confidence:double>>>)"
+    rows = spark.range(2).selectExpr("cast(id as string) ruling_id", f"array({item}, null) roles", f"array({item}) facts", *(f"{none} as {c}" for c in ("concepts", "actions", "objects")))
+    flat = S.flattened_features(rows)
+    stats = FE.extraction_stats(flat, ["v"])
+    assert plan(stats).count("Range (") == 1
+    assert sorted((r.ruling_id, r.category, r.pos, r.value or "") for r in flat.collect())[:3] == [("0", "fact", 0, "v"), ("0", "role", 0, "v"), ("0", "role", 1, "")]
+    assert stats.collect() == [(6, 2 / 6, 0, 4, 0, 2, 0)]
+    assert FE.extraction_stats(flat.filter("false"), ["v"]).collect() == [(0, None, None, None, None, 0, None)]
