@@ -48,15 +48,6 @@ def test_groups_are_dealt_by_number(spark):
     assert {(r.article_number, r.official_count, r.text_count, r.n_joint) for r in out.collect()} == {(1, 1, 2, 2), (2, 2, 0, 1)}
 
 
-def test_grams_by_tokens(spark):
-    """Parts of a batch are cut by tokens, not by documents, and give the same counts."""
-    lists = [["a1", "b1"] * n for n in (5, 0, 3, 40, 1)]
-    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["tokens"])
-    assert [p.num_rows for p, _, _ in T.token_slices(batch, 0, 20)] == [3, 1, 1]
-    docs = spark.createDataFrame([(x,) for x in lists], "tokens array<string>").coalesce(1)
-    assert sorted(VO.gram_counts(docs, [], 20).collect()) == sorted(VO.gram_counts(docs, []).collect())
-
-
 def test_visits_are_not_broadcast(spark, tmp_path):
     """Packed visits meet the blocks by a shuffle, however small they look."""
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(50)], "id long, embedding array<double>, label int")
@@ -67,6 +58,15 @@ def test_visits_are_not_broadcast(spark, tmp_path):
     assert PV.search(spark, f"{tmp_path}/p", asked, 2).count() == 12
 
 
+def test_grams_by_tokens(spark):
+    """Parts of a batch are cut by tokens, not by documents, and give the same counts."""
+    lists = [["a1", "b1"] * n for n in (5, 0, 3, 40, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["tokens"])
+    assert [p.num_rows for p, _, _ in T.token_slices(batch, 0, 20)] == [3, 1, 1]
+    docs = spark.createDataFrame([(x,) for x in lists], "tokens array<string>").coalesce(1)
+    assert sorted(VO.gram_counts(docs, [], 20).collect()) == sorted(VO.gram_counts(docs, []).collect())
+
+
 def test_features_are_read_once(spark):
     """The five arrays and the statistics are one pass over the records; no records at all are none of each."""
     item = "struct(1 as x, 'v' as value, struct('q' as quote, 2 as start_char, 3 as end_char, 0.6d as confidence) as evidence)"
@@ -78,3 +78,14 @@ def test_features_are_read_once(spark):
     assert sorted((r.ruling_id, r.category, r.pos, r.value or "") for r in flat.collect())[:3] == [("0", "fact", 0, "v"), ("0", "role", 0, "v"), ("0", "role", 1, "")]
     assert stats.collect() == [(6, 2 / 6, 0, 4, 0, 2, 0)]
     assert FE.extraction_stats(flat.filter("false"), ["v"]).collect() == [(0, None, None, None, None, 0, None)]
+
+
+def test_cleaned_sorts_after_the_shuffle(spark):
+    """Repeats in a batch go before the shuffle without a sort; nulls are values, and the smallest pos stays in any order of rows."""
+    rows = [(1, 3, "a", "role", "late"), (1, 0, "a", "role", "first"), (1, 1, "a", "fact", None), (1, 2, "a", "fact", "after"), (None, 5, "b", None, "x"), (None, 4, "b", None, "y"), (2, 0, " ", "role", "blank"), (2, None, "c", "role", "null"), (2, 0, "c", "role", "z")]
+    for order in (rows, rows[::-1]):
+        for parts in (1, 4):
+            out = FE.cleaned(spark.createDataFrame(order, "ruling_id long, pos int, value string, category string, quote string").repartition(parts))
+            said = plan(out)
+            assert said.index("MapInArrow") > said.rindex("Sort ") and out.columns == ["ruling_id", "pos", "value", "category", "quote"]
+            assert {tuple(r) for r in out.collect()} == {(1, 0, "a", "role", "first"), (None, 4, "b", None, "y"), (2, None, "c", "role", "null")}
