@@ -45,9 +45,13 @@ features as (select l_orderkey::varchar as ruling_id, category, (row_number() ov
 
 
 def _page_files(s: SparkSession, d: str) -> DataFrame:
-    """Pages written as one file each and read back; every tenth file is of no bytes but for its end of line."""
+    """Pages written as one file each and read back; every tenth file is of no bytes but for its end of line.
+
+    Making a file costs more than its bytes, so few large splits are dealt to many tasks. A task has a folder of its own, so the driver commits folders and not files one after another; its files' names differ.
+    """
     path = S.shared_folder(s, "pages")
-    table(s, d, "pages").select(F.when(F.col("page_id") % 10 != 0, F.col("html")).otherwise("").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    pages = table(s, d, "pages").repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    pages.select(F.when(F.col("page_id") % 10 != 0, F.col("html")).otherwise("").alias("value"), F.spark_partition_id().alias("folder")).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
     back = S.read_pages(s, path).withColumn("html", F.regexp_replace("html", "\n$", ""))
     return back.filter("html != '' and page_id != ''").groupBy("html").agg(F.count_distinct("page_id").alias("n"))
 

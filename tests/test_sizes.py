@@ -10,6 +10,7 @@ from citeloom.operators import grounding as G
 from citeloom.operators import pivots as PV
 from citeloom.operators import terms as T
 from citeloom.operators import vocabulary as VO
+from citeloom.plans import loads
 from citeloom.sources import records as S
 
 
@@ -89,3 +90,12 @@ def test_cleaned_sorts_after_the_shuffle(spark):
             said = plan(out)
             assert said.index("MapInArrow") > said.rindex("Sort ") and out.columns == ["ruling_id", "pos", "value", "category", "quote"]
             assert {tuple(r) for r in out.collect()} == {(1, 0, "a", "role", "first"), (None, 4, "b", None, "y"), (2, None, "c", "role", "null")}
+
+
+def test_pages_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One split of pages is written by as many tasks as there are shuffle partitions, each to its own folder, and every page is read back."""
+    spark.range(40).selectExpr("id page_id", "concat('page ', id % 4) html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(loads.S, "shared_folder", lambda s, name: f"{tmp_path}/{name}")
+    got = {r.html: r.n for r in loads._page_files(spark, str(tmp_path)).collect()}
+    assert got == {"page 0": 8, "page 1": 10, "page 2": 8, "page 3": 10}
+    assert len(list(tmp_path.glob("pages/folder=*"))) == 4
