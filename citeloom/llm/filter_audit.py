@@ -7,7 +7,8 @@ of a set are what it removes after that set; anti-joined, they are redundant the
 semi-joins as well. The counts of a part, one row for each (set, next filter), are joined to the table of orders last.
 
 Rows have numbers of their own, so null and repeated ids count as what they are. All joins are on row numbers, or on
-(digest of a text, id): no key is hot, however many copies a text has.
+(digest of a text, id): no key is hot, however many copies a text has. They are sort-merge joins by hint: stored tables of
+row numbers and marks take a byte or two a row on disk, so to the planner tables of all rows look small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str) -> DataFrame:
+    """A join that never sends a side through the driver, however small its files are."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def measured(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
     """The named columns with MEASURES of the whole text: words, distinct words, [A-Z], code points, and MARKS."""
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, T.LongType()) for n in MEASURES)])
@@ -72,7 +78,7 @@ def later_copies(rows: DataFrame, id_col: str, digest: str) -> DataFrame:
     The join's key holds the id, so a text with many copies is no hot key.
     """
     first = rows.groupBy(digest).agg(F.min(id_col).alias(id_col)).filter(F.col(id_col).isNotNull())
-    return rows.filter(F.col(id_col).isNotNull()).join(first, [digest, id_col], "left_anti")
+    return merged(rows.filter(F.col(id_col).isNotNull()), first, [digest, id_col], "left_anti")
 
 
 def survivors(touched: DataFrame, fails: list[DataFrame]) -> DataFrame:
@@ -81,7 +87,7 @@ def survivors(touched: DataFrame, fails: list[DataFrame]) -> DataFrame:
     for i, failing in enumerate(fails):
         both = state.withColumn("applied", F.explode(F.array(F.lit(False), F.lit(True))))
         gone = failing.select(F.col("row").alias("gone"))
-        left = both.join(gone, (F.col("row") == F.col("gone")) & F.col("applied"), "left_anti")
+        left = merged(both, gone, (F.col("row") == F.col("gone")) & F.col("applied"), "left_anti")
         state = left.select("row", "part", F.when(F.col("applied"), F.col("done") + (1 << i)).otherwise(F.col("done")).alias("done"))
     return state
 
@@ -102,21 +108,21 @@ def audited(rows: DataFrame, fails: dict[str, DataFrame], scratch: Scratch) -> D
     letters = "".join(fails)
     n = len(letters)
     # one id table a filter, with the marks that losses need
-    tables = [scratch.stored(rows.join(f.select("row"), "row", "left_semi"), f"fails-{c}") for c, f in fails.items()]
+    tables = [scratch.stored(merged(rows, f.select("row"), "row", "left_semi"), f"fails-{c}") for c, f in fails.items()]
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     touched = scratch.stored(union([t.select("row", "part") for t in tables]).dropDuplicates(["row"]), "touched")
     alive = scratch.stored(survivors(touched, tables), "survivors")
-    clean = rows.join(touched.select("row"), "row", "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("clean"))
+    clean = merged(rows, touched.select("row"), "row", "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("clean"))
     failing = union([t.withColumn("f", F.lit(i)).withColumn("done", F.explode(F.array(*(F.lit(m) for m in range(1 << n) if not m >> i & 1)))) for i, t in enumerate(tables)])
     here = alive.select("row", "done")
     count = F.count(F.lit(1))
     one = lambda c: F.sum(F.col(c).cast("long"))
-    removed = failing.join(here, ["row", "done"], "left_semi").groupBy("part", "f", "done").agg(count.alias("removed"), one("good").alias("good_lost"), one("toxic").alias("toxic_lost"))
-    redundant = failing.join(here, ["row", "done"], "left_anti").groupBy("part", "f", "done").agg(count.alias("redundant"))
+    removed = merged(failing, here, ["row", "done"], "left_semi").groupBy("part", "f", "done").agg(count.alias("removed"), one("good").alias("good_lost"), one("toxic").alias("toxic_lost"))
+    redundant = merged(failing, here, ["row", "done"], "left_anti").groupBy("part", "f", "done").agg(count.alias("redundant"))
     alone = []
     for i, t in enumerate(tables):
         others = [o.select("row") for j, o in enumerate(tables) if j != i]
-        only = reduce(lambda left, o: left.join(o, "row", "left_anti"), others, t)
+        only = reduce(lambda left, o: merged(left, o, "row", "left_anti"), others, t)
         alone.append(only.withColumn("f", F.lit(i)))
     unique = union(alone).groupBy("part", "f").agg(count.alias("unique_fails"))
     left = alive.groupBy("part", "done").agg(count.alias("left"))
@@ -125,8 +131,8 @@ def audited(rows: DataFrame, fails: dict[str, DataFrame], scratch: Scratch) -> D
     cells = parts.withColumn("f", F.explode(F.array(*map(F.lit, range(n))))).withColumn("done", F.explode(F.array(*map(F.lit, range(1 << n)))))
     cells = cells.filter("(done & shiftleft(1, f)) = 0")
     cells = cells.withColumn("after", F.expr("done | shiftleft(1, f)"))
-    cells = cells.join(removed, ["part", "f", "done"], "left").join(redundant, ["part", "f", "done"], "left").join(unique, ["part", "f"], "left")
-    cells = cells.join(clean, "part", "left").join(left.withColumnRenamed("done", "after"), ["part", "after"], "left")
+    for counts, on in ((removed, ["part", "f", "done"]), (redundant, ["part", "f", "done"]), (unique, ["part", "f"]), (clean, "part"), (left.withColumnRenamed("done", "after"), ["part", "after"])):
+        cells = merged(cells, counts, on, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     cells = cells.select("part", "f", "done", (zero("clean") + zero("left")).alias("kept"), *(zero(c).alias(c) for c in COUNTS[1:-1]))
     cells = scratch.stored(cells, "cells")
@@ -135,7 +141,7 @@ def audited(rows: DataFrame, fails: dict[str, DataFrame], scratch: Scratch) -> D
     weight = F.element_at(F.array(*map(F.lit, weights)), F.bit_count("done") + 1)
     shapley = cells.groupBy("part", "f").agg(F.sum(F.col("removed") * weight).alias("shapley"))
     steps = rows.sparkSession.createDataFrame(orders(letters), "filter_order string, step int, f int, done int")
-    out = cells.join(shapley, ["part", "f"]).join(F.broadcast(steps), ["f", "done"])  # the table of orders: n * n! rows, 600 of five filters
+    out = merged(cells, shapley, ["part", "f"], "inner").join(F.broadcast(steps), ["f", "done"])  # the table of orders: n * n! rows, 600 of five filters
     return out.select("part", "filter_order", "step", *COUNTS)
 
 
@@ -159,8 +165,8 @@ def filter_audit(
     marked = rows.select("row", "id", "part")
     for name, column in (("good", "quality"), ("toxic", "toxic")):
         ids = labels.filter(F.col(column) == 1).select(F.col(id_col).alias("id"))
-        hit = marked.join(ids, "id", "left_semi").select("row").withColumn(name, F.lit(True))
-        marked = marked.join(hit, "row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        hit = merged(marked, ids, "id", "left_semi").select("row").withColumn(name, F.lit(True))
+        marked = merged(marked, hit, "row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     marked = scratch.stored(marked.drop("id"), "marked")
     fails = {letter: rows.filter(rule()).select("row") for letter, rule in rules.items()}
     fails[copies] = later_copies(rows.select("row", "id", "digest"), "id", "digest").select("row")

@@ -215,3 +215,18 @@ def test_audit_of_clean_parts(spark):
     text = " ".join(f"w{i}" for i in range(250))
     got = filter_audit(spark.createDataFrame([(1, text, "s"), (2, text + " more", "s")], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == 600 and all((r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) == (2, 0, 0, 0, 0) for r in got)
+
+
+def test_audit_sends_no_rows_through_the_driver(spark, docs, rows):
+    """Tables of rows are never broadcast, however small their files are: only the orders are."""
+    plans = []
+
+    class Told(Scratch):
+        def stored(self, df, name, compression="zstd"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().stored(df, name, compression)
+
+    marks = spark.createDataFrame([(r[0], i % 2, 1) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    out = filter_audit(docs, marks, scratch=Told(spark, "told"))
+    assert len(plans) > 8 and not any("Broadcast" in x for x in plans)
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
