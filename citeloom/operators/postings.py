@@ -84,7 +84,7 @@ def write_postings(docs: DataFrame, path: str, k1: float = 1.5, b: float = 0.75,
     terms.crossJoin(F.broadcast(mean)).select("term", "df", "mean_len", idf.alias("idf")).write.parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
     buckets = max(16, math.ceil(postings.count() / 1_000_000))
-    rows = postings.join(terms, "term")
+    rows = postings.join(terms.hint("merge"), "term")  # a vocabulary takes a tenth of its memory on disk, so it is not for the planner to broadcast
     impact = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / part_rows)).cast("int").alias("part")

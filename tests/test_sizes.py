@@ -8,6 +8,7 @@ from citeloom.operators import calibration as C
 from citeloom.operators import features as FE
 from citeloom.operators import grounding as G
 from citeloom.operators import pivots as PV
+from citeloom.operators import retrieval as R
 from citeloom.operators import terms as T
 from citeloom.operators import vocabulary as VO
 from citeloom.plans import loads
@@ -59,6 +60,16 @@ def test_visits_are_not_broadcast(spark, tmp_path):
     assert PV.search(spark, f"{tmp_path}/p", asked, 2).count() == 12
 
 
+def test_packed_queries_are_not_broadcast(spark):
+    """The packed queries, once a part of the documents, meet the parts by a shuffle, however small they look."""
+    postings = spark.createDataFrame([(i, t, 1.0 + i % 3) for i in range(40) for t in ("a", "b")[: 1 + i % 2]], "id long, term string, w double")
+    asked = spark.sql("select * from values (1L, 'a', 1L), (2L, 'b', 2L) as t(query_id, term, times)")
+    found = R.best_documents(postings, postings.select("id").distinct(), asked.select("query_id"), asked, 2, part_rows=8)
+    said = plan(found)
+    assert "SortMergeJoin" in said and "Broadcast" not in said
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect()) == [(1, 1, 2, 3.0), (1, 2, 5, 3.0), (2, 1, 5, 6.0), (2, 2, 11, 6.0)]
+
+
 def test_grams_by_tokens(spark):
     """Parts of a batch are cut by tokens, not by documents, and give the same counts."""
     lists = [["a1", "b1"] * n for n in (5, 0, 3, 40, 1)]
